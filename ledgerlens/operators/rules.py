@@ -223,31 +223,58 @@ RULE_COLUMNS = {
 }
 
 
-def evaluate(df: DataFrame, cfg: Config = Config(), rules: tuple[str, ...] | None = None) -> DataFrame:
-    """Input rows + one boolean column per rule (``r_*``) + the statistics the
-    reasons quote.  ``rules`` restricts the joins to what is needed."""
-    wanted = set(rules or cfg.rule_names)
-    p = prepare(df, cfg)
+def side_tables(p: DataFrame, cfg: Config, wanted: set[str]) -> list[tuple[DataFrame, list[str]]]:
+    """Aggregates the rules need, each derived from the same prepared base
+    (never from an already-joined frame, which would duplicate the plan)."""
+    sides = []
     if "HIGH_VALUE_TRANSACTION" in wanted:
-        p = p.join(channel_medians(p, cfg), [ACC, "channel"], "left")
+        sides.append((channel_medians(p, cfg), [ACC, "channel"]))
     if wanted & {"SPENDING_SPIKE", "EXCESSIVE_WITHDRAWAL", "BALANCE_DROP_ALERT"}:
-        p = p.join(daily_stats(p, cfg), [ACC, "date"], "left")
+        sides.append((daily_stats(p, cfg), [ACC, "date"]))
+    return sides
+
+
+def row_side(p: DataFrame, cfg: Config, wanted: set[str], extra: list[DataFrame] = ()) -> DataFrame | None:
+    """(account, seq)-keyed side results merged narrow-to-narrow first, so
+    the wide transaction rows are shuffled for them only once."""
+    parts = list(extra)
     if "RAPID_TRANSACTION" in wanted:
-        p = p.join(rapid_counts(p, cfg), [ACC, "seq"], "left")
+        parts.append(rapid_counts(p, cfg))
     if "REPEATED_TRANSACTION" in wanted:
-        p = p.join(repeated_counts(p, cfg), [ACC, "seq"], "left")
+        parts.append(repeated_counts(p, cfg))
+    if not parts:
+        return None
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.join(x, [ACC, "seq"], "full")
+    return out
+
+
+def flag_columns(cfg: Config, wanted: set[str]) -> dict:
     cols = {}
     for name in cfg.rule_names:
         if name in wanted:
             c, flag, _ = RULE_COLUMNS[name]
             cols[c] = flag(cfg)
-    return p.withColumns(cols)
+    return cols
 
 
-def rule_engine(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """All rules in order: ``rule_flags`` (each once, rule order),
-    ``rule_reasons`` (parallel), ``rule_score`` (sum of points)."""
-    e = evaluate(df, cfg)
+def evaluate(df: DataFrame, cfg: Config = Config(), rules: tuple[str, ...] | None = None,
+             prepared: bool = False, extra_row_sides: list[DataFrame] = ()) -> DataFrame:
+    """Input rows + one boolean column per rule (``r_*``) + the statistics the
+    reasons quote.  ``rules`` restricts the joins to what is needed."""
+    wanted = set(rules or cfg.rule_names)
+    p = df if prepared else prepare(df, cfg)
+    out = p
+    for side, keys in side_tables(p, cfg, wanted):
+        out = out.join(side, keys, "left")
+    rs = row_side(p, cfg, wanted, list(extra_row_sides))
+    if rs is not None:
+        out = out.join(rs, [ACC, "seq"], "left")
+    return out.withColumns(flag_columns(cfg, wanted))
+
+
+def with_rule_arrays(e: DataFrame, cfg: Config) -> DataFrame:
     pts = cfg.points
     hits = [F.when(F.col(RULE_COLUMNS[n][0]),
                    F.struct(F.lit(n).alias("flag"), RULE_COLUMNS[n][2](cfg).alias("reason"),
@@ -261,6 +288,12 @@ def rule_engine(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     }).drop("__hits")
 
 
+def rule_engine(df: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """All rules in order: ``rule_flags`` (each once, rule order),
+    ``rule_reasons`` (parallel), ``rule_score`` (sum of points)."""
+    return with_rule_arrays(evaluate(df, cfg), cfg)
+
+
 def rule_summary(scored: DataFrame, cfg: Config = Config(), by=(ACC,)) -> DataFrame:
     """total, flagged, per-rule counts, mean flagged score, max score."""
     aggs = [F.count(F.lit(1)).alias("total_transactions"),
