@@ -70,3 +70,37 @@ def cut_lineage(df, eager: bool = True):
     loss; never ``localCheckpoint``)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def _fingerprint(paths) -> str:
+    import hashlib
+    h = hashlib.sha1()
+    for p in paths:
+        h.update(str(p).encode())
+        try:
+            st = os.stat(p)
+            h.update(f"{st.st_size}:{st.st_mtime_ns}".encode())
+        except OSError:
+            pass
+    return h.hexdigest()[:16]
+
+
+def materialized(spark: SparkSession, name: str, inputs, build, key_extra: str = ""):
+    """Persist a derived table once as Parquet under the shared checkpoint
+    folder and read it back (lineage cut, executor-loss safe, scans get
+    pushdown).  The key covers the input files (size, mtime) and parameters,
+    so a changed input is rebuilt."""
+    key = f"{name}-{_fingerprint(list(inputs) + [key_extra])}"
+    path = os.path.join(checkpoint_dir(spark), "ledgerlens-tables", key)
+    if not _exists(spark, path.rstrip("/") + "/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem of the path (works for
+    local, HDFS and object-store checkpoint folders)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
