@@ -32,3 +32,20 @@ def fmt2(x: str) -> str:
 
 def fmt1_plain(x: str) -> str:
     return f"format('{{:.1f}}', CAST({x} AS DOUBLE))"
+
+
+TXN_ORDERS_CTE = """
+txn_orders0 AS (
+  SELECT o_custkey AS account_id, CAST(o_orderkey AS VARCHAR) AS txn_id, o_orderkey AS seq,
+         CAST(o_orderdate AS TIMESTAMP) AS ts, CAST(o_orderdate AS DATE) AS date,
+         strftime(o_orderdate, '%H:%M:%S') AS time,
+         CASE WHEN o_orderstatus = 'F' THEN 'Credit' ELSE 'Debit' END AS debit_credit,
+         CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderpriority AS transaction_type,
+         o_orderpriority AS mode, o_orderstatus AS merchant, o_orderpriority || '/' || o_orderstatus AS narration
+  FROM orders),
+txn_orders AS (
+  SELECT t.account_id, txn_id, seq, ts, date, time, debit_credit, amount,
+         CAST(coalesce(CAST(c.c_acctbal AS DECIMAL(18,2)), 0) + sum(CASE WHEN debit_credit = 'Credit' THEN amount ELSE -amount END)
+              OVER (PARTITION BY t.account_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS balance,
+         transaction_type, mode, merchant, narration
+  FROM txn_orders0 t LEFT JOIN customer c ON t.account_id = c.c_custkey)"""
