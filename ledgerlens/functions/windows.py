@@ -47,12 +47,14 @@ def bucketed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
 
 def bucketed_prev(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
                   cols: Sequence[str], prefix: str = "prev_",
-                  bucket_seconds: int = 86400) -> DataFrame:
+                  bucket_seconds: int = 86400, bucket: Column | None = None) -> DataFrame:
     """Previous row (by ``(ts, tie)`` within ``keys``) of each column in
-    ``cols`` as ``prefix + col``; null for the first row of a key."""
+    ``cols`` as ``prefix + col``; null for the first row of a key.
+    ``bucket`` overrides the time bucket (any expression monotone in the order)."""
     keys = list(keys)
     payload = F.struct(*[F.col(c).alias(c) for c in cols])
-    d = df.withColumn(_BUCKET, time_bucket(ts, bucket_seconds)).withColumn("__p", payload)
+    b = time_bucket(ts, bucket_seconds) if bucket is None else bucket
+    d = df.withColumn(_BUCKET, b).withColumn("__p", payload)
     w_local = Window.partitionBy(*keys, _BUCKET).orderBy(F.col(ts), F.col(tie))
     d = d.withColumn("__lp", F.lag("__p").over(w_local))
     last = (d.groupBy(*keys, _BUCKET)

@@ -1 +1,69 @@
-"""Registered queries."""
+"""Registered statement-text queries: statements rendered from
+``txn`` by Spark, parsed back; the oracle states parse(render(x)) = x."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlens.operators import textlines as TL
+from ledgerlens.plans.registry import register
+from ledgerlens.plans.sqlparts import with_txn
+from ledgerlens.sources import statements as SS
+from ledgerlens.sources.tables import txn
+
+_BODY = ("CASE WHEN debit_credit = 'Credit' THEN 'NEFT CR-' || merchant ELSE mode || '/' || merchant END"
+         " || CASE WHEN seq % 3 = 0 THEN ' REF' ELSE '' END")
+
+
+@register("txt_parse_dated", with_txn(f"""
+SELECT account_id AS doc_id, seq * 3 AS first_line,
+       CASE WHEN debit_credit = 'Credit' THEN 'CR' ELSE 'DR' END AS debit_credit,
+       format('{{:,.2f}}', CAST(amount AS DOUBLE)) AS amount, format('{{:,.2f}}', CAST(balance AS DOUBLE)) AS balance,
+       strftime(ts, '%d-%m-%Y') AS date, strftime(ts, '%H:%M') AS time,
+       CASE WHEN debit_credit = 'Credit' THEN 'NEFT' WHEN mode IN ('UPI', 'POS', 'ATM') THEN mode ELSE 'CARD/' || merchant END AS transaction_type,
+       {_BODY} AS merchant
+FROM txn"""))
+def txt_parse_dated(spark, sf_dir):
+    """Dated-line statement text -> transactions (blocks, amounts, balance,
+    merchant cleanup, DR/CR, type prefix)."""
+    p = TL.parse_dated(TL.group_dated(SS.render_dated_lines(txn(spark, sf_dir))))
+    return p.drop("block_no")
+
+
+@register("txt_group_dated", with_txn("""
+SELECT account_id AS doc_id, count(*) AS blocks FROM txn GROUP BY account_id"""))
+def txt_group_dated(spark, sf_dir):
+    """Number of transaction blocks per document (title lines dropped)."""
+    return TL.group_dated(SS.render_dated_lines(txn(spark, sf_dir))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@register("txt_quality", with_txn("""
+SELECT account_id AS doc_id, count(*) AS rows, count(*) AS valid_dates, count(*) AS valid_amounts,
+       count(*) AS valid_balances FROM txn GROUP BY account_id"""))
+def txt_quality(spark, sf_dir):
+    """Parsed rows and valid date / amount / balance counts per document."""
+    return TL.quality(TL.parse_dated(TL.group_dated(SS.render_dated_lines(txn(spark, sf_dir)))))
+
+
+@register("txn_dedupe", with_txn("""
+SELECT account_id AS doc_id, seq * 3 AS first_line FROM
+  (SELECT *, row_number() OVER (PARTITION BY account_id, amount, balance ORDER BY seq) AS rn FROM txn) WHERE rn = 1"""))
+def txn_dedupe(spark, sf_dir):
+    """First row per (document, amount, balance) of the parsed statement."""
+    p = TL.parse_dated(TL.group_dated(SS.render_dated_lines(txn(spark, sf_dir))))
+    return TL.dedupe(p).select("doc_id", "first_line")
+
+
+@register("txt_parse_layout", with_txn("""
+SELECT account_id AS doc_id, seq * 4 AS first_line,
+       CASE WHEN amount = 0 THEN 'DEBIT' WHEN debit_credit = 'Credit' THEN 'CREDIT' ELSE 'DEBIT' END AS debit_credit,
+       CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance, strftime(date, '%d %b %y') AS date,
+       strftime(ts, '%H:%M:%S') AS time,
+       CASE mode WHEN 'UPI' THEN 'UPI' WHEN 'ATM' THEN 'ATM_WITHDRAWAL' WHEN 'POS' THEN 'PURCHASE'
+                 WHEN 'CARD' THEN 'IMPS' ELSE 'NEFT' END AS transaction_type,
+       CASE WHEN mode = 'ATM' THEN '' ELSE merchant END AS merchant
+FROM txn"""))
+def txt_parse_layout(spark, sf_dir):
+    """Table-layout statement -> transactions: grouped descriptions, as-of
+    date labels by y, amount/side from the balance delta across pages."""
+    return TL.parse_layout(SS.render_layout_lines(txn(spark, sf_dir))).drop("block_no")

@@ -85,6 +85,68 @@ def render_training_a(txn: DataFrame) -> DataFrame:
         F.concat(F.lit("ACC"), F.col("account_id").cast("string")).alias("sender_account"))
 
 
+def render_dated_lines(txn: DataFrame) -> DataFrame:
+    """Dated-line statement text per account (doc): one head line per
+    transaction ``DD-MM-YYYY HH:MM <body> <amount> <balance>``, a reference
+    continuation line on every third, junk bars on every fifth, and a title
+    line before the first transaction."""
+    body = F.when(F.col("debit_credit") == "Credit", F.concat(F.lit("NEFT CR-"), F.col("merchant"))).otherwise(
+        F.concat(F.col("mode"), F.lit("/"), F.col("merchant")))
+    junk = F.when(F.pmod(F.col("seq"), F.lit(5)) == 0, F.lit(" |")).otherwise(F.lit(""))
+    head = txn.select(
+        F.col("account_id").alias("doc_id"), (F.col("seq") * 3).alias("line_no"),
+        F.concat_ws(" ", F.date_format("ts", "dd-MM-yyyy HH:mm"), F.concat(body, junk),
+                    F.format_number(F.col("amount").cast("double"), 2),
+                    F.format_number(F.col("balance").cast("double"), 2)).alias("text"))
+    cont = txn.where(F.pmod(F.col("seq"), F.lit(3)) == 0).select(
+        F.col("account_id").alias("doc_id"), (F.col("seq") * 3 + 1).alias("line_no"),
+        F.concat(F.lit("REF "), F.lpad(F.col("seq").cast("string"), 12, "0")).alias("text"))
+    title = txn.select("account_id").distinct().select(
+        F.col("account_id").alias("doc_id"), F.lit(-1).cast("long").alias("line_no"),
+        F.concat(F.lit("STATEMENT FOR ACCOUNT "), F.col("account_id").cast("string")).alias("text"))
+    return head.unionByName(cont).unionByName(title)
+
+
+def render_layout_lines(txn: DataFrame, opening: int = 200000) -> DataFrame:
+    """Table-layout statement per account: one page per day with a date label
+    at the top, description lines (1-3 per transaction), the running balance
+    on each transaction's first line, and a BALANCE FORWARD row first."""
+    t = F.date_format("ts", "HH:mm:ss")
+    m = F.col("mode")
+    l1 = (F.when(m == "UPI", F.concat(F.lit("UPI/DR/"), F.col("seq").cast("string"), F.lit("/"), t, F.lit("/"), F.col("merchant")))
+          .when(m == "ATM", F.concat(F.lit("ATM WITHDRAWAL "), t, F.lit(" CARD "), F.col("seq").cast("string")))
+          .when(m == "POS", F.concat(F.lit("PURCHASE "), F.col("merchant"), F.lit("  IN "), t))
+          .when(m == "CARD", F.concat(F.lit("IMPS/"), F.col("seq").cast("string"), F.lit("/"), t))
+          .otherwise(F.concat(F.lit("NEFT "), F.col("seq").cast("string"), F.lit(" "), t)))
+    l2 = F.when(m == "CARD", F.lit("P2A TRANSFER")).when(m == "NEFT", F.lit("CR"))
+    page = F.date_format("date", "yyyyMMdd").cast("int")
+    y = (F.unix_micros("ts") - F.unix_micros(F.col("date").cast("timestamp"))).cast("double") / 1e6
+    base = txn.select(F.col("account_id").alias("doc_id"), page.alias("page"), "seq", y.alias("y"),
+                      l1.alias("l1"), l2.alias("l2"), F.col("merchant"), F.col("balance"), m.alias("mode"))
+    empty = F.lit(None).cast("string")
+    rows = [base.select("doc_id", "page", (F.col("seq") * 4).alias("line_no"), "y", empty.alias("date_text"),
+                        F.col("l1").alias("desc_text"),
+                        F.format_number(F.col("balance").cast("double"), 2).alias("balance_text")),
+            base.where(F.col("l2").isNotNull()).select(
+                "doc_id", "page", (F.col("seq") * 4 + 1).alias("line_no"), (F.col("y") + 0.1).alias("y"),
+                empty.alias("date_text"), F.col("l2").alias("desc_text"), empty.alias("balance_text")),
+            base.where(F.col("mode").isin("CARD", "NEFT")).select(
+                "doc_id", "page", (F.col("seq") * 4 + 2).alias("line_no"), (F.col("y") + 0.2).alias("y"),
+                empty.alias("date_text"), F.col("merchant").alias("desc_text"), empty.alias("balance_text"))]
+    days = txn.select(F.col("account_id").alias("doc_id"), "date").distinct()
+    rows.append(days.select("doc_id", page.alias("page"), F.lit(None).cast("long").alias("line_no"),
+                            F.lit(-1.0).alias("y"), F.date_format("date", "dd MMM yy").alias("date_text"),
+                            empty.alias("desc_text"), empty.alias("balance_text")))
+    first = txn.groupBy("account_id").agg(F.min("date").alias("date"))
+    rows.append(first.select(F.col("account_id").alias("doc_id"), page.alias("page"), F.lit(-4).cast("long").alias("line_no"),
+                             F.lit(-2.0).alias("y"), empty.alias("date_text"), F.lit("BALANCE FORWARD").alias("desc_text"),
+                             F.lit(f"{opening:,.2f}").alias("balance_text")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV sink: arrays become '|'-joined text (CSV cannot hold arrays)."""
     cols = []
