@@ -70,28 +70,34 @@ def bucketed_prev(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
 
 def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
                 before_us: int, after_us: int, out: str,
-                bucket_seconds: int = 86400) -> DataFrame:
-    """Exact count of rows of the same ``keys`` whose ts lies in
-    ``[ts - before_us, ts + after_us]`` (inclusive).  Returns
-    ``keys + [row_id, out]`` for rows with non-null ts.
+                bucket_seconds: int = 86400, weight: Column | None = None,
+                probe: Column | None = None) -> DataFrame:
+    """Exact count (or sum of ``weight``) of rows of the same ``keys`` whose
+    ts lies in ``[ts - before_us, ts + after_us]`` (inclusive), for the rows
+    where ``probe`` holds.  Returns ``keys + [row_id, out]``.
 
     Built as two running counts over the merged sequence of rows and query
     points (no pairwise join, no per-account window): count(<= ts+after) -
     count(< ts-before)."""
     keys = list(keys)
-    base = df.select(*keys, F.col(row_id), F.unix_micros(F.col(ts)).alias("__t")).where(F.col("__t").isNotNull())
+    w = F.lit(1) if weight is None else weight
+    pr = F.lit(True) if probe is None else probe
+    base = df.select(*keys, F.col(row_id), F.unix_micros(F.col(ts)).alias("__t"), w.alias("__wv"),
+                     pr.alias("__probe")).where(F.col("__t").isNotNull())
     # kind: 0 = lower query (sorts before rows at equal t), 1 = row, 2 = upper query
-    rows = base.select(*keys, row_id, F.col("__t"), F.lit(1).alias("__k"), F.lit(1).alias("__w"))
-    lo = base.select(*keys, row_id, (F.col("__t") - F.lit(before_us)).alias("__t"),
-                     F.lit(0).alias("__k"), F.lit(0).alias("__w"))
-    hi = base.select(*keys, row_id, (F.col("__t") + F.lit(after_us)).alias("__t"),
-                     F.lit(2).alias("__k"), F.lit(0).alias("__w"))
+    zero = F.lit(0).cast(base.schema["__wv"].dataType)
+    rows = base.select(*keys, row_id, F.col("__t"), F.lit(1).alias("__k"), F.col("__wv").alias("__w"))
+    q = base.where(F.col("__probe"))
+    lo = q.select(*keys, row_id, (F.col("__t") - F.lit(before_us)).alias("__t"),
+                  F.lit(0).alias("__k"), zero.alias("__w"))
+    hi = q.select(*keys, row_id, (F.col("__t") + F.lit(after_us)).alias("__t"),
+                  F.lit(2).alias("__k"), zero.alias("__w"))
     pts = rows.unionByName(lo).unionByName(hi)
     pts = pts.withColumn(_BUCKET, F.floor(F.col("__t") / F.lit(int(bucket_seconds) * 1_000_000)).cast("long"))
     pts = pts.withColumn("__ord", F.struct(F.col("__t"), F.col("__k")))
     counted = bucketed_running_sum(pts, keys, "__ord", row_id, "__w", "__c",
                                    bucket_col=_BUCKET)
-    q = counted.where(F.col("__k") != 1)
-    return (q.groupBy(*keys, row_id)
+    qs = counted.where(F.col("__k") != 1)
+    return (qs.groupBy(*keys, row_id)
             .agg((F.max(F.when(F.col("__k") == 2, F.col("__c")))
                   - F.max(F.when(F.col("__k") == 0, F.col("__c")))).alias(out)))
