@@ -187,3 +187,135 @@ def parse_layout(layout: DataFrame) -> DataFrame:
         F.abs(delta).alias("amount"), F.col("bal").alias("balance"), "date",
         layout_time(F.col("block")).alias("time"), ttype.alias("transaction_type"),
         layout_merchant(F.col("block"), ttype).alias("merchant"))
+
+
+# ------------------------------------------------------------ context lines
+# fixed values: patterns of the context-line layout
+CTX_DATE = r"\b(\d{2}[-./]\d{2}[-./]\d{4})\b"
+CTX_AMOUNT = r"(?<!\d)(\d{1,3}(?:,\d{2,3})+\.\d{2})(?!\d)"
+CTX_REF = r"\b[A-Z]?\d{8,}\b"
+CTX_MODE = r"(?i)\b(NEFT|UPI|IMPS|RTGS|ATM|CASH|CHEQUE|POS)\b"
+BAL_THRESHOLD = 500_000
+NOISE = ("THE", "AND", "FOR", "PVT", "LTD", "OAV", "OAW", "EFT", "NEFT", "UPI", "BANK", "INDIA", "eee", "eet",
+         "Toe", "aaa", "ooo", "www", "nnn", "O/W", "OW", "AV", "AG", "NA", "pvt", "ltd", "SERVICES")
+
+
+def clean_narration(text: Column, max_words: int = 8) -> Column:
+    """Strip dates, references, amounts, punctuation and bare numbers;
+    keep tokens of >= 3 chars with a letter that are not noise; first 8."""
+    t = F.regexp_replace(text, CTX_DATE, " ")
+    t = F.regexp_replace(t, CTX_REF, " ")
+    t = F.regexp_replace(t, CTX_AMOUNT, " ")
+    t = F.regexp_replace(t, r"[|(){}\[\]~_\-=@#$%^&*]", " ")
+    t = F.regexp_replace(t, r"\b\d+\b", " ")
+    toks = F.filter(F.split(C.strip(t), r"\s+"),
+                    lambda x: (F.length(x) >= 3) & x.rlike("[A-Za-z]") & ~F.upper(x).isin(*NOISE))
+    out = F.array_join(F.slice(toks, 1, max_words), " ")
+    return F.when(C.strip(out) != "", out).otherwise(F.lit("UNKNOWN"))
+
+
+def parse_context(lines: DataFrame) -> DataFrame:
+    """A line with a date is a transaction; when it has no amount the
+    next one or two lines are searched; amounts below 500 000 are transaction
+    amounts (last one taken), larger ones the balance (negated); context =
+    previous + current (+ next when undated) for narration and mode.  A
+    statement document is bounded (one export), so lead/lag run per document."""
+    from pyspark.sql import Window
+    d = lines.withColumn("text", C.strip("text")).where(F.col("text") != "")
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    d = d.withColumns({"__p1": F.lag("text", 1).over(w), "__n1": F.lead("text", 1).over(w),
+                       "__n2": F.lead("text", 2).over(w)})
+    d = d.withColumn("__date", F.regexp_extract("text", CTX_DATE, 1)).where(F.col("__date") != "")
+    has = lambda c: c.rlike(CTX_AMOUNT)
+    s1 = F.when(has(F.col("text")) | F.col("__n1").isNull(), F.col("text")).otherwise(F.concat_ws(" ", "text", "__n1"))
+    s2 = F.when(has(s1) | F.col("__n2").isNull(), s1).otherwise(F.concat_ws(" ", s1, F.col("__n2")))
+    amts = F.transform(F.regexp_extract_all(s2, F.lit(CTX_AMOUNT), 1),
+                       lambda a: F.regexp_replace(a, ",", "").try_cast("double"))
+    d = d.withColumn("__amts", F.filter(amts, lambda f: f.isNotNull() & (f > 0.5)))
+    d = d.withColumns({"__small": F.filter("__amts", lambda f: f < BAL_THRESHOLD),
+                       "__large": F.filter("__amts", lambda f: f >= BAL_THRESHOLD)})
+    d = d.where(F.size("__small") > 0)
+    ctx = F.concat_ws(" ", F.col("__p1"), F.col("text"),
+                      F.when(~F.coalesce(F.col("__n1").rlike(CTX_DATE), F.lit(True)), F.col("__n1")))
+    mode = F.upper(F.regexp_extract(ctx, CTX_MODE, 1))
+    return d.select(
+        "doc_id", "line_no",
+        F.regexp_replace(F.col("__date"), r"[./]", "-").alias("date"),
+        F.round(F.element_at("__small", -1), 2).alias("amount"),
+        clean_narration(ctx).alias("narration"),
+        F.when(F.size("__large") > 0, F.round(-F.element_at("__large", -1), 2)).alias("balance"),
+        F.when(mode != "", mode).otherwise(F.lit("NEFT")).alias("mode"),
+        F.lit("DEBIT").alias("debit_credit"))
+
+
+def dedupe_first(parsed: DataFrame, order: str = "line_no") -> DataFrame:
+    """T13 on line-numbered rows: first row per (doc, amount, balance)."""
+    k = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(f"__k{c}") for c in ("amount", "balance")]
+    first = parsed.select("doc_id", order, *k).groupBy("doc_id", "__kamount", "__kbalance").agg(F.min(order).alias(order))
+    return parsed.join(first.select("doc_id", order), ["doc_id", order], "left_semi")
+
+
+# ---------------------------------------------------------- table headers
+# fixed values: five bank header maps (header text -> canonical field)
+BANK_MAPS = [
+    {"txn date": "date", "transaction date": "date", "value date": "vdate", "narration": "narration",
+     "description": "narration", "particulars": "narration", "withdrawal amt.": "debit", "deposit amt.": "credit",
+     "closing balance": "balance", "balance": "balance"},
+    {"date": "date", "description": "narration", "debit": "debit", "credit": "credit", "balance": "balance"},
+    {"transaction date": "date", "transaction remarks": "narration", "debit amount": "debit",
+     "credit amount": "credit", "balance (inr)": "balance"},
+    {"tran date": "date", "particulars": "narration", "debit": "debit", "credit": "credit", "balance": "balance"},
+    {"date": "date", "amount": "amount", "narration": "narration", "balance": "balance", "mode": "mode",
+     "withdrawal": "debit", "deposit": "credit"},
+]
+
+
+def bank_map_table(spark) -> DataFrame:
+    rows = [(i, h, c) for i, m in enumerate(BANK_MAPS) for h, c in m.items()]
+    return spark.createDataFrame(rows, "map_id int, header string, field string")
+
+
+def header_map(headers: DataFrame) -> DataFrame:
+    """Per document, the bank map with the most header hits (earliest map
+    on ties); documents with fewer than two hits are rejected.  Returns
+    (doc_id, col_idx, field) for the chosen map.  The map table is a literal of
+    bounded size (broadcast)."""
+    maps = F.broadcast(bank_map_table(headers.sparkSession))
+    h = headers.withColumn("header", F.lower(C.strip("header")))
+    hits = h.join(maps, "header")
+    score = hits.groupBy("doc_id", "map_id").agg(F.count(F.lit(1)).alias("score"))
+    best = (score.groupBy("doc_id").agg(F.max_by("map_id", F.struct("score", (-F.col("map_id")).alias("m"))).alias("map_id"),
+                                        F.max("score").alias("score"))
+            .where(F.col("score") >= 2))
+    return hits.join(best.select("doc_id", "map_id"), ["doc_id", "map_id"]).select("doc_id", "col_idx", "field")
+
+
+DAY_FIRST_FORMATS = ["dd-MM-yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "dd-MM-yy", "dd/MM/yy", "yyyy-MM-dd"]
+
+
+def parse_dates_day_first(c: Column) -> Column:
+    """Six day-first formats in order, then inference."""
+    s = C.strip(c.cast("string"))
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in DAY_FIRST_FORMATS],
+                      F.to_date(F.try_to_timestamp(s)))
+
+
+def merge_table_rows(cells: DataFrame, chosen: DataFrame) -> DataFrame:
+    """T15 (+T16): pivot mapped cells to fields, amount = credit when > 0 else
+    debit (side labelled accordingly), defaults, drop rows with neither a date
+    nor an amount."""
+    m = cells.join(chosen, ["doc_id", "col_idx"])
+    g = m.groupBy("doc_id", "row_no").agg(
+        *[F.max(F.when(F.col("field") == f, C.strip("cell"))).alias(f)
+          for f in ("date", "narration", "debit", "credit", "balance", "amount", "mode")])
+
+    def num(c):
+        return F.regexp_replace(F.col(c), r"[^\d.\-]", "").try_cast("double")
+    credit, debit = num("credit"), num("debit")
+    amount = F.coalesce(num("amount"), F.when(F.coalesce(credit, F.lit(0.0)) > 0, credit).otherwise(debit))
+    side = F.when(F.coalesce(credit, F.lit(0.0)) > 0, "CREDIT").otherwise("DEBIT")
+    d = g.select("doc_id", "row_no", parse_dates_day_first(F.col("date")).alias("date"), amount.alias("amount"),
+                 F.coalesce(F.col("narration"), F.lit("UNKNOWN")).alias("narration"),
+                 F.regexp_replace(F.col("balance"), ",", "").try_cast("double").alias("balance"),
+                 F.coalesce(F.col("mode"), F.lit("UNKNOWN")).alias("mode"), side.alias("debit_credit"))
+    return d.where(F.col("date").isNotNull() | F.col("amount").isNotNull())

@@ -67,3 +67,43 @@ def txt_parse_layout(spark, sf_dir):
     """Table-layout statement -> transactions: grouped descriptions, as-of
     date labels by y, amount/side from the balance delta across pages."""
     return TL.parse_layout(SS.render_layout_lines(txn(spark, sf_dir))).drop("block_no")
+
+
+@register("txt_parse_context", with_txn("""
+SELECT account_id AS doc_id, seq * 2 AS line_no, strftime(date, '%d-%m-%Y') AS date, CAST(amount AS DOUBLE) AS amount,
+       CASE WHEN n = '' THEN 'UNKNOWN' ELSE n END AS narration,
+       -(CAST(balance AS DOUBLE) + 1000000) AS balance,
+       CASE WHEN mode IN ('UPI', 'POS', 'ATM', 'NEFT') THEN mode ELSE 'NEFT' END AS mode, 'DEBIT' AS debit_credit
+FROM (SELECT *, concat_ws(' ', CASE WHEN first_row THEN 'ACCOUNT STATEMENT' END,
+                          CASE WHEN mode NOT IN ('UPI', 'NEFT') THEN mode END, 'TRANSFER',
+                          CASE WHEN length(merchant) >= 3 THEN merchant END) AS n,
+             row_number() OVER (PARTITION BY account_id, amount, balance ORDER BY seq) AS rn
+      FROM (SELECT *, seq = min(seq) OVER (PARTITION BY account_id) AS first_row FROM txn)
+      WHERE amount >= 1000 AND amount < 500000 AND balance + 1000000 >= 500000)
+WHERE rn = 1"""))
+def txt_parse_context(spark, sf_dir):
+    """Context-line statement text: dated lines with look-ahead amounts,
+    amount / balance split, narration cleanup, mode, dedupe."""
+    p = TL.parse_context(SS.render_context_lines(txn(spark, sf_dir)))
+    return TL.dedupe_first(p)
+
+
+@register("txt_header_map", with_txn("""
+SELECT account_id AS doc_id, c.col_idx, c.field FROM (SELECT DISTINCT account_id FROM txn) d,
+  (VALUES (0, 'date'), (1, 'narration'), (2, 'debit'), (3, 'credit'), (4, 'balance')) c(col_idx, field)"""))
+def txt_header_map(spark, sf_dir):
+    """Best bank header map per document (most hits, >= 2)."""
+    headers, _ = SS.render_table_cells(txn(spark, sf_dir))
+    return TL.header_map(headers)
+
+
+@register("txt_merge_debit_credit", with_txn("""
+SELECT account_id AS doc_id, seq AS row_no, strftime(date, '%Y-%m-%d') AS date, CAST(amount AS DOUBLE) AS amount,
+       narration, CAST(balance AS DOUBLE) AS balance, 'UNKNOWN' AS mode,
+       CASE WHEN debit_credit = 'Credit' AND amount > 0 THEN 'CREDIT' ELSE 'DEBIT' END AS debit_credit
+FROM txn"""))
+def txt_merge_debit_credit(spark, sf_dir):
+    """Digital table rows: mapped cells pivoted, debit/credit merged into
+    amount + side, day-first dates parsed."""
+    headers, cells = SS.render_table_cells(txn(spark, sf_dir))
+    return TL.merge_table_rows(cells, TL.header_map(headers))

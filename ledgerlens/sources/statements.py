@@ -147,6 +147,39 @@ def render_layout_lines(txn: DataFrame, opening: int = 200000) -> DataFrame:
     return out
 
 
+def render_context_lines(txn: DataFrame) -> DataFrame:
+    """Context-line statement text: 'DD.MM.YYYY MODE TRANSFER MERCHANT' then a
+    line with the amount and the balance (shifted by 1,000,000 into the
+    balance range of this layout); a title line first."""
+    a = txn.select(F.col("account_id").alias("doc_id"), (F.col("seq") * 2).alias("line_no"),
+                   F.concat_ws(" ", F.date_format("date", "dd.MM.yyyy"), F.col("mode"), F.lit("TRANSFER"),
+                               F.col("merchant")).alias("text"))
+    b = txn.select(F.col("account_id").alias("doc_id"), (F.col("seq") * 2 + 1).alias("line_no"),
+                   F.concat_ws(" ", F.format_number(F.col("amount").cast("double"), 2),
+                               F.format_number(F.col("balance").cast("double") + 1000000, 2)).alias("text"))
+    title = txn.select("account_id").distinct().select(F.col("account_id").alias("doc_id"),
+                                                       F.lit(-1).cast("long").alias("line_no"),
+                                                       F.lit("ACCOUNT STATEMENT").alias("text"))
+    return a.unionByName(b).unionByName(title)
+
+
+TABLE_HEADERS = ["Txn Date", "Narration", "Withdrawal Amt.", "Deposit Amt.", "Closing Balance"]
+
+
+def render_table_cells(txn: DataFrame):
+    """Digital statement table per account: header cells and long-form data
+    cells (doc_id, row_no, col_idx, cell)."""
+    docs = txn.select(F.col("account_id").alias("doc_id")).distinct()
+    headers = docs.select("doc_id", F.posexplode(F.array(*[F.lit(h) for h in TABLE_HEADERS])).alias("col_idx", "header"))
+    vals = F.array(F.date_format("date", "dd/MM/yyyy"), F.col("narration"),
+                   F.when(F.col("debit_credit") == "Debit", F.format_number(F.col("amount").cast("double"), 2)).otherwise(F.lit("")),
+                   F.when(F.col("debit_credit") == "Credit", F.format_number(F.col("amount").cast("double"), 2)).otherwise(F.lit("")),
+                   F.format_number(F.col("balance").cast("double"), 2))
+    cells = txn.select(F.col("account_id").alias("doc_id"), F.col("seq").alias("row_no"),
+                       F.posexplode(vals).alias("col_idx", "cell"))
+    return headers, cells
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV sink: arrays become '|'-joined text (CSV cannot hold arrays)."""
     cols = []
