@@ -26,10 +26,9 @@ def read_statements(spark: SparkSession, path: str, require_rows: bool = True) -
     df = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
           .csv(path))
     df = df.withColumn("source_file", F.col("_metadata.file_path"))
-    df = df.withColumns({
-        "account_id": F.regexp_extract("source_file", r"([^/]+?)(\.[^./]*)?$", 1),
-        "seq": F.monotonically_increasing_id(),   # assigned at scan time, before any shuffle
-    })
+    if "account_id" not in df.columns:      # no account=... folders: one file per account
+        df = df.withColumn("account_id", F.regexp_extract("source_file", r"([^/]+?)(\.[^./]*)?$", 1))
+    df = df.withColumn("seq", F.monotonically_increasing_id())   # assigned at scan time, before any shuffle
     if require_rows and df.isEmpty():
         raise ValueError(f"no transaction records in {path}")
     return df
@@ -180,6 +179,15 @@ def render_table_cells(txn: DataFrame):
     return headers, cells
 
 
+def load_training(spark: SparkSession, path: str, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Labelled CSV; optional stable N-row sample (rows ordered by a seeded
+    hash of their scan id, then a top-N: TakeOrderedAndProject, no full sort)."""
+    df = read_statements(spark, path)
+    if sample:
+        df = df.orderBy(F.xxhash64(F.col("seq"), F.lit(seed))).limit(sample)
+    return df
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV sink: arrays become '|'-joined text (CSV cannot hold arrays)."""
     cols = []
