@@ -38,7 +38,7 @@ prep AS (
   FROM {src})"""
 
 
-def rule_ctes(cfg: Config) -> list[str]:
+def rule_ctes(cfg: Config, src: str = "txn") -> list[str]:
     key = cfg.repeated_key
     w_us = int(cfg.repeated_window_hours * 3600 * 1_000_000)
     half_s = cfg.rapid_window_minutes * 60 / 2
@@ -47,7 +47,7 @@ def rule_ctes(cfg: Config) -> list[str]:
     flags = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in zip(cfg.rule_names, RULE_COLS))
     reasons = ", ".join(f"CASE WHEN {c} THEN {REASONS[n](cfg)} END" for n, c in zip(cfg.rule_names, RULE_COLS))
     score = " + ".join(f"CASE WHEN {c} THEN {pts[n]} ELSE 0 END" for n, c in zip(cfg.rule_names, RULE_COLS))
-    return [prep_cte(cfg), f"""
+    return [prep_cte(cfg, src), f"""
 chmed AS (SELECT account_id, channel, median(CAST(amount AS DOUBLE)) AS channel_median
           FROM prep WHERE amount IS NOT NULL GROUP BY account_id, channel)""", """
 day0 AS (SELECT account_id, date, coalesce(sum(amount), 0) AS day_total,

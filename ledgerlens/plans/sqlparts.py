@@ -49,3 +49,20 @@ txn_orders AS (
               OVER (PARTITION BY t.account_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS balance,
          transaction_type, mode, merchant, narration
   FROM txn_orders0 t LEFT JOIN customer c ON t.account_id = c.c_custkey)"""
+
+
+TXN_LINEITEM_CTE = """
+txn_lineitem0 AS (
+  SELECT l_suppkey AS account_id, CAST(((l_orderkey * 8 + l_linenumber) << 24) + l_partkey AS VARCHAR) AS txn_id,
+         ((l_orderkey * 8 + l_linenumber) << 24) + l_partkey AS seq,
+         CAST(l_shipdate AS TIMESTAMP) AS ts, CAST(l_shipdate AS DATE) AS date, strftime(l_shipdate, '%H:%M:%S') AS time,
+         CASE WHEN l_returnflag = 'R' THEN 'Credit' ELSE 'Debit' END AS debit_credit,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, l_linestatus AS transaction_type, l_linestatus AS mode,
+         'P' || CAST(l_partkey AS VARCHAR) AS merchant, l_linestatus || '/P' || CAST(l_partkey AS VARCHAR) AS narration
+  FROM lineitem),
+txn_lineitem AS (
+  SELECT account_id, txn_id, seq, ts, date, time, debit_credit, amount,
+         CAST(10000000 + sum(CASE WHEN debit_credit = 'Credit' THEN amount ELSE -amount END)
+              OVER (PARTITION BY account_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS balance,
+         transaction_type, mode, merchant, narration
+  FROM txn_lineitem0)"""

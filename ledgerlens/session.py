@@ -85,12 +85,32 @@ def _fingerprint(paths) -> str:
     return h.hexdigest()[:16]
 
 
+_CODE_FP: str | None = None
+
+
+def code_fingerprint() -> str:
+    """Hash of this package's source, so persisted stage tables are rebuilt
+    whenever the code that derives them changes."""
+    global _CODE_FP
+    if _CODE_FP is None:
+        import hashlib
+        root = os.path.dirname(os.path.abspath(__file__))
+        h = hashlib.sha1()
+        for dirpath, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(dirpath, f), "rb") as fh:
+                        h.update(fh.read())
+        _CODE_FP = h.hexdigest()[:12]
+    return _CODE_FP
+
+
 def materialized(spark: SparkSession, name: str, inputs, build, key_extra: str = ""):
     """Persist a derived table once as Parquet under the shared checkpoint
     folder and read it back (lineage cut, executor-loss safe, scans get
     pushdown).  The key covers the input files (size, mtime) and parameters,
     so a changed input is rebuilt."""
-    key = f"{name}-{_fingerprint(list(inputs) + [key_extra])}"
+    key = f"{name}-{_fingerprint(list(inputs) + [key_extra, code_fingerprint()])}"
     path = os.path.join(checkpoint_dir(spark), "ledgerlens-tables", key)
     if not _exists(spark, path.rstrip("/") + "/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)

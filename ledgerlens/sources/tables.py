@@ -127,10 +127,11 @@ def _txn_orders(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> Dat
 
 def _txn_lineitem(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> DataFrame:
     """Large-group view for the bench: account = supplier, amount = extended
-    price, seq = orderkey * 8 + line number (unique, stable)."""
+    price, seq = ((orderkey * 8 + line number) << 24) + partkey -- (order, line)
+    repeats in this data, (order, line, part) is unique within a supplier."""
     li = read_table(spark, sf_dir, "lineitem")
     ts = F.col("l_shipdate").cast("timestamp")
-    seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    seq = F.shiftleft(F.col("l_orderkey") * 8 + F.col("l_linenumber"), 24) + F.col("l_partkey")
     d = li.select(
         F.col("l_suppkey").alias("account_id"),
         seq.cast("string").alias("txn_id"), seq.alias("seq"),
