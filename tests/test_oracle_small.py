@@ -8,7 +8,8 @@ from ledgerlens.plans.registry import load_all
 REG = load_all()
 NAMES = ["r_high_value", "r_spending_spike", "r_late_night", "rule_engine_fixture", "summary_statistics",
          "spending_trends", "score_transactions", "episodes", "p_flag_table", "cf_warnings", "standardize",
-         "txt_parse_layout", "map_training_format"]
+         "txt_parse_layout", "map_training_format", "txt_parse_context", "st_rapid", "structuring",
+         "portfolio_summary", "cf_metrics"]
 
 
 def _norm(v):
