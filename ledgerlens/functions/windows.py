@@ -76,28 +76,24 @@ def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
     ts lies in ``[ts - before_us, ts + after_us]`` (inclusive), for the rows
     where ``probe`` holds.  Returns ``keys + [row_id, out]``.
 
-    Built as two running counts over the merged sequence of rows and query
-    points (no pairwise join, no per-account window): count(<= ts+after) -
-    count(< ts-before)."""
+    Each row is placed in its own time bucket and, as context only, in the
+    neighbouring buckets whose rows can reach it (a small fraction when the
+    bucket is wider than the window).  Inside ``(keys, bucket)`` partitions the
+    count is the difference of two growing RANGE frames (incremental, no
+    sliding re-aggregation, no pairwise join, no per-account partition)."""
     keys = list(keys)
+    width = max(int(bucket_seconds) * 1_000_000, before_us + after_us + 1)
+    t = F.unix_micros(F.col(ts))
     w = F.lit(1) if weight is None else weight
     pr = F.lit(True) if probe is None else probe
-    base = df.select(*keys, F.col(row_id), F.unix_micros(F.col(ts)).alias("__t"), w.alias("__wv"),
-                     pr.alias("__probe")).where(F.col("__t").isNotNull())
-    # kind: 0 = lower query (sorts before rows at equal t), 1 = row, 2 = upper query
-    zero = F.lit(0).cast(base.schema["__wv"].dataType)
-    rows = base.select(*keys, row_id, F.col("__t"), F.lit(1).alias("__k"), F.col("__wv").alias("__w"))
-    q = base.where(F.col("__probe"))
-    lo = q.select(*keys, row_id, (F.col("__t") - F.lit(before_us)).alias("__t"),
-                  F.lit(0).alias("__k"), zero.alias("__w"))
-    hi = q.select(*keys, row_id, (F.col("__t") + F.lit(after_us)).alias("__t"),
-                  F.lit(2).alias("__k"), zero.alias("__w"))
-    pts = rows.unionByName(lo).unionByName(hi)
-    pts = pts.withColumn(_BUCKET, F.floor(F.col("__t") / F.lit(int(bucket_seconds) * 1_000_000)).cast("long"))
-    pts = pts.withColumn("__ord", F.struct(F.col("__t"), F.col("__k")))
-    counted = bucketed_running_sum(pts, keys, "__ord", row_id, "__w", "__c",
-                                   bucket_col=_BUCKET)
-    qs = counted.where(F.col("__k") != 1)
-    return (qs.groupBy(*keys, row_id)
-            .agg((F.max(F.when(F.col("__k") == 2, F.col("__c")))
-                  - F.max(F.when(F.col("__k") == 0, F.col("__c")))).alias(out)))
+    d = df.select(*keys, F.col(row_id), t.alias("__t"), w.alias("__w"), pr.alias("__probe")).where(F.col("__t").isNotNull())
+    own = F.floor(F.col("__t") / F.lit(width)).cast("long")
+    lo = F.floor((F.col("__t") - F.lit(after_us)) / F.lit(width)).cast("long")
+    hi = F.floor((F.col("__t") + F.lit(before_us)) / F.lit(width)).cast("long")
+    d = d.withColumn("__own", own).withColumn(_BUCKET, F.explode(F.sequence(lo, hi)))
+    win = Window.partitionBy(*keys, _BUCKET).orderBy("__t")
+    upto_hi = F.sum("__w").over(win.rangeBetween(Window.unboundedPreceding, after_us))
+    below_lo = F.sum("__w").over(win.rangeBetween(Window.unboundedPreceding, -before_us - 1))
+    zero = F.lit(0).cast(d.schema["__w"].dataType)
+    r = d.withColumn(out, upto_hi - F.coalesce(below_lo, zero))
+    return r.where((F.col(_BUCKET) == F.col("__own")) & F.col("__probe")).select(*keys, row_id, out)
