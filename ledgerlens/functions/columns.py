@@ -13,9 +13,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_WS = " \t\n\r\x0b\x0c"
+
+
 def strip(c: Column | str) -> Column:
-    """Python ``str.strip()``: trims all leading/trailing whitespace."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` for ASCII whitespace (trim of a character set,
+    no regex per row)."""
+    return F.btrim(col(c), F.lit(_WS))
 
 
 def blank_to_null(c: Column | str) -> Column:
