@@ -162,8 +162,8 @@ def merchant_analysis(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
     g = d.groupBy(*by, "merchant").agg(
         F.coalesce(F.sum("amount"), F.lit(0)).alias("total_amount"),
         F.count("amount").alias("count"), _avg(F.col("amount")).alias("avg_amount"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return g.withColumn("total_unique_merchants", F.count(F.lit(1)).over(w))
+    n = g.groupBy(*by).agg(F.count(F.lit(1)).alias("total_unique_merchants"))
+    return g.join(n, list(by)) if by else g.crossJoin(n)
 
 
 def top_merchants(df: DataFrame, n: int = 10, by: Sequence[str] = ACC) -> DataFrame:
@@ -178,8 +178,9 @@ def top_merchants(df: DataFrame, n: int = 10, by: Sequence[str] = ACC) -> DataFr
 def txn_type_distribution(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
     d = df.where(F.col("transaction_type").isNotNull() & (C.strip("transaction_type") != ""))
     g = d.groupBy(*by, "transaction_type").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return g.withColumn("pct", F.col("count") / F.sum("count").over(w) * 100)
+    n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    j = g.join(n, list(by)) if by else g.crossJoin(n)
+    return j.withColumn("pct", F.col("count") / F.col("__n") * 100).drop("__n")
 
 
 def _week_label(date: Column) -> Column:
@@ -199,18 +200,15 @@ def monthly_spending(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
 
 def _last_change(series: DataFrame, period: str, by: Sequence[str], out: str) -> DataFrame:
     """(last - previous) / previous * 100 over the present periods; null if
-    fewer than two periods or the previous one is 0."""
-    last2 = series.groupBy(*by).agg(
-        F.max_by(F.struct(period, "total_debit"), F.col(period)).alias("last"),
-        F.count(F.lit(1)).alias("n"))
-    prev = (series.join(last2.select(*by, F.col(f"last.{period}").alias("__lp")), list(by))
-            .where(F.col(period) < F.col("__lp"))
-            .groupBy(*by).agg(F.max_by("total_debit", F.col(period)).alias("prev_total")))
-    j = last2.join(prev, list(by), "left")
-    pct = F.when((F.col("n") >= 2) & (F.col("prev_total") != 0),
-                 (F.col("last.total_debit") - F.col("prev_total")).cast("double")
-                 / F.col("prev_total").cast("double") * 100)
-    return j.select(*by, pct.alias(out))
+    fewer than two periods or the previous one is 0.  The window runs over
+    the period aggregate (bounded by the periods of one account)."""
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc(period))
+    r = series.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= 2)
+    g = r.groupBy(*by).agg(F.max(F.when(F.col("__rn") == 1, F.col("total_debit"))).alias("__last"),
+                           F.max(F.when(F.col("__rn") == 2, F.col("total_debit"))).alias("__prev"))
+    pct = F.when(F.col("__prev").isNotNull() & (F.col("__prev") != 0),
+                 (F.col("__last") - F.col("__prev")).cast("double") / F.col("__prev").cast("double") * 100)
+    return g.select(*by, pct.alias(out))
 
 
 def spending_trends(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:

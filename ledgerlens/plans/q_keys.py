@@ -122,7 +122,8 @@ def score_time_context(spark, sf_dir):
 SELECT account_id AS doc_id, count(*) + 1 AS transactions FROM txn GROUP BY account_id"""))
 def txt_group_layout(spark, sf_dir):
     """Description lines grouped into transactions (incl. BALANCE FORWARD) per document."""
-    lay = SS.render_layout_lines(txn(spark, sf_dir))
+    from ledgerlens.plans.q_text import lines_table
+    lay = lines_table(spark, sf_dir, "layout")
     desc = lay.where(F.col("desc_text").isNotNull()).select("doc_id", "line_no", F.col("desc_text").alias("text"))
     return TL._blocks(desc, TL.TXN_START, True, "\n").groupBy("doc_id").agg(F.count(F.lit(1)).alias("transactions"))
 
@@ -131,7 +132,8 @@ def txt_group_layout(spark, sf_dir):
 SELECT account_id AS doc_id, count(*) + count(CASE WHEN seq % 3 = 0 THEN 1 END) + 1 AS lines FROM txn GROUP BY account_id"""))
 def src_statement_lines(spark, sf_dir):
     """Statement-lines table (doc, line_no, text) rendered from the transactions."""
-    return SS.render_dated_lines(txn(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    from ledgerlens.plans.q_text import lines_table
+    return lines_table(spark, sf_dir, "dated").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def _models(spark, sf_dir):

@@ -9,7 +9,16 @@ from ledgerlens.operators import textlines as TL
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.sqlparts import with_txn
 from ledgerlens.sources import statements as SS
-from ledgerlens.sources.tables import txn
+from ledgerlens.session import materialized
+from ledgerlens.sources.tables import _src, txn
+
+
+def lines_table(spark, sf_dir, kind):
+    """The statement-lines input table (rendered from txn by Spark) stored
+    once, as a statement pipeline stores extracted lines."""
+    render = {"dated": SS.render_dated_lines, "layout": SS.render_layout_lines,
+              "context": SS.render_context_lines}[kind]
+    return materialized(spark, f"lines_{kind}", _src(sf_dir, "events"), lambda: render(txn(spark, sf_dir)))
 
 _BODY = ("CASE WHEN debit_credit = 'Credit' THEN 'NEFT CR-' || merchant ELSE mode || '/' || merchant END"
          " || CASE WHEN seq % 3 = 0 THEN ' REF' ELSE '' END")
@@ -26,7 +35,7 @@ FROM txn"""))
 def txt_parse_dated(spark, sf_dir):
     """Dated-line statement text -> transactions (blocks, amounts, balance,
     merchant cleanup, DR/CR, type prefix)."""
-    p = TL.parse_dated(TL.group_dated(SS.render_dated_lines(txn(spark, sf_dir))))
+    p = TL.parse_dated(TL.group_dated(lines_table(spark, sf_dir, "dated")))
     return p.drop("block_no")
 
 
@@ -34,7 +43,7 @@ def txt_parse_dated(spark, sf_dir):
 SELECT account_id AS doc_id, count(*) AS blocks FROM txn GROUP BY account_id"""))
 def txt_group_dated(spark, sf_dir):
     """Number of transaction blocks per document (title lines dropped)."""
-    return TL.group_dated(SS.render_dated_lines(txn(spark, sf_dir))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"))
+    return TL.group_dated(lines_table(spark, sf_dir, "dated")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"))
 
 
 @register("txt_quality", with_txn("""
@@ -42,7 +51,7 @@ SELECT account_id AS doc_id, count(*) AS rows, count(*) AS valid_dates, count(*)
        count(*) AS valid_balances FROM txn GROUP BY account_id"""))
 def txt_quality(spark, sf_dir):
     """Parsed rows and valid date / amount / balance counts per document."""
-    return TL.quality(TL.parse_dated(TL.group_dated(SS.render_dated_lines(txn(spark, sf_dir)))))
+    return TL.quality(TL.parse_dated(TL.group_dated(lines_table(spark, sf_dir, "dated"))))
 
 
 @register("txn_dedupe", with_txn("""
@@ -50,7 +59,7 @@ SELECT account_id AS doc_id, seq * 3 AS first_line FROM
   (SELECT *, row_number() OVER (PARTITION BY account_id, amount, balance ORDER BY seq) AS rn FROM txn) WHERE rn = 1"""))
 def txn_dedupe(spark, sf_dir):
     """First row per (document, amount, balance) of the parsed statement."""
-    p = TL.parse_dated(TL.group_dated(SS.render_dated_lines(txn(spark, sf_dir))))
+    p = TL.parse_dated(TL.group_dated(lines_table(spark, sf_dir, "dated")))
     return TL.dedupe(p).select("doc_id", "first_line")
 
 
@@ -66,7 +75,7 @@ FROM txn"""))
 def txt_parse_layout(spark, sf_dir):
     """Table-layout statement -> transactions: grouped descriptions, as-of
     date labels by y, amount/side from the balance delta across pages."""
-    return TL.parse_layout(SS.render_layout_lines(txn(spark, sf_dir))).drop("block_no")
+    return TL.parse_layout(lines_table(spark, sf_dir, "layout")).drop("block_no")
 
 
 @register("txt_parse_context", with_txn("""
@@ -84,7 +93,7 @@ WHERE rn = 1"""))
 def txt_parse_context(spark, sf_dir):
     """Context-line statement text: dated lines with look-ahead amounts,
     amount / balance split, narration cleanup, mode, dedupe."""
-    p = TL.parse_context(SS.render_context_lines(txn(spark, sf_dir)))
+    p = TL.parse_context(lines_table(spark, sf_dir, "context"))
     return TL.dedupe_first(p)
 
 
