@@ -27,7 +27,7 @@ def labelled(spark, sf_dir):
 
 
 def fitted(spark, sf_dir, cfg=ML.MLConfig()):
-    key = (sf_dir, cfg)
+    key = (spark.sparkContext.applicationId, sf_dir, cfg)     # models belong to one running context
     if key not in _MODELS:
         _MODELS[key] = ML.train(labelled(spark, sf_dir), cfg)
     return _MODELS[key]
