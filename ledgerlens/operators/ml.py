@@ -338,3 +338,21 @@ def model_comparison(metrics: DataFrame) -> DataFrame:
     ties: model name)."""
     best = metrics.orderBy(F.desc("avg_precision"), "model").limit(1).select(F.col("model").alias("__best"))
     return metrics.crossJoin(best).withColumn("is_best", F.col("model") == F.col("__best")).drop("__best")
+
+
+def score_confidence(d: DataFrame, rf: PipelineModel, key=("account_id", "seq")) -> DataFrame:
+    """1 - population std of the trees' P(fraud), over every tree of the
+    forest: each tree scores the (key, features) rows, the per-tree
+    probabilities are unioned and reduced per row in one aggregate."""
+    from ledgerlens.session import cut_lineage
+    # vectors computed once and cut from the lineage (reliable checkpoint in the
+    # shared folder); every tree then scans only (key, features)
+    feats = cut_lineage(rf.stages[1].transform(rf.stages[0].transform(d)).select(*key, "features"))
+    forest = rf.stages[-1]
+    parts = None
+    for t in forest.trees:
+        p = (t.setFeaturesCol("features").setProbabilityCol("__tp").setPredictionCol("__tpred")
+             .setRawPredictionCol("__traw").transform(feats)
+             .select(*key, vector_to_array("__tp")[1].alias("__p")))
+        parts = p if parts is None else parts.unionByName(p)
+    return parts.groupBy(*key).agg((1.0 - F.stddev_pop("__p")).alias("confidence_score"))

@@ -56,5 +56,5 @@ def for_check(df: DataFrame) -> DataFrame:
 def load_all() -> dict[str, Query]:
     # importing the modules fills REGISTRY
     from ledgerlens.plans import (q_rules, q_analytics, q_scoring, q_report, q_portfolio,  # noqa: F401
-                                  q_cashflow, q_standardize, q_text, q_ml, q_stream, q_misc, q_extras, q_io, q_keys)
+                                  q_cashflow, q_standardize, q_text, q_ml, q_stream, q_misc, q_extras, q_io, q_keys, q_more)
     return REGISTRY
