@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import columns as C
 
 # planted label of the fixture (deterministic): large amounts, plus a sparse hash
 def planted_fraud() -> F.Column:
@@ -215,5 +214,6 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = "month") ->
     w.parquet(path)
 
 
-__all__ = ["read_statements", "render_layout_a", "render_layout_generic", "render_layout_c",
-           "render_training_a", "write_csv", "write_json", "write_table", "planted_fraud", "C"]
+__all__ = ["read_statements", "load_training", "render_layout_a", "render_layout_generic", "render_layout_c",
+           "render_training_a", "render_dated_lines", "render_layout_lines", "render_context_lines",
+           "render_table_cells", "write_csv", "write_json", "write_table", "planted_fraud"]
