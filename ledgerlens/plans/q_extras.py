@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import Config
 from ledgerlens.operators import extras as X
 from ledgerlens.operators import scoring as S
+from ledgerlens.plans.q_scoring import scored as _scored
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.sql_rules import RULE_COLS
 from ledgerlens.plans.sql_scoring import scoring_ctes
@@ -137,7 +138,7 @@ FROM scored"""
 def score_breakdown(spark, sf_dir):
     """Per-transaction contributions: each fired rule's weighted points and
     the ML bonus (rows-only check)."""
-    return X.score_breakdown(S.score_transactions(txn(spark, sf_dir, FIX), FIX), FIX)
+    return X.score_breakdown(_scored(spark, sf_dir, FIX), FIX)
 
 
 @register("compare_accounts", with_txn("""
@@ -146,7 +147,7 @@ SELECT account_id, count(*) AS transactions, CAST(sum(amount) AS DOUBLE) AS tota
 FROM scored GROUP BY account_id""", *scoring_ctes(FIX)))
 def compare_accounts(spark, sf_dir):
     """Multi-account comparison: volume, flagged count and max risk per account."""
-    s = S.score_transactions(txn(spark, sf_dir, FIX), FIX)
+    s = _scored(spark, sf_dir, FIX)
     return s.groupBy("account_id").agg(F.count(F.lit(1)).alias("transactions"), F.sum("amount").alias("total_amount"),
                                        F.count(F.when(F.col("final_risk_score") >= 61.0, 1)).alias("flagged"),
                                        F.max("final_risk_score").alias("max_score"))

@@ -13,6 +13,7 @@ from ledgerlens.operators import ml as ML
 from ledgerlens.operators import report as RP
 from ledgerlens.operators import scoring as S
 from ledgerlens.operators import standardize as ST
+from ledgerlens.plans.q_scoring import scored as _scored
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.sqlparts import TXN_ORDERS_CTE, with_txn
 from ledgerlens.session import checkpoint_dir
@@ -60,7 +61,7 @@ def sink_transactions(spark, sf_dir):
 def sink_report_json(spark, sf_dir):
     """Per-account portfolio summary written as JSON and read back (rows-only)."""
     path = scratch(spark, "report")
-    s = RP.portfolio_summary(S.score_transactions(txn(spark, sf_dir, FIX), FIX), FIX)
+    s = RP.portfolio_summary(_scored(spark, sf_dir, FIX), FIX)
     SS.write_json(s, path)
     return spark.read.json(path)
 
@@ -69,7 +70,7 @@ def sink_report_json(spark, sf_dir):
 def sink_scored_csv(spark, sf_dir):
     """Scored rows (arrays joined) written as CSV and read back (rows-only)."""
     path = scratch(spark, "scored")
-    s = S.score_transactions(txn(spark, sf_dir, FIX), FIX).select(
+    s = _scored(spark, sf_dir, FIX).select(
         "account_id", "seq", "final_risk_score", "risk_category", "rule_flags", "rule_reasons", "combined_reason")
     SS.write_csv(s, path)
     return spark.read.option("header", True).csv(path)
@@ -89,7 +90,7 @@ def sink_training_metrics(spark, sf_dir):
     """Evaluation metrics written as JSON and read back (rows-only)."""
     from ledgerlens.sources.statements import planted_fraud
     path = scratch(spark, "metrics")
-    d = S.score_transactions(txn(spark, sf_dir)).withColumn(ML.LABEL, planted_fraud())
+    d = _scored(spark, sf_dir, Config()).withColumn(ML.LABEL, planted_fraud())
     SS.write_json(ML.eval_binary(d, "xgb_prob").withColumn("model", F.lit("rule_fallback")), path)
     return spark.read.json(path)
 

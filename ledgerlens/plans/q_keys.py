@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import Config
 from ledgerlens.operators import scoring as S
 from ledgerlens.operators import textlines as TL
+from ledgerlens.plans.q_scoring import scored as _scored
 from ledgerlens.plans.registry import REGISTRY, register
 from ledgerlens.plans.sql_scoring import scoring_ctes
 from ledgerlens.plans.sqlparts import with_txn
@@ -103,7 +104,7 @@ SELECT account_id, seq, CASE WHEN ml_score * 2.5 < 41 THEN 'Normal'
 FROM ml""", *scoring_ctes(DEF)))
 def fraud_type_heuristic(spark, sf_dir):
     """Heuristic fraud type applied to a 0-100 score (2.5 x the no-model ML score)."""
-    s = S.score_transactions(txn(spark, sf_dir), DEF)
+    s = _scored(spark, sf_dir, DEF)
     return s.select("account_id", "seq", S.fraud_type_heuristic(F.col("ml_score") * 2.5, DEF).alias("fraud_type"))
 
 

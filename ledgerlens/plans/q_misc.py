@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import Config
 from ledgerlens.operators import scoring as S
 from ledgerlens.operators import variants as V
+from ledgerlens.plans.q_scoring import scored as _scored
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.sql_rules import RULE_COLS
 from ledgerlens.plans.sql_scoring import scoring_ctes
@@ -58,7 +59,7 @@ FROM g3""", *_g3_ctes(FIX)))
 def score_g3(spark, sf_dir):
     """G3 'ML base + rule boost' scoring (fallback probabilities as model
     scores): calibrated base, diminishing boost, suppression, overrides."""
-    s = S.score_transactions(txn(spark, sf_dir, FIX), FIX)
+    s = _scored(spark, sf_dir, FIX)
     g = V.fuse_g3(V.score_ml_g3(s, FIX), FIX)
     return g.select("account_id", "seq", "g3_ml_score", "g3_rule_boost", "g3_suppression_applied",
                     "g3_hard_override_applied", "g3_override_rule", "g3_dominant_signal", "g3_final_score")
@@ -67,7 +68,7 @@ def score_g3(spark, sf_dir):
 @register("evidence_pack")
 def evidence_pack(spark, sf_dir):
     """Nested ML / rule / fusion evidence per transaction as JSON (rows-only)."""
-    s = S.score_transactions(txn(spark, sf_dir, FIX), FIX)
+    s = _scored(spark, sf_dir, FIX)
     g = V.fuse_g3(V.score_ml_g3(s, FIX), FIX)
     return g.select("account_id", "seq", V.evidence_pack(g).alias("evidence"))
 
@@ -112,7 +113,7 @@ FROM (SELECT s.account_id, s.seq, (0.45 * s.xgb_prob + 0.4 * fb.fallback_probabi
 def score_g2(spark, sf_dir):
     """G2 ensemble (xgb slot = fallback probability, rf slot = G2 rule
     fallback), right-closed risk bins, reason phrases."""
-    s = S.score_transactions(txn(spark, sf_dir), DEF)
+    s = _scored(spark, sf_dir, DEF)
     fb = V.rule_fallback_g2(txn(spark, sf_dir)).select("account_id", "seq", "fallback_probability")
     g = V.score_g2(s.join(fb, ["account_id", "seq"]), {"xgb": "xgb_prob", "rf": "fallback_probability"})
     return g.select("account_id", "seq", "g2_probability", "g2_is_fraud_predicted", "g2_risk_level", "g2_fraud_reason")

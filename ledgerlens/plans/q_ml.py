@@ -9,6 +9,7 @@ from ledgerlens.functions import columns as C
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import ml as ML
 from ledgerlens.operators import scoring as S
+from ledgerlens.plans.q_scoring import scored as _scored
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.sql_scoring import scoring_ctes
 from ledgerlens.plans.sqlparts import with_txn
@@ -67,7 +68,7 @@ FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precis
 def eval_binary(spark, sf_dir):
     """Confusion counts, precision/recall/F1, exact ROC-AUC and average
     precision of the rule-fallback probability against the planted label."""
-    d = S.score_transactions(txn(spark, sf_dir), DEF).withColumn(ML.LABEL, planted_fraud())
+    d = _scored(spark, sf_dir, DEF).withColumn(ML.LABEL, planted_fraud())
     return ML.eval_binary(d, "xgb_prob")
 
 
@@ -76,7 +77,7 @@ SELECT account_id, seq, least(greatest(0.7 * (100.0 / (1.0 + exp(-0.12 * (ml_sco
 FROM ml""", *scoring_ctes(DEF)))
 def calibrate(spark, sf_dir):
     """Sigmoid stretch calibration of a 0-100 score (applied to 2.5 x ML score)."""
-    d = S.score_transactions(txn(spark, sf_dir), DEF)
+    d = _scored(spark, sf_dir, DEF)
     return d.select("account_id", "seq", C.calibrate(F.col("ml_score") * 2.5).alias("calibrated"))
 
 

@@ -7,6 +7,7 @@ from functools import lru_cache
 from ledgerlens.config import Config
 from ledgerlens.operators import report as RP
 from ledgerlens.operators import scoring as S
+from ledgerlens.plans.q_scoring import scored as _scored
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.sql_rules import RULE_COLS
 from ledgerlens.plans.sql_scoring import scoring_ctes
@@ -18,12 +19,8 @@ FL = "final_risk_score >= 61.0"
 
 
 def scored(spark, sf_dir):
-    """The scored transaction table, persisted once per input (the report
-    stage reads a written table instead of re-planning the scoring)."""
-    from ledgerlens.session import materialized
-    from ledgerlens.sources.tables import _src
-    return materialized(spark, "scored_fixture", _src(sf_dir, "events"),
-                        lambda: S.score_transactions(txn(spark, sf_dir, FIX), FIX))
+    """The persisted scored table (fixture thresholds)."""
+    return _scored(spark, sf_dir, FIX)
 
 
 def q(body, *ctes):

@@ -20,7 +20,12 @@ FLAGSHIP_COLS = ["account_id", "seq", "rule_score", "rule_flags", "ml_score", "s
 
 
 def scored(spark, sf_dir, cfg=DEF):
-    return S.score_transactions(txn(spark, sf_dir, cfg), cfg)
+    """The scored transaction table for ``cfg``: computed once per input and
+    code version, persisted as a stage table, read by every consumer."""
+    from ledgerlens.session import materialized
+    from ledgerlens.sources.tables import _src
+    return materialized(spark, "scored", _src(sf_dir, "events"),
+                        lambda: S.score_transactions(txn(spark, sf_dir, cfg), cfg), key_extra=repr(cfg))
 
 
 @register("score_transactions", with_txn(f"SELECT {', '.join(FLAGSHIP_COLS)} FROM scored", *scoring_ctes(DEF)))
