@@ -97,3 +97,28 @@ def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
     zero = F.lit(0).cast(d.schema["__w"].dataType)
     r = d.withColumn(out, upto_hi - F.coalesce(below_lo, zero))
     return r.where((F.col(_BUCKET) == F.col("__own")) & F.col("__probe")).select(*keys, row_id, out)
+
+
+def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_us: int, out: str,
+                      bucket_seconds: int = 86400) -> DataFrame:
+    """1-based session number per ``keys`` in (ts, tie) order: a gap of more
+    than ``gap_us`` to the previous row opens a new session.  One window
+    inside (keys, time bucket), one per-bucket summary (first / last ts,
+    internal session starts) and one prefix over the buckets of a key."""
+    keys = list(keys)
+    us = F.unix_micros(F.col(ts))
+    d = df.withColumn("__us", us).withColumn(_BUCKET, time_bucket(ts, bucket_seconds))
+    w = Window.partitionBy(*keys, _BUCKET).orderBy(F.col(ts), F.col(tie))
+    prev = F.lag("__us").over(w)
+    d = d.withColumn("__new", F.when(prev.isNotNull() & (F.col("__us") - prev > gap_us), 1).otherwise(0))
+    d = d.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    summ = d.groupBy(*keys, _BUCKET).agg(F.min("__us").alias("__first"), F.max("__us").alias("__last"),
+                                         F.sum("__new").alias("__internal"))
+    wb = Window.partitionBy(*keys).orderBy(_BUCKET)
+    plast = F.lag("__last").over(wb)
+    summ = summ.withColumn("__fnew", F.when(plast.isNotNull() & (F.col("__first") - plast > gap_us), 1).otherwise(0))
+    summ = summ.withColumn("__off", F.coalesce(F.sum(F.col("__internal") + F.col("__fnew")).over(
+        wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    r = d.join(summ.select(*keys, _BUCKET, "__fnew", "__off"), [*keys, _BUCKET])
+    r = r.withColumn(out, (F.lit(1) + F.col("__off") + F.col("__fnew") + F.col("__run")).cast("int"))
+    return r.drop("__us", _BUCKET, "__new", "__run", "__fnew", "__off")

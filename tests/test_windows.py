@@ -41,3 +41,14 @@ def test_range_count_equals_brute_force(spark):
     for r in rows:
         exp = sum(1 for s in rows if s.a == r.a and abs(s.us - r.us) <= h)
         assert got[(r.a, r.seq)] == exp
+
+
+def test_sessions_equal_lag_cumsum(spark):
+    from ledgerlens.functions.windows import bucketed_sessions
+    df = _data(spark, n=500)
+    gap = 5 * 3600 * 1_000_000
+    got = bucketed_sessions(df, ["a"], "ts", "seq", gap, "sid", bucket_seconds=7200)
+    w = Window.partitionBy("a").orderBy("ts", "seq")
+    new = F.when(F.lag("us").over(w).isNotNull() & (F.col("us") - F.lag("us").over(w) > gap), 1).otherwise(0)
+    exp = df.withColumn("n", new).withColumn("sid", 1 + F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(got.select("seq", "sid").collect()) == sorted(exp.select("seq", F.col("sid").cast("int")).collect())
