@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import linededup, mixing
+from ledgerlens.llm import linededup, mixing, substringdedup
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,33 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS
          / (2.0::DOUBLE * slope) + 0.0::DOUBLE END, 9) END AS position
 FROM q
 """
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows of 50 that also start in a smaller doc_id are removed."""
+    out = substringdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, s, md5(array_to_string(words[s:s + 49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM d WHERE len(words) >= 50)
+), f AS (
+  SELECT h, min(doc_id) AS first FROM w GROUP BY h
+), g AS (
+  SELECT DISTINCT w.doc_id, unnest(range(w.s, w.s + 50)) AS n FROM w JOIN f ON w.h = f.h WHERE f.first < w.doc_id
+), p AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS n FROM d
+), k AS (
+  SELECT p.doc_id, count(*) AS n_words, count(g.n) AS n_removed,
+         string_agg(p.word, ' ' ORDER BY p.n) FILTER (WHERE g.n IS NULL) AS kept
+  FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.n = g.n GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(k.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
