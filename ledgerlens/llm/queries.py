@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import linededup, mixing, substringdedup
+from ledgerlens.llm import linededup, mixing, simhash, substringdedup
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,9 @@ SELECT d.doc_id, CAST(coalesce(k.n_words, 0) AS BIGINT) AS n_words, CAST(coalesc
        sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+
+@query
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles linked at three or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
