@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import linededup, mixing, simhash, substringdedup
+from ledgerlens.llm import decontaminate, linededup, mixing, simhash, substringdedup, toxicity
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,49 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles linked at three or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's five-word shingles, with the item."""
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op6_benchmark_decontamination"] = r"""
+WITH i AS (
+  SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), x AS (
+  SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM i WHERE len(w) > 0
+), a AS (
+  SELECT DISTINCT item_id, w AS item, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM x
+), y AS (
+  SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM a) WHERE len(w) >= k
+), b AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM y
+), n AS (
+  SELECT item_id, item, count(*) AS n_shingles FROM a GROUP BY item_id, item
+), m AS (
+  SELECT b.doc_id, a.item_id, a.item, count(*) AS n_shared FROM a JOIN b ON a.k = b.k AND a.g = b.g
+  GROUP BY b.doc_id, a.item_id, a.item
+)
+SELECT m.doc_id, m.item_id, CAST(n.n_shingles AS INTEGER) AS n_shingles, CAST(m.n_shared AS INTEGER) AS n_shared,
+       CAST(m.n_shared AS DOUBLE) / n.n_shingles AS containment
+FROM m JOIN n ON m.item_id = n.item_id AND m.item = n.item
+WHERE m.n_shared >= 0.8 * n.n_shingles
+"""
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document from a random field fitted on the labelled rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
