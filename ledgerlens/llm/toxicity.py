@@ -8,8 +8,8 @@ token's exact marginal; runs of tokens with a marginal of a half or more are the
 offending spans, and a logistic of the strongest token and the expected number of
 offending tokens is the document's score.
 
-Labels are per document, so tokens are labelled first: in a toxic document, a
-token is toxic if it (or its first bytes) stands in toxic documents far more often
+Labels are per document, so tokens are labelled first, on one text of each group of
+near copies in the sample: in a toxic document, a token is toxic if it (or its first bytes) stands in toxic documents far more often
 than chance allows (binomial bound, corrected for the number of values tried).
 
 Fitting uses a bounded, documented sample: at most ``max_toxic`` toxic and
@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.textarrays import _BYTE, Sequences, Words, lowered, parts, utf8
+from ledgerlens.llm.textarrays import _BYTE, Sequences, Words, lowered, mix64, parts, utf8
 
-BITS = 18
+BITS = 20
 FOLDS = 5
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -84,26 +84,27 @@ def _chain(m: np.ndarray, reset: np.ndarray) -> np.ndarray:
     through their products, and then run side by side from their true beginning.
     """
     n = m.shape[1]
-    m = np.where(reset, np.stack([m[0], np.zeros(n), m[2], np.zeros(n)]), m)
-    pad = -n % BLOCK
-    same = np.repeat(np.array([[0.0], [1.0], [1.0], [0.0]]), pad, axis=1)      # r -> r
-    m = np.concatenate([m, same], axis=1).reshape(4, -1, BLOCK)
-    p = np.array([0.0, 1.0, 1.0, 0.0])[:, None] * np.ones(m.shape[1])
+    blocks = max(1, -(-n // BLOCK))
+    full = np.empty((4, blocks * BLOCK))
+    full[:, :n], full[:, n:] = m, np.array([[0.0], [1.0], [1.0], [0.0]])       # beyond the end: r -> r
+    full[1, :n][reset] = 0.0
+    full[3, :n][reset] = 0.0
+    a, b, c, d = full.reshape(4, blocks, BLOCK).transpose(0, 2, 1).copy()      # step j of all blocks side by side
+    # r = (p + q s) / (u + v s) of what stands before the block
+    p, q, u, v = np.zeros(blocks), np.ones(blocks), np.ones(blocks), np.zeros(blocks)
     for j in range(BLOCK):
-        a, b, c, d = m[:, :, j]
-        # (a + b r) / (c + d r) after r = (p0 + p1 s) / (p2 + p3 s)
-        p = np.stack([a * p[2] + b * p[0], a * p[3] + b * p[1], c * p[2] + d * p[0], c * p[3] + d * p[1]])
-        p /= p.max(axis=0)
-    r, begin = 0.0, np.empty(m.shape[1])
-    for k, (a, b, c, d) in enumerate(p.T.tolist()):
+        p, q, u, v = a[j] * u + b[j] * p, a[j] * v + b[j] * q, c[j] * u + d[j] * p, c[j] * v + d[j] * q
+        scale = 1.0 / np.maximum(u, p)
+        p, q, u, v = p * scale, q * scale, u * scale, v * scale
+    r, begin = 0.0, np.empty(blocks)
+    for k, (p0, q0, u0, v0) in enumerate(zip(p.tolist(), q.tolist(), u.tolist(), v.tolist())):
         begin[k] = r
-        r = min((a + b * r) / max(c + d * r, 1e-300), 1e100)
-    out, r = np.empty(m.shape[1:]), begin
+        r = min((p0 + q0 * r) / max(u0 + v0 * r, 1e-300), 1e100)
+    out, r = np.empty((BLOCK, blocks)), begin
     for j in range(BLOCK):
-        a, b, c, d = m[:, :, j]
-        r = np.minimum((a + b * r) / (c + d * r), 1e100)
-        out[:, j] = r
-    return out.reshape(-1)[:n]
+        r = np.minimum((a[j] + b[j] * r) / (c[j] + d[j] * r), 1e100)
+        out[j] = r
+    return out.T.reshape(-1)[:n]
 
 
 START = np.log(0.01)
@@ -183,9 +184,9 @@ def token_labels(features: np.ndarray, words: Words, toxic: np.ndarray) -> np.nd
     share = toxic.mean()
     label = np.zeros(len(words), dtype=bool)
     for values in features[:4]:
-        pair = np.unique(np.stack([values, words.row]), axis=1)          # a value counts once per text
-        total = np.bincount(pair[0], minlength=1 << BITS)
-        bad = np.bincount(pair[0], weights=toxic[pair[1]], minlength=1 << BITS)
+        value, text = np.divmod(np.unique(values * len(toxic) + words.row), len(toxic))   # once per text
+        total = np.bincount(value, minlength=1 << BITS)
+        bad = np.bincount(value, weights=toxic[text], minlength=1 << BITS)
         rate = bad / np.maximum(total, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             kl = np.where(rate > 0, rate * np.log(rate / share), 0) \
@@ -196,7 +197,25 @@ def token_labels(features: np.ndarray, words: Words, toxic: np.ndarray) -> np.nd
     return label & toxic[words.row].astype(bool)
 
 
-def fit(texts: list[str | None], toxic: list[int], rounds: int = 30, rate: float = 0.5, l2: float = 1e-3) -> Model:
+def distinct_texts(words: Words) -> np.ndarray:
+    """Which texts are not near copies of an earlier one: no band of three MinHashes in common.
+
+    A copied text would make all of its words look typical of its label."""
+    h = Sequences(_BYTE[words.data]).spans(words.start, words.end)
+    filled = np.flatnonzero(np.diff(words.first))
+    fresh = np.zeros(len(words.first) - 1, dtype=bool)
+    fresh[filled] = True
+    for band in range(4):
+        low = [np.minimum.reduceat(mix64(h ^ np.uint64(0x9E37 * (3 * band + k + 1))), words.first[filled])
+               for k in range(3)]
+        _, nth = np.unique(np.stack(low), axis=1, return_index=True)
+        again = np.ones(len(filled), dtype=bool)
+        again[nth] = False
+        fresh[filled[again]] = False
+    return fresh
+
+
+def fit(texts: list[str | None], toxic: list[int], rounds: int = 20, rate: float = 0.5, l2: float = 1e-3) -> Model:
     """Train the field by full-batch adaptive gradient steps on the exact likelihood."""
     weights, trans = np.zeros((1 << BITS) + 1), np.log(np.array([[0.99, 0.01], [0.5, 0.5]]))
     model = Model(weights, trans, np.zeros(3))
@@ -205,9 +224,19 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 30, rate: float
         model.empty = True
         return model
     words = tokens(*utf8(pa.array(texts, pa.string())))
+    once = distinct_texts(words)
+    texts, toxic = [t for t, keep in zip(texts, once) if keep], toxic[once]
+    if not len(toxic) or toxic.min() == toxic.max():
+        model.empty = True
+        return model
+    words = tokens(*utf8(pa.array(texts, pa.string())))
     features = feature_rows(words)
     first, last = _edges(words)
     y = token_labels(features, words, toxic).astype(float)
+    # equal tokens have equal features: emissions and gradients are taken once per distinct token
+    _, where, kind = np.unique(Sequences(_BYTE[words.data]).spans(words.start, words.end),
+                               return_index=True, return_inverse=True)
+    features = features[:, where]
     weights[-1] = -2.0
     inner = ~first                                   # tokens with a predecessor in their text
     prev, here = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
@@ -215,9 +244,9 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 30, rate: float
                      [(y[prev] * (1 - y[here])).sum(), (y[prev] * y[here]).sum()]])
     squares, squares_t = np.full(len(weights), 1e-6), np.full((2, 2), 1e-6)
     for _ in range(rounds):
-        emission = _emission(model, features)
+        emission = _emission(model, features)[kind]
         p, rho, tau = forward_backward(emission, first, last, trans)
-        gap = y - p
+        gap = np.bincount(kind, weights=y - p, minlength=len(where))
         grad = np.append(sum(np.bincount(f, weights=gap, minlength=1 << BITS) for f in features), gap.sum())
         grad -= l2 * len(y) * 1e-3 * weights
         a = np.exp(trans)
@@ -230,7 +259,7 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 30, rate: float
         squares_t += step_t ** 2
         weights += rate * grad / np.sqrt(squares)
         trans += 0.1 * step_t / np.sqrt(squares_t)
-    p, _, _ = forward_backward(_emission(model, features), first, last, trans)
+    p, _, _ = forward_backward(_emission(model, features)[kind], first, last, trans)
     x = _doc_features(p, words)
     for _ in range(25):                              # Newton steps of the document logistic
         q = _sigmoid(x @ model.doc)
@@ -243,7 +272,7 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean: int = 5000) -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     marked = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(~held_out())
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -286,5 +315,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``spans`` (start, end in code points, score)."""
     kept = docs.drop("score", "spans")
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", SPAN)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)       # 2^18 weights: 2 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)       # 2^BITS weights: 8 MB
     return kept.mapInArrow(scorer(shared), schema)
