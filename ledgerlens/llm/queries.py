@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, linededup, mixing, simhash, substringdedup, toxicity
+from ledgerlens.llm import decontaminate, linededup, mixing, simhash, substringdedup, toxicity, urlrules
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url under the fixed rules, else under rules mined from the labels.
+
+    The label of a url is that of the document with the page's id: block for
+    quality 0 or toxic 1, else allow."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = (table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id"))
+              .agg(F.max(F.when(bad, "block").otherwise("allow")).alias("label")))
+    rules = urlrules.mine_rules(pages.join(labels, "page_id").select("url", "label"))
+    return urlrules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
