@@ -46,11 +46,40 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
             continue
         if conf.get(k, None) is None:
             conf.set(k, v)
+    ship_package(spark)
     # Timestamps in the oracle are naive UTC; all date logic assumes UTC.
     conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that
+    functions pickled by module reference load on every executor wherever the
+    driver found the package."""
+    import atexit
+    import shutil
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    tmp = tempfile.mkdtemp(prefix="ledgerlens-ship-")
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)      # the driver serves the file while it lives
+    path = os.path.join(tmp, f"ledgerlens-{code_fingerprint()}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in sorted(os.walk(home)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    out.write(full, os.path.join("ledgerlens", os.path.relpath(full, home)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` when set;
     otherwise (local tests only) a fresh scratch folder under /tmp."""
