@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, linededup, mixing, simhash, substringdedup, toxicity, urlrules
+from ledgerlens.llm import decontaminate, linededup, mixing, simhash, substringdedup, toxicity, urlrules, vectorgraph
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.max(F.when(bad, "block").otherwise("allow")).alias("label")))
     rules = urlrules.mine_rules(pages.join(labels, "page_id").select("url", "label"))
     return urlrules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings linked at a cosine of 0.9 or more, with their components."""
+    return vectorgraph.near_duplicates(table(spark, sf_dir, "embeddings"))
