@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, linededup, mixing, simhash, substringdedup, toxicity, urlrules, vectorgraph
+from ledgerlens.llm import (decontaminate, linededup, mixing, simhash, substringdedup, tokencounts, toxicity,
+                            urlrules, vectorgraph)
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +198,28 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings linked at a cosine of 0.9 or more, with their components."""
     return vectorgraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def revision(text):
+    """A deterministic revision of a text: a replacement at a third, an insertion at two
+    thirds, and the first forty characters deleted."""
+    n = F.char_length(text)
+    third = F.floor(n / 3).cast("int")
+    edit = lambda start, length, insert: F.struct(start.alias("start"), F.lit(length).alias("length"),
+                                                  insert.alias("insert"))
+    return F.array(edit(third, 24, F.concat(F.lit(" revised"), F.substring(text, 1, 12))),
+                   edit(F.floor(n * 2 / 3).cast("int"), 0, F.lit(" and it's added, in 2 places;\n")),
+                   edit(F.lit(0), 40, F.lit("")))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after three edits, and the characters encoded for the edits."""
+    docs = table(spark, sf_dir, "documents")
+    trees = tokencounts.build_trees(docs, RANK_FILE).withColumn("edits", revision(F.col("text")))
+    out = tokencounts.apply_edits(trees, RANK_FILE)
+    return out.select("doc_id", "n_tokens_before", "n_tokens", F.char_length("text").cast("long").alias("n_chars"),
+                      "n_encoded")
