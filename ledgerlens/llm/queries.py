@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (decontaminate, linededup, mixing, simhash, substringdedup, tokencounts, toxicity,
+from ledgerlens.llm import (decontaminate, linededup, mixing, quality, simhash, substringdedup, tokencounts, toxicity,
                             urlrules, vectorgraph)
 from ledgerlens.llm.common import table
 
@@ -223,3 +223,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokencounts.apply_edits(trees, RANK_FILE)
     return out.select("doc_id", "n_tokens_before", "n_tokens", F.char_length("text").cast("long").alias("n_chars"),
                       "n_encoded")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a scorer trained on the posterior labels of heuristic labellers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.fit(docs))
+    return out.select("doc_id", F.concat_ws(",", F.col("votes").cast("array<string>")).alias("votes"), "posterior", "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
