@@ -185,16 +185,19 @@ def train_scorer(texts: list[str | None], labels: LabelModel, rounds: int = 60,
     model = Model(labels, np.zeros(1 << BITS), 0.0)
     if not texts:
         return model
-    data, at = utf8(pa.array(texts, pa.string()))
-    words = Words(data, at)
-    target = labels.posterior(votes_of(words, data))
-    features = scorer_features(words, data)
-    n = np.maximum(np.diff(words.first), 1)
-    # features of equal (text, value) once, with their weight in the text's mean
-    cells = [np.unique(f * len(texts) + words.row, return_counts=True) for f in features]
-    value = np.concatenate([k // len(texts) for k, _ in cells])
-    text = np.concatenate([k % len(texts) for k, _ in cells])
-    mean = np.concatenate([c for _, c in cells]) / n[text]
+    targets, values, rows, means, n = [], [], [], [], 0
+    for part in parts(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])):
+        data, at = utf8(part.column("text"))
+        words = Words(data, at)
+        targets.append(labels.posterior(votes_of(words, data)))
+        size = np.maximum(np.diff(words.first), 1)
+        for f in scorer_features(words, data):       # a feature of one text once, with its weight in the text's mean
+            cell, count = np.unique(f * part.num_rows + words.row, return_counts=True)
+            values.append(cell // part.num_rows)
+            rows.append(cell % part.num_rows + n)
+            means.append(count / size[cell % part.num_rows])
+        n += part.num_rows
+    target, value, text, mean = map(np.concatenate, (targets, values, rows, means))
     # both classes count alike, or the rarer one would be ignored
     weight = np.where(target >= 0.5, 0.5 / max(1, (target >= 0.5).sum()), 0.5 / max(1, (target < 0.5).sum()))
     squares, square_b = np.full(1 << BITS, 1e-10), 1e-10
