@@ -1,16 +1,17 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 1. Equal vectors collapse to one row with the number of its copies.
-2. Shards: pivots (a bounded sample of vectors, smallest hashes of the id) split the
-   vectors; each goes to its ``overlap`` nearest pivots, so shards overlap.  A shard
-   above ``shard_rows`` is split again the same way by pivots of its own, in as many
-   rounds as it takes; a shard that pivots no longer split (a dense group larger than a
-   shard) is dealt to blocks, and every two of its blocks meet as one shard.
+2. Shards: pivots (a bounded sample of vectors, smallest hashes of the id, none in range
+   of another) split the vectors; each goes to its ``overlap`` nearest pivots and to those
+   hardly further than the nearest (``slack``), so shards overlap.  A shard above
+   ``shard_rows`` is split again the same way by pivots of its own, in as many rounds as it
+   takes; a shard of which pivots leave more than half together (a dense group) is dealt to
+   blocks, and every two of its blocks meet as one shard.
 3. Graph: in every shard each vector's nearest ``candidates`` are pruned robustly (a
    neighbour is dropped if a kept one is ``alpha`` times closer to it than the vector
    is), and the adjacency lists of one vector from all its shards are united.
 4. Search: with the united lists, every vector walks greedily from its shards' medoids
-   towards itself and, once in range, expands every vector in range until none is left.
+   and from its own list and, in range, expands every vector it meets until none is left.
    Found pairs are verified by cosine in double precision where they are found.
 5. Audit: a bounded sample of vectors is compared with all rows by brute force; while
    the search finds less than ``min_recall`` of their links, it is done again over
@@ -45,7 +46,8 @@ class Graph:
     threshold: float = 0.9
     shard_rows: int = 1500          # vectors of a shard at most
     pivots: int = 48                # that a shard is split by at once, at most
-    overlap: int = 3
+    overlap: int = 2
+    slack: float = 0.1              # radians beyond the nearest pivot
     candidates: int = 48
     degree: int = 24
     alpha: float = 1.2
@@ -74,19 +76,30 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- shards
 
-def _nearest_pivots(overlap: int):
-    """Cogroup: rows of a part of a shard, and the shard's pivots -> rows per nearest pivot."""
+def apart(pivots: np.ndarray, threshold: float) -> np.ndarray:
+    """Positions of pivots none of which is in range of an earlier one."""
+    kept: list[int] = []
+    for i in range(len(pivots)):
+        if not kept or (pivots[kept] @ pivots[i]).max() < threshold:
+            kept.append(i)
+    return np.array(kept)
+
+
+def _nearest_pivots(g: Graph, overlap: int):
+    """Cogroup: rows of a part of a shard, and the shard's pivots -> rows per near pivot."""
     def run(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(pivots):
             return pd.DataFrame({"shard": pd.Series(dtype="str"), "vec_id": pd.Series(dtype="int64"),
-                                 "embedding": pd.Series(dtype="object")})
+                                 "embedding": pd.Series(dtype="object"), "was": pd.Series(dtype="int64")})
         pivots = pivots.sort_values("vec_id")
-        near = np.argsort(-(unit(rows["embedding"]) @ unit(pivots["embedding"]).T), axis=1, kind="stable")[:, :overlap]
-        n, k = near.shape
-        take = np.repeat(np.arange(n), k)
-        names = pivots["vec_id"].astype(str).to_numpy()[near.ravel()]
-        return pd.DataFrame({"shard": rows["shard"].to_numpy()[take] + "/" + names,
-                             "vec_id": rows["vec_id"].to_numpy()[take], "embedding": rows["embedding"].to_numpy()[take]})
+        pivots = pivots.iloc[apart(unit(pivots["embedding"]), g.threshold)]
+        angle = np.arccos(np.clip(unit(rows["embedding"]) @ unit(pivots["embedding"]).T, -1, 1))
+        order = np.sort(angle, axis=1)
+        reach = np.maximum(order[:, min(overlap, len(pivots)) - 1], order[:, 0] + g.slack)
+        take, pivot = np.nonzero(angle <= reach[:, None])
+        names = pivots["vec_id"].astype(str).to_numpy()[pivot]
+        return pd.DataFrame({"shard": rows["shard"].to_numpy()[take] + "/" + names, "vec_id": rows["vec_id"].to_numpy()[take],
+                             "embedding": rows["embedding"].to_numpy()[take], "was": rows["n"].to_numpy()[take]})
     return run
 
 
@@ -94,7 +107,7 @@ def _blocks_of(rows: DataFrame, sizes: DataFrame, shard_rows: int) -> DataFrame:
     """Deal a shard to blocks of half a shard; every pair of blocks becomes a shard."""
     half = max(1, shard_rows // 2)
     rows = rows.join(sizes.select("shard", F.ceil(F.col("n") / half).cast("int").alias("blocks")), "shard")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    rows = rows.select("shard", "vec_id", "embedding", "blocks").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.filter((F.col("other") != F.col("own")) | (F.col("blocks") == 1))
     name = F.concat_ws("#", "shard", F.least("own", "other"), F.greatest("own", "other"))
@@ -103,38 +116,37 @@ def _blocks_of(rows: DataFrame, sizes: DataFrame, shard_rows: int) -> DataFrame:
 
 def shards(vectors: DataFrame, g: Graph, overlap: int) -> DataFrame:
     """(shard, vec_id, embedding): overlapping shards of at most about ``shard_rows`` vectors."""
-    schema = "shard string, vec_id long, embedding array<float>"
+    schema = "shard string, vec_id long, embedding array<float>, was long"
     # vectors of another length are another space
-    todo = vectors.select(F.size("embedding").cast("string").alias("shard"), "vec_id", "embedding")
-    done, before = None, None
+    todo = vectors.select(F.size("embedding").cast("string").alias("shard"), "vec_id", "embedding",
+                          F.lit(None).cast("long").alias("was"))
+    done = None
     while True:
-        sizes = staged(todo.groupBy("shard").agg(F.count("*").alias("n")), "shard-sizes")
-        small = todo.join(sizes.filter(F.col("n") <= g.shard_rows).select("shard"), "shard", "left_semi")
-        done = small if done is None else done.unionByName(small)
-        large = sizes.filter(F.col("n") > g.shard_rows)
-        largest, count = large.agg(F.max("n"), F.count("*")).first()
-        if not count:
+        sizes = staged(todo.groupBy("shard").agg(F.count("*").alias("n"), F.max("was").alias("of")), "shard-sizes")
+        small, large = F.col("n") <= g.shard_rows, F.col("n") > g.shard_rows
+        dense = large & F.coalesce(F.col("n") > 0.5 * F.col("of"), F.lit(False))
+        ready = todo.join(sizes.filter(small).select("shard"), "shard", "left_semi").select("shard", "vec_id", "embedding")
+        done = ready if done is None else done.unionByName(ready)
+        n_dense, n_split = sizes.agg(F.count(F.when(dense, 1)), F.count(F.when(large & ~dense, 1))).first()
+        if n_dense:
+            done = done.unionByName(_blocks_of(todo, sizes.filter(dense), g.shard_rows))
+        if not n_split:
             return staged(done, "shards")
-        rows = todo.join(large, "shard")
-        if before is not None and largest > 0.5 * before:       # pivots no longer split it: a dense group
-            dense = large.filter(F.col("n") > 0.5 * before)
-            done = done.unionByName(_blocks_of(todo, dense, g.shard_rows))
-            rows = rows.filter(F.col("n") <= 0.5 * before)
-        before = largest
+        rows = todo.select("shard", "vec_id", "embedding").join(sizes.filter(large & ~dense).select("shard", "n"), "shard")
         # as many pivots as make small shards, at most ``pivots``; parts of a shard are dealt to several tasks
-        k = F.least(F.lit(g.pivots), F.ceil(3.0 * overlap * F.col("n") / g.shard_rows) + 1)
+        k = F.least(F.lit(g.pivots), F.ceil(4.0 * overlap * F.col("n") / g.shard_rows) + 1)
         share = g.pivots * 8.0 / F.col("n")                     # a thin hash slice holds the smallest hashes
         thin = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit("pivot")), F.lit(1 << 30)) < share * (1 << 30))
-        pivots = (thin.groupBy("shard", "n")
-                  .agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding"))),
-                               1, g.pivots).alias("p"))
-                  .select("shard", F.ceil(F.col("n") / 20_000).cast("int").alias("parts"), F.slice("p", F.lit(1), k.cast("int")).alias("p"))
+        first = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding"))), 1, g.pivots)
+        pivots = (thin.groupBy("shard", "n").agg(first.alias("p"))
+                  .select("shard", F.ceil(F.col("n") / 20_000).cast("int").alias("parts"),
+                          F.slice("p", F.lit(1), k.cast("int")).alias("p"))
                   .select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.explode("p").alias("p"))
                   .select("shard", "part", "p.vec_id", "p.embedding"))
         pivots = staged(pivots, "pivots")
         rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / 20_000)).cast("int"))
-        todo = staged(rows.select("shard", "part", "vec_id", "embedding").groupBy("shard", "part")
-                      .cogroup(pivots.groupBy("shard", "part")).applyInPandas(_nearest_pivots(overlap), schema), "split")
+        todo = staged(rows.groupBy("shard", "part").cogroup(pivots.groupBy("shard", "part"))
+                      .applyInPandas(_nearest_pivots(g, overlap), schema), "split")
 
 
 # ---------------------------------------------------------------- graph
@@ -215,6 +227,7 @@ def search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, start: np.n
         pool[touched] = -np.partition(-both, beam - 1, axis=1)[:, :beam]
 
     every = np.arange(m)
+    meet(every, queries)
     for s in start:
         meet(every, np.full(m, s))
     live = every
