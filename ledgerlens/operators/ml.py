@@ -1,15 +1,15 @@
 """Model training, evaluation and scoring with Spark ML.
 
-* split: hash of (txn id, seed) per row, so each class is split 80/20 in
-  expectation without a per-class window (stratified by construction);
+* split: per class the rows with the smallest hashes of (row, seed), counted
+  exactly, without gathering a class in one task;
 * imbalance: class weights = n / (2 n_class) from the training split only
   (no synthetic oversampling before the split);
 * RF / GBT: ``RandomForestClassifier`` / ``GBTClassifier`` in one Pipeline
   with the assembler and scaler, so training and scoring see the same
   features; GBT probabilities are calibrated by ``IsotonicRegression`` fitted
   on a held-out calibration slice of the training split;
-* isolation forest (not in spark.ml): rows are hashed into ~256-row samples
-  per tree, each tree is grown by ``groupBy(tree).applyInPandas``; the node
+* isolation forest (not in spark.ml): each tree gets the 256 rows with the
+  smallest hashes, features are scaled and the score's bounds frozen at fit time; each tree is grown by ``groupBy(tree).applyInPandas``; the node
   table has a proven bound (trees x (2 * 256 - 1) rows) and is broadcast to a
   vectorized ``pandas_udf`` scorer;
 * evaluation: confusion counts and exact ROC-AUC / average precision from
@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -29,14 +30,16 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions import columns as C
 from ledgerlens.functions.windows import bucketed_running_sum
 from ledgerlens.operators.features import FEATURE_COLS
 
 LABEL = "is_fraud"
+ANOMALY = "anomaly_score_raw"      # the feature that the isolation forest fills in
 
 
 @dataclass(frozen=True)
@@ -55,6 +58,8 @@ class MLConfig:
     iso_trees: int = 200
     iso_sample: int = 256
     iso_feature_share: float = 0.8
+    type_trees: int = 200
+    type_depth: int = 5
     features: tuple[str, ...] = tuple(FEATURE_COLS)
 
 
@@ -65,13 +70,37 @@ def class_distribution(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def split_flag(seed: int, test_fraction: float, key: str = "seq") -> F.Column:
-    """True for the test slice: hash of (key, seed) in [0, 1)."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return u < test_fraction
-
-
-def stratified_split(df: DataFrame, cfg: MLConfig = MLConfig(), key: str = "seq"):
-    d = df.withColumn("__test", split_flag(cfg.seed, cfg.test_fraction, key))
+    """True for the rows whose hash of (key, seed) lies in the lowest ``test_fraction``."""
+    return F.xxhash64(F.col(key), F.lit(seed)) < F.lit(_hash_below(test_fraction))
+
+
+def _hash_below(share: float) -> int:
+    """The signed 64-bit value below which a uniform hash falls with probability ``share``."""
+    return -(1 << 63) + min((1 << 64) - 1, int(share * (1 << 64)))
+
+
+def stratified_split(df: DataFrame, cfg: MLConfig = MLConfig(), key: str = "seq", label: str = LABEL):
+    """(train, test): of every class exactly round(test_fraction x its rows) rows, at least one
+    of two or more, go to the test part: those with the smallest hashes of (key, seed).
+
+    Counts per (class, 4096 hash ranges) find the range in which a class's cut falls; only the
+    rows of that one range are ranked."""
+    h = F.xxhash64(F.col(key), F.lit(cfg.seed))
+    d = df.withColumns({"__h": h, "__b": F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 52).cast("int")})
+    per = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(label).orderBy("__b")
+    per = per.withColumns({"__upto": F.sum("__n").over(w),
+                           "__all": F.sum("__n").over(Window.partitionBy(label))})
+    want = F.greatest(F.round(F.col("__all") * cfg.test_fraction).cast("long"), (F.col("__all") > 1).cast("long"))
+    cut = (per.where((F.col("__upto") >= want) & (F.col("__upto") - F.col("__n") < want))
+           .select(F.col(label).alias("__label"), F.col("__b").alias("__cut"),
+                   (want - (F.col("__upto") - F.col("__n"))).alias("__take")))
+    d = d.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("__label")), "left")       # one row per class
+    inside = F.col("__b") == F.col("__cut")
+    nth = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key))
+    ranked = d.where(inside).withColumn("__test", nth <= F.col("__take"))
+    rest = d.where(~F.coalesce(inside, F.lit(False))).withColumn("__test", F.coalesce(F.col("__b") < F.col("__cut"), F.lit(False)))
+    d = rest.unionByName(ranked).drop("__h", "__b", "__label", "__cut", "__take")
     return d.where(~F.col("__test")).drop("__test"), d.where(F.col("__test")).drop("__test")
 
 
@@ -92,17 +121,58 @@ def _prob1(c: str) -> F.Column:
     return vector_to_array(F.col(c))[1]
 
 
+@dataclass
+class IsolationForest:
+    """Node table plus everything that scoring needs, frozen at fit time: the scaling of the
+    features, the bounds of the raw score and the cut-off of the contamination share."""
+    nodes: DataFrame
+    mean: list[float]
+    std: list[float]
+    bounds: tuple[float, float]
+    cutoff: float
+    contamination: float
+    cfg: MLConfig = field(default_factory=MLConfig)
+
+    def raw(self, d: DataFrame) -> DataFrame:
+        """Adds ``iso_raw`` (higher: more normal) to rows with unscaled features; the anomaly
+        feature itself is 0 in this first pass."""
+        names = [f"__z{i}" for i in range(len(self.cfg.features))]
+        z = {}
+        for n, c, m, sd in zip(names, self.cfg.features, self.mean, self.std):
+            v = F.lit(0.0) if c == ANOMALY else F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+            z[n] = (v - F.lit(m)) / F.lit(sd if sd > 0 else 1.0)
+        return iso_raw(d.withColumns(z), self.nodes, self.cfg, names).drop(*names)
+
+    def score(self, d: DataFrame) -> DataFrame:
+        """Adds ``iso_score`` (0-100, higher: more anomalous) to rows with ``iso_raw``."""
+        lo, hi = self.bounds
+        norm = (1.0 - (F.col("iso_raw") - lo) / (hi - lo + 1e-9)) if hi != lo else F.lit(0.0)
+        return d.withColumn("iso_score", C.clip(norm * 100.0, 0.0, 100.0))
+
+
 @dataclass
 class FraudModels:
     rf: PipelineModel | None = None
     gbt: PipelineModel | None = None
     calibrator: IsotonicRegressionModel | None = None
-    iso_nodes: DataFrame | None = None
-    iso_bounds: tuple[float, float] | None = None
+    iso: IsolationForest | None = None
+    fraud_type: PipelineModel | None = None
+    type_names: dict[int, str] = field(default_factory=dict)
     cfg: MLConfig = field(default_factory=MLConfig)
 
+    @property
+    def iso_nodes(self) -> DataFrame | None:
+        return self.iso.nodes if self.iso is not None else None
+
     def transform(self, d: DataFrame) -> DataFrame:
-        """Adds xgb_prob, rf_prob, iso_score, confidence_score."""
+        """Adds xgb_prob, rf_prob, iso_score, confidence_score (and fraud_type_code).
+
+        Two passes: the isolation forest scores the rows first, and its raw score is the
+        anomaly feature that the supervised models see."""
+        if self.iso is not None:
+            d = self.iso.score(self.iso.raw(d)).withColumn(ANOMALY, F.col("iso_raw")).drop("iso_raw")
+        else:
+            d = d.withColumn("iso_score", F.lit(0.0))
         cols = d.columns
         if self.gbt is not None:
             g = self.gbt.transform(d).withColumn("__g", _prob1("gbt_probability"))
@@ -119,35 +189,51 @@ class FraudModels:
             d = self.rf.transform(d).withColumn("rf_prob", _prob1("rf_probability")).select(*cols, "rf_prob")
         else:
             d = d.withColumn("rf_prob", F.col("xgb_prob"))
-        if self.iso_nodes is not None:
-            d = iso_score(d, self.iso_nodes, self.cfg, self.iso_bounds)
-        else:
-            d = d.withColumn("iso_score", F.lit(0.0))
+        if self.fraud_type is not None:
+            cols = d.columns
+            d = self.fraud_type.transform(d).select(*cols, F.col("ft_pred").cast("int").alias("fraud_type_code"))
         return d.withColumn("confidence_score", F.lit(1.0))
 
+    def predicted_type(self, score: F.Column, threshold: float) -> F.Column | None:
+        """Name of the learned fraud type from ``threshold`` on, else 'Normal'; None without a model."""
+        if self.fraud_type is None:
+            return None
+        names = F.create_map(*[F.lit(x) for kv in sorted(self.type_names.items()) for x in kv])
+        return F.when(score < threshold, "Normal").otherwise(
+            F.coalesce(F.try_element_at(names, F.col("fraud_type_code")), F.lit("Unknown Fraud")))
+
     def save(self, path: str) -> None:
+        """Every part below ``path``, and last a manifest that names them."""
+        spark = SparkSession.active()
+        parts = {"random_forest": self.rf, "gbt": self.gbt, "calibrator": self.calibrator, "fraud_type": self.fraud_type}
+        for name, model in parts.items():
+            if model is not None:
+                model.write().overwrite().save(f"{path}/{name}")
+        if self.iso is not None:
+            self.iso.nodes.write.mode("overwrite").parquet(f"{path}/isolation_forest")
         if self.rf is not None:
-            self.rf.write().overwrite().save(f"{path}/random_forest")
-        if self.gbt is not None:
-            self.gbt.write().overwrite().save(f"{path}/gbt")
-        if self.calibrator is not None:
-            self.calibrator.write().overwrite().save(f"{path}/calibrator")
-        if self.iso_nodes is not None:
-            self.iso_nodes.write.mode("overwrite").parquet(f"{path}/isolation_forest")
+            feature_importance(spark, self.rf, self.cfg).write.mode("overwrite").parquet(f"{path}/feature_importance")
+        iso = self.iso
+        manifest = {"parts": sorted([n for n, m in parts.items() if m is not None] + ["isolation_forest"] * (iso is not None)),
+                    "type_names": {str(k): v for k, v in self.type_names.items()},
+                    "iso": None if iso is None else {"mean": iso.mean, "std": iso.std, "bounds": list(iso.bounds),
+                                                     "cutoff": iso.cutoff, "contamination": iso.contamination}}
+        spark.createDataFrame([(json.dumps(manifest),)], "manifest string").write.mode("overwrite").parquet(f"{path}/manifest")
 
     @staticmethod
     def load(spark, path: str, cfg: MLConfig = MLConfig()) -> "FraudModels":
-        """Absent parts load as None (the scorer falls back per part)."""
-        def opt(fn):
-            try:
-                return fn()
-            except Exception:  # noqa: BLE001 - missing model directory
-                return None
+        """Load what the manifest names; a missing store or a part that cannot be read raises."""
+        m = json.loads(spark.read.parquet(f"{path}/manifest").first()["manifest"])
+        have = set(m["parts"])
+        pipe = lambda name: PipelineModel.load(f"{path}/{name}") if name in have else None
+        iso = m["iso"]
         return FraudModels(
-            rf=opt(lambda: PipelineModel.load(f"{path}/random_forest")),
-            gbt=opt(lambda: PipelineModel.load(f"{path}/gbt")),
-            calibrator=opt(lambda: IsotonicRegressionModel.load(f"{path}/calibrator")),
-            iso_nodes=opt(lambda: spark.read.parquet(f"{path}/isolation_forest")), cfg=cfg)
+            rf=pipe("random_forest"), gbt=pipe("gbt"), fraud_type=pipe("fraud_type"),
+            calibrator=IsotonicRegressionModel.load(f"{path}/calibrator") if "calibrator" in have else None,
+            iso=None if iso is None else IsolationForest(
+                spark.read.schema(NODE_SCHEMA).parquet(f"{path}/isolation_forest"), iso["mean"], iso["std"],
+                tuple(iso["bounds"]), iso["cutoff"], iso["contamination"], cfg),
+            type_names={int(k): v for k, v in m["type_names"].items()}, cfg=cfg)
 
 
 def train_rf(train: DataFrame, cfg: MLConfig = MLConfig()) -> PipelineModel:
@@ -181,10 +267,11 @@ def _c(n: float) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
 
-def _grow(pdf: pd.DataFrame, features: list[str], share: float, seed: int) -> pd.DataFrame:
+def _grow(pdf: pd.DataFrame, features: list[str], share: float, seed: int, sample: int) -> pd.DataFrame:
     tree = int(pdf["__tree"].iloc[0])
     rng = np.random.default_rng(seed + tree)
-    x = pdf[features].to_numpy(dtype=float)
+    # the sample is the rows with the smallest hashes, whatever order they came in
+    x = pdf.sort_values(["__h", "seq"]).head(sample)[features].to_numpy(dtype=float)
     k = max(1, int(round(share * len(features))))
     feats = rng.choice(len(features), size=k, replace=False)
     limit = int(math.ceil(math.log2(max(len(x), 2))))
@@ -214,26 +301,64 @@ def _grow(pdf: pd.DataFrame, features: list[str], share: float, seed: int) -> pd
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size double, depth int"
 
 
-def train_iforest(normal: DataFrame, cfg: MLConfig = MLConfig()) -> DataFrame:
-    """Node table of an isolation forest grown on (scaled) normal rows."""
-    n = normal.count()
-    p = min(1.0, cfg.iso_sample / max(n, 1))
-    thr = int(p * 1_000_000)
-    feats = list(cfg.features)
-    trees = F.filter(F.sequence(F.lit(0), F.lit(cfg.iso_trees - 1)),
-                     lambda t: F.pmod(F.xxhash64(F.col("seq"), t, F.lit(cfg.seed)), F.lit(1_000_000)) < thr)
-    d = normal.select("seq", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats]) \
-        .withColumn("__tree", F.explode(trees))
-    share, seed = cfg.iso_feature_share, cfg.seed
-    return d.groupBy("__tree").applyInPandas(lambda pdf: _grow(pdf, feats, share, seed), NODE_SCHEMA)
+def sample_threshold(n: int, cfg: MLConfig = MLConfig()) -> int:
+    """Signed 64-bit hash bound under which about twice a tree's sample of ``n`` rows falls."""
+    return _hash_below(min(1.0, 2.0 * cfg.iso_sample / max(n, 1)))
 
 
-def iso_raw(d: DataFrame, nodes: DataFrame, cfg: MLConfig = MLConfig()) -> DataFrame:
+def train_iforest(normal: DataFrame, cfg: MLConfig = MLConfig(), n: int | None = None) -> DataFrame:
+    """Node table of an isolation forest grown on (scaled) normal rows.
+
+    A tree's sample is the ``iso_sample`` rows with the smallest hashes of (row, tree); rows under
+    a 64-bit hash bound, about twice as many whatever ``n``, are sent to the tree's task."""
+    n = normal.count() if n is None else n
+    if not n:
+        raise ValueError("an isolation forest needs normal rows")
+    bound = sample_threshold(n, cfg)
+    feats = list(cfg.features)
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(cfg.iso_trees - 1)),
+                         lambda t: F.struct(t.alias("t"), F.xxhash64(F.col("seq"), t, F.lit(cfg.seed)).alias("h")))
+    trees = F.filter(hashes, lambda x: x["h"] <= F.lit(bound))
+    d = (normal.select("seq", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
+         .withColumn("__t", F.explode(trees)).withColumns({"__tree": F.col("__t.t"), "__h": F.col("__t.h")}).drop("__t"))
+    share, seed, sample = cfg.iso_feature_share, cfg.seed, cfg.iso_sample
+    return d.groupBy("__tree").applyInPandas(lambda pdf: _grow(pdf, feats, share, seed, sample), NODE_SCHEMA)
+
+
+def fit_isolation(rows: DataFrame, cfg: MLConfig = MLConfig()) -> IsolationForest:
+    """Fit on the normal rows of ``rows`` (unscaled features and label): scaling, nodes, the bounds of
+    the raw score over all rows, and the cut-off of the contamination share of the normal rows."""
+    from ledgerlens.session import cut_lineage
+    feats = list(cfg.features)
+    value = lambda c: F.lit(0.0) if c == ANOMALY else F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(LABEL) == 1).cast("long")).alias("bad"),
+                     *[F.avg(value(c)).alias(f"m_{c}") for c in feats],
+                     *[F.stddev_pop(value(c)).alias(f"s_{c}") for c in feats]).first()
+    if not stats["n"]:
+        raise ValueError("an isolation forest needs rows")
+    mean, std = [float(stats[f"m_{c}"]) for c in feats], [float(stats[f"s_{c}"]) for c in feats]
+    scaled = rows.where(F.col(LABEL) == 0).select("seq", *[
+        ((value(c) - F.lit(m)) / F.lit(sd if sd > 0 else 1.0)).alias(c) for c, m, sd in zip(feats, mean, std)])
+    nodes = cut_lineage(train_iforest(scaled, cfg))
+    grown = nodes.select("tree").distinct().count()
+    if grown != cfg.iso_trees:
+        raise ValueError(f"{cfg.iso_trees - grown} of {cfg.iso_trees} isolation trees are empty")
+    contamination = min(0.1, max(0.001, (stats["bad"] or 0) / stats["n"]))
+    forest = IsolationForest(nodes, mean, std, (0.0, 0.0), 0.0, contamination, cfg)
+    raw = forest.raw(rows)
+    lo, hi, cutoff = raw.agg(
+        F.min("iso_raw"), F.max("iso_raw"),
+        F.percentile_approx(F.when(F.col(LABEL) == 0, F.col("iso_raw")), contamination, 10_000)).first()
+    forest.bounds, forest.cutoff = (float(lo), float(hi)), float(cutoff)
+    return forest
+
+
+def iso_raw(d: DataFrame, nodes: DataFrame, cfg: MLConfig = MLConfig(), cols: list[str] | None = None) -> DataFrame:
     """Adds ``iso_raw`` = -2^(-E[h(x)] / c(sample)) (higher = more normal, like
-    score_samples).  The node table is collected once: its size is bounded by
+    score_samples) of the scaled columns ``cols``.  The node table is collected once: its size is bounded by
     trees x (2 * sample - 1) rows."""
     pn = nodes.toPandas().sort_values(["tree", "node"])
-    feats = list(cfg.features)
+    feats = list(cols or cfg.features)
     trees = [g.reset_index(drop=True) for _, g in pn.groupby("tree")]
     arrays = [(g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(),
                g["size"].to_numpy(), g["depth"].to_numpy()) for g in trees]
@@ -259,30 +384,18 @@ def iso_raw(d: DataFrame, nodes: DataFrame, cfg: MLConfig = MLConfig()) -> DataF
     return d.withColumn("iso_raw", score(*[F.col(c).cast("double") for c in feats]))
 
 
-def iso_score(d: DataFrame, nodes: DataFrame, cfg: MLConfig, bounds: tuple[float, float] | None) -> DataFrame:
-    """0-100, higher = more anomalous: 100 x (1 - minmax(raw)); bounds frozen
-    at fit time when given (stable for streams), else from this batch."""
-    r = iso_raw(d, nodes, cfg)
-    if bounds is None:
-        mm = r.agg(F.min("iso_raw").alias("__lo"), F.max("iso_raw").alias("__hi"))
-        r = r.crossJoin(F.broadcast(mm))       # one row
-    else:
-        r = r.withColumns({"__lo": F.lit(bounds[0]), "__hi": F.lit(bounds[1])})
-    norm = F.when(F.col("__hi") != F.col("__lo"),
-                  1.0 - (F.col("iso_raw") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-9)).otherwise(0.0)
-    return r.withColumn("iso_score", F.least(F.greatest(norm * 100.0, F.lit(0.0)), F.lit(100.0))).drop("__lo", "__hi", "iso_raw")
-
-
 # ------------------------------------------------------------------ evaluation
-def eval_binary(pred: DataFrame, score: str, label: str = LABEL, threshold: float = 0.5) -> DataFrame:
-    """One row: TP/FP/FN/TN at ``score > threshold``, precision, recall, F1
+def eval_binary(pred: DataFrame, score: str, label: str = LABEL, threshold: float = 0.5,
+                flag: F.Column | None = None) -> DataFrame:
+    """One row: TP/FP/FN/TN at ``score > threshold`` (or where ``flag`` holds), precision, recall, F1
     (zero-safe), exact ROC-AUC (ties count half) and average precision."""
-    s = pred.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
+    hit = F.col(score).cast("double") > threshold if flag is None else flag
+    s = pred.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"), hit.alias("hit"))
     conf = s.agg(
-        F.count(F.when((F.col("s") > threshold) & (F.col("y") == 1), 1)).alias("tp"),
-        F.count(F.when((F.col("s") > threshold) & (F.col("y") == 0), 1)).alias("fp"),
-        F.count(F.when((F.col("s") <= threshold) & (F.col("y") == 1), 1)).alias("fn"),
-        F.count(F.when((F.col("s") <= threshold) & (F.col("y") == 0), 1)).alias("tn"))
+        F.count(F.when(F.col("hit") & (F.col("y") == 1), 1)).alias("tp"),
+        F.count(F.when(F.col("hit") & (F.col("y") == 0), 1)).alias("fp"),
+        F.count(F.when(~F.col("hit") & (F.col("y") == 1), 1)).alias("fn"),
+        F.count(F.when(~F.col("hit") & (F.col("y") == 0), 1)).alias("tn"))
     per = s.groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     per = per.withColumns({"__k": F.lit(0), "__neg_s": -F.col("s"),
                            "__b": F.floor(F.col("s") * 1024).cast("long")})
@@ -321,18 +434,29 @@ def train(df: DataFrame, cfg: MLConfig = MLConfig(), with_iforest: bool = True)
     gbt, cal = train_gbt(train_df, cfg)
     models = FraudModels(rf=rf, gbt=gbt, calibrator=cal, cfg=cfg)
     if with_iforest:
-        scaled = rf.stages[1].transform(rf.stages[0].transform(train_df.where(F.col(LABEL) == 0)))
-        arr = scaled.select("seq", vector_to_array("features").alias("__f"))
-        normal = arr.select("seq", *[F.col("__f")[i].alias(c) for i, c in enumerate(cfg.features)])
-        models.iso_nodes = train_iforest(normal, cfg)
+        models.iso = fit_isolation(train_df, cfg)
+    scored = [("random_forest", "rf_prob", None), ("gbt_calibrated", "xgb_prob", None)]
     pred = models.transform(test_df)
+    if models.iso is not None:
+        # 0-1 like the other scores; a row is an anomaly below the cut-off of the raw score
+        lo, hi = models.iso.bounds
+        pred = pred.withColumn("iso_prob", 1.0 - (F.col(ANOMALY) - lo) / (hi - lo + 1e-9))
+        scored.append(("isolation_forest", "iso_prob", F.col(ANOMALY) < models.iso.cutoff))
     metrics = None
-    for name, col in [("random_forest", "rf_prob"), ("gbt_calibrated", "xgb_prob")]:
-        m = eval_binary(pred, col).withColumn("model", F.lit(name))
+    for name, col, flag in scored:
+        m = eval_binary(pred, col, flag=flag).withColumn("model", F.lit(name))
         metrics = m if metrics is None else metrics.unionByName(m)
     return models, metrics
 
 
+def train_fraud_type(train_df: DataFrame, names: dict[int, str], cfg: MLConfig = MLConfig(),
+                     label: str = "fraud_type_label") -> tuple[PipelineModel, dict[int, str]]:
+    """Multiclass forest of the fraud type on the model features."""
+    rf = RandomForestClassifier(labelCol=label, featuresCol="raw_features", numTrees=cfg.type_trees, maxDepth=cfg.type_depth,
+                                seed=cfg.seed, predictionCol="ft_pred", probabilityCol="ft_prob", rawPredictionCol="ft_raw")
+    return Pipeline(stages=[_assembler(cfg)[0], rf]).fit(train_df), dict(names)
+
+
 def model_comparison(metrics: DataFrame) -> DataFrame:
     """Metrics table with the best model flagged (max average precision;
     ties: model name)."""

@@ -92,8 +92,9 @@ def ml_components(d: DataFrame, cfg: Config = Config(), models=None) -> DataFram
     raw = (F.col("score_iso_component") + F.col("score_xgb_component") + F.col("score_rf_component")
            + F.col("velocity_component") + F.col("spending_dev_component"))
     d = d.withColumn("ml_score", C.clip(raw, 0.0, 100.0))
-    return d.withColumns({"fraud_probability": F.col("ml_score") / 100.0,
-                          "fraud_type_predicted": fraud_type_heuristic(F.col("ml_score"), cfg)})
+    learned = models.predicted_type(F.col("ml_score"), cfg.fraud_type_threshold) if models is not None else None
+    kind = learned if learned is not None else fraud_type_heuristic(F.col("ml_score"), cfg)
+    return d.withColumns({"fraud_probability": F.col("ml_score") / 100.0, "fraud_type_predicted": kind})
 
 
 def fraud_type_heuristic(score: Column, cfg: Config = Config()) -> Column:

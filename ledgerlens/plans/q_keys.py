@@ -165,13 +165,9 @@ def train_iforest(spark, sf_dir):
 def score_iforest(spark, sf_dir):
     """0-100 isolation score of every transaction (higher = more anomalous)."""
     from ledgerlens.operators import features as FE
-    from ledgerlens.operators import ml as ML
-    from pyspark.ml.functions import vector_to_array
     m = _models(spark, sf_dir)[0]
     f = FE.engineer_features(txn(spark, sf_dir))
-    scaled = m.rf.stages[1].transform(m.rf.stages[0].transform(f)).select("account_id", "seq", vector_to_array("features").alias("__f"))
-    x = scaled.select("account_id", "seq", *[F.col("__f")[i].alias(c) for i, c in enumerate(m.cfg.features)])
-    return ML.iso_score(x, m.iso_nodes, m.cfg, None).select("account_id", "seq", "iso_score")
+    return m.iso.score(m.iso.raw(f)).select("account_id", "seq", "iso_score")
 
 
 @register("balance_classes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
@@ -42,11 +44,18 @@ def class_distribution(spark, sf_dir):
     return ML.class_distribution(labelled(spark, sf_dir))
 
 
-@register("stratified_split")
+@register("stratified_split", with_txn(f"""
+SELECT 'test' AS split, is_fraud, greatest(CAST(round(n * 0.2) AS BIGINT), CASE WHEN n > 1 THEN 1 ELSE 0 END) AS count
+FROM (SELECT {PLANTED} AS is_fraud, count(*) AS n FROM txn GROUP BY 1)
+UNION ALL
+SELECT 'train', is_fraud, n - greatest(CAST(round(n * 0.2) AS BIGINT), CASE WHEN n > 1 THEN 1 ELSE 0 END)
+FROM (SELECT {PLANTED} AS is_fraud, count(*) AS n FROM txn GROUP BY 1)"""))
 def stratified_split(spark, sf_dir):
-    """Rows per (split, class) of the hash-stratified 80/20 split (rows-only)."""
-    d = labelled(spark, sf_dir).withColumn("split", F.when(ML.split_flag(42, 0.2), "test").otherwise("train"))
-    return d.groupBy("split", ML.LABEL).agg(F.count(F.lit(1)).alias("count"))
+    """Rows per (split, class) of the stratified 80/20 split."""
+    train, test = ML.stratified_split(labelled(spark, sf_dir))
+    count = lambda d, name: (d.groupBy(ML.LABEL).agg(F.count(F.lit(1)).alias("count"))
+                             .select(F.lit(name).alias("split"), ML.LABEL, "count"))
+    return count(train, "train").unionByName(count(test, "test"))
 
 
 @register("eval_binary", with_txn(f"""
@@ -108,7 +117,7 @@ def score_with_models(spark, sf_dir):
     """Flagship scoring with trained models (iso / GBT / RF components live;
     dominant signal from rule base vs ML bonus)."""
     models, _ = fitted(spark, sf_dir)
-    path = f"{checkpoint_dir(spark)}/ledgerlens-models"
+    path = f"{checkpoint_dir(spark)}/ledgerlens-models-{uuid.uuid4().hex}"
     models.save(path)
     loaded = ML.FraudModels.load(spark, path)
     s = S.score_transactions(txn(spark, sf_dir), DEF, models=loaded)

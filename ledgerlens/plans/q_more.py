@@ -57,7 +57,7 @@ def train_fraud_type(spark, sf_dir):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     d = ST.map_training_format(SS.render_training_a(txn(spark, sf_dir)))
-    tr, te = ML.stratified_split(d)
+    tr, te = ML.stratified_split(d, label="fraud_type_label")
     feats = ["amount", "hour", "day_of_week", "is_weekend", "month", "balance_after", "balance_before", "anomaly_score_raw"]
     rf = RandomForestClassifier(labelCol="fraud_type_label", featuresCol="f", numTrees=50, maxDepth=8, seed=42)
     model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="f"), rf]).fit(tr)

@@ -1,4 +1,5 @@
 """Training pipeline smoke test with tiny model sizes on the smallest tables."""
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
@@ -17,7 +18,7 @@ def test_train_score_save_load(spark):
     d = FE.engineer_features(txn(spark, SF)).withColumn(ML.LABEL, planted_fraud())
     models, metrics = ML.train(d, cfg)
     m = {r.model: r for r in metrics.collect()}
-    assert set(m) == {"random_forest", "gbt_calibrated"}
+    assert set(m) == {"random_forest", "gbt_calibrated", "isolation_forest"}
     for r in m.values():
         assert 0.0 <= r.roc_auc <= 1.0 and r.tp + r.fp + r.fn + r.tn > 0
     path = f"{checkpoint_dir(spark)}/test-models"
@@ -27,6 +28,69 @@ def test_train_score_save_load(spark):
     stats = s.agg(F.min("iso_score"), F.max("iso_score"), F.min("ml_score"), F.max("ml_score")).collect()[0]
     assert 0.0 <= stats[0] <= stats[1] <= 100.0 and 0.0 <= stats[2] <= stats[3] <= 100.0
     assert s.select("dominant_signal").distinct().count() >= 1
+    # the scored frame and the forest on its own agree row by row, batch or no batch
+    alone = back.iso.score(back.iso.raw(d)).select("account_id", "seq", F.col("iso_score").alias("alone"))
+    both = s.select("account_id", "seq", "iso_score").join(alone, ["account_id", "seq"])
+    assert both.count() == d.count() and both.where(F.abs(F.col("iso_score") - F.col("alone")) > 1e-9).count() == 0
+    few = d.where(F.col("seq") % 50 == 0)
+    part = back.iso.score(back.iso.raw(few)).select("account_id", "seq", F.col("iso_score").alias("few")).join(
+        alone, ["account_id", "seq"])
+    assert part.where(F.col("few") != F.col("alone")).count() == 0
+
+
+def test_isolation_scores_match_the_node_table_in_sql(spark, duck, tmp_path):
+    """Walk the written node table in SQL and recompute every raw score."""
+    cfg = ML.MLConfig(iso_trees=12)
+    d = FE.engineer_features(txn(spark, SF)).withColumn(ML.LABEL, planted_fraud())
+    forest = ML.fit_isolation(d, cfg)
+    forest.nodes.write.parquet(str(tmp_path / "nodes"))
+    names = list(cfg.features)
+    value = [F.lit(0.0) if c == ML.ANOMALY else F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]
+    z = F.array(*[(v - m) / (sd if sd > 0 else 1.0) for v, m, sd in zip(value, forest.mean, forest.std)])
+    forest.raw(d).select("seq", z.alias("z"), "iso_raw").write.parquet(str(tmp_path / "rows"))
+    worst, rows = duck.execute(f"""
+        WITH RECURSIVE n AS (SELECT * FROM read_parquet('{tmp_path}/nodes/*.parquet')),
+        r AS (SELECT * FROM read_parquet('{tmp_path}/rows/*.parquet')),
+        walk AS (
+          SELECT r.seq, n.tree, n.node FROM r, n WHERE n.node = 0
+          UNION ALL
+          SELECT w.seq, w.tree, CASE WHEN r.z[n.feature + 1] < n.threshold THEN n."left" ELSE n."right" END
+          FROM walk w JOIN n ON n.tree = w.tree AND n.node = w.node AND n.feature >= 0 JOIN r ON r.seq = w.seq
+        ), leaf AS (
+          SELECT w.seq, n.depth + CASE WHEN n.size <= 1 THEN 0 WHEN n.size = 2 THEN 1
+            ELSE 2 * (ln(n.size - 1) + 0.5772156649) - 2 * (n.size - 1) / n.size END AS h
+          FROM walk w JOIN n ON n.tree = w.tree AND n.node = w.node AND n.feature < 0
+        ), s AS (
+          SELECT seq, -pow(2, -avg(h) / (2 * (ln(255) + 0.5772156649) - 2 * 255.0 / 256)) AS raw, count(*) AS trees
+          FROM leaf GROUP BY seq
+        )
+        SELECT max(abs(s.raw - r.iso_raw)), count(*) FILTER (WHERE s.trees = 12) FROM s JOIN r USING (seq)""").fetchone()
+    assert worst < 1e-9 and rows == d.count()
+
+
+def test_tree_samples_at_a_billion_rows(spark):
+    """The hash bound keeps about twice a tree's sample at any row count, and trees are full."""
+    cfg = ML.MLConfig(iso_trees=3)
+    for n in (10 ** 5, 10 ** 9, 10 ** 13):
+        share = (ML.sample_threshold(n, cfg) + (1 << 63)) / (1 << 64)
+        assert abs(share * n - 2 * cfg.iso_sample) < 1e-3 * cfg.iso_sample
+    rows = spark.range(20_000).select(F.col("id").alias("seq"), *[F.rand(i).alias(c) for i, c in enumerate(cfg.features)])
+    sizes = ML.train_iforest(rows, cfg).where("node = 0").count(), ML.train_iforest(rows, cfg).where("feature < 0").groupBy(
+        "tree").agg(F.sum("size").alias("n")).collect()
+    assert sizes[0] == 3 and {r["n"] for r in sizes[1]} == {256.0}
+
+
+def test_missing_model_store_raises(spark):
+    with pytest.raises(Exception):
+        ML.FraudModels.load(spark, f"{checkpoint_dir(spark)}/no-such-models")
+
+
+def test_split_is_exact_per_class(spark):
+    df = spark.range(5000).select(F.col("id").alias("seq"), (F.col("id") % 1000 < 3).cast("int").alias(ML.LABEL))
+    train, test = ML.stratified_split(df)
+    count = {r[0]: r[1] for r in test.groupBy(ML.LABEL).count().collect()}
+    assert count == {0: round(4985 * 0.2), 1: 3}
+    assert train.count() + test.count() == 5000 and train.join(test, "seq").count() == 0
 
 
 def test_eval_binary_matches_manual(spark):
