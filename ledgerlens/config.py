@@ -73,6 +73,11 @@ class Config:
     spike_percentile: float = 95.0
     trim_fraction: float = 0.05
 
+    # --- fixed values: context-line statement text ---------------------------
+    context_amount_pattern: str = r"(?<!\d)(\d{1,3}(?:,\d{2,3})+\.\d{2})(?!\d)"   # amounts carry a comma group
+    context_balance_from: float = 500_000.0       # amounts from here on are balances
+    context_narration_words: int = 8              # of the short narration; the full one is a column beside it
+
     # --- compatibility switches (see README "quirks") ----------------------
     compat: bool = False              # reproduce band gaps / sign-erasing cleaning
     quantile_accuracy: int = 0        # 0 = exact percentile; >0 = percentile_approx

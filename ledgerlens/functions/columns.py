@@ -141,3 +141,15 @@ def risk_category(score: Column, compat: bool = False) -> Column:
 def rule_level(score: Column) -> Column:
     return (F.when(score >= 60, "CRITICAL").when(score >= 40, "HIGH")
             .when(score >= 20, "MODERATE").otherwise("LOW"))
+
+
+def money(c: Column, compat: bool = False) -> Column:
+    """Money text or number -> double (null or nothing numeric -> 0).  A plain number, with or
+    without an exponent (as doubles of ten million and more print), is taken as it is; from other
+    text all but digits, '.' and '-' is stripped.  ``compat`` erases minus signs."""
+    s = c.cast("string")
+    plain = F.when(s.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), s.try_cast("double"))
+    if compat:
+        plain = F.abs(plain)
+    stripped = F.regexp_replace(s, r"[^\d.]" if compat else r"[^\d.\-]", "").try_cast("double")
+    return F.coalesce(plain, stripped, F.lit(0.0))

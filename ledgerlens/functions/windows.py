@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET = "__bkt"
+NO_TIME = (1 << 62)        # after every time bucket: rows without a time come last, in tie order
 
 
 def time_bucket(ts: Column | str, seconds: int) -> Column:
+    """Number of the time bucket; rows without a time share a last bucket of their own."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(c) / F.lit(int(seconds) * 1_000_000)).cast("long")
+    return F.coalesce(F.floor(F.unix_micros(c) / F.lit(int(seconds) * 1_000_000)).cast("long"), F.lit(NO_TIME))
 
 
 def bucketed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
@@ -102,7 +104,8 @@ def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
 def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_us: int, out: str,
                       bucket_seconds: int = 86400) -> DataFrame:
     """1-based session number per ``keys`` in (ts, tie) order: a gap of more
-    than ``gap_us`` to the previous row opens a new session.  One window
+    than ``gap_us`` to the previous row opens a new session; rows without a
+    time come last and stay in the session before them.  One window
     inside (keys, time bucket), one per-bucket summary (first / last ts,
     internal session starts) and one prefix over the buckets of a key."""
     keys = list(keys)
@@ -115,7 +118,7 @@ def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap
     summ = d.groupBy(*keys, _BUCKET).agg(F.min("__us").alias("__first"), F.max("__us").alias("__last"),
                                          F.sum("__new").alias("__internal"))
     wb = Window.partitionBy(*keys).orderBy(_BUCKET)
-    plast = F.lag("__last").over(wb)
+    plast = F.lag("__last").over(wb)                 # null before the first bucket; the no-time bucket is last
     summ = summ.withColumn("__fnew", F.when(plast.isNotNull() & (F.col("__first") - plast > gap_us), 1).otherwise(0))
     summ = summ.withColumn("__off", F.coalesce(F.sum(F.col("__internal") + F.col("__fnew")).over(
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -29,12 +29,7 @@ FEATURE_COLS = [
 def clean_money(c: Column, compat: bool) -> Column:
     """Money text/number -> double, null -> 0.  ``compat`` strips everything
     but digits and '.', which erases minus signs as the original did."""
-    s = c.cast("string")
-    if compat:
-        s = F.regexp_replace(s, r"[^\d.]", "")
-    else:
-        s = F.regexp_replace(s, r"[^\d.\-]", "")
-    return F.coalesce(s.try_cast("double"), F.lit(0.0))
+    return C.money(c, compat)
 
 
 def encode7(c: Column) -> Column:
@@ -88,10 +83,17 @@ def row_features(df: DataFrame, cfg: Config = Config()) -> DataFrame:
         "merchant_encoded": encode7(F.col("merchant")),
         "channel_encoded": encode7(F.col("mode")),
         "txn_type_encoded": encode7(F.col("transaction_type")),
-        "anomaly_score_raw": F.lit(0.0),
+        "anomaly_score_raw": provided(df, "anomaly_score"),
     })
 
 
+def provided(df: DataFrame, name: str) -> Column:
+    """A signal that the input may carry, as a number; 0 where it does not."""
+    if name not in df.columns:
+        return F.lit(0.0)
+    return F.coalesce(F.col(name).cast("string").try_cast("double"), F.lit(0.0))
+
+
 def amount_stats(rows: DataFrame, cfg: Config = Config(), by: Sequence[str] = ACC) -> DataFrame:
     """One grouped pass: p95 (large-amount feature), mean and population std
     (spending-deviation score)."""

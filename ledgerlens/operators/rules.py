@@ -158,36 +158,52 @@ def repeated_counts(p: DataFrame, cfg: Config = Config()) -> DataFrame:
     |dt| <= window and |a_i - a_j| <= tol * |a_i| (a_i = 0 -> a_j = 0).
 
     Exact tolerance join without all pairs of a key: rows are placed in
-    (time bucket of the window width) x (log-amount bucket of the tolerance
-    width) cells; a probe looks only at the 3 x 3 neighbouring cells.
+    (time bucket of the window width) x (log-amount bucket) cells; a probe looks
+    only at the neighbouring cells that can hold a partner.  The amount bucket is
+    as wide as the tolerance reaches down, -log(1 - tol), or, for tolerances of
+    one half and more, as it reaches up, log(1 + tol): partners of a_i > 0 then
+    lie at most one bucket above and ``below`` buckets below, where a tolerance of
+    one or more reaches through zero: everything smaller, and the other sign.
     Identical (key, ts, amount) copies are collapsed to one weighted row first.
     """
     key = cfg.repeated_key
     w_us = int(cfg.repeated_window_hours * 3600 * 1_000_000)
     tol = float(cfg.repeated_tolerance)
+    if tol < 0:
+        raise ValueError("repeated_tolerance cannot be negative")
     base = (p.where(F.col("ts").isNotNull() & F.col("amount").isNotNull()
                     & F.col(key).isNotNull() & (F.col(key) != ""))
             .select(ACC, F.col(key).alias("__key"), "seq",
                     F.unix_micros("ts").alias("__t"), F.col("amount").cast("double").alias("__a")))
     cells = base.groupBy(ACC, "__key", "__t", "__a").agg(F.count(F.lit(1)).alias("__n"))
     tb = F.floor(F.col("__t") / F.lit(w_us)).cast("long")
-    if tol < 1.0:
+    if tol == 0:                       # equal amounts only: the amount itself is the bucket
+        ab, reach = F.xxhash64("__a"), [0]
+    elif tol < 1.0:
         width = -math.log(1.0 - tol)
         ab = (F.when(F.col("__a") == 0, F.lit(0)).otherwise(
             F.signum("__a").cast("long") * (F.floor(F.log(F.abs(F.col("__a"))) / F.lit(width)).cast("long") + F.lit(1 << 40))))
-    else:
-        ab = F.lit(0).cast("long")
+        reach = [-1, 0, 1]
+    else:                              # reaches through zero: coarse buckets of |amount|, all that are smaller
+        width = math.log(1.0 + tol)
+        level = F.floor(F.log(F.greatest(F.abs(F.col("__a")), F.lit(0.01))) / F.lit(width)).cast("long")
+        lowest = math.floor(math.log(0.01) / width)
+        ab, reach = level, None
     cells = cells.withColumns({"__tb": tb, "__ab": ab})
     build = cells.select(ACC, "__key", "__tb", "__ab",
                          F.col("__t").alias("__tj"), F.col("__a").alias("__aj"), F.col("__n").alias("__nj"))
     shifts = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    a_shift = shifts if tol < 1.0 else F.array(F.lit(0))
-    probe = (cells.withColumn("__dt", F.explode(shifts)).withColumn("__da", F.explode(a_shift))
-             .select(ACC, "__key", "__t", "__a",
-                     (F.col("__tb") + F.col("__dt")).alias("__tb"),
-                     F.when(F.col("__ab") == 0, F.when(F.col("__da") == 0, F.lit(0)))
-                      .otherwise(F.col("__ab") + F.col("__da")).alias("__ab"))
-             .where(F.col("__ab").isNotNull()))
+    if reach is None:
+        # |a_j| <= (1 + tol) |a_i|: one level up and every level down to that of 0.01 and below
+        to = F.sequence(F.lit(lowest).cast("long"), F.greatest(F.col("__ab") + 1, F.lit(lowest)))
+    elif reach == [0]:
+        to = F.array(F.col("__ab"))
+    else:
+        to = F.when(F.col("__ab") == 0, F.array(F.lit(0).cast("long"))).otherwise(
+            F.array(*[F.col("__ab") + i for i in reach]))
+    probe = (cells.withColumn("__dt", F.explode(shifts)).withColumn("__to", F.explode(to))
+             .select(ACC, "__key", "__t", "__a", (F.col("__tb") + F.col("__dt")).alias("__tb"),
+                     F.col("__to").alias("__ab")))
     joined = probe.join(build, [ACC, "__key", "__tb", "__ab"])
     ok = ((F.abs(F.col("__t") - F.col("__tj")) <= w_us)
           & F.when(F.col("__a") != 0,

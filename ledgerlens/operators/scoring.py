@@ -64,10 +64,27 @@ def given_velocity(d: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
                                                  / (F.col("__vmax") + 1e-9), 0.0, 1.0)).drop("__vmax")
 
 
-def spending_dev() -> Column:
+def given_signals(d: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Provided ``spending_deviation_score`` and ``geo_anomaly_score`` columns scaled by their
+    group maximum and cut to 0..1, as ``__sds`` and ``__geo`` (absent columns add nothing)."""
+    found = [(c, out) for c, out in (("spending_deviation_score", "__sds"), ("geo_anomaly_score", "__geo")) if c in d.columns]
+    if not found:
+        return d
+    most = [F.max(FE.provided(d, c)).alias(f"{out}_max") for c, out in found]
+    top = d.groupBy(*by).agg(*most)
+    d = d.join(top, list(by), "left") if by else d.crossJoin(top)          # one row without groups
+    for c, out in found:
+        d = d.withColumn(out, C.clip(FE.provided(d, c) / (F.col(f"{out}_max") + 1e-9), 0.0, 1.0)).drop(f"{out}_max")
+    return d
+
+
+def spending_dev(d: DataFrame) -> Column:
+    """A provided score as it is, else the mean of the amount's deviation and a provided geo score."""
+    if "__sds" in d.columns:
+        return F.col("__sds")
     z = F.abs((F.col("amount_f") - F.col("amount_mean")) / (F.coalesce(F.col("amount_std_pop"), F.lit(0.0)) + 1e-9))
     zn = C.clip(z / 5.0, 0.0, 1.0)
-    geo = F.lit(0.0)
+    geo = F.col("__geo") if "__geo" in d.columns else F.lit(0.0)
     return C.clip((zn + geo) / 2.0, 0.0, 1.0)
 
 
@@ -75,7 +92,7 @@ def ml_components(d: DataFrame, cfg: Config = Config(), models=None) -> DataFram
     """G4 ML score on rows that already carry features, ``score_velocity``
     and the amount statistics: .60 iso + 15 xgb + 5 rf + 10 velocity +
     10 spending deviation, clipped to 0-100."""
-    d = d.withColumn("score_spending_dev", spending_dev())
+    d = d.withColumn("score_spending_dev", spending_dev(d)).drop("__sds", "__geo")
     if models is not None:
         d = models.transform(d)          # adds xgb_prob, rf_prob, iso_score, confidence_score
     else:
@@ -198,7 +215,7 @@ def score_transactions(df: DataFrame, cfg: Config = Config(), models=None,
     if vel is None:
         out = given_velocity(out, by)
     out = R.with_rule_arrays(out.withColumns(R.flag_columns(cfg, wanted)), cfg)
-    scored = ml_components(out, cfg, models)
+    scored = ml_components(given_signals(out, by), cfg, models)
     fused = fuse(scored, cfg, rules_only=models is None)
     return fused.withColumns({
         "risk_category": C.risk_category(F.col("final_risk_score"), cfg.compat),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,8 +79,12 @@ def std_date(c: Column) -> Column:
     s = C.strip(c.cast("string"))
     parsed = F.coalesce(*[_try_ts(s, f) for f in DATE_FORMATS])
     iso = F.regexp_extract(s, ISO_OFFSET, 1)
-    return F.coalesce(F.to_date(parsed), F.when(iso != "", F.try_to_date(iso)),
-                      F.to_date(F.try_to_timestamp(s)))
+    return F.coalesce(F.to_date(parsed), F.when(iso != "", F.try_to_date(iso)), inferred_date(s))
+
+
+def inferred_date(s: Column) -> Column:
+    """Inference only for text that begins with a year: a bare time would become today."""
+    return F.when(s.rlike(r"^\d{4}"), F.to_date(F.try_to_timestamp(s)))
 
 
 def std_time(c: Column) -> Column:
@@ -117,8 +121,8 @@ def standardize(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def type_transactions(std: DataFrame) -> DataFrame:
-    """Typed canonical frame: money DECIMAL(18,2), ts = date + time."""
-    ts = F.try_to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), F.coalesce("time", F.lit("00:00:00"))))
+    """Typed canonical frame: money DECIMAL(18,2), ts = date + time (null without a date)."""
+    ts = F.try_to_timestamp(F.concat(F.col("date").cast("string"), F.lit(" "), F.coalesce("time", F.lit("00:00:00"))))
     return std.withColumns({
         "amount": F.col("amount").try_cast("decimal(18,2)"),
         "balance": F.col("balance").try_cast("decimal(18,2)"),
@@ -127,16 +131,24 @@ def type_transactions(std: DataFrame) -> DataFrame:
 
 
 def clean_currency(c: Column, compat: bool = False) -> Column:
-    """Money text -> double (null -> 0).  ``compat`` keeps only digits and '.'
+    """Money text or number -> double (null -> 0).  ``compat`` keeps only digits and '.'
     (minus signs vanish, as in the original); the default keeps the sign."""
-    pat = r"[^\d.]" if compat else r"[^\d.\-]"
-    return F.coalesce(F.regexp_replace(c.cast("string"), pat, "").try_cast("double"), F.lit(0.0))
+    return C.money(c, compat)
 
 
-def clean_g1(df: DataFrame, utc: bool = True) -> DataFrame:
+def clean_g1(df: DataFrame) -> DataFrame:
     """Statement-demo cleaning: rename by exact / substring rules, coerce
-    numbers (unparseable amount rows dropped), fill text nulls with
-    'Unknown', add month, upper-case labels."""
+    numbers (rows without a numeric amount go to :func:`rejects_g1`), fill text
+    nulls with 'Unknown', add month, upper-case labels."""
+    return _g1_rows(df).where(F.col("reject").isNull()).drop("reject")
+
+
+def rejects_g1(df: DataFrame) -> DataFrame:
+    """The rows that :func:`clean_g1` leaves out, with the reason in ``reject``."""
+    return _g1_rows(df).where(F.col("reject").isNotNull())
+
+
+def _g1_rows(df: DataFrame) -> DataFrame:
     cols = [c.strip() for c in df.columns]
     d = df.toDF(*cols)
     exact = {"type": "debit_credit", "mode": "transaction_type", "amount": "amount",
@@ -159,14 +171,17 @@ def clean_g1(df: DataFrame, utc: bool = True) -> DataFrame:
     if "date" in d.columns:
         d = d.withColumn("date", F.to_date(F.try_to_timestamp(F.col("date").cast("string"))))
     if "transactionTimestamp" in d.columns:
-        t = F.col("transactionTimestamp").cast("string")
-        d = d.withColumn("transactionTimestamp", F.try_to_timestamp(t) if utc else F.try_to_timestamp(t))
+        d = d.withColumn("transactionTimestamp", F.try_to_timestamp(F.col("transactionTimestamp").cast("string")))
+    reject = F.lit(None).cast("string")
+    if "amount" in d.columns:
+        blank = F.coalesce(C.strip(F.col("amount").cast("string")), F.lit("")) == ""
+        number = C.strip(F.col("amount").cast("string")).try_cast("double")
+        reject = F.when(blank, "no amount").when(number.isNull(), F.concat(F.lit("amount is no number: "), F.col("amount").cast("string")))
+    d = d.withColumn("reject", reject)
     for c in ("amount", "balance"):
         if c in d.columns:
             d = d.withColumn(c, C.strip(F.col(c).cast("string")).try_cast("double"))
-    if "amount" in d.columns:
-        d = d.where(F.col("amount").isNotNull())
-    fills = {f.name: "Unknown" for f in d.schema.fields if isinstance(f.dataType, T.StringType)}
+    fills = {f.name: "Unknown" for f in d.schema.fields if isinstance(f.dataType, T.StringType) and f.name != "reject"}
     d = d.na.fill(fills)
     if "date" in d.columns:
         d = d.withColumn("month", F.date_format("date", "yyyy-MM"))
@@ -193,14 +208,17 @@ def prep_cashflow(df: DataFrame) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, col: str, out: str, start: int = 0) -> DataFrame:
-    """Rank of each distinct value in sorted order (LabelEncoder semantics),
-    computed distributed: sorted distinct values are numbered with
-    ``zipWithIndex`` (no single-task global window), then joined back."""
-    spark = df.sparkSession
-    vals = df.select(F.col(col).cast("string").alias("__v")).distinct().orderBy("__v")
-    rdd = vals.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + start))
-    codes = spark.createDataFrame(rdd, T.StructType([T.StructField("__v", T.StringType()),
-                                                     T.StructField(out, T.LongType())]))
+    """Rank of each distinct value in sorted order (LabelEncoder semantics):
+    distinct values are dealt by their first two characters, ranked inside each
+    such group, and the groups' sizes are added up in order (one row per group)."""
+    vals = df.select(F.col(col).cast("string").alias("__v")).distinct().withColumn(
+        "__g", F.coalesce(F.substring("__v", 1, 2), F.lit("")))
+    sizes = vals.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__g").orderBy(F.col("__v").asc_nulls_first())) - 1
+    codes = (vals.withColumn("__nth", nth).join(sizes, "__g")
+             .select("__v", (F.col("__before") + F.col("__nth") + start).cast("long").alias(out)))
     return df.join(codes, F.col(col).cast("string").eqNullSafe(F.col("__v")), "left").drop("__v")
 
 

@@ -17,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
 from ledgerlens.functions.windows import bucketed_prev, bucketed_running_sum
+from ledgerlens.operators.standardize import inferred_date
 
 LINE_BUCKET = 4096          # lines per ordering bucket of a document
 
@@ -135,7 +137,7 @@ def layout_merchant(desc: Column, ttype: Column) -> Column:
     """PURCHASE by pattern; UPI: '/'-parts 4, 3, 2 first non-numeric;
     IMPS / NEFT: third line."""
     d = C.strip(desc)
-    purchase = F.regexp_extract(d, r"(?is)^PURCHASE\s+(.+?)(?:\s{2,}|\s+IN\s|\s+\d{2}:\d{2}:\d{2})", 1)
+    purchase = F.regexp_extract(d, r"(?i)^PURCHASE\s+(.+?)(?:\s{2,}|\s+IN\s|\s+\d{2}:\d{2}:\d{2})", 1)
     parts = F.filter(F.transform(F.split(d, "/"), lambda x: C.strip(x)), lambda x: x != "")
     def part(i):
         v = F.try_element_at(parts, F.lit(i + 1))
@@ -195,14 +197,14 @@ CTX_DATE = r"\b(\d{2}[-./]\d{2}[-./]\d{4})\b"
 CTX_AMOUNT = r"(?<!\d)(\d{1,3}(?:,\d{2,3})+\.\d{2})(?!\d)"
 CTX_REF = r"\b[A-Z]?\d{8,}\b"
 CTX_MODE = r"(?i)\b(NEFT|UPI|IMPS|RTGS|ATM|CASH|CHEQUE|POS)\b"
-BAL_THRESHOLD = 500_000
-NOISE = ("THE", "AND", "FOR", "PVT", "LTD", "OAV", "OAW", "EFT", "NEFT", "UPI", "BANK", "INDIA", "eee", "eet",
-         "Toe", "aaa", "ooo", "www", "nnn", "O/W", "OW", "AV", "AG", "NA", "pvt", "ltd", "SERVICES")
+NOISE = ("THE", "AND", "FOR", "PVT", "LTD", "OAV", "OAW", "EFT", "NEFT", "UPI", "BANK", "INDIA",
+         "O/W", "OW", "AV", "AG", "NA", "SERVICES")
 
 
-def clean_narration(text: Column, max_words: int = 8) -> Column:
+def clean_narration(text: Column, max_words: int | None = 8) -> Column:
     """Strip dates, references, amounts, punctuation and bare numbers;
-    keep tokens of >= 3 chars with a letter that are not noise; first 8."""
+    keep tokens of >= 3 chars with a letter that are not noise; the first
+    ``max_words`` (None: all)."""
     t = F.regexp_replace(text, CTX_DATE, " ")
     t = F.regexp_replace(t, CTX_REF, " ")
     t = F.regexp_replace(t, CTX_AMOUNT, " ")
@@ -210,42 +212,56 @@ def clean_narration(text: Column, max_words: int = 8) -> Column:
     t = F.regexp_replace(t, r"\b\d+\b", " ")
     toks = F.filter(F.split(C.strip(t), r"\s+"),
                     lambda x: (F.length(x) >= 3) & x.rlike("[A-Za-z]") & ~F.upper(x).isin(*NOISE))
-    out = F.array_join(F.slice(toks, 1, max_words), " ")
+    out = F.array_join(toks if max_words is None else F.slice(toks, 1, max_words), " ")
     return F.when(C.strip(out) != "", out).otherwise(F.lit("UNKNOWN"))
 
 
-def parse_context(lines: DataFrame) -> DataFrame:
+def context_rows(lines: DataFrame, cfg: Config = Config()) -> DataFrame:
     """A line with a date is a transaction; when it has no amount the
-    next one or two lines are searched; amounts below 500 000 are transaction
-    amounts (last one taken), larger ones the balance (negated); context =
-    previous + current (+ next when undated) for narration and mode.  A
+    next one or two lines are searched; amounts below ``context_balance_from``
+    are transaction amounts (last one taken), larger ones the balance (negated);
+    context = previous + current (+ next when undated) for narration and mode.
+    ``reject`` says why a dated line is no transaction (else null).  A
     statement document is bounded (one export), so lead/lag run per document."""
+    ctx_amount = cfg.context_amount_pattern
     from pyspark.sql import Window
     d = lines.withColumn("text", C.strip("text")).where(F.col("text") != "")
     w = Window.partitionBy("doc_id").orderBy("line_no")
     d = d.withColumns({"__p1": F.lag("text", 1).over(w), "__n1": F.lead("text", 1).over(w),
                        "__n2": F.lead("text", 2).over(w)})
     d = d.withColumn("__date", F.regexp_extract("text", CTX_DATE, 1)).where(F.col("__date") != "")
-    has = lambda c: c.rlike(CTX_AMOUNT)
+    has = lambda c: c.rlike(ctx_amount)
     s1 = F.when(has(F.col("text")) | F.col("__n1").isNull(), F.col("text")).otherwise(F.concat_ws(" ", "text", "__n1"))
     s2 = F.when(has(s1) | F.col("__n2").isNull(), s1).otherwise(F.concat_ws(" ", s1, F.col("__n2")))
-    amts = F.transform(F.regexp_extract_all(s2, F.lit(CTX_AMOUNT), 1),
+    amts = F.transform(F.regexp_extract_all(s2, F.lit(ctx_amount), 1),
                        lambda a: F.regexp_replace(a, ",", "").try_cast("double"))
     d = d.withColumn("__amts", F.filter(amts, lambda f: f.isNotNull() & (f > 0.5)))
-    d = d.withColumns({"__small": F.filter("__amts", lambda f: f < BAL_THRESHOLD),
-                       "__large": F.filter("__amts", lambda f: f >= BAL_THRESHOLD)})
-    d = d.where(F.size("__small") > 0)
+    d = d.withColumns({"__small": F.filter("__amts", lambda f: f < cfg.context_balance_from),
+                       "__large": F.filter("__amts", lambda f: f >= cfg.context_balance_from)})
     ctx = F.concat_ws(" ", F.col("__p1"), F.col("text"),
                       F.when(~F.coalesce(F.col("__n1").rlike(CTX_DATE), F.lit(True)), F.col("__n1")))
     mode = F.upper(F.regexp_extract(ctx, CTX_MODE, 1))
     return d.select(
         "doc_id", "line_no",
         F.regexp_replace(F.col("__date"), r"[./]", "-").alias("date"),
-        F.round(F.element_at("__small", -1), 2).alias("amount"),
-        clean_narration(ctx).alias("narration"),
-        F.when(F.size("__large") > 0, F.round(-F.element_at("__large", -1), 2)).alias("balance"),
+        F.round(F.try_element_at("__small", F.lit(-1)), 2).alias("amount"),
+        clean_narration(ctx, cfg.context_narration_words).alias("narration"),
+        F.when(F.size("__large") > 0, F.round(-F.try_element_at("__large", F.lit(-1)), 2)).alias("balance"),
         F.when(mode != "", mode).otherwise(F.lit("NEFT")).alias("mode"),
-        F.lit("DEBIT").alias("debit_credit"))
+        F.lit("DEBIT").alias("debit_credit"),
+        clean_narration(ctx, None).alias("narration_full"), "text",
+        F.when(F.size("__amts") == 0, "no amount").when(F.size("__small") == 0, "balance only").alias("reject"))
+
+
+def parse_context(lines: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """The transactions of :func:`context_rows`."""
+    return context_rows(lines, cfg).where(F.col("reject").isNull()).drop("reject", "text", "narration_full")
+
+
+def context_rejects(lines: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Dated lines that are no transaction, with the reason."""
+    return context_rows(lines, cfg).where(F.col("reject").isNotNull()).select(
+        "doc_id", "line_no", "date", "text", "narration_full", "reject")
 
 
 def dedupe_first(parsed: DataFrame, order: str = "line_no") -> DataFrame:
@@ -297,7 +313,7 @@ def parse_dates_day_first(c: Column) -> Column:
     """Six day-first formats in order, then inference."""
     s = C.strip(c.cast("string"))
     return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in DAY_FIRST_FORMATS],
-                      F.to_date(F.try_to_timestamp(s)))
+                      inferred_date(s))
 
 
 def merge_table_rows(cells: DataFrame, chosen: DataFrame) -> DataFrame:

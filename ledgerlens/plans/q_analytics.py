@@ -14,14 +14,28 @@ DEBIT = "trim(debit_credit) = 'Debit'"
 CREDIT = "trim(debit_credit) = 'Credit'"
 
 
-@register("profile_table", with_txn("""
-SELECT count(*) AS rows, 3 AS columns,
-       (count(*) - count(account_id)) + (count(*) - count(date)) + (count(*) - count(mode)) AS total_nulls,
-       count(*) - (SELECT count(*) FROM (SELECT DISTINCT account_id, date, mode FROM txn)) AS duplicate_rows
+_ALL_NULLS = " + ".join(f"(count(*) - count({c}))" for c in CANON)
+
+
+@register("profile_table", with_txn(f"""
+SELECT count(*) AS rows, {len(CANON)} AS columns, {_ALL_NULLS} AS total_nulls,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(CANON)} FROM txn)) AS duplicate_rows
 FROM txn"""))
 def profile_table(spark, sf_dir):
-    """Rows, columns, null cells and duplicate rows of (account, date, mode)."""
-    return A.profile_table(txn(spark, sf_dir).select("account_id", "date", "mode"))
+    """Rows, columns, null cells and duplicate rows of the whole table."""
+    return A.profile_table(txn(spark, sf_dir))
+
+
+@register("profile_table_edges", with_txn(f"""
+SELECT count(*) AS rows, {len(CANON)} AS columns, {_ALL_NULLS} AS total_nulls,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(CANON)} FROM e)) AS duplicate_rows
+FROM e""", f"""e AS (SELECT {", ".join(f"CASE WHEN seq % 5 = 0 THEN NULL ELSE {c} END AS {c}" if c == "merchant" else c for c in CANON)}
+FROM (SELECT * FROM txn UNION ALL SELECT * FROM txn WHERE seq % 10 = 3))"""))
+def profile_table_edges(spark, sf_dir):
+    """The same over a table with repeated rows and empty merchants."""
+    t = txn(spark, sf_dir)
+    e = t.unionByName(t.where(F.pmod(F.col("seq"), F.lit(10)) == 3))
+    return A.profile_table(e.withColumn("merchant", F.when(F.pmod(F.col("seq"), F.lit(5)) != 0, F.col("merchant"))))
 
 
 _TYPES = {"account_id": "bigint", "txn_id": "string", "seq": "bigint", "ts": "timestamp",

@@ -39,13 +39,28 @@ def src_statement_csv(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("total_amount"))
 
 
-@register("src_training_csv")
-def src_training_csv(spark, sf_dir):
-    """Labelled CSV load with a stable 1 000-row sample; class counts (rows-only)."""
+def _training_csv(spark, sf_dir):
     path = scratch(spark, "training")
     SS.render_training_a(txn(spark, sf_dir)).drop("seq").write.option("header", True).csv(path)
-    d = ST.map_training_format(SS.load_training(spark, path, sample=1000))
-    return d.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("count"))
+    return path
+
+
+@register("src_training_csv", with_txn("""
+SELECT CASE WHEN amount > 20000 OR ((seq * 7919) % 1000) < 20 THEN 1 ELSE 0 END AS is_fraud, count(*) AS count,
+       CAST(sum(amount) AS DOUBLE) AS total_amount FROM txn GROUP BY 1"""))
+def src_training_csv(spark, sf_dir):
+    """Labelled CSV load of every row: class counts and amounts."""
+    d = ST.map_training_format(SS.load_training(spark, _training_csv(spark, sf_dir)))
+    return d.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("count"),
+                                     F.sum(F.col("amount").cast("decimal(18,2)")).alias("total_amount"))
+
+
+@register("src_training_csv_sample", with_txn("""
+SELECT least(1000, count(*)) AS rows FROM txn"""))
+def src_training_csv_sample(spark, sf_dir):
+    """The stable 1 000-row sample of the labelled CSV (a feature of the loader)."""
+    d = ST.map_training_format(SS.load_training(spark, _training_csv(spark, sf_dir), sample=1000))
+    return d.agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("sink_transactions", with_txn("""
@@ -152,23 +167,25 @@ def union_training(spark, sf_dir):
 
 @register("fraud_type_model")
 def fraud_type_model(spark, sf_dir):
-    """Multiclass fraud-type forest on layout-A class codes; predicted names
-    through the bounded class map, 'Normal' below a score of 41 (rows-only)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    d = ST.map_training_format(SS.render_training_a(txn(spark, sf_dir)))
-    feats = ["amount", "hour", "day_of_week", "is_weekend", "month", "balance_after", "balance_before", "anomaly_score_raw"]
-    rf = RandomForestClassifier(labelCol="fraud_type_label", featuresCol="f", numTrees=50, maxDepth=8, seed=42)
-    model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="f"), rf]).fit(d)
-    classes = (SS.render_training_a(txn(spark, sf_dir)).select("fraud_type").distinct()
-               .where(F.col("fraud_type") != "none"))
-    cmap = ST.dense_codes(classes, "fraud_type", "code", start=1).withColumnRenamed("fraud_type", "fraud_type_name")
-    p = model.transform(d).withColumn("code", F.col("prediction").cast("long"))
-    p = p.join(F.broadcast(cmap), "code", "left")        # one row per class: bounded
-    score = F.when(F.col("is_fraud") == 1, 60.0).otherwise(10.0)
-    return p.select("account_id", "seq", F.when(score >= 41, F.coalesce("fraud_type_name", F.lit("Normal")))
-                    .otherwise("Normal").alias("fraud_type_predicted"))
+    """Learned fraud type inside scoring: a multiclass forest on the model features, trained on the
+    training part of layout A's classes, names the type of the held-out rows whose ML score
+    reaches the threshold (rows-only)."""
+    from ledgerlens.operators import features as FE
+    from ledgerlens.operators import ml as ML
+    from ledgerlens.operators import scoring as S
+    raw = SS.render_training_a(txn(spark, sf_dir))
+    labels = ST.map_training_format(raw).select("account_id", "seq", "fraud_type_label")
+    d = FE.engineer_features(txn(spark, sf_dir)).join(labels, ["account_id", "seq"])
+    train, test = ML.stratified_split(d, label="fraud_type_label")
+    codes = ST.dense_codes(raw.select("fraud_type").distinct(), "fraud_type", "code", start=1)
+    names = {r["code"]: r["fraud_type"] for r in codes.orderBy("code").limit(1000).collect()}       # one row per class
+    names[0] = "Normal"
+    model, names = ML.train_fraud_type(train, names)
+    models = ML.FraudModels(fraud_type=model, type_names=names)
+    held = txn(spark, sf_dir).join(test.select("account_id", "seq"), ["account_id", "seq"], "left_semi")
+    # without the other models the score stays low: the threshold of the fused score scaled down
+    s = S.score_transactions(held, Config(fraud_type_threshold=10.0), models=models)
+    return s.select("account_id", "seq", "fraud_type_predicted")
 
 
 @register("map_predict_format", with_txn("""

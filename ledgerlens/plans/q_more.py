@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import ml as ML
+from ledgerlens.operators import scoring as S
 from ledgerlens.operators import standardize as ST
 from ledgerlens.plans.q_keys import project
 from ledgerlens.plans.registry import register
@@ -37,6 +38,41 @@ def feat_anomaly_raw(spark, sf_dir):
     return FE.engineer_features(txn(spark, sf_dir)).select("account_id", "seq", "anomaly_score_raw")
 
 
+_SIGNALS = ("(seq % 97) / 97.0", "(seq % 53) * 1.5", "(seq % 31) * 0.25")
+
+
+def _with_signals(spark, sf_dir, names):
+    """The transactions with provided signals in text, as an upstream system would send them."""
+    n = lambda m: F.pmod(F.col("seq"), F.lit(m))
+    given = {"anomaly_score": n(97) / 97.0, "spending_deviation_score": n(53) * 1.5, "geo_anomaly_score": n(31) * 0.25}
+    return txn(spark, sf_dir).withColumns({k: given[k].cast("string") for k in names})
+
+
+@register("feat_anomaly_given", with_txn(f"SELECT account_id, seq, {_SIGNALS[0]} AS anomaly_score_raw FROM txn"))
+def feat_anomaly_given(spark, sf_dir):
+    """A provided anomaly score becomes the model's feature."""
+    return FE.engineer_features(_with_signals(spark, sf_dir, ["anomaly_score"])).select("account_id", "seq", "anomaly_score_raw")
+
+
+@register("score_spending_given", with_txn(f"""
+SELECT account_id, seq, round(least({_SIGNALS[1]} / (max({_SIGNALS[1]}) OVER (PARTITION BY account_id) + 1e-9), 1.0), 9) AS score
+FROM txn"""))
+def score_spending_given(spark, sf_dir):
+    """A provided spending deviation score replaces the amount's deviation."""
+    s = S.score_transactions(_with_signals(spark, sf_dir, ["spending_deviation_score"]))
+    return s.select("account_id", "seq", F.round("score_spending_dev", 9).alias("score"))
+
+
+@register("score_geo_given", with_txn(f"""
+SELECT account_id, seq, round(least((least(abs((a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-9)) / 5.0, 1.0)
+  + least(g / (max(g) OVER w + 1e-9), 1.0)) / 2.0, 1.0), 9) AS score
+FROM (SELECT account_id, seq, CAST(amount AS DOUBLE) AS a, {_SIGNALS[2]} AS g FROM txn) WINDOW w AS (PARTITION BY account_id)"""))
+def score_geo_given(spark, sf_dir):
+    """A provided geo anomaly score is averaged with the amount's deviation."""
+    s = S.score_transactions(_with_signals(spark, sf_dir, ["geo_anomaly_score"]))
+    return s.select("account_id", "seq", F.round("score_spending_dev", 9).alias("score"))
+
+
 @register("feat_vector")
 def feat_vector(spark, sf_dir):
     """The 21 features assembled into one vector (size and norm per row; rows-only)."""

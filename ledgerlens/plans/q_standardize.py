@@ -52,19 +52,60 @@ def type_transactions(spark, sf_dir):
     return t.select("account_id", "seq", "amount", "balance", "ts")
 
 
+def _g1_export(spark, sf_dir):
+    """The raw export with plain decimal amounts, and thousands separators on every seventh row."""
+    plain = F.col("amount").cast("string")
+    t = txn(spark, sf_dir)
+    raw = SS.render_layout_a(t).drop("amount")
+    amount = F.when(F.pmod(F.col("seq"), F.lit(7)) == 0, F.format_number(F.col("amount").cast("double"), 2)).otherwise(plain)
+    return raw.join(t.select("account_id", "seq", amount.alias("amount")), ["account_id", "seq"])
+
+
 @register("clean_g1", with_txn("""
 SELECT account_id, seq, upper(debit_credit) AS debit_credit, mode AS transaction_type,
        CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance,
        strftime(date, '%Y-%m-%d') AS date, narration AS merchant, strftime(date, '%Y-%m') AS month
-FROM txn WHERE amount < 1000"""))
+FROM txn WHERE NOT (seq % 7 = 0 AND amount >= 1000)"""))
 def clean_g1(spark, sf_dir):
-    """Statement-demo cleaning: rename, coerce (comma amounts are unparseable
-    and dropped, as in the original), fill, month, upper-case labels."""
-    d = ST.clean_g1(SS.render_layout_a(txn(spark, sf_dir)))
+    """Statement-demo cleaning: rename, coerce, fill, month, upper-case labels."""
+    d = ST.clean_g1(_g1_export(spark, sf_dir))
     return d.select("account_id", "seq", "debit_credit", "transaction_type", "amount", "balance", "date",
                     "merchant", "month")
 
 
+@register("clean_g1_rejects", with_txn("""
+SELECT account_id, seq, 'amount is no number: ' || format('{:,.2f}', CAST(amount AS DOUBLE)) AS reject
+FROM txn WHERE seq % 7 = 0 AND amount >= 1000"""))
+def clean_g1_rejects(spark, sf_dir):
+    """Rows whose amount is no plain number (thousands separators, as in the original), with the reason."""
+    return ST.rejects_g1(_g1_export(spark, sf_dir)).select("account_id", "seq", "reject")
+
+
+# messy inputs by row number: bare times, null and year-first dates, doubles of ten million and more
+_MESSY = 11
+
+
+@register("std_messy", with_txn("""
+SELECT account_id, seq,
+       CASE seq % 11 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE strftime(date, '%Y-%m-%d') END AS date,
+       CASE seq % 11 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE strftime(date, '%Y-%m-%d') || ' ' || strftime(ts, '%H:%M:%S') END AS ts,
+       CAST(CASE WHEN seq % 11 = 3 THEN CAST(amount AS DOUBLE) * 100000 ELSE CAST(amount AS DOUBLE) END AS DOUBLE) AS money
+FROM txn"""))
+def std_messy(spark, sf_dir):
+    """Bare times and null dates give no date and no timestamp; money given as a
+    double keeps its size when it prints with an exponent."""
+    t = txn(spark, sf_dir)
+    n = F.pmod(F.col("seq"), F.lit(_MESSY))
+    raw = t.select("account_id", "seq",
+                   F.when(n == 0, F.date_format("ts", "HH:mm")).when(n == 1, F.lit(None)).when(
+                       n == 2, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "dd-MM-yyyy")).alias("Date"),
+                   F.date_format("ts", "HH:mm:ss").alias("Time"),
+                   F.when(n == 3, F.col("amount").cast("double") * 100000).otherwise(F.col("amount").cast("double")).alias("Amount"))
+    typed = ST.type_transactions(ST.standardize(raw.select("account_id", "seq", "Date", "Time"), keep=KEEP))
+    money = raw.select("account_id", "seq", C.money(F.col("Amount")).alias("money"))
+    return typed.select("account_id", "seq", "date", "ts").join(money, ["account_id", "seq"])
+
+
 @register("map_training_format", with_txn("""
 SELECT account_id, seq, CAST(amount AS DOUBLE) AS amount, fraud AS is_fraud,
        CASE WHEN fraud = 0 THEN 0 ELSE CASE ft WHEN 'account_takeover' THEN 1 WHEN 'card_fraud' THEN 2

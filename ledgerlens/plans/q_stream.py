@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import Config
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.sqlparts import with_txn
+from ledgerlens.plans.stream_run import StreamRun
 from ledgerlens.streaming import stream as ST
 
 FIX = Config.fixture()
@@ -16,7 +17,7 @@ DEF = Config()
 
 
 def _run(spark, sf_dir, name, fn, mode="append"):
-    return ST.StreamRun(spark, sf_dir, name).run(fn, mode)
+    return StreamRun(spark, sf_dir, name).run(fn, mode)
 
 
 @register("st_daily_volume", with_txn("""

@@ -97,6 +97,16 @@ def txt_parse_context(spark, sf_dir):
     return TL.dedupe_first(p)
 
 
+@register("txt_context_rejects", with_txn("""
+SELECT account_id AS doc_id, seq * 2 AS line_no, strftime(date, '%d-%m-%Y') AS date,
+       'balance only' AS reject
+FROM txn WHERE amount < 1000 OR amount >= 500000"""))
+def txt_context_rejects(spark, sf_dir):
+    """Dated context lines whose amount carries no comma group, or is as large as a
+    balance: not dropped silently, but returned with the reason."""
+    return TL.context_rejects(lines_table(spark, sf_dir, "context")).select("doc_id", "line_no", "date", "reject")
+
+
 @register("txt_header_map", with_txn("""
 SELECT account_id AS doc_id, c.col_idx, c.field FROM (SELECT DISTINCT account_id FROM txn) d,
   (VALUES (0, 'date'), (1, 'narration'), (2, 'debit'), (3, 'credit'), (4, 'balance')) c(col_idx, field)"""))

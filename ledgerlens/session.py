@@ -82,12 +82,15 @@ def ship_package(spark: SparkSession) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` when set;
-    otherwise (local tests only) a fresh scratch folder under /tmp."""
+    otherwise, on a local master only, a fresh scratch folder under /tmp.  Without a
+    shared folder a cluster's stage tables would be lost, so that raises."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -101,16 +104,21 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
-def _fingerprint(paths) -> str:
+def _fingerprint(spark: SparkSession, paths) -> str:
+    """Hash of every file below ``paths`` (name, size, modification time), listed through
+    the Hadoop FileSystem of the path; what cannot be listed raises."""
     import hashlib
     h = hashlib.sha1()
+    conf = spark._jsc.hadoopConfiguration()
     for p in paths:
-        h.update(str(p).encode())
-        try:
-            st = os.stat(p)
-            h.update(f"{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:
-            pass
+        path = spark._jvm.org.apache.hadoop.fs.Path(str(p))
+        files = path.getFileSystem(conf).listFiles(path, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+        for line in [str(p), *sorted(found)]:
+            h.update(line.encode())
     return h.hexdigest()[:16]
 
 
@@ -137,9 +145,11 @@ def code_fingerprint() -> str:
 def materialized(spark: SparkSession, name: str, inputs, build, key_extra: str = ""):
     """Persist a derived table once as Parquet under the shared checkpoint
     folder and read it back (lineage cut, executor-loss safe, scans get
-    pushdown).  The key covers the input files (size, mtime) and parameters,
-    so a changed input is rebuilt."""
-    key = f"{name}-{_fingerprint(list(inputs) + [key_extra, code_fingerprint()])}"
+    pushdown).  The key covers every input file (name, size, modification time),
+    the parameters and the code, so a changed input is rebuilt."""
+    import hashlib
+    own = hashlib.sha1(f"{key_extra}|{code_fingerprint()}".encode()).hexdigest()[:8]
+    key = f"{name}-{_fingerprint(spark, list(inputs))}-{own}"
     path = os.path.join(checkpoint_dir(spark), "ledgerlens-tables", key)
     if not _exists(spark, path.rstrip("/") + "/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)

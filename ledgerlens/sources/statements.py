@@ -9,7 +9,7 @@ turn canonical transactions into the raw layouts the standardizer accepts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,14 +20,25 @@ def planted_fraud() -> F.Column:
 
 def read_statements(spark: SparkSession, path: str, require_rows: bool = True) -> DataFrame:
     """Header CSV(s) -> string columns + ``source_file`` / ``account_id``
-    (file stem) + ``seq`` (row order inside the file: the reader keeps file
-    order within a split; the id is built from file and row position)."""
+    (file stem) + ``seq``: the rows of a file numbered in file order, which is the
+    same however the reader splits or packs files.
+
+    A split begins at ``_metadata.file_block_start`` and the reader keeps file order
+    inside it, so a row's place is (file, split start, place in the split); the
+    numbers of the splits of one file add up (one row per split)."""
     df = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
           .csv(path))
     df = df.withColumn("source_file", F.col("_metadata.file_path"))
     if "account_id" not in df.columns:      # no account=... folders: one file per account
         df = df.withColumn("account_id", F.regexp_extract("source_file", r"([^/]+?)(\.[^./]*)?$", 1))
-    df = df.withColumn("seq", F.monotonically_increasing_id())   # assigned at scan time, before any shuffle
+    # the scan id grows with the place inside a task, and a split is read by one task
+    df = df.withColumns({"__id": F.monotonically_increasing_id(), "__at": F.col("_metadata.file_block_start")})
+    df = df.withColumn("__nth", F.row_number().over(Window.partitionBy("source_file", "__at").orderBy("__id")))
+    sizes = df.groupBy("source_file", "__at").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.partitionBy("source_file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("source_file", "__at", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    df = (df.join(sizes, ["source_file", "__at"])
+          .withColumn("seq", (F.col("__before") + F.col("__nth") - 1).cast("long")).drop("__id", "__at", "__nth", "__before"))
     if require_rows and df.isEmpty():
         raise ValueError(f"no transaction records in {path}")
     return df
@@ -180,10 +191,11 @@ def render_table_cells(txn: DataFrame):
 
 def load_training(spark: SparkSession, path: str, sample: int | None = None, seed: int = 42) -> DataFrame:
     """Labelled CSV; optional stable N-row sample (rows ordered by a seeded
-    hash of their scan id, then a top-N: TakeOrderedAndProject, no full sort)."""
+    hash of their content, then a top-N: TakeOrderedAndProject, no full sort)."""
     df = read_statements(spark, path)
     if sample:
-        df = df.orderBy(F.xxhash64(F.col("seq"), F.lit(seed))).limit(sample)
+        content = [c for c in df.columns if c not in ("seq", "source_file", "account_id")]
+        df = df.orderBy(F.xxhash64(*content, F.lit(seed)), *content).limit(sample)
     return df
 
 

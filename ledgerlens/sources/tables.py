@@ -78,7 +78,7 @@ def txn_from_events(events: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def _src(sf_dir: str, *names: str) -> list[str]:
-    return [os.path.join(os.path.abspath(sf_dir), f"{n}.parquet") for n in names]
+    return [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
 
 
 def txn(spark: SparkSession, sf_dir: str, cfg: Config = Config(), materialize: bool = True) -> DataFrame:

@@ -6,35 +6,23 @@ carries a watermark; ``st_rapid`` and ``st_velocity`` keep per-account state
 with ``applyInPandasWithState`` and event-time timeouts, so a +/- window that
 needs future rows is emitted once the watermark has passed ts + half-window.
 
-Sinks: ``foreachBatch`` writing each micro-batch to ``<out>/batch=<id>`` with
-overwrite (idempotent on replay).  Checkpoints live under the session's
-shared checkpoint folder.
+The operators take and return streaming DataFrames; how they are fed and
+where they are written is the caller's business.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlens.config import Config
-from ledgerlens.session import checkpoint_dir
-from ledgerlens.sources.tables import MONEY, _mode_expr, read_table
+from ledgerlens.sources.tables import MONEY, _mode_expr
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-SENTINEL_ACCOUNT = -1
-
-
-def heartbeat() -> F.Column:
-    """Heartbeat rows (account -1) advance the watermark; every filter keeps
-    them (a filter is pushed below the watermark node when it does not touch
-    the event time) and the sink drops them."""
-    return F.col("account_id") == SENTINEL_ACCOUNT
 
 
 def txn_stream(raw: DataFrame) -> DataFrame:
@@ -50,52 +38,6 @@ def txn_stream(raw: DataFrame) -> DataFrame:
         merchant.alias("merchant"), F.concat(mode, F.lit("/"), merchant).alias("narration"))
 
 
-class StreamRun:
-    """Feeds the events table into a file-stream folder, then two far-future
-    sentinel events (account -1) so the watermark passes every real event and
-    all windows / timers flush; collects the sink folder as a DataFrame."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, name: str):
-        self.spark = spark
-        self.root = os.path.join(checkpoint_dir(spark), "ledgerlens-stream", f"{name}-{uuid.uuid4().hex[:8]}")
-        self.inp, self.out, self.ckpt = (os.path.join(self.root, p) for p in ("in", "out", "ckpt"))
-        self.events = read_table(spark, sf_dir, "events")
-
-    def _sentinel(self, days: int) -> None:
-        mx = self.events.agg(F.max("ts").alias("m"))
-        s = mx.select(F.lit(-days).cast("long").alias("event_id"),
-                      (F.col("m") + F.expr(f"INTERVAL {days * 10} DAYS")).alias("ts"),
-                      F.lit(SENTINEL_ACCOUNT).cast("long").alias("user_id"), F.lit("view").alias("event_type"),
-                      F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props"))
-        s.write.mode("append").parquet(self.inp)
-
-    def run(self, build: Callable[[DataFrame], DataFrame], output_mode: str = "append") -> DataFrame:
-        self.events.write.mode("append").parquet(self.inp)
-        src = (self.spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1000).parquet(self.inp))
-        out_df = build(txn_stream(src))
-        out = self.out
-
-        def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-        q = (out_df.writeStream.outputMode(output_mode).foreachBatch(sink)
-             .option("checkpointLocation", self.ckpt).start())
-        try:
-            q.processAllAvailable()
-            self._sentinel(1)
-            q.processAllAvailable()
-            self._sentinel(2)
-            q.processAllAvailable()
-        finally:
-            q.stop()
-        try:
-            res = self.spark.read.parquet(out)
-        except Exception:  # noqa: BLE001 - no batch produced rows
-            return self.spark.createDataFrame([], out_df.schema)
-        if "account_id" in res.columns:
-            res = res.where(F.col("account_id") != SENTINEL_ACCOUNT)
-        return res.drop("batch")
-
-
 # ----------------------------------------------------------------- operators
 def st_daily_volume(s: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Tumbling day totals per account, emitted when the watermark closes the day."""
@@ -111,7 +53,7 @@ def st_stateless_rules(s: DataFrame, cfg: Config = Config(), threshold: float =
     flags = {"late_night": (a >= cfg.late_night_min_amount) & ((h >= cfg.late_night_start_hour) | (h < cfg.late_night_end_hour)),
              "high_value": a > threshold, "near_threshold": (a >= 9000) & (a <= 9999)}
     d = s.withColumns({k: v for k, v in flags.items()})
-    return d.where(F.col("late_night") | F.col("high_value") | F.col("near_threshold") | heartbeat()).select(
+    return d.where(F.col("late_night") | F.col("high_value") | F.col("near_threshold")).select(
         "account_id", "seq", "amount", "late_night", "high_value", "near_threshold")
 
 
@@ -121,7 +63,7 @@ def st_dedupe(s: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def st_structuring(s: DataFrame, window: str = "6 days", slide: str = "1 day") -> DataFrame:
     """Sliding-window counts / sums of near-threshold amounts per account."""
-    near = s.withWatermark("ts", "1 day").where(((F.col("amount") >= 9000) & (F.col("amount") <= 9999)) | heartbeat())
+    near = s.withWatermark("ts", "1 day").where((F.col("amount") >= 9000) & (F.col("amount") <= 9999))
     g = (near.groupBy("account_id", F.window("ts", window, slide))
          .agg(F.count(F.lit(1)).alias("near_count"), F.sum("amount").alias("near_total")))
     return g.select("account_id", F.col("window.start").alias("window_start"), "near_count", "near_total")
@@ -131,8 +73,7 @@ def st_episodes(s: DataFrame, cfg: Config = Config(), gap: str = "24 hours") ->
     """Sessions of late-night-flagged rows per account (session window)."""
     h = F.hour("ts")
     flagged = s.withWatermark("ts", "1 day").where(
-        ((F.col("amount") >= cfg.late_night_min_amount) & ((h >= cfg.late_night_start_hour) | (h < cfg.late_night_end_hour)))
-        | heartbeat())
+        (F.col("amount") >= cfg.late_night_min_amount) & ((h >= cfg.late_night_start_hour) | (h < cfg.late_night_end_hour)))
     g = (flagged.groupBy("account_id", F.session_window("ts", gap))
          .agg(F.count(F.lit(1)).alias("txn_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
     return g.select("account_id", "txn_count", "first_ts", "last_ts")
@@ -189,35 +130,46 @@ def st_rapid(s: DataFrame, cfg: Config = Config(), delay: str = "10 minutes") ->
     """Burst rule on a stream: per-account state of recent events; a row is
     decided once the watermark passes ts + half window (exact, no lookahead cap)."""
     half_us = int(cfg.rapid_window_minutes * 60 * 1_000_000 / 2)
-    d = s.where((F.length("time") > 0) | heartbeat()).select("account_id", "seq", "ts").withWatermark("ts", delay)
+    d = s.where((F.length("time") > 0)).select("account_id", "seq", "ts").withWatermark("ts", delay)
     return d.groupBy("account_id").applyInPandasWithState(
         _rapid_state(half_us, cfg.rapid_burst_threshold), "account_id long, seq long, rapid_count long",
         _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _velocity_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last_ts = state.get[0] if state.exists else None
-    frames = [p for p in pdfs]
-    if not frames:
-        return
-    rows = pd.concat(frames)
-    rows = rows.assign(us=_us(rows["ts"])).sort_values(["us", "seq"])
-    prev = rows["us"].shift(1).astype("float64")
-    if last_ts is not None:
-        prev.iloc[0] = float(last_ts)
-    gap = (rows["us"] - prev) / 1e6
-    g = gap.fillna(3600.0)
-    vel = [1.0 if x < 60 else 0.7 if x < 300 else 0.4 if x < 900 else 0.2 if x < 3600 else 0.0 for x in g]
-    state.update((int(rows["us"].iloc[-1]), int(rows["seq"].iloc[-1])))
-    yield pd.DataFrame({"account_id": [key[0]] * len(rows), "seq": rows["seq"].to_numpy(),
-                        "gap_seconds": gap.to_numpy(), "score_velocity": vel})
-
-
-def st_velocity(s: DataFrame) -> DataFrame:
-    """Gap to the previous event of the account (state = last event);
-    assumes events of an account arrive in time order (late ones are scored
-    against the latest seen)."""
-    d = s.select("account_id", "seq", "ts")
+def _velocity_state(keep_ms: int):
+    """State per account: the latest event seen.  It is dropped once the watermark is
+    ``keep_ms`` past it; an event older than the latest one has no gap (score 0)."""
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        frames = list(pdfs)
+        if not frames:
+            return
+        rows = pd.concat(frames)
+        rows = rows.assign(us=_us(rows["ts"])).sort_values(["us", "seq"])
+        before = rows["us"].shift(1).astype("float64")
+        if last is not None:
+            # among the late rows and across the border: the later of the previous row and the latest event
+            before = before.fillna(float(last)).clip(lower=float(last))
+        gap = (rows["us"] - before) / 1e6
+        gap = gap.where(gap >= 0)
+        g = gap.fillna(3600.0)
+        vel = [1.0 if x < 60 else 0.7 if x < 300 else 0.4 if x < 900 else 0.2 if x < 3600 else 0.0 for x in g]
+        latest = max(int(rows["us"].iloc[-1]), last if last is not None else -(1 << 62))
+        state.update((latest,))
+        state.setTimeoutTimestamp(max(latest // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"account_id": [key[0]] * len(rows), "seq": rows["seq"].to_numpy(),
+                            "gap_seconds": gap.to_numpy(), "score_velocity": vel})
+    return fn
+
+
+def st_velocity(s: DataFrame, delay: str = "10 minutes", keep_hours: int = 24) -> DataFrame:
+    """Gap to the previous event of the account, kept as one row of state per account
+    until the watermark is ``keep_hours`` past its latest event (longer gaps score 0 anyway).
+    Rows behind the watermark are dropped; rows that are merely out of order have no gap."""
+    d = s.select("account_id", "seq", "ts").withWatermark("ts", delay)
     return d.groupBy("account_id").applyInPandasWithState(
-        _velocity_state, "account_id long, seq long, gap_seconds double, score_velocity double",
-        "ts long, seq long", "append", GroupStateTimeout.NoTimeout)
+        _velocity_state(keep_hours * 3_600_000), "account_id long, seq long, gap_seconds double, score_velocity double",
+        "ts long", "append", GroupStateTimeout.EventTimeTimeout)
