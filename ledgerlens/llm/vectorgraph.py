@@ -45,9 +45,9 @@ log = logging.getLogger(__name__)
 class Graph:
     threshold: float = 0.9
     shard_rows: int = 1500          # vectors of a shard at most
-    pivots: int = 48                # that a shard is split by at once, at most
+    pivots: int = 512               # that a shard is split by at once, at most
     overlap: int = 2
-    slack: float = 0.1              # radians beyond the nearest pivot
+    slack: float = 0.05             # radians beyond the nearest pivot
     candidates: int = 48
     degree: int = 24
     alpha: float = 1.2
