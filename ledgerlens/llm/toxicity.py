@@ -143,12 +143,14 @@ def _emission(model: Model, features: np.ndarray) -> np.ndarray:
     return model.weights[features].sum(axis=0) + model.weights[-1]
 
 
-def _doc_features(p: np.ndarray, words: Words) -> np.ndarray:
-    """(texts, 3): bias, log-odds of the strongest token, log of 1 + expected offending tokens."""
-    n = len(words.first) - 1
+def _doc_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, 3): bias, log-odds of the strongest token, log of 1 + expected offending tokens.
+    ``first`` is the first token of each text, and the end."""
+    n = len(first) - 1
     top, count = np.full(n, 1e-6), np.zeros(n)
-    np.maximum.at(top, words.row, p)
-    np.add.at(count, words.row, np.where(p >= 0.5, p, 0.0))
+    text = np.repeat(np.arange(n), np.diff(first))
+    np.maximum.at(top, text, p)
+    np.add.at(count, text, np.where(p >= 0.5, p, 0.0))
     top = np.clip(top, 1e-6, 1 - 1e-6)
     return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(count)], axis=1)
 
@@ -179,12 +181,50 @@ def _spans(p: np.ndarray, words: Words) -> list[list[dict]]:
 
 # ---------------------------------------------------------------- fitting
 
-def token_labels(features: np.ndarray, words: Words, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens are toxic: in toxic texts, those with a value far more common there than by chance."""
+def _word_parts(texts: list[str | None]) -> Iterator[Words]:
+    """The texts' tokens, a bounded part at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    for part in parts(batch):
+        yield tokens(*utf8(part.column("text")))
+
+
+def _token_hashes(words: Words) -> np.ndarray:
+    return Sequences(_BYTE[words.data]).spans(words.start, words.end)
+
+
+def distinct_texts(texts: list[str | None]) -> np.ndarray:
+    """Which texts are not near copies of an earlier one: no band of three MinHashes in common.
+    Texts without tokens do not count as distinct.
+
+    A copied text would make all of its words look typical of its label."""
+    low, at, n = [], [], 0
+    for words in _word_parts(texts):
+        filled = np.flatnonzero(np.diff(words.first))
+        if len(filled):
+            h = _token_hashes(words)
+            low.append(np.stack([np.minimum.reduceat(mix64(h ^ np.uint64(0x9E37 * (k + 1))), words.first[filled])
+                                 for k in range(12)]))
+            at.append(filled + n)
+        n += len(words.first) - 1
+    fresh = np.zeros(len(texts), dtype=bool)
+    if at:
+        at, low = np.concatenate(at), np.concatenate(low, axis=1)
+        fresh[at] = True
+        for band in range(0, 12, 3):
+            _, nth = np.unique(low[band:band + 3], axis=1, return_index=True)
+            again = np.ones(len(at), dtype=bool)
+            again[nth] = False
+            fresh[at[again]] = False
+    return fresh
+
+
+def token_labels(features: np.ndarray, pairs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which distinct tokens are toxic in toxic texts: those with a value far more common there than
+    by chance.  ``pairs`` are the distinct (token, text)."""
     share = toxic.mean()
-    label = np.zeros(len(words), dtype=bool)
+    label = np.zeros(features.shape[1], dtype=bool)
     for values in features[:4]:
-        value, text = np.divmod(np.unique(values * len(toxic) + words.row), len(toxic))   # once per text
+        value, text = np.divmod(np.unique(values[pairs[0]] * len(toxic) + pairs[1]), len(toxic))   # once per text
         total = np.bincount(value, minlength=1 << BITS)
         bad = np.bincount(value, weights=toxic[text], minlength=1 << BITS)
         rate = bad / np.maximum(total, 1)
@@ -194,73 +234,69 @@ def token_labels(features: np.ndarray, words: Words, toxic: np.ndarray) -> np.nd
         tried = max(2, int((total >= 3).sum()))
         strong = (rate >= max(0.9, share)) & (total * kl > np.log(tried / 0.01))
         label |= strong[values]
-    return label & toxic[words.row].astype(bool)
+    return label
 
 
-def distinct_texts(words: Words) -> np.ndarray:
-    """Which texts are not near copies of an earlier one: no band of three MinHashes in common.
-
-    A copied text would make all of its words look typical of its label."""
-    h = Sequences(_BYTE[words.data]).spans(words.start, words.end)
-    filled = np.flatnonzero(np.diff(words.first))
-    fresh = np.zeros(len(words.first) - 1, dtype=bool)
-    fresh[filled] = True
-    for band in range(4):
-        low = [np.minimum.reduceat(mix64(h ^ np.uint64(0x9E37 * (3 * band + k + 1))), words.first[filled])
-               for k in range(3)]
-        _, nth = np.unique(np.stack(low), axis=1, return_index=True)
-        again = np.ones(len(filled), dtype=bool)
-        again[nth] = False
-        fresh[filled[again]] = False
-    return fresh
-
-
-def fit(texts: list[str | None], toxic: list[int], rounds: int = 20, rate: float = 0.5, l2: float = 1e-3) -> Model:
+def fit(texts: list[str | None], toxic: list[int], rounds: int = 20, rate: float = 0.5, l2: float = 1e-6) -> Model:
     """Train the field by full-batch adaptive gradient steps on the exact likelihood."""
     weights, trans = np.zeros((1 << BITS) + 1), np.log(np.array([[0.99, 0.01], [0.5, 0.5]]))
     model = Model(weights, trans, np.zeros(3))
     toxic = np.array(toxic, dtype=float)
-    if not len(toxic) or toxic.min() == toxic.max():
-        model.empty = True
-        return model
-    words = tokens(*utf8(pa.array(texts, pa.string())))
-    once = distinct_texts(words)
+    once = distinct_texts(texts)
     texts, toxic = [t for t, keep in zip(texts, once) if keep], toxic[once]
     if not len(toxic) or toxic.min() == toxic.max():
         model.empty = True
         return model
-    words = tokens(*utf8(pa.array(texts, pa.string())))
-    features = feature_rows(words)
-    first, last = _edges(words)
-    y = token_labels(features, words, toxic).astype(float)
     # equal tokens have equal features: emissions and gradients are taken once per distinct token
-    _, where, kind = np.unique(Sequences(_BYTE[words.data]).spans(words.start, words.end),
-                               return_index=True, return_inverse=True)
-    features = features[:, where]
+    hashes, firsts, kinds, found = [], [], [], []
+    for words in _word_parts(texts):
+        h = _token_hashes(words)
+        _, where = np.unique(h, return_index=True)
+        hashes.append(h)
+        firsts.append(words.first)
+        kinds.append(h[where])
+        found.append(feature_rows(words)[:, where])
+    kinds, where = np.unique(np.concatenate(kinds), return_index=True)
+    features = np.concatenate(found, axis=1)[:, where]
+    batches, pairs, n = [], [], 0
+    for h, first_of in zip(hashes, firsts):
+        kind = np.searchsorted(kinds, h)
+        text = np.repeat(np.arange(len(first_of) - 1) + n, np.diff(first_of))
+        n += len(first_of) - 1
+        first, last = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
+        first[first_of[:-1]] = True                  # every distinct text has tokens
+        last[first_of[1:] - 1] = True
+        batches.append((kind, text, first, last, first_of))
+        pairs.append(np.unique(kind * len(toxic) + text))
+    pairs = np.stack(np.divmod(np.concatenate(pairs), len(toxic)))
+    strong = token_labels(features, pairs, toxic)
     weights[-1] = -2.0
-    inner = ~first                                   # tokens with a predecessor in their text
-    prev, here = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
-    seen = np.array([[((1 - y[prev]) * (1 - y[here])).sum(), ((1 - y[prev]) * y[here]).sum()],
-                     [(y[prev] * (1 - y[here])).sum(), (y[prev] * y[here]).sum()]])
     squares, squares_t = np.full(len(weights), 1e-6), np.full((2, 2), 1e-6)
+    n_tokens = sum(len(b[0]) for b in batches)
     for _ in range(rounds):
-        emission = _emission(model, features)[kind]
-        p, rho, tau = forward_backward(emission, first, last, trans)
-        gap = np.bincount(kind, weights=y - p, minlength=len(where))
+        gap, step_t = np.zeros(len(kinds)), np.zeros((2, 2))
+        by_kind, a = _emission(model, features), np.exp(trans)
+        for kind, text, first, last, _ in batches:
+            y = (strong[kind] & (toxic[text] > 0)).astype(float)
+            p, rho, tau = forward_backward(by_kind[kind], first, last, trans)
+            gap += np.bincount(kind, weights=y - p, minlength=len(kinds))
+            here = np.flatnonzero(~first)            # tokens with a predecessor in their text
+            prev = here - 1
+            e = np.exp(np.clip(by_kind[kind[here]], -30, 30))
+            cells = np.stack([np.full(len(here), a[0, 0]), a[0, 1] * e * tau[here],
+                              a[1, 0] * rho[prev], a[1, 1] * rho[prev] * e * tau[here]])
+            expected = (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
+            was, now = np.stack([1 - y[prev], y[prev]]), np.stack([1 - y[here], y[here]])
+            step_t += was @ now.T - expected
         grad = np.append(sum(np.bincount(f, weights=gap, minlength=1 << BITS) for f in features), gap.sum())
-        grad -= l2 * len(y) * 1e-3 * weights
-        a = np.exp(trans)
-        e = np.exp(np.clip(emission[here], -30, 30))
-        cells = np.stack([a[0, 0] * np.ones(len(here)), a[0, 1] * e * tau[here],
-                          a[1, 0] * rho[prev], a[1, 1] * rho[prev] * e * tau[here]])
-        expected = (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        step_t = seen - expected
+        grad -= l2 * n_tokens * weights
         squares += grad ** 2
         squares_t += step_t ** 2
         weights += rate * grad / np.sqrt(squares)
         trans += 0.1 * step_t / np.sqrt(squares_t)
-    p, _, _ = forward_backward(_emission(model, features)[kind], first, last, trans)
-    x = _doc_features(p, words)
+    by_kind = _emission(model, features)
+    x = np.concatenate([_doc_features(forward_backward(by_kind[kind], first, last, trans)[0], first_of)
+                        for kind, _, first, last, first_of in batches])
     for _ in range(25):                              # Newton steps of the document logistic
         q = _sigmoid(x @ model.doc)
         h = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(3)
@@ -272,7 +308,7 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000) -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 2400) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     marked = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(~held_out())
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -305,7 +341,7 @@ def scorer(shared):
                     p = np.zeros(0)
                     if len(words):
                         p = forward_backward(_emission(model, feature_rows(words)), *_edges(words), model.trans)[0]
-                    score, spans = _sigmoid(_doc_features(p, words) @ model.doc), _spans(p, words)
+                    score, spans = _sigmoid(_doc_features(p, words.first) @ model.doc), _spans(p, words)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(spans, _SPAN)],
                                                  names=[*part.schema.names, "score", "spans"])
     return run
