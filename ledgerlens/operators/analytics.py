@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.quantiles import grouped_mode, grouped_quantiles, join_groups
 
 ACC = ("account_id",)
 EXPECTED_COLUMNS = ("date", "time", "debit_credit", "amount", "balance", "transaction_type", "merchant")
@@ -71,12 +72,12 @@ def validate_schema(df: DataFrame, expected: Sequence[str] = EXPECTED_COLUMNS) -
 def kpis(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
     """total_debit, total_credit (0 when none), count, mean and exact median."""
     amt = F.col("amount")
-    return df.groupBy(*by).agg(
+    sums = df.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(C.is_debit(), amt)), F.lit(0)).alias("total_debit"),
         F.coalesce(F.sum(F.when(C.is_credit(), amt)), F.lit(0)).alias("total_credit"),
         F.count(F.lit(1)).alias("transaction_count"),
-        _avg(amt).alias("average_transaction"),
-        F.median(amt.cast("double")).alias("median_transaction"))
+        _avg(amt).alias("average_transaction"))
+    return join_groups(sums, grouped_quantiles(df, by, amt, {"median_transaction": 0.5}), by)
 
 
 def summary_statistics(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
@@ -86,22 +87,20 @@ def summary_statistics(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
     td = F.coalesce(F.sum(F.when(C.is_debit(), amt)), F.lit(0))
     tc = F.coalesce(F.sum(F.when(C.is_credit(), amt)), F.lit(0))
     span = F.greatest(F.datediff(F.max("date"), F.min("date")), F.lit(1))
-    return df.groupBy(*by).agg(
+    stats = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("transaction_count"),
         td.alias("total_debit"), tc.alias("total_credit"), (tc - td).alias("net_cash_flow"),
         _avg(amt).alias("average_transaction"),
-        F.median(amt.cast("double")).alias("median_transaction"),
         F.max(F.when(C.is_debit(), amt)).alias("largest_debit"),
         F.max(F.when(C.is_credit(), amt)).alias("largest_credit"),
         F.stddev_samp(amt.cast("double")).alias("std_dev"),
         F.min(amt).alias("min_amount"), F.max(amt).alias("max_amount"),
         F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col("seq"))).alias("closing_balance"),
         F.when(F.max("date").isNotNull(), td.cast("double") / span).alias("average_daily_spending"))
-
-
-def _mode_smallest(c: Column) -> Column:
-    """Most frequent value, ties -> smallest (deterministic)."""
-    return F.mode(c, True)
+    out = join_groups(stats, grouped_quantiles(df, by, amt, {"median_transaction": 0.5}), by)
+    names = [c for c in out.columns if c != "median_transaction"]
+    at = names.index("average_transaction") + 1
+    return out.select(*names[:at], "median_transaction", *names[at:])
 
 
 def summary_g1(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
@@ -109,14 +108,14 @@ def summary_g1(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
     upper-case labels, modal transaction type and merchant."""
     amt = F.col("amount")
     lab = F.upper(C.strip("debit_credit"))
-    return df.groupBy(*by).agg(
+    sums = df.groupBy(*by).agg(
         F.sum(amt).alias("total_amount"), _avg(amt).alias("avg_amount"),
         F.max(amt).alias("max_amount"), F.min(amt).alias("min_amount"),
         F.coalesce(F.sum(F.when(lab == "DEBIT", amt)), F.lit(0)).alias("debit_total"),
         F.coalesce(F.sum(F.when(lab == "CREDIT", amt)), F.lit(0)).alias("credit_total"),
-        F.count(F.lit(1)).alias("transactions"),
-        _mode_smallest(F.col("transaction_type")).alias("top_type"),
-        _mode_smallest(F.col("merchant")).alias("top_merchant"))
+        F.count(F.lit(1)).alias("transactions"))
+    sums = join_groups(sums, grouped_mode(df, by, F.col("transaction_type"), "top_type"), by)
+    return join_groups(sums, grouped_mode(df, by, F.col("merchant"), "top_merchant"), by)
 
 
 # ------------------------------------------------------------ time series

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.quantiles import grouped_quantiles, join_groups
 
 ACC = ("account_id",)
 
@@ -106,9 +107,9 @@ def outliers(df: DataFrame, cfg: Config = Config(), by: Sequence[str] = ACC) ->
     largest and its label (narration -> merchant -> mode)."""
     deb = df.where(C.is_debit() & F.col("amount").isNotNull())
     a = F.col("amount").cast("double")
-    q = deb.groupBy(*by).agg(F.count(F.lit(1)).alias("n_debits"),
-                             _pct(a, cfg.outlier_percentile / 100, cfg).alias("outlier_thresh"))
-    q = q.where(F.col("n_debits") >= 20)
+    many = deb.groupBy(*by).agg(F.count(F.lit(1)).alias("n_debits")).where(F.col("n_debits") >= 20)
+    q = join_groups(many, grouped_quantiles(deb, by, a, {"outlier_thresh": cfg.outlier_percentile / 100},
+                                            cfg.quantile_accuracy), by)
     j = deb.join(q, list(by))
     over = a > F.col("outlier_thresh")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.quantiles import grouped_quantiles, join_groups
 from ledgerlens.functions.windows import bucketed_prev, range_count
 
 ACC = ("account_id",)
@@ -65,9 +66,10 @@ def spending_profile(df: DataFrame, category: str = "mode", by: Sequence[str] =
     """Per account x category: p10 / median / p90 amount, usual hour (modal,
     ties smallest), count."""
     a = F.col("amount").cast("double")
-    return df.groupBy(*by, category).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile(a, 0.1).alias("p10"), F.median(a).alias("p50"),
-        F.percentile(a, 0.9).alias("p90"), F.mode(F.hour("ts"), True).alias("usual_hour"))
+    q = grouped_quantiles(df, [*by, category], a, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    n = df.groupBy(*by, category).agg(F.count(F.lit(1)).alias("n"),
+                                      F.mode(F.hour("ts"), True).alias("usual_hour"))        # 24 values at most
+    return join_groups(n, q, [*by, category]).select(*by, category, "n", "p10", "p50", "p90", "usual_hour")
 
 
 def profile_deviation(df: DataFrame, category: str = "mode", by: Sequence[str] = ACC) -> DataFrame:

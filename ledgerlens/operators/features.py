@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.quantiles import grouped_quantiles, join_groups
 
 ACC = ("account_id",)
 
@@ -37,12 +38,6 @@ def encode7(c: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("UNK"))), F.lit(7)).cast("int")
 
 
-def percentile_col(c: Column, q: float, cfg: Config) -> Column:
-    if cfg.quantile_accuracy > 0:
-        return F.percentile_approx(c, q, cfg.quantile_accuracy)
-    return F.percentile(c, q)
-
-
 def row_features(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Row-local part of the features (no shuffle)."""
     amt = clean_money(F.col("amount"), cfg.compat)
@@ -95,11 +90,11 @@ def provided(df: DataFrame, name: str) -> Column:
 
 
 def amount_stats(rows: DataFrame, cfg: Config = Config(), by: Sequence[str] = ACC) -> DataFrame:
-    """One grouped pass: p95 (large-amount feature), mean and population std
+    """Per group: p95 (large-amount feature), mean and population std
     (spending-deviation score)."""
-    return rows.groupBy(*by).agg(percentile_col(F.col("amount_f"), 0.95, cfg).alias("amount_p95"),
-                                 F.avg("amount_f").alias("amount_mean"),
-                                 F.stddev_pop("amount_f").alias("amount_std_pop"))
+    moments = rows.groupBy(*by).agg(F.avg("amount_f").alias("amount_mean"), F.stddev_pop("amount_f").alias("amount_std_pop"))
+    p95 = grouped_quantiles(rows, by, F.col("amount_f"), {"amount_p95": 0.95}, cfg.quantile_accuracy)
+    return join_groups(moments, p95, by)
 
 
 def large_flag() -> Column:

@@ -17,18 +17,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.quantiles import grouped_quantiles
 from ledgerlens.functions.windows import range_count
 
 ACC = "account_id"
 
 
-def _median(c: Column, cfg: Config) -> Column:
-    c = c.cast("double")
-    if cfg.quantile_accuracy > 0:
-        return F.percentile_approx(c, 0.5, cfg.quantile_accuracy)
-    return F.median(c)
-
-
 def prepare(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds the derived keys every rule reads."""
     return df.withColumns({
@@ -42,7 +36,7 @@ def prepare(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 # --------------------------------------------------------------------- rule 1
 def channel_medians(p: DataFrame, cfg: Config = Config()) -> DataFrame:
     return (p.where(F.col("amount").isNotNull())
-            .groupBy(ACC, "channel").agg(_median(F.col("amount"), cfg).alias("channel_median")))
+            .transform(grouped_quantiles, [ACC, "channel"], F.col("amount"), {"channel_median": 0.5}, cfg.quantile_accuracy))
 
 
 def high_value_flag(cfg: Config) -> Column:

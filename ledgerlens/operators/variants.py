@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.quantiles import grouped_quantiles, join_groups
 from ledgerlens.operators.scoring import G3_BOOST_FACTORS, OVERRIDES, _diminishing, points_of
 
 ACC = ("account_id",)
@@ -72,8 +73,7 @@ def rule_fallback_g2(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
     """25 x (amount > group p95) + 10 x round + 20 x night, / 100."""
     a = F.coalesce(F.col("amount").cast("double"), F.lit(0.0))
     d = df.withColumn("__a", a)
-    p95 = d.groupBy(*by).agg(F.percentile("__a", 0.95).alias("__p95"))
-    d = d.join(p95, list(by), "left")
+    d = join_groups(d, grouped_quantiles(d, by, F.col("__a"), {"__p95": 0.95}), by)
     h = F.hour("ts")
     s = ((F.col("__a") > F.col("__p95")).cast("double") * 25 + (F.col("__a") % 1000 == 0).cast("double") * 10
          + F.coalesce(((h >= 23) | (h <= 5)).cast("double"), F.lit(0.0)) * 20)

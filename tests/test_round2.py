@@ -136,3 +136,24 @@ def test_velocity_state_late_rows_and_timeout():
     assert late["gap_seconds"].isna().tolist() == [True, True, False] and late["gap_seconds"].iloc[2] == 60
     state.hasTimedOut = True
     assert list(fn((1,), iter([]), state)) == [] and not state.exists
+
+
+def test_quantiles_and_modes_equal_the_builtin(spark):
+    import random
+    from ledgerlens.functions.quantiles import grouped_mode, grouped_quantiles
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), round(rnd.choice([1, -1]) * 10 ** rnd.uniform(-3, 7), 2)) for _ in range(3000)]
+    rows += [("c", None), ("c", None), ("d", 5.0), ("e", 0.0), ("e", 0.0), ("e", 1e-300), ("f", 2.0), ("f", None)] + [("a", 7.0)] * 500
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q95": 0.95, "q1": 1.0}
+    got = {r["g"]: tuple(r[n] for n in qs) for r in grouped_quantiles(df, ["g"], F.col("x"), qs).collect()}
+    want = {r["g"]: tuple(r[n] for n in qs) for r in df.groupBy("g").agg(*[F.percentile("x", q).alias(n) for n, q in qs.items()]).collect()}
+    assert got == want
+    whole = grouped_quantiles(df, [], F.col("x"), {"m": 0.5}).collect()
+    assert whole[0]["m"] == df.agg(F.median("x")).first()[0]
+    m = df.withColumn("x", F.round("x", -5))
+    got = {r["g"]: r["m"] for r in grouped_mode(m, ["g"], F.col("x"), "m").collect()}
+    assert got == {r["g"]: r["m"] for r in m.groupBy("g").agg(F.mode("x", True).alias("m")).collect()}
+    # no task ranks the values of a whole group
+    plan = grouped_quantiles(df, ["g"], F.col("x"), qs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
