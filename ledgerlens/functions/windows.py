@@ -4,6 +4,10 @@ A plain ``Window.partitionBy("account_id")`` puts a whole account in one task.
 These helpers split each account's timeline into time buckets, do the
 ordered work inside ``(account, bucket)`` partitions and stitch buckets
 together through a small per-bucket summary (one row per account and bucket).
+
+A bucket that holds more than ``HOT_ROWS`` rows (one account, one day; or one
+midnight that all rows share) is cut once more, at equi-depth boundaries on time
+and, at times that are boundaries themselves, on the tie column; see ``ordered``.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET = "__bkt"
+HOT_ROWS = 1_000_000       # of one (key, bucket) before it is cut again
+CUTS = 64                  # boundaries on time and on the tie column of such a bucket
 NO_TIME = (1 << 62)        # after every time bucket: rows without a time come last, in tie order
 
 
@@ -23,6 +29,45 @@ def time_bucket(ts: Column | str, seconds: int) -> Column:
     return F.coalesce(F.floor(F.unix_micros(c) / F.lit(int(seconds) * 1_000_000)).cast("long"), F.lit(NO_TIME))
 
 
+def ordered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket: Column,
+            hot_rows: int | None = None) -> DataFrame:
+    """``df`` with ``_BUCKET``: a struct that rises with ``bucket`` and, inside a bucket of more
+    than ``hot_rows`` rows, with (ts, tie).
+
+    The boundaries are ``CUTS`` approximate quantiles of the time and of the tie column of a hot
+    bucket (one row per hot bucket; no row at all where none is hot).  With t boundaries below a
+    row's time, the row stands in part 2t, or in part 2t + 1 where its time is the next boundary
+    itself; such rows are parted again by the boundaries of the tie column at or below theirs."""
+    d = df.withColumn("__day", bucket)
+    us = F.unix_micros(F.col(ts))
+    sizes = d.groupBy(*keys, "__day").agg(F.count(F.lit(1)).alias("__n")).where(
+        F.col("__n") > (HOT_ROWS if hot_rows is None else hot_rows))
+    shares = [i / CUTS for i in range(1, CUTS)]
+    cuts = (_same(d.select(*keys, "__day", us.alias("__us"), F.col(tie).cast("double").alias("__tie")),
+                  sizes.select(*keys, "__day"), [*keys, "__day"], "left_semi")
+            .groupBy(*keys, "__day").agg(F.percentile_approx("__us", shares, 1000).alias("__t"),
+                                         F.percentile_approx("__tie", shares, 1000).alias("__s")))
+    d = _same(d, cuts, [*keys, "__day"], "left")
+    below = F.size(F.filter("__t", lambda x: x < us))
+    at_cut = F.coalesce(F.array_contains("__t", us), F.lit(False))
+    part = F.when(F.col("__t").isNull(), 0).otherwise(F.coalesce(2 * below + at_cut.cast("int"), F.lit(0)))
+    # without a time there is nothing but the tie column to part by
+    minor = F.when((at_cut | us.isNull()) & F.col("__s").isNotNull(),
+                   F.size(F.filter("__s", lambda x: x <= F.col(tie).cast("double")))).otherwise(0)
+    return d.withColumn(_BUCKET, F.struct(F.col("__day").alias("day"), part.alias("part"), minor.alias("minor"))).drop(
+        "__day", "__t", "__s")
+
+
+def _same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal columns, nulls equal."""
+    named = right.select(*[F.col(c).alias(f"__o_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__o_{c}"))
+    out = left.join(named, cond, how)
+    return out if how == "left_semi" else out.drop(*[f"__o_{c}" for c in on])
+
+
 def bucketed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
                          value: Column | str, out: str, bucket_seconds: int = 86400,
                          bucket_col: str | None = None) -> DataFrame:
@@ -33,7 +78,7 @@ def bucketed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
     b = bucket_col or _BUCKET
     d = df.withColumn("__v", v)
     if bucket_col is None:
-        d = d.withColumn(b, time_bucket(ts, bucket_seconds))
+        d = ordered(d, keys, ts, tie, time_bucket(ts, bucket_seconds))
     w_local = (Window.partitionBy(*keys, b).orderBy(F.col(ts), F.col(tie))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("__local", F.sum("__v").over(w_local))
@@ -41,7 +86,7 @@ def bucketed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
     w_b = (Window.partitionBy(*keys).orderBy(b)
            .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*keys, b, F.coalesce(F.sum("__bt").over(w_b), F.lit(0)).alias("__off"))
-    res = d.join(offsets, on=[*keys, b], how="left")
+    res = _same(d, offsets, [*keys, b], "left")
     res = res.withColumn(out, F.col("__local") + F.col("__off"))
     drop = ["__v", "__local", "__off"] + ([] if bucket_col else [b])
     return res.drop(*drop)
@@ -56,14 +101,15 @@ def bucketed_prev(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
     keys = list(keys)
     payload = F.struct(*[F.col(c).alias(c) for c in cols])
     b = time_bucket(ts, bucket_seconds) if bucket is None else bucket
-    d = df.withColumn(_BUCKET, b).withColumn("__p", payload)
+    d = ordered(df, keys, ts, tie, b) if bucket is None else df.withColumn(_BUCKET, b)
+    d = d.withColumn("__p", payload)
     w_local = Window.partitionBy(*keys, _BUCKET).orderBy(F.col(ts), F.col(tie))
     d = d.withColumn("__lp", F.lag("__p").over(w_local))
     last = (d.groupBy(*keys, _BUCKET)
             .agg(F.max_by("__p", F.struct(F.col(ts), F.col(tie))).alias("__last")))
     w_b = Window.partitionBy(*keys).orderBy(_BUCKET)
     last = last.select(*keys, _BUCKET, F.lag("__last").over(w_b).alias("__bp"))
-    res = d.join(last, on=[*keys, _BUCKET], how="left")
+    res = _same(d, last, [*keys, _BUCKET], "left")
     res = res.withColumn("__prev", F.coalesce(F.col("__lp"), F.col("__bp")))
     for c in cols:
         res = res.withColumn(prefix + c, F.col("__prev")[c])
@@ -80,7 +126,7 @@ def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
 
     Each row is placed in its own time bucket and, as context only, in the
     neighbouring buckets whose rows can reach it (a small fraction when the
-    bucket is wider than the window).  Inside ``(keys, bucket)`` partitions the
+    bucket is wider than the window).  Rows of equal time are summed up first.  Inside ``(keys, bucket)`` partitions the
     count is the difference of two growing RANGE frames (incremental, no
     sliding re-aggregation, no pairwise join, no per-account partition)."""
     keys = list(keys)
@@ -88,7 +134,9 @@ def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
     t = F.unix_micros(F.col(ts))
     w = F.lit(1) if weight is None else weight
     pr = F.lit(True) if probe is None else probe
-    d = df.select(*keys, F.col(row_id), t.alias("__t"), w.alias("__w"), pr.alias("__probe")).where(F.col("__t").isNotNull())
+    rows = df.select(*keys, F.col(row_id), t.alias("__t"), w.alias("__w"), pr.alias("__probe")).where(F.col("__t").isNotNull())
+    # rows of one time are one row here, however many there are
+    d = rows.groupBy(*keys, "__t").agg(F.sum("__w").alias("__w"), F.max("__probe").alias("__probe"))
     own = F.floor(F.col("__t") / F.lit(width)).cast("long")
     lo = F.floor((F.col("__t") - F.lit(after_us)) / F.lit(width)).cast("long")
     hi = F.floor((F.col("__t") + F.lit(before_us)) / F.lit(width)).cast("long")
@@ -97,8 +145,9 @@ def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
     upto_hi = F.sum("__w").over(win.rangeBetween(Window.unboundedPreceding, after_us))
     below_lo = F.sum("__w").over(win.rangeBetween(Window.unboundedPreceding, -before_us - 1))
     zero = F.lit(0).cast(d.schema["__w"].dataType)
-    r = d.withColumn(out, upto_hi - F.coalesce(below_lo, zero))
-    return r.where((F.col(_BUCKET) == F.col("__own")) & F.col("__probe")).select(*keys, row_id, out)
+    r = (d.withColumn(out, upto_hi - F.coalesce(below_lo, zero))
+         .where((F.col(_BUCKET) == F.col("__own")) & F.col("__probe")).select(*keys, "__t", out))
+    return _same(rows.where("__probe"), r, [*keys, "__t"], "inner").select(*keys, row_id, out)
 
 
 def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_us: int, out: str,
@@ -110,7 +159,7 @@ def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap
     internal session starts) and one prefix over the buckets of a key."""
     keys = list(keys)
     us = F.unix_micros(F.col(ts))
-    d = df.withColumn("__us", us).withColumn(_BUCKET, time_bucket(ts, bucket_seconds))
+    d = ordered(df.withColumn("__us", us), keys, ts, tie, time_bucket(ts, bucket_seconds))
     w = Window.partitionBy(*keys, _BUCKET).orderBy(F.col(ts), F.col(tie))
     prev = F.lag("__us").over(w)
     d = d.withColumn("__new", F.when(prev.isNotNull() & (F.col("__us") - prev > gap_us), 1).otherwise(0))
@@ -122,6 +171,6 @@ def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap
     summ = summ.withColumn("__fnew", F.when(plast.isNotNull() & (F.col("__first") - plast > gap_us), 1).otherwise(0))
     summ = summ.withColumn("__off", F.coalesce(F.sum(F.col("__internal") + F.col("__fnew")).over(
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = d.join(summ.select(*keys, _BUCKET, "__fnew", "__off"), [*keys, _BUCKET])
+    r = _same(d, summ.select(*keys, _BUCKET, "__fnew", "__off"), [*keys, _BUCKET], "inner")
     r = r.withColumn(out, (F.lit(1) + F.col("__off") + F.col("__fnew") + F.col("__run")).cast("int"))
     return r.drop("__us", _BUCKET, "__new", "__run", "__fnew", "__off")

@@ -117,28 +117,44 @@ def analytics_report(spark, sf_dir):
     t = txn(spark, sf_dir)
     stats = A.summary_statistics(t)
     ins = A.insights(t)
-    charts = chart_frame(t)
+    charts = chart_frame(t).select("account_id", F.struct(*CHARTS).alias("charts"))
     j = stats.join(ins.select("account_id", "top_merchants", "wow_change_pct", "mom_change_pct"), "account_id", "left") \
         .join(charts, "account_id", "left")
     return j.select("account_id", F.to_json(F.struct(*[c for c in j.columns if c != "account_id"])).alias("report"))
 
 
-def chart_frame(t):
-    def series(df, label, value, order):
-        return df.groupBy("account_id").agg(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(label).cast("string").alias("label"),
-                                                 F.col(value).cast("double").alias("value")))).alias("s"))
-    daily = series(A.daily_volume(t), "date", "total_amount", "date").withColumnRenamed("s", "daily_volume")
-    monthly = series(A.monthly_trends(t), "month", "net", "month").withColumnRenamed("s", "monthly_net")
-    top = series(A.top_merchants(t, 10), "merchant", "total_amount", "rank").withColumnRenamed("s", "top_merchants_chart")
-    types = series(A.txn_type_distribution(t), "transaction_type", "count", "transaction_type").withColumnRenamed("s", "transaction_type_chart")
-    spend = series(A.monthly_spending(t), "month", "total_debit", "month").withColumnRenamed("s", "spending_trend_chart")
-    out = daily
-    for x in (monthly, top, types, spend):
-        out = out.join(x, "account_id", "left")
+CHARTS = {
+    # chart: (operator's frame, label, value, order)
+    "daily_volume": (A.daily_volume, "date", "total_amount", "date"),
+    "monthly_debit": (A.monthly_trends, "month", "total_debit", "month"),
+    "monthly_credit": (A.monthly_trends, "month", "total_credit", "month"),
+    "monthly_net": (A.monthly_trends, "month", "net", "month"),
+    "debit_vs_credit": (A.debit_credit_analysis, "side", "total", "side"),
+    "top_merchants": (A.top_merchants, "merchant", "total_amount", "rank"),
+    "transaction_types": (A.txn_type_distribution, "transaction_type", "count", "transaction_type"),
+    "spending_trend": (A.monthly_spending, "month", "total_debit", "month"),
+}
+
+
+def chart_series(t):
+    """(account_id, chart, sort, label, value): the points of every chart."""
+    out = None
+    for chart, (frame, label, value, order) in CHARTS.items():
+        rank = F.col(order).cast("string") if order != "rank" else F.lpad(F.col(order).cast("string"), 4, "0")
+        points = frame(t).select("account_id", F.lit(chart).alias("chart"), rank.alias("sort"),
+                                 F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"))
+        out = points if out is None else out.unionByName(points)
     return out
 
 
+def chart_frame(t):
+    """One row per account with a series column per chart (bounded by periods / top-n)."""
+    point = F.struct("sort", "label", "value")
+    wide = chart_series(t).groupBy("account_id").pivot("chart", list(CHARTS)).agg(F.array_sort(F.collect_list(point)))
+    cut = lambda c: F.transform(F.col(c), lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value")))
+    return wide.select("account_id", *[cut(c).alias(c) for c in CHARTS])
+
+
 @register("chart_data")
 def chart_data(spark, sf_dir):
     """Label/value chart series per account (bounded by periods / top-n;

@@ -10,7 +10,13 @@ from ledgerlens.operators import ml as ML
 from ledgerlens.operators import scoring as S
 from ledgerlens.operators import standardize as ST
 from ledgerlens.plans.q_keys import project
-from ledgerlens.plans.registry import register
+from ledgerlens.config import Config
+from ledgerlens.operators import portfolio as P
+from ledgerlens.operators import report as RP
+from ledgerlens.plans.q_io import FIX, chart_frame, scratch
+from ledgerlens.plans.q_ml import PLANTED, labelled
+from ledgerlens.plans.q_report import scored
+from ledgerlens.plans.registry import REGISTRY, register
 from ledgerlens.plans.sqlparts import with_txn
 from ledgerlens.sources import statements as SS
 from ledgerlens.sources.tables import txn
@@ -108,3 +114,69 @@ def score_confidence(spark, sf_dir):
     from ledgerlens.plans.q_ml import fitted
     models, _ = fitted(spark, sf_dir)
     return ML.score_confidence(FE.engineer_features(txn(spark, sf_dir)), models.rf)
+
+
+def _parent(name: str) -> str:
+    return REGISTRY[name].sql
+
+
+_CHART_SQL = "\nUNION ALL\n".join(
+    f"SELECT account_id, '{chart}' AS chart, CAST({label} AS VARCHAR) AS label, CAST({value} AS DOUBLE) AS value FROM ({_parent(parent)}) q"
+    for chart, parent, label, value in (
+        ("daily_volume", "daily_volume", "date", "total_amount"), ("monthly_debit", "monthly_trends", "month", "total_debit"),
+        ("monthly_credit", "monthly_trends", "month", "total_credit"), ("monthly_net", "monthly_trends", "month", "net"),
+        ("debit_vs_credit", "debit_credit_analysis", "side", "total"), ("top_merchants", "top_merchants", "merchant", "total_amount"),
+        ("transaction_types", "txn_type_distribution", "transaction_type", "count"),
+        ("spending_trend", "monthly_spending", "month", "total_debit")))
+
+
+@register("chart_series", _CHART_SQL)
+def chart_series(spark, sf_dir):
+    """Every point of every chart, taken back out of the JSON documents."""
+    c = chart_frame(txn(spark, sf_dir))
+    names = [x for x in c.columns if x != "account_id"]
+    doc = c.select("account_id", F.to_json(F.struct(*names)).alias("j"))
+    kind = "map<string,array<struct<label:string,value:double>>>"
+    return (doc.select("account_id", F.explode(F.from_json("j", kind)).alias("chart", "points"))
+            .select("account_id", "chart", F.explode("points").alias("p")).select("account_id", "chart", "p.label", "p.value"))
+
+
+@register("sink_report_rows", _parent("portfolio_summary"))
+def sink_report_rows(spark, sf_dir):
+    """The portfolio summary written as JSON, read back with its schema."""
+    s = RP.portfolio_summary(scored(spark, sf_dir), FIX)
+    path = scratch(spark, "report-rows")
+    SS.write_json(s, path)
+    return spark.read.schema(s.schema).json(path)
+
+
+@register("sink_scored_rows", "SELECT account_id, seq, round(final_risk_score, 6) AS final_risk_score, risk_category, "
+          f"coalesce(rule_flags, '') AS rule_flags, combined_reason FROM ({_parent('score_transactions_fixture')}) q")
+def sink_scored_rows(spark, sf_dir):
+    """Scored rows written as CSV (arrays joined), read back and typed."""
+    path = scratch(spark, "scored-rows")
+    SS.write_csv(scored(spark, sf_dir).select("account_id", "seq", "final_risk_score", "risk_category", "rule_flags", "combined_reason"), path)
+    d = spark.read.option("header", True).csv(path)
+    return d.select(F.col("account_id").cast("long"), F.col("seq").cast("long"),
+                    F.round(F.col("final_risk_score").cast("double"), 6).alias("final_risk_score"), "risk_category",
+                    F.coalesce("rule_flags", F.lit("")).alias("rule_flags"), "combined_reason")
+
+
+@register("sink_flagged_rows", _parent("p_flag_table"))
+def sink_flagged_rows(spark, sf_dir):
+    """The portfolio flag table written as CSV, read back with its schema."""
+    flags = P.flag_table(txn(spark, sf_dir), Config(), 20000.0)
+    path = scratch(spark, "flagged-rows")
+    SS.write_csv(flags, path)
+    return spark.read.schema(flags.schema).option("header", True).csv(path)
+
+
+@register("balance_classes_weights", with_txn(f"""
+SELECT is_fraud, total / (2.0 * n_train) AS weight, n_train AS rows
+FROM (SELECT is_fraud, n - greatest(CAST(round(n * 0.2) AS BIGINT), CASE WHEN n > 1 THEN 1 ELSE 0 END) AS n_train,
+             sum(n - greatest(CAST(round(n * 0.2) AS BIGINT), CASE WHEN n > 1 THEN 1 ELSE 0 END)) OVER () AS total
+      FROM (SELECT {PLANTED} AS is_fraud, count(*) AS n FROM txn GROUP BY 1))"""))
+def balance_classes_weights(spark, sf_dir):
+    """Class weights n / (2 n_class) of the exact training split."""
+    tr, _ = ML.stratified_split(labelled(spark, sf_dir))
+    return ML.with_class_weights(tr).groupBy(ML.LABEL, "weight").agg(F.count(F.lit(1)).alias("rows"))

@@ -157,3 +157,31 @@ def test_quantiles_and_modes_equal_the_builtin(spark):
     # no task ranks the values of a whole group
     plan = grouped_quantiles(df, ["g"], F.col("x"), qs)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan
+
+
+def test_hot_buckets_are_cut(spark, monkeypatch):
+    """One account and day with a third of all rows, half of them at one instant."""
+    from pyspark.sql import Window
+    monkeypatch.setattr(W, "HOT_ROWS", 50)
+    rows = [(1, i, at(0) if i % 2 else at(i % 700), i % 13) for i in range(1500)] + \
+           [(k, 10_000 + k * 7 + j, at(j * 40_000), 1) for k in range(2, 60) for j in range(7)] + \
+           [(1, 50_000 + i, None, 2) for i in range(200)] + [(None, 60_000 + i, at(i), 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, seq int, ts timestamp, v int").repartition(5)
+    order = Window.partitionBy("k").orderBy(F.col("ts").asc_nulls_last(), "seq")
+    cut = W.ordered(df, ["k"], "ts", "seq", W.time_bucket("ts", 86400))
+    most = cut.where("k = 1").groupBy("__bkt").count().agg(F.max("count"), F.count("*")).first()
+    assert most[0] <= 150 and most[1] > 20
+    # the buckets rise with the order
+    falls = cut.withColumn("before", F.lag("__bkt").over(order)).where("before > __bkt")
+    assert falls.count() == 0
+    some = df
+    want = some.withColumn("t", F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("p", F.lag("seq").over(order))
+    want = {r["seq"]: (r["t"], r["p"]) for r in want.collect()}
+    total = {r["seq"]: r["t"] for r in W.bucketed_running_sum(some, ["k"], "ts", "seq", "v", "t").collect()}
+    prev = {r["seq"]: r["prev_seq"] for r in W.bucketed_prev(some, ["k"], "ts", "seq", ["seq"]).collect()}
+    assert {s: (total[s], prev[s]) for s in total} == want
+    gap = 60 * 1_000_000
+    ses = {r["seq"]: r["s"] for r in W.bucketed_sessions(some, ["k"], "ts", "seq", gap, "s").collect()}
+    new = some.withColumn("n", F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) > gap).cast("int"), F.lit(0)))
+    want = {r["seq"]: r["s"] + 1 for r in new.withColumn("s", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).collect()}
+    assert ses == want
