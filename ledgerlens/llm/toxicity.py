@@ -48,6 +48,8 @@ _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 #: Bytes of the span that each hashed feature covers: whole token, first n, last n.
 FEATURES = (("all", 0), ("first", 4), ("first", 5), ("first", 6), ("last", 3))
 BLOCK = 128
+#: Bytes of text that fitting works on at once (on the driver).
+FIT_BYTES = 1 << 18
 
 
 @dataclass
@@ -184,7 +186,7 @@ def _spans(p: np.ndarray, words: Words) -> list[list[dict]]:
 def _word_parts(texts: list[str | None]) -> Iterator[Words]:
     """The texts' tokens, a bounded part at a time."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-    for part in parts(batch):
+    for part in parts(batch, most=FIT_BYTES):
         yield tokens(*utf8(part.column("text")))
 
 
@@ -224,7 +226,7 @@ def token_labels(features: np.ndarray, pairs: np.ndarray, toxic: np.ndarray) ->
     share = toxic.mean()
     label = np.zeros(features.shape[1], dtype=bool)
     for values in features[:4]:
-        value, text = np.divmod(np.unique(values[pairs[0]] * len(toxic) + pairs[1]), len(toxic))   # once per text
+        value, text = np.divmod(np.unique(values[pairs[0]].astype(np.int64) * len(toxic) + pairs[1]), len(toxic))   # once per text
         total = np.bincount(value, minlength=1 << BITS)
         bad = np.bincount(value, weights=toxic[text], minlength=1 << BITS)
         rate = bad / np.maximum(total, 1)
@@ -255,19 +257,20 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 20, rate: float
         hashes.append(h)
         firsts.append(words.first)
         kinds.append(h[where])
-        found.append(feature_rows(words)[:, where])
+        found.append(feature_rows(words)[:, where].astype(np.int32))
     kinds, where = np.unique(np.concatenate(kinds), return_index=True)
     features = np.concatenate(found, axis=1)[:, where]
     batches, pairs, n = [], [], 0
     for h, first_of in zip(hashes, firsts):
-        kind = np.searchsorted(kinds, h)
-        text = np.repeat(np.arange(len(first_of) - 1) + n, np.diff(first_of))
+        kind = np.searchsorted(kinds, h).astype(np.int32)
+        text = np.repeat(np.arange(len(first_of) - 1, dtype=np.int32) + n, np.diff(first_of))
         n += len(first_of) - 1
         first, last = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
         first[first_of[:-1]] = True                  # every distinct text has tokens
         last[first_of[1:] - 1] = True
         batches.append((kind, text, first, last, first_of))
-        pairs.append(np.unique(kind * len(toxic) + text))
+        pairs.append(np.unique(kind.astype(np.int64) * len(toxic) + text))
+    del hashes, found
     pairs = np.stack(np.divmod(np.concatenate(pairs), len(toxic)))
     strong = token_labels(features, pairs, toxic)
     weights[-1] = -2.0
@@ -288,8 +291,10 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 20, rate: float
             expected = (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
             was, now = np.stack([1 - y[prev], y[prev]]), np.stack([1 - y[here], y[here]])
             step_t += was @ now.T - expected
-        grad = np.append(sum(np.bincount(f, weights=gap, minlength=1 << BITS) for f in features), gap.sum())
-        grad -= l2 * n_tokens * weights
+        grad = -l2 * n_tokens * weights
+        for f in features:
+            np.add.at(grad, f, gap)
+        grad[-1] += gap.sum()
         squares += grad ** 2
         squares_t += step_t ** 2
         weights += rate * grad / np.sqrt(squares)
