@@ -179,16 +179,26 @@ def build_shard(g: Graph):
         x = unit(rows["embedding"]).astype(np.float32)
         ids = rows["vec_id"].to_numpy()
         adjacent = robust_prune(x @ x.T, g.degree, g.candidates, g.alpha)
-        return pd.DataFrame({"vec_id": ids, "neighbours": [ids[a] for a in adjacent]})
+        return pd.DataFrame({"shard": rows["shard"], "vec_id": ids, "neighbours": [ids[a] for a in adjacent]})
     return run
 
 
+def in_block_pair(shard="shard"):
+    """Whether a shard is two blocks of a dense group (``_blocks_of`` names them so)."""
+    return F.col(shard).contains("#")
+
+
 def united_graph(sharded: DataFrame, g: Graph) -> DataFrame:
-    """(vec_id, neighbours): the union of every vector's lists over its shards."""
-    lists = sharded.groupBy("shard").applyInPandas(build_shard(g), "vec_id long, neighbours array<long>")
-    # a vector in p block pairs of a dense group has p lists; the union is bounded by p times the degree
-    return staged(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")),
-                  "graph")
+    """(shard, vec_id, neighbours): per shard, every member's list united over its shards.
+
+    The pairs of blocks of a dense group keep their own lists: every two members meet in one of
+    them, and uniting a vector's lists over all its pairs would grow with the group."""
+    lists = staged(sharded.groupBy("shard").applyInPandas(build_shard(g), "shard string, vec_id long, neighbours array<long>"),
+                   "graph")
+    flat = lists.filter(~in_block_pair())
+    united = flat.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
+    return (flat.select("shard", "vec_id").join(united, "vec_id").select("shard", "vec_id", "neighbours")
+            .unionByName(lists.filter(in_block_pair())))
 
 
 # ---------------------------------------------------------------- search
@@ -275,7 +285,7 @@ def search_shard(g: Graph):
 
 def find_links(sharded: DataFrame, graph: DataFrame, g: Graph) -> DataFrame:
     """Distinct verified links (a < b) between distinct vectors."""
-    rows = sharded.join(graph, "vec_id")
+    rows = sharded.join(graph, ["shard", "vec_id"])
     found = rows.groupBy("shard").applyInPandas(search_shard(g), "a long, b long, cosine double")
     return staged(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "links")
 
