@@ -9,9 +9,9 @@ sets).  Every document is searched for the sketch hashes of all classes in one p
 over its whole text, and every document with a hit is verified by exact shingle
 containment.  No true pair is missed and no false one is left, whatever the lengths.
 
-The benchmark is a stated query set: its sketches are sent to the tasks in blocks
-of at most ``block_items`` items (further blocks are further passes), and the
-documents are neither shuffled nor joined.
+The benchmark is a stated query set: its sketches are sent to the tasks in blocks of
+about ``block_items`` items and ``block_chars`` characters at most (further blocks are
+further passes), and the documents are neither shuffled nor joined.
 
 Words are split at the six ASCII spaces and A-Z lower-cased; a shingle is
 ``shingle`` consecutive words, and an item of fewer words is one shingle of all its
@@ -116,12 +116,13 @@ def marker(sketches, name: str):
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, share: float = 0.8,
-         block_items: int = 20_000, name: str = "contaminated_by") -> DataFrame:
+         block_items: int = 20_000, block_chars: int = 16_000_000, name: str = "contaminated_by") -> DataFrame:
     """``docs`` with the array of items (item_id, n_shingles, n_shared) that each row's text holds."""
     spark = docs.sparkSession
     items = (benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
              .distinct())
-    n_blocks = max(1, -(-items.count() // block_items))
+    n_items, n_chars = items.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
+    n_blocks = max(1, -(-n_items // block_items), -(-n_chars // block_chars))
     out = docs.drop(name) if name in docs.columns else docs
     for b in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
