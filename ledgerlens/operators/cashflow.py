@@ -60,6 +60,7 @@ def spend_stats(ds: DataFrame, cfg: Config, by: Sequence[str] = ACC) -> DataFram
     s = F.col("spend").cast("double")
     q = ds.groupBy(*by).agg(_pct(s, 1 - cfg.trim_fraction, cfg).alias("trim_cut"),
                             _pct(s, cfg.spike_percentile / 100, cfg).alias("spike_thresh"),
+                            _pct(s, 0.95, cfg).alias("__p95"),
                             F.median(s).alias("median_daily_spending"),
                             F.count(F.lit(1)).alias("active_debit_days"),
                             (F.sum("spend").cast("double") / F.count(F.lit(1))).alias("plain_mean"))
@@ -73,6 +74,7 @@ def spend_stats(ds: DataFrame, cfg: Config, by: Sequence[str] = ACC) -> DataFram
         (F.sum(F.when(F.col("spend").cast("double") <= F.col("trim_cut"), F.col("spend"))).cast("double")
          / F.count(F.when(F.col("spend").cast("double") <= F.col("trim_cut"), 1))).alias("trimmed_mean"),
         F.count(F.when(spike, 1)).alias("spike_days"),
+        F.count(F.when(s > F.col("__p95"), 1)).alias("outlier_days"),
         F.max_by(F.when(spike, F.col("date")), F.when(spike, worst_key)).alias("worst_day"),
         F.max(F.when(spike, F.col("spend"))).alias("worst_spend"))
     return g.withColumn("estimated_daily_spending", F.coalesce("trimmed_mean", "plain_mean")).drop("trimmed_mean", "plain_mean")
@@ -174,7 +176,18 @@ def report(df: DataFrame, cfg: Config = Config(), by: Sequence[str] = ACC) -> Da
     p1 = (F.col("calendar_days") >= 90).cast("int")
     p2 = F.coalesce((enough & (share <= 0.08)).cast("int"), F.lit(0))
     p3 = (F.col("n_debits") >= 100).cast("int")
-    p4 = F.coalesce((enough & (F.col("active_debit_days") > 0) & (share <= 0.05)).cast("int"), F.lit(0))
+    outlying = F.col("outlier_days") / F.col("active_debit_days")       # days above the 95th percentile, whatever spikes are
+    p4 = F.coalesce((enough & (outlying <= 0.05)).cast("int"), F.lit(0))
     score = p1 + p2 + p3 + p4
-    j = j.withColumn("confidence_score", score)
-    return j.withColumn("confidence_level", F.when(score >= 4, "High").when(score >= 2, "Medium").otherwise("Low"))
+    level = F.when(score >= 4, "High").when(score >= 2, "Medium").otherwise("Low")
+    share_of = lambda c: F.concat(F.round(c * 100).cast("long").cast("string"), F.lit("%"))
+    days, debits = F.col("calendar_days").cast("string"), F.coalesce("n_debits", F.lit(0)).cast("string")
+    # fixed output text
+    notes = F.array_compact(F.array(
+        F.concat(F.when(p1 == 1, "good history (").otherwise("short history ("), days, F.lit("d)")),
+        F.when(~enough, "too few active days to assess stability").when(p2 == 1, "stable daily spend").otherwise(
+            F.concat(F.lit("erratic daily spend ("), share_of(share), F.lit(" spike days)"))),
+        F.concat(F.when(p3 == 1, "good transaction volume (").otherwise("low transaction volume ("), debits, F.lit(")")),
+        F.when(enough & (p4 == 1), "few outlier days").when(enough, F.concat(F.lit("many outlier days ("), share_of(outlying), F.lit(")")))))
+    reason = F.concat(level, F.lit(" confidence ("), score.cast("string"), F.lit("/4): "), F.array_join(notes, ", "), F.lit("."))
+    return j.withColumns({"confidence_score": score, "confidence_level": level, "confidence_reason": reason})

@@ -103,6 +103,34 @@ def stress_index(df: DataFrame, recent_days: int = 30, by: Sequence[str] = ACC)
                     share_h.alias("cash_share_hist"), idx.alias("stress_index"))
 
 
+def category_drop(df: DataFrame, category: str = "merchant", recent_days: int = 30, min_norm: float = 1000.0,
+                  by: Sequence[str] = ACC) -> DataFrame:
+    """The category whose debits of the last ``recent_days`` fell furthest below its norm (its earlier
+    debits per ``recent_days``, ``min_norm`` or more): name, recent amount, norm and drop (0-1).
+    Ties: the name.  Accounts without such a category are absent."""
+    ends = df.groupBy(*by).agg(F.max("date").alias("__end"), F.min("date").alias("__start"))
+    d = join_groups(df.where(C.is_debit() & F.col(category).isNotNull()), ends, by)
+    recent = F.col("date") > F.date_sub("__end", recent_days)
+    amt = F.col("amount").cast("double")
+    g = d.groupBy(*by, category, "__end", "__start").agg(
+        F.coalesce(F.sum(F.when(recent, amt)), F.lit(0.0)).alias("recent_amount"),
+        F.coalesce(F.sum(F.when(~recent, amt)), F.lit(0.0)).alias("__hist"))
+    days = F.greatest(F.datediff("__end", "__start") - recent_days + 1, F.lit(1))
+    g = g.withColumn("norm_amount", F.col("__hist") / days * recent_days).where(F.col("norm_amount") >= min_norm)
+    g = g.withColumn("category_drop", C.clip(1.0 - F.col("recent_amount") / F.col("norm_amount"), 0.0, 1.0))
+    worst = F.min_by(F.struct(F.col(category).alias("category"), "recent_amount", "norm_amount", "category_drop"),
+                     F.struct((-F.round("category_drop", 9)).alias("d"), F.col(category).alias("c")))
+    return g.groupBy(*by).agg(worst.alias("w")).select(*by, "w.*")
+
+
+def stress_with_category(df: DataFrame, category: str = "merchant", recent_days: int = 30, drop_points: float = 25.0,
+                         by: Sequence[str] = ACC) -> DataFrame:
+    """The stress index plus up to ``drop_points`` for the deepest category drop, at most 100."""
+    s = join_groups(stress_index(df, recent_days, by), category_drop(df, category, recent_days, by=by), by)
+    total = F.col("stress_index") + drop_points * F.coalesce("category_drop", F.lit(0.0))
+    return s.withColumn("stress_index", F.least(total, F.lit(100.0)))
+
+
 def recurring_bills(df: DataFrame, key: str = "merchant", min_months: int = 3, by: Sequence[str] = ACC) -> DataFrame:
     """Debits recurring by (key, day of month) in >= ``min_months`` distinct
     months, with their mean amount."""

@@ -89,6 +89,27 @@ def stress_index(spark, sf_dir):
     return X.stress_index(d)
 
 
+@register("category_drop", with_txn("""
+SELECT account_id, category, round(recent_amount, 6) AS recent_amount, round(norm_amount, 6) AS norm_amount,
+       round(category_drop, 9) AS category_drop
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY round(category_drop, 9) DESC, category) AS n
+      FROM (SELECT *, least(greatest(1.0 - recent_amount / norm_amount, 0.0), 1.0) AS category_drop
+            FROM (SELECT t.account_id, merchant AS category,
+                         coalesce(sum(CASE WHEN date > e - 30 THEN CAST(amount AS DOUBLE) END), 0.0) AS recent_amount,
+                         coalesce(sum(CASE WHEN NOT date > e - 30 THEN CAST(amount AS DOUBLE) END), 0.0)
+                           / greatest(date_diff('day', max(s), max(e)) - 30 + 1, 1) * 30 AS norm_amount
+                  FROM txn_orders t JOIN (SELECT account_id, max(date) AS e, min(date) AS s FROM txn_orders GROUP BY 1) b
+                    ON t.account_id = b.account_id
+                  WHERE trim(debit_credit) = 'Debit' AND merchant IS NOT NULL GROUP BY 1, 2)
+            WHERE norm_amount >= 1000))
+WHERE n = 1""", TXN_ORDERS_CTE))
+def category_drop(spark, sf_dir):
+    """The category with the deepest drop below its norm, per account (order history)."""
+    d = X.category_drop(txn_orders(spark, sf_dir))
+    return d.select("account_id", "category", F.round("recent_amount", 6).alias("recent_amount"),
+                    F.round("norm_amount", 6).alias("norm_amount"), F.round("category_drop", 9).alias("category_drop"))
+
+
 @register("recurring_bills", with_txn("""
 SELECT account_id, merchant AS bill_key, dayofmonth(date) AS day_of_month, count(DISTINCT strftime(date, '%Y-%m')) AS months,
        CAST(sum(amount) AS DOUBLE) / count(*) AS mean_amount

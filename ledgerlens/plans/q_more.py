@@ -180,3 +180,19 @@ def balance_classes_weights(spark, sf_dir):
     """Class weights n / (2 n_class) of the exact training split."""
     tr, _ = ML.stratified_split(labelled(spark, sf_dir))
     return ML.with_class_weights(tr).groupBy(ML.LABEL, "weight").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("narrative_totals", f"""
+SELECT k.account_id, k.transaction_count AS total_transactions, round(k.total_credit - k.total_debit, 2) AS net_cash_flow,
+       m.merchant AS first_merchant, c.runway_days, c.risk_classification AS risk_level
+FROM ({_parent("kpis")}) k LEFT JOIN (SELECT * FROM ({_parent("top_merchants")}) t WHERE rank = 1) m USING (account_id)
+LEFT JOIN ({_parent("cashflow")}) c USING (account_id)""")
+def narrative_totals(spark, sf_dir):
+    """Fields of the narrative payload's totals, merchants and cash flow, taken back out of its JSON."""
+    p = RP.narrative_payload(scored(spark, sf_dir), FIX)
+    at = lambda path: F.get_json_object("payload", path)
+    return p.select("account_id", at("$.totals.total_transactions").cast("long").alias("total_transactions"),
+                    F.round(at("$.totals.net_cash_flow").cast("double"), 2).alias("net_cash_flow"),
+                    at("$.top_merchants[0].merchant").alias("first_merchant"),
+                    at("$.cash_flow.runway_days").cast("int").alias("runway_days"),
+                    at("$.cash_flow.risk_level").alias("risk_level"))
