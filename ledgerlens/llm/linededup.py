@@ -120,7 +120,8 @@ def drop_repeats(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, n_batc
     runs = LineRuns(docs.sparkSession, enough=min_docs, fan_out=fan_out)
     for batch in descending_batches(hashes, n_batches):
         runs.add(hashes.filter(batch))
-    repeated = runs.table().filter(F.col("n_docs") >= min_docs).select(*HASH, "keeper")
+    # a table of its own, so that the join below stands between two exchanges and a very common line can be split
+    repeated = staged(runs.table().filter(F.col("n_docs") >= min_docs).select(*HASH, "keeper"), "repeated-lines")
     dropped = (hashes.join(repeated, HASH).filter(F.col("doc_id") != F.col("keeper"))
                .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
                .agg(F.sort_array(F.collect_set("line_no")).alias("_dropped")))
