@@ -11,10 +11,11 @@ windows of one document with the same anchor.
 2. Seeds are joined on the anchor by aggregates, never as pairs: seeds with the
    same words collapse into one (thousands of copies become one row), anchors
    of a single document go.
-3. An anchor whose seeds are all equal is a repeat as it stands.  Where they
-   differ (at the edges of a repeat) the seed is extended both ways window by
-   window: the windows of one representative per distinct seed are hashed and the
-   smallest document of every window is found by a second aggregate.
+3. A seed is a repeat as it stands in every document after its first.  Where an
+   anchor's seeds differ (at the edges of a repeat) the seed is extended both ways
+   window by window: the windows of one representative per distinct seed are hashed,
+   a second aggregate finds the smallest document of every window, and those that
+   begin before the seed's own first document are repeats there too.
 4. Windows that also start in a document with a smaller id mark their words; runs
    of marked words are the maximal repeats of ``window`` words or more.
 
@@ -151,22 +152,21 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 10) -> DataFra
     windows = (keyed.join(by_doc, ["doc_id", "text_hash"]).select("doc_id", "text", "seeds")
                .mapInArrow(hash_windows(window), "anchor long, words long, off int, win long, doc_id long"))
     windows = staged(windows, "windows")
-    first = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("first"))
-    # of each distinct seed, the smallest document of every window, where some document comes later
-    later = differ.select("anchor", "words", "last")
-    marked = (windows.join(first, ["anchor", "win"]).groupBy("anchor", "words")
-              .agg(F.collect_set(F.struct("off", "first")).alias("windows"), F.min("first").alias("least"))
-              .join(later, ["anchor", "words"]).filter(F.col("least") < F.col("last"))
-              .select("anchor", "words", "windows", "least"))
-    whole = (shared.filter(F.col("n_forms") == 1)
-             .select("anchor", "words", F.lit(None).cast("array<struct<off:int,first:bigint>>").alias("windows"),
-                     F.col("anchor_first").alias("least")))
-    hits = seeds.join(whole.unionByName(marked), ["anchor", "words"]).filter(F.col("doc_id") > F.col("least"))
+    first = (windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+             .filter(F.col("first") < F.col("last")).drop("last"))
+    # windows of a distinct seed that also stand in a document before the seed's own first one
+    before = (windows.join(first, ["anchor", "win"]).filter(F.col("first") < F.col("doc_id"))
+              .groupBy("anchor", "words").agg(F.collect_set("off").alias("offs")))
+    # in documents after the seed's first one all of its windows are repeats, in the first one those
+    marks = (shared.filter(F.col("n_forms") > 1).select("anchor", "words", F.col("rep.doc_id").alias("own"), "last")
+             .join(before, ["anchor", "words"], "left")
+             .unionByName(shared.filter(F.col("n_forms") == 1).select(
+                 "anchor", "words", F.col("rep.doc_id").alias("own"), "last", F.lit(None).cast("array<int>").alias("offs")))
+             .filter((F.col("own") < F.col("last")) | F.col("offs").isNotNull()).drop("last"))
+    hits = seeds.join(marks, ["anchor", "words"]).filter((F.col("doc_id") > F.col("own")) | F.col("offs").isNotNull())
     one = F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("n") + window - 1).alias("to")))
-    some = F.transform(F.filter("windows", lambda w: w["first"] < F.col("doc_id")),
-                       lambda w: F.struct((F.col("start") + w["off"]).alias("from"),
-                                          (F.col("start") + w["off"] + window).alias("to")))
-    return (hits.select("doc_id", "text_hash", F.when(F.col("windows").isNull(), one).otherwise(some).alias("s"))
+    some = F.transform("offs", lambda o: F.struct((F.col("start") + o).alias("from"), (F.col("start") + o + window).alias("to")))
+    return (hits.select("doc_id", "text_hash", F.when(F.col("doc_id") > F.col("own"), one).otherwise(some).alias("s"))
             .groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("s")).alias("repeats")))
 
 
