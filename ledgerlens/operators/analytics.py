@@ -214,8 +214,8 @@ def spending_trends(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
     """Week-over-week and month-over-month debit change per group."""
     wk = _last_change(weekly_spending(df, by), "week", by, "wow_change_pct")
     mo = _last_change(monthly_spending(df, by), "month", by, "mom_change_pct")
-    keys = df.select(*by).distinct()
-    return keys.join(wk, list(by), "left").join(mo, list(by), "left")
+    keys = df.select(*by).distinct() if by else df.agg(F.count(F.lit(1)).alias("__rows"))
+    return join_groups(join_groups(keys, wk, by), mo, by).drop("__rows")
 
 
 def monthly_projection(df: DataFrame, by: Sequence[str] = ACC, opening: float | None = 50000.0,
@@ -253,4 +253,4 @@ def insights(df: DataFrame, by: Sequence[str] = ACC, top_n: int = 10) -> DataFra
     tm = (top_merchants(df, top_n, by).groupBy(*by)
           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "merchant"))),
                                         lambda x: x["merchant"]), "|").alias("top_merchants")))
-    return s.join(tm, list(by), "left").join(spending_trends(df, by), list(by), "left")
+    return join_groups(join_groups(s, tm, by), spending_trends(df, by), by)

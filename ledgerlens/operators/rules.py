@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
 from ledgerlens.functions.quantiles import grouped_quantiles
+from ledgerlens.functions.scope import as_one_statement
 from ledgerlens.functions.windows import range_count
 
 ACC = "account_id"
@@ -298,9 +299,12 @@ def with_rule_arrays(e: DataFrame, cfg: Config) -> DataFrame:
     }).drop("__hits")
 
 
-def rule_engine(df: DataFrame, cfg: Config = Config()) -> DataFrame:
+def rule_engine(df: DataFrame, cfg: Config = Config(), by=(ACC,)) -> DataFrame:
     """All rules in order: ``rule_flags`` (each once, rule order),
-    ``rule_reasons`` (parallel), ``rule_score`` (sum of points)."""
+    ``rule_reasons`` (parallel), ``rule_score`` (sum of points).  ``by=()`` takes
+    the whole table as one statement."""
+    if not by:
+        return as_one_statement(df, lambda d: rule_engine(d, cfg))
     return with_rule_arrays(evaluate(df, cfg), cfg)
 
 

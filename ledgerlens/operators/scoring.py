@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.scope import as_one_statement
 from ledgerlens.functions.windows import bucketed_prev
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import rules as R
@@ -202,7 +203,9 @@ def score_transactions(df: DataFrame, cfg: Config = Config(), models=None,
     derived from it and joined back once: amount stats and channel medians
     (small, broadcast by AQE when their measured size allows), daily stats on
     (account, date), and one merged (account, seq) table for bursts, repeats
-    and velocity."""
+    and velocity.  ``by=()`` takes the whole table as one statement."""
+    if not by:
+        return as_one_statement(df, lambda d: score_transactions(d, cfg, models))
     base = R.prepare(FE.row_features(df, cfg), cfg)
     wanted = set(cfg.rule_names)
     out = base.join(FE.amount_stats(base, cfg, by), list(by), "left").withColumn(

@@ -185,3 +185,23 @@ def test_hot_buckets_are_cut(spark, monkeypatch):
     new = some.withColumn("n", F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) > gap).cast("int"), F.lit(0)))
     want = {r["seq"]: r["s"] + 1 for r in new.withColumn("s", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).collect()}
     assert ses == want
+
+
+def test_single_statement_scope(spark):
+    """by=() gives what one account with all the rows gives, and keeps the rows' own accounts."""
+    from ledgerlens.operators import analytics as A
+    from ledgerlens.operators import scoring as S
+    import random
+    rnd = random.Random(3)
+    rows = [dict(account_id=1 + i % 3, seq=i, ts=at(i * 4000), amount=round(rnd.uniform(1, 60_000), 2), balance=1000,
+                 debit_credit=rnd.choice(["Debit", "Credit"]), merchant=f"M{i % 4}") for i in range(120)]
+    df = txn_rows(spark, rows)
+    one = df.withColumn("account_id", F.lit(5).cast("long"))
+    for op in (lambda d, by: S.score_transactions(d, Config.fixture(), by=by).select("seq", "final_risk_score", "rule_score"),
+               lambda d, by: R.rule_engine(d, Config.fixture(), by=by).select("seq", "rule_flags", "rule_score")):
+        assert sorted(op(df, ()).collect()) == sorted(op(one, ("account_id",)).collect())
+    scored = S.score_transactions(df, Config.fixture(), by=())
+    assert {(r["seq"], r["account_id"]) for r in scored.select("seq", "account_id").collect()} == {(i, 1 + i % 3) for i in range(120)}
+    for op in (A.spending_trends, A.insights, A.kpis, A.summary_statistics):
+        whole, single = op(df, by=()).collect(), op(one).drop("account_id").collect()
+        assert whole == single and len(whole) == 1
