@@ -1,4 +1,4 @@
-"""Embedding near-dedup over a robust-pruned flat graph.
+"""Embedding near-dedup over overlapping shards.
 
 1. Equal vectors collapse to one row with the number of its copies.
 2. Shards: pivots (a bounded sample of vectors, smallest hashes of the id, none in range
@@ -7,15 +7,12 @@
    ``shard_rows`` is split again the same way by pivots of its own, in as many rounds as it
    takes; a shard of which pivots leave more than half together (a dense group) is dealt to
    blocks, and every two of its blocks meet as one shard.
-3. Graph: in every shard each vector's nearest ``candidates`` are pruned robustly (a
-   neighbour is dropped if a kept one is ``alpha`` times closer to it than the vector
-   is), and the adjacency lists of one vector from all its shards are united.
-4. Search: with the united lists, every vector walks greedily from its shards' medoids
-   and from its own list and, in range, expands every vector it meets until none is left.
-   Found pairs are verified by cosine in double precision where they are found.
-5. Audit: a bounded sample of vectors is compared with all rows by brute force; while
-   the search finds less than ``min_recall`` of their links, it is done again over
-   shards with one more overlap.  The recall is logged and returned.
+3. Links: in every shard all pairs are compared, by blocked products in double precision.
+   (A greedy search over robust-pruned lists, ``robust_prune`` and ``search``, loses the links
+   between tight groups larger than its lists, so the links do not rest on it.)
+4. Audit: a bounded sample of vectors is compared with all rows by brute force; while
+   the shards show less than ``min_recall`` of their links, they are made again
+   with one more overlap.  The recall is logged and returned.
 
 A shard is one task's group: ``shard_rows`` bounds it whatever the data.
 
@@ -48,10 +45,6 @@ class Graph:
     pivots: int = 512               # that a shard is split by at once, at most
     overlap: int = 2
     slack: float = 0.05             # radians beyond the nearest pivot
-    candidates: int = 48
-    degree: int = 24
-    alpha: float = 1.2
-    beam: int = 24
     audit_rows: int = 500
     min_recall: float = 0.99
     max_overlap: int = 6
@@ -111,11 +104,12 @@ def _blocks_of(rows: DataFrame, sizes: DataFrame, shard_rows: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.filter((F.col("other") != F.col("own")) | (F.col("blocks") == 1))
     name = F.concat_ws("#", "shard", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(name.alias("shard"), "vec_id", "embedding")
+    return rows.select(name.alias("shard"), "vec_id", "embedding", F.col("own").alias("block"))
 
 
 def shards(vectors: DataFrame, g: Graph, overlap: int) -> DataFrame:
-    """(shard, vec_id, embedding): overlapping shards of at most about ``shard_rows`` vectors."""
+    """(shard, vec_id, embedding, block): overlapping shards of at most about ``shard_rows`` vectors;
+    ``block`` is -1 but in the pairs of blocks of a dense group."""
     schema = "shard string, vec_id long, embedding array<float>, was long"
     # vectors of another length are another space
     todo = vectors.select(F.size("embedding").cast("string").alias("shard"), "vec_id", "embedding",
@@ -125,7 +119,8 @@ def shards(vectors: DataFrame, g: Graph, overlap: int) -> DataFrame:
         sizes = staged(todo.groupBy("shard").agg(F.count("*").alias("n"), F.max("was").alias("of")), "shard-sizes")
         small, large = F.col("n") <= g.shard_rows, F.col("n") > g.shard_rows
         dense = large & F.coalesce(F.col("n") > 0.5 * F.col("of"), F.lit(False))
-        ready = todo.join(sizes.filter(small).select("shard"), "shard", "left_semi").select("shard", "vec_id", "embedding")
+        ready = todo.join(sizes.filter(small).select("shard"), "shard", "left_semi").select(
+            "shard", "vec_id", "embedding", F.lit(-1).alias("block"))
         done = ready if done is None else done.unionByName(ready)
         n_dense, n_split = sizes.agg(F.count(F.when(dense, 1)), F.count(F.when(large & ~dense, 1))).first()
         if n_dense:
@@ -174,33 +169,6 @@ def robust_prune(sims: np.ndarray, degree: int, candidates: int, alpha: float) -
     return out
 
 
-def build_shard(g: Graph):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = unit(rows["embedding"]).astype(np.float32)
-        ids = rows["vec_id"].to_numpy()
-        adjacent = robust_prune(x @ x.T, g.degree, g.candidates, g.alpha)
-        return pd.DataFrame({"shard": rows["shard"], "vec_id": ids, "neighbours": [ids[a] for a in adjacent]})
-    return run
-
-
-def in_block_pair(shard="shard"):
-    """Whether a shard is two blocks of a dense group (``_blocks_of`` names them so)."""
-    return F.col(shard).contains("#")
-
-
-def united_graph(sharded: DataFrame, g: Graph) -> DataFrame:
-    """(shard, vec_id, neighbours): per shard, every member's list united over its shards.
-
-    The pairs of blocks of a dense group keep their own lists: every two members meet in one of
-    them, and uniting a vector's lists over all its pairs would grow with the group."""
-    lists = staged(sharded.groupBy("shard").applyInPandas(build_shard(g), "shard string, vec_id long, neighbours array<long>"),
-                   "graph")
-    flat = lists.filter(~in_block_pair())
-    united = flat.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    return (flat.select("shard", "vec_id").join(united, "vec_id").select("shard", "vec_id", "neighbours")
-            .unionByName(lists.filter(in_block_pair())))
-
-
 # ---------------------------------------------------------------- search
 
 def search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, start: np.ndarray, threshold: float,
@@ -257,36 +225,36 @@ def search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, start: np.n
     return np.nonzero(in_range)
 
 
-def search_shard(g: Graph):
+# ---------------------------------------------------------------- links
+
+def compare_shard(g: Graph):
+    """All links of a shard.  The pairs inside a block are left to one of the block's pairs:
+    block k's to (0, k), block 0's to (0, 1)."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = unit(rows["embedding"])
-        ids = rows["vec_id"].to_numpy()
-        place = pd.Series(np.arange(len(ids)), index=ids)
-        lists = [place.reindex(a).dropna().to_numpy(dtype=np.int64) for a in rows["neighbours"]]
-        width = max(1, max(map(len, lists)))
-        adjacent = np.full((len(ids), width), -1, dtype=np.int64)
-        for i, a in enumerate(lists):
-            adjacent[i, :len(a)] = a
-        near = x.astype(np.float32)
-        medoid = int(np.argmax(near @ near.mean(axis=0)))
-        # a hair below the threshold in single precision; the double one decides
-        i, j = search(near, adjacent, np.arange(len(ids)), np.array([medoid]), g.threshold - 1e-5, g.beam)
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        key = np.unique(i * len(ids) + j)
-        i, j = key // len(ids), key % len(ids)
-        i, j = i[i != j], j[i != j]
-        cosine = np.concatenate([np.einsum("ij,ij->i", x[i[s:s + 65536]], x[j[s:s + 65536]])
-                                 for s in range(0, len(i), 65536)] or [np.zeros(0)])
-        true = cosine >= g.threshold
-        a, b = ids[i[true]], ids[j[true]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": cosine[true]})
+        ids, block = rows["vec_id"].to_numpy(), rows["block"].to_numpy()
+        low, high = map(int, rows["shard"].iloc[0].split("#")[1:]) if block[0] >= 0 else (0, -1)
+        step = max(1, (1 << 22) // x.shape[1])
+        found = []
+        for at in range(0, len(ids), 512):
+            # a hair below the threshold; the product of the pair alone decides, alike in every shard
+            i, j = np.nonzero(x[at:at + 512] @ x[at:].T >= g.threshold - 1e-9)
+            i, j = i + at, j + at
+            mine = (block[i] != block[j]) | (block[i] == high) & (low == 0) | (high == 1)
+            take = (i < j) & (ids[i] != ids[j]) & mine
+            i, j = i[take], j[take]
+            cosine = np.concatenate([np.einsum("ij,ij->i", x[i[s:s + step]], x[j[s:s + step]])
+                                     for s in range(0, len(i), step)] or [np.zeros(0)])
+            true = cosine >= g.threshold
+            a, b = ids[i[true]], ids[j[true]]
+            found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": cosine[true]}))
+        return pd.concat(found)
     return run
 
 
-def find_links(sharded: DataFrame, graph: DataFrame, g: Graph) -> DataFrame:
+def find_links(sharded: DataFrame, g: Graph) -> DataFrame:
     """Distinct verified links (a < b) between distinct vectors."""
-    rows = sharded.join(graph, ["shard", "vec_id"])
-    found = rows.groupBy("shard").applyInPandas(search_shard(g), "a long, b long, cosine double")
+    found = sharded.groupBy("shard").applyInPandas(compare_shard(g), "a long, b long, cosine double")
     return staged(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "links")
 
 
@@ -326,7 +294,7 @@ def linked_vectors(vectors: DataFrame, g: Graph = Graph()) -> tuple[DataFrame, D
     overlap = g.overlap
     while True:
         sharded = shards(distinct, g, overlap)
-        links = find_links(sharded, united_graph(sharded, g), g)
+        links = find_links(sharded, g)
         recall = audit(distinct, links, g)
         log.info("overlap %d: audited recall %.4f", overlap, recall)
         if recall >= g.min_recall or overlap >= g.max_overlap:

@@ -176,3 +176,21 @@ def test_search_reaches_all_in_range():
     want = {(a, b) for a, b in zip(*np.nonzero(u @ u.T >= 0.9)) if a != b}
     got = {(a, b) for a, b in zip(i, j) if a != b}
     assert got <= want and len(got | {(b, a) for a, b in got}) >= 0.99 * len(want)
+
+
+def test_links_between_tight_groups(spark):
+    """Four groups of 100 copies each: nobody's 48 nearest lie in another group, most links do."""
+    rng = np.random.default_rng(5)
+    point = lambda base, cosine, n: base * cosine + np.sqrt(1 - cosine ** 2) * (
+        lambda z: z / np.linalg.norm(z, axis=1, keepdims=True))(rng.normal(size=(n, 64)))
+    centre = rng.normal(size=64)
+    centres = point(centre / np.linalg.norm(centre), 0.97, 4)
+    x = np.concatenate([point(c / np.linalg.norm(c), 0.9975, 100) for c in centres]).astype(np.float32)
+    near = true_links(x)
+    group = np.arange(400) // 100
+    assert (near & (group[:, None] != group)).sum() > 0.7 * near.sum()
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for g in (Graph(), Graph(shard_rows=90)):            # 90: pairs of blocks of a dense group
+        got = {r["vec_id"]: r for r in vectorgraph.near_duplicates(df, g).collect()}
+        assert [got[i]["n_links"] for i in range(400)] == near.sum(axis=1).tolist()
+        assert {r["component_id"] for r in got.values()} == {0}
