@@ -194,3 +194,42 @@ def test_links_between_tight_groups(spark):
         got = {r["vec_id"]: r for r in vectorgraph.near_duplicates(df, g).collect()}
         assert [got[i]["n_links"] for i in range(400)] == near.sum(axis=1).tolist()
         assert {r["component_id"] for r in got.values()} == {0}
+
+
+def skewed(n_pairs=150, n_dense=600, dim=16, seed=7):
+    """A dense group, and pairs of near copies."""
+    rng = np.random.default_rng(seed)
+    first = rng.normal(size=(n_pairs, dim))
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    centre = rng.normal(size=dim)
+    dense = centre / np.linalg.norm(centre) + rng.normal(size=(n_dense, dim)) * 0.01
+    return np.concatenate([first, first + rng.normal(size=first.shape) * 0.08, dense]).astype(np.float32)
+
+
+def vector_frame(spark, *parts):
+    rows = [[float(c) for c in v] for x in parts for v in x]
+    return spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+
+
+def test_audit_sees_small_groups_and_every_length(spark):
+    x, short = skewed(), skewed(20, 0, 8)
+    a, b = np.nonzero(np.triu(true_links(x)))
+    c, d = np.nonzero(np.triu(true_links(short)))
+    dense = [(int(i), int(j)) for i, j in zip(a, b) if i >= 300]
+    pairs = [(int(i), int(j)) for i, j in zip(a, b) if i < 300]
+    others = [(int(i) + len(x), int(j) + len(x)) for i, j in zip(c, d)]
+    assert len(dense) > 150 * len(pairs) and pairs and others
+    df = vector_frame(spark, x, short)
+    for links, good in ((dense + pairs + others, True), (dense + others, False), (dense + pairs, False)):
+        links = spark.createDataFrame(links, "a long, b long")
+        assert (vectorgraph.audit(df, links, Graph()) >= 0.99) == good
+
+
+def test_all_pairs_where_shards_lose_links(spark):
+    x, short = skewed(150, 60), skewed(60, 0, 8)
+    df = vector_frame(spark, x, short)
+    got = {r["vec_id"]: r for r in vectorgraph.near_duplicates(
+        df, Graph(shard_rows=20, overlap=1, max_overlap=1, slack=0.0, audit_rows=1000, exact_rows=100)).collect()}
+    want = true_links(x).sum(axis=1).tolist() + true_links(short).sum(axis=1).tolist()
+    assert [got[i]["n_links"] for i in range(len(want))] == want
+    assert {r["recall"] for r in got.values()} == {1.0}
