@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import salted_rows, staged
+from ledgerlens.llm.common import salted_rows, staged, text_hash
 from ledgerlens.llm.components import connected
 
 #: Fingerprints a task holds at about, and of one (block, value) before it is cut again.
@@ -64,14 +64,14 @@ def fingerprinter(shingle: int):
         for batch in batches:
             prints = np.array([fingerprint_of(t.as_py(), shingle, xxh64_intdigest) for t in batch.column("text")],
                               dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))],
-                                             names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints.view(np.int64))],
+                                             names=["doc_id", "text_hash", "print"])
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, print) of every row, the fingerprint as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(fingerprinter(shingle), "doc_id long, print long")
+    """(doc_id, text_hash, print) of every row, the fingerprint as a signed long."""
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(fingerprinter(shingle), "doc_id long, text_hash long, print long")
 
 
 def trie_links(prints: np.ndarray, group: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -178,15 +178,21 @@ def print_links(prints: DataFrame, bits: int = 3) -> DataFrame:
             .applyInPandas(join_bucket(bits), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
-    prints = staged(fingerprints(docs, shingle), "prints")
+def labelled_prints(prints: DataFrame, bits: int = 3) -> DataFrame:
+    """(print, root, first) of every distinct fingerprint of rows with an id; ``first`` is the smallest
+    (doc_id, text_hash) of its rows, ``root`` names its component."""
     classes = staged(prints.filter(F.col("doc_id").isNotNull()).groupBy("print")
-                     .agg(F.min("doc_id").alias("first")), "print-classes")
+                     .agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "print-classes")
     nodes = connected(print_links(classes.select("print"), bits))
-    labelled = classes.join(nodes, classes["print"] == nodes["node"], "left").select(
+    return classes.join(nodes, classes["print"] == nodes["node"], "left").select(
         "print", "first", F.coalesce("root", "print").alias("root"))
-    roots = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row."""
+    prints = staged(fingerprints(docs, shingle), "prints")
+    labelled = labelled_prints(prints, bits)
+    roots = labelled.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     of_print = labelled.join(roots, "root").select(F.col("print").alias("_print"), "component_id")
     out = prints.join(of_print, prints["print"] == F.col("_print"), "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
@@ -194,8 +200,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The documents whose id is the smallest of their component, one row each; rows without an id stay."""
-    keep = (near_duplicates(docs, shingle, bits).filter(F.col("doc_id") == F.col("component_id"))
-            .select("doc_id").distinct())
-    named = docs.filter(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of every component, with its smallest id and, where that id has several texts there, the
+    smallest hash of the text; rows without an id stay.  Of rows equal in id and text, the one with the
+    smallest hash of all columns stays."""
+    prints = staged(fingerprints(docs, shingle), "prints")
+    first = labelled_prints(prints, bits).groupBy("root").agg(F.min("first").alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    named = docs.filter(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"),
+                                                            F.xxhash64("text").alias("_hash"))
+    kept = (named.join(keep, ["_id", "_hash"], "left_semi").groupBy("_id", "_hash")
+            .agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*"))
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

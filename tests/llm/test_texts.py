@@ -184,3 +184,17 @@ def test_query_against_sql(spark, duck, name):
     assert sorted(names) == sorted(got.columns) and len(rows) == len(want)
     for a, b in zip(rows, want):
         assert a == pytest.approx(b, rel=1e-12) if any(isinstance(x, float) for x in a) and None not in a else a == b
+
+
+def test_simhash_keeps_every_text_of_a_repeated_id(spark):
+    text = {k: " ".join(brute.sentence(80, 700 + k)) for k in range(5)}
+    rows = [(6, text[0], "a"), (6, text[1], "a"), (5, text[2], "a"), (5, text[3], "a"), (3, text[3], "a"), (6, text[0], "a"),
+            (9, text[4], "a"), (9, text[4], "b")]
+    want = sorted([(6, text[0]), (6, text[1]), (5, text[2]), (3, text[3]), (9, text[4])])
+    seen = set()
+    for n in range(1, 4):
+        df = spark.createDataFrame(rows[n:] + rows[:n], "doc_id long, text string, source string").repartition(n)
+        got = simhash.first_of_each(df).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == want
+        seen.add(next(r["source"] for r in got if r["doc_id"] == 9))
+    assert len(seen) == 1
