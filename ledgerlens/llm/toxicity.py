@@ -9,7 +9,7 @@ offending spans, and a logistic of the strongest token and the expected number o
 offending tokens is the document's score.
 
 Labels are per document, so tokens are labelled first, on one text of each group of
-near copies in the sample: in a toxic document, a token is toxic if it (or its first bytes) stands in toxic documents far more often
+near copies of one label in the sample: in a toxic document, a token is toxic if it (or its first bytes) stands in toxic documents far more often
 than chance allows (binomial bound, corrected for the number of values tried).
 
 Fitting uses a bounded, documented sample: at most ``max_toxic`` toxic and
@@ -50,6 +50,8 @@ FEATURES = (("all", 0), ("first", 4), ("first", 5), ("first", 6), ("last", 3))
 BLOCK = 128
 #: Bytes of text that fitting works on at once (on the driver).
 FIT_BYTES = 1 << 18
+#: Share of two texts' distinct tokens that makes them near copies.
+COPY = 0.8
 
 
 @dataclass
@@ -194,29 +196,38 @@ def _token_hashes(words: Words) -> np.ndarray:
     return Sequences(_BYTE[words.data]).spans(words.start, words.end)
 
 
-def distinct_texts(texts: list[str | None]) -> np.ndarray:
-    """Which texts are not near copies of an earlier one: no band of three MinHashes in common.
-    Texts without tokens do not count as distinct.
+def distinct_texts(texts: list[str | None], labels: np.ndarray) -> np.ndarray:
+    """Which texts are not near copies of an earlier one that stays, of the same label: ``COPY`` of the
+    distinct tokens of both in common.  Texts without tokens do not count as distinct.
 
-    A copied text would make all of its words look typical of its label."""
-    low, at, n = [], [], 0
+    A copied text would make all of its words look typical of its label.  Texts are compared if they share
+    a band of three of twelve MinHashes and seven of all."""
+    low, sets, at, n = [], [], [], 0
     for words in _word_parts(texts):
         filled = np.flatnonzero(np.diff(words.first))
         if len(filled):
             h = _token_hashes(words)
             low.append(np.stack([np.minimum.reduceat(mix64(h ^ np.uint64(0x9E37 * (k + 1))), words.first[filled])
                                  for k in range(12)]))
+            sets += [np.unique(h[words.first[i]:words.first[i + 1]]) for i in filled]
             at.append(filled + n)
         n += len(words.first) - 1
     fresh = np.zeros(len(texts), dtype=bool)
     if at:
-        at, low = np.concatenate(at), np.concatenate(low, axis=1)
-        fresh[at] = True
-        for band in range(0, 12, 3):
-            _, nth = np.unique(low[band:band + 3], axis=1, return_index=True)
-            again = np.ones(len(at), dtype=bool)
-            again[nth] = False
-            fresh[at[again]] = False
+        at, low = np.concatenate(at), np.concatenate(low, axis=1).T.copy()
+        kept: dict[tuple, list[int]] = {}
+        for i, where in enumerate(at):
+            bands = [(labels[where], band, low[i, band:band + 3].tobytes()) for band in range(0, 12, 3)]
+            met = np.unique(np.concatenate([np.array(kept.get(b, ()), dtype=np.int64) for b in bands]))
+            met = met[(low[met] == low[i]).sum(axis=1) >= 7]
+            for j in met:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= COPY * (len(sets[i]) + len(sets[j]) - both):
+                    break
+            else:
+                fresh[where] = True
+                for b in bands:
+                    kept.setdefault(b, []).append(i)
     return fresh
 
 
@@ -244,7 +255,7 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 20, rate: float
     weights, trans = np.zeros((1 << BITS) + 1), np.log(np.array([[0.99, 0.01], [0.5, 0.5]]))
     model = Model(weights, trans, np.zeros(3))
     toxic = np.array(toxic, dtype=float)
-    once = distinct_texts(texts)
+    once = distinct_texts(texts, toxic)
     texts, toxic = [t for t, keep in zip(texts, once) if keep], toxic[once]
     if not len(toxic) or toxic.min() == toxic.max():
         model.empty = True

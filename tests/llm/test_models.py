@@ -213,3 +213,23 @@ def test_edits_table(spark, encode):
                          + [(2, "new text", 2), (3, "", 0), (-1, "x y", 2), (4, big[:40], encode(big))])
     assert all(r["n_encoded"] < 5000 or len(r["text"]) < 5000 or r["doc_id"] == 4 for r in out)
     assert tokencounts.build_trees(docs.limit(0), RANK_FILE).count() == 0
+
+
+def test_only_near_copies_of_a_label_leave_the_sample():
+    rng = random.Random(11)
+    word = lambda: "%08x" % rng.getrandbits(32)
+    texts, labels, copies = [], [], set()
+    for _ in range(60):
+        base = [word() for _ in range(60)]
+        half = base[:40] + [word() for _ in range(20)]          # half of all tokens in common
+        toxic = base + [word() for _ in range(6)]
+        copy = base[:59] + [word()]
+        for words, label in ((base, 0), (half, 0), (toxic, 1), (copy, 0)):
+            texts.append(" ".join(words))
+            labels.append(label)
+        copies.add(len(texts) - 1)
+    texts += [texts[2], "", None]
+    labels += [1, 0, 0]
+    fresh = toxicity.distinct_texts(texts, np.array(labels, dtype=float))
+    gone = set(np.flatnonzero(~fresh).tolist())
+    assert gone == copies | {240, 241, 242}
