@@ -41,7 +41,7 @@ class Mining:
     min_support: float = 0.005
     min_count: int = 10             # labelled URLs behind a rule at least, however few there are
     min_confidence: float = 0.6
-    max_tokens: int = 4             # of a mined set, label included
+    max_tokens: int | None = None   # of a mined set, label included; None: all
     default: str = "allow"
     broadcast_rules: int = 200_000
 
@@ -98,7 +98,9 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
         return spark.createDataFrame([], schema)
     support = min(1.0, max(mining.min_support, mining.min_count / n))
     sets = FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets
-    sets = staged(sets.filter(F.size("items") <= mining.max_tokens), "frequent-sets")
+    if mining.max_tokens:
+        sets = sets.filter(F.size("items") <= mining.max_tokens)
+    sets = staged(sets, "frequent-sets")
     labels = F.array(F.lit(BLOCK), F.lit(ALLOW))
     plain = F.array_sort(F.array_except("items", labels))
     of_label = sets.filter(F.arrays_overlap("items", labels) & (F.size("items") > 1)).select(

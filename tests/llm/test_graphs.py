@@ -233,3 +233,14 @@ def test_all_pairs_where_shards_lose_links(spark):
     want = true_links(x).sum(axis=1).tolist() + true_links(short).sum(axis=1).tolist()
     assert [got[i]["n_links"] for i in range(len(want))] == want
     assert {r["recall"] for r in got.values()} == {1.0}
+
+
+def test_rules_of_many_tokens(spark):
+    """Blocked only where four path tokens meet; each three of them are allowed more often."""
+    words = [("a", "b", "c", "d")[:i] + ("x",) + ("a", "b", "c", "d")[i + 1:] for i in range(4)]
+    rows = [(f"http://h.org/{'/'.join(w)}", "allow") for w in words for _ in range(40)]
+    rows += [("http://h.org/a/b/c/d", "block")] * 40
+    rules = urlrules.mine_rules(spark.createDataFrame(rows, "url string, label string"))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = urlrules.judge(pages, rules, fixed=()).collect()
+    assert all(r["verdict"] == rows[r["page_id"]][1] for r in got)
