@@ -9,8 +9,9 @@ and goes if a rule over some of its tokens is as confident (it says nothing more
 
 Matching uses an inverted index: each rule is listed under its rarest token, so a
 URL meets only the rules of its own tokens and keeps those it holds completely.
-Equal URLs are judged once.  The most confident rule decides, then the best
-supported, then the longest, then ``block``.
+Equal URLs are judged once.  The rule that gains most on its label's share decides
+((confidence - share) / (1 - share): a rule no surer than the share says nothing, however
+common its label), then the most confident, the best supported, the longest, then ``block``.
 
 Fixed rules (host, path) come before: a rule fits its host and all subdomains if the
 path starts with the rule's; the longest wins.
@@ -84,7 +85,7 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """Rules (rule_id, tokens, verdict, confidence, support) from rows (url, label: block or allow).
+    """Rules (rule_id, tokens, verdict, confidence, support, gain) from rows (url, label: block or allow).
 
     Each labelled URL holds C(t, k) token sets of k of its t tokens, and a frequent set needs
     ``min_support`` of the URLs, so their number is bounded by the mean of C(t, k) / min_support."""
@@ -92,8 +93,8 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     rows = labelled.filter(F.col("url").isNotNull() & F.col("label").isin("block", "allow"))
     baskets = rows.select(F.concat(url_tokens(F.col("url")), F.array(F.concat(F.lit("label="), F.col("label"))))
                           .alias("items"))
-    n = baskets.count()
-    schema = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
+    n, n_block = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
+    schema = "rule_id long, tokens array<string>, verdict string, confidence double, support double, gain double"
     if not n:
         return spark.createDataFrame([], schema)
     support = min(1.0, max(mining.min_support, mining.min_count / n))
@@ -119,8 +120,10 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     useless = (shorter.join(known, ["less", "verdict"]).filter(F.col("as_good") >= F.col("confidence"))
                .select("tokens", "verdict").distinct())
     rules = rules.join(useless, ["tokens", "verdict"], "left_anti")
+    share = F.when(F.col("verdict") == "block", F.lit(n_block / n)).otherwise(F.lit(1 - n_block / n))
+    gain = F.when(share < 1, (F.col("confidence") - share) / (1 - share)).otherwise(F.lit(0.0))
     return staged(rules.select(F.xxhash64("tokens", "verdict").alias("rule_id"), "tokens", "verdict",
-                               "confidence", "support"), "url-rules")
+                               "confidence", "support", gain.alias("gain")), "url-rules")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, mining: Mining = Mining()) -> DataFrame:
@@ -134,7 +137,8 @@ def match_rules(urls: DataFrame, rules: DataFrame, mining: Mining = Mining()) ->
     distinct = urls.filter(F.col("url").isNotNull()).select("url").distinct().withColumn("have", url_tokens(F.col("url")))
     met = (distinct.select("url", "have", F.explode("have").alias("token")).join(index, "token")
            .filter(F.size(F.array_except("tokens", "have")) == 0))
-    best = F.struct("confidence", "support", F.size("tokens").alias("n"), "verdict", "tokens")
+    gain = F.col("gain" if "gain" in rules.columns else "confidence").alias("gain")
+    best = F.struct(gain, "confidence", "support", F.size("tokens").alias("n"), "verdict", "tokens")
     return (met.groupBy("url").agg(F.max(best).alias("best"))
             .select("url", F.col("best.verdict").alias("mined"), F.col("best.tokens").alias("matched"),
                     F.col("best.confidence").alias("confidence")))

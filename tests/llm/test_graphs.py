@@ -244,3 +244,14 @@ def test_rules_of_many_tokens(spark):
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
     got = urlrules.judge(pages, rules, fixed=()).collect()
     assert all(r["verdict"] == rows[r["page_id"]][1] for r in got)
+
+
+def test_rare_block_labels_decide(spark):
+    """Block is 3 % of the labels; a host with 90 % of it outweighs what nearly all URLs share."""
+    rows = [(f"https://h{i % 20}.org/{i}", "allow") for i in range(2910)]
+    rows += [(f"https://bad.io/{i}", "block" if i % 10 else "allow") for i in range(100)]
+    rows += [("https://safe.io/promo", "allow")] * 30 + [("https://other.io/promo", "block")] * 60     # promo: block in two of three
+    rules = urlrules.mine_rules(spark.createDataFrame(rows, "url string, label string"))
+    pages = spark.createDataFrame([(1, "https://bad.io/7"), (2, "https://h3.org/7"), (3, "https://safe.io/promo")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, rules, fixed=()).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
