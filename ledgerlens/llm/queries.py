@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (decontaminate, linededup, mixing, quality, simhash, substringdedup, tokencounts, toxicity,
-                            urlrules, vectorgraph)
+from ledgerlens.llm import (decontaminate, linededup, mixing, pieces, quality, simhash, substringdedup, tokencounts,
+                            toxicity, urlrules, vectorgraph)
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score(docs, quality.fit(docs))
     return out.select("doc_id", F.concat_ws(",", F.col("votes").cast("array<string>")).alias("votes"), "posterior", "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+@query
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with an end id and decoded again; ``end_byte`` is the source byte where its last piece ends."""
+    import public_tokenizers
+    path = public_tokenizers.path(PIECE_MODEL)
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), path)
+    digests = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                             F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                             F.element_at("ends", -1).cast("long").alias("end_byte"))
+    return pieces.decode(digests, path).select("doc_id", "n_tokens", "ids_sha256",
+                                               F.sha2("decoded", 256).alias("decoded_sha256"), "end_byte")
