@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (decontaminate, linededup, mixing, pieces, quality, simhash, substringdedup, tokencounts,
-                            toxicity, urlrules, vectorgraph)
+from ledgerlens.llm import (decontaminate, hardnegatives, linededup, mixing, pieces, quality, simhash, substringdedup,
+                            tokencounts, toxicity, urlrules, vectorgraph)
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +248,35 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.element_at("ends", -1).cast("long").alias("end_byte"))
     return pieces.decode(digests, path).select("doc_id", "n_tokens", "ids_sha256",
                                                F.sha2("decoded", 256).alias("decoded_sha256"), "end_byte")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anchor (an id divisible by 50) and each of its 5 best rows of its label, 3 rows of other labels at 50 to 95 % of its score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hardnegatives.mine(vectors, F.col("id") % 50 == 0)
+
+
+ORACLES["op13_hard_negatives"] = r"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS id,
+         CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM r AS a JOIN r ON len(a.v) = len(r.v) AND a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
