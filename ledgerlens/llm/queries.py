@@ -261,10 +261,10 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op13_hard_negatives"] = r"""
 WITH r AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+         [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS id,
          CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
