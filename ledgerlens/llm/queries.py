@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (decontaminate, hardnegatives, linededup, mixing, pieces, quality, simhash, substringdedup,
-                            tokencounts, toxicity, urlrules, vectorgraph)
+from ledgerlens.llm import (collocations, decontaminate, hardnegatives, linededup, mixing, pieces, quality, simhash,
+                            substringdedup, tokencounts, toxicity, urlrules, vectorgraph)
 from ledgerlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,3 +280,48 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
  AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
 QUALIFY rank <= 3
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of 2 to 4 words that hold together best, by language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), g AS (
+  SELECT lang, k, list_slice(words, s, s + k - 1) AS g
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS s FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k)
+), f AS (
+  SELECT lang, k, array_to_string(g, ' ') AS phrase, count(*) AS f FROM g GROUP BY lang, k, phrase
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 30
+), x AS (
+  SELECT c.*, cut, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:], ' ') AS rest
+  FROM c, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < k
+), y AS (
+  SELECT x.lang, x.k, x.phrase, x.a, h.f AS l, r.f AS r, cut,
+         CAST((CAST(2000000 AS HUGEINT) * x.a) // (CAST(h.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM x JOIN f AS h ON h.lang = x.lang AND h.k = x.cut AND h.phrase = x.head
+         JOIN f AS r ON r.lang = x.lang AND r.k = x.k - x.cut AND r.phrase = x.rest
+), z AS (
+  SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), i AS (
+  SELECT c.lang, array_to_string(c.words[s:s + m - 1], ' ') AS phrase, max(c.a) AS longer
+  FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS s) WHERE m < c.k AND s + m - 1 <= c.k GROUP BY ALL
+)
+SELECT z.lang, CAST(row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, z.phrase) AS INTEGER) AS rank,
+       z.phrase, a, l, r, n.n, score
+FROM z JOIN n ON n.lang = z.lang LEFT JOIN i ON i.lang = z.lang AND i.phrase = z.phrase
+WHERE i.longer IS NULL OR 100 * CAST(i.longer AS HUGEINT) < 80 * CAST(z.a AS HUGEINT)
+QUALIFY rank <= 2000
+"""
