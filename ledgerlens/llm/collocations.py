@@ -56,7 +56,7 @@ class Mining:
     absorbed: int = 80              # per cent of its occurrences inside one longer candidate
     round_prefixes: int = 200_000
     filter_bits: int = 27           # the bit table has 2^27 bits, 16 MB
-    part_bytes: int = 2 << 20
+    part_bytes: int = 512 << 10
     salts: int = 64                 # parts of a language where its best are looked for
 
 
