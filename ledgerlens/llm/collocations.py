@@ -13,7 +13,8 @@ goes if a longer one that holds its words has nearly as many occurrences.  Wante
    floor(scale * f(p) / (f(w) + f(p))).
 3. The frontier is the prefixes (2 and 3 words) not expanded yet.  A round expands the best of
    it, at most ``round_prefixes`` at once: one scan counts everything that extends them by a
-   word on either side (the left side tells which candidates a longer one replaces).  The first
+   word to the right and, if they may be wanted themselves, to the left (a longer candidate on
+   either side may replace them).  The first
    round takes the pairs that score best themselves; from the survivors whose extensions are
    known comes each language's ``limit``-th score, and every later round takes prefixes
    whose bound reaches it.  When none is left, no open phrase can reach that score, nor tie with it.
@@ -116,20 +117,51 @@ def _batch(lang: pa.Array, n: int, phrase: pa.Array, key: np.ndarray, f: np.ndar
 COUNTS = "lang string, n int, phrase string, key long, f long"
 
 
-def key_counts(m: Mining):
+def combined(batches, rows: int = 1_000_000):
+    """Batches of counts with the counts of equal keys of about ``rows`` rows put together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from _combined(held)
+            held, n = [], 0
+    if n:
+        yield from _combined(held)
+
+
+def _combined(held: list[pa.RecordBatch]):
+    table = pa.Table.from_batches(held)
+    _, first, of = np.unique(table["key"].to_numpy(), return_index=True, return_inverse=True)
+    f = np.bincount(of, weights=table["f"].to_numpy()).astype(np.int64)
+    table = table.take(pa.array(first)).set_column(4, "f", pa.array(f))
+    yield from table.combine_chunks().to_batches(max_chunksize=1 << 17)
+
+
+def key_counts(m: Mining, rows: int = 1_000_000):
     """(key, f) of words and pairs."""
+    def sums(held):
+        key, f = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(f.astype(np.int64))], names=["key", "f"])
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             for part in parts(batch, most=m.part_bytes):
                 p = Phrases(part)
-                key, f = np.unique(np.concatenate([k[ok] for k, ok in (p.keys(1), p.keys(2))]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(f.astype(np.int64))], names=["key", "f"])
+                held += [k[ok] for k, ok in (p.keys(1), p.keys(2))]
+                n += 2 * len(p)
+                if n >= rows:
+                    yield sums(held)
+                    held, n = [], 0
+        if n:
+            yield sums(held)
     return run
 
 
 def frequent_counts(m: Mining, table):
     """Counts of the words and pairs whose bit is set, and as phrase of no words the number of a language's words."""
-    def run(batches):
+    def found(batches):
         words = table.value
         for batch in batches:
             for part in parts(batch, most=m.part_bytes):
@@ -137,30 +169,39 @@ def frequent_counts(m: Mining, table):
                 if not len(p):
                     continue
                 lang, f = np.unique(p.lang, return_counts=True)
-                yield _batch(p.langs.take(pa.array(lang)), 0, pa.array([""] * len(lang)), np.zeros(len(lang), dtype=_U), f)
+                salt = np.zeros(len(p.langs), dtype=_U)
+                salt[p.lang] = p.salt
+                yield _batch(p.langs.take(pa.array(lang)), 0, pa.array([""] * len(lang)), salt[lang], f)
                 for n in (1, 2):
                     keys, ok = p.keys(n)
                     bit = keys >> _U(64 - m.filter_bits)
                     at = np.flatnonzero(ok & (words[bit >> _U(6)] >> (bit & _U(63)) & _U(1) == 1))
                     yield from p.counted(keys[at], at, n)
-    return run
+    return lambda batches: combined(found(batches))
+
+
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are in the sorted ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(keys), dtype=bool)
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
 
 
 def extension_counts(m: Mining, wanted):
-    """Counts of the phrases that extend a wanted one (keys by number of words, sorted) by a word on either side."""
-    def run(batches):
+    """Counts of the phrases that extend a wanted one by a word to the right or, where both sides are wanted, to the
+    left; ``wanted`` has sorted keys by (number of words, side)."""
+    def found(batches):
         for batch in batches:
             for part in parts(batch, most=m.part_bytes):
                 p = Phrases(part)
-                for n, sought in wanted.value.items():
-                    if not len(sought):
-                        continue
+                for n in range(2, m.longest):
                     keys, _ = p.keys(n)
-                    hit = sought[np.minimum(np.searchsorted(sought, keys), len(sought) - 1)] == keys
                     longer, ok = p.keys(n + 1)
-                    at = np.flatnonzero(ok & (hit[:-1] | hit[1:])) if len(keys) else np.zeros(0, dtype=np.int64)
-                    yield from p.counted(longer[at], at, n + 1)
-    return run
+                    if len(longer):
+                        right, left = _among(keys[:-1], wanted.value[n, "right"]), _among(keys[1:], wanted.value[n, "left"])
+                        at = np.flatnonzero(ok & (right | left))
+                        yield from p.counted(longer[at], at, n + 1)
+    return lambda batches: combined(found(batches))
 
 
 # ---------------------------------------------------------------- counts
@@ -221,12 +262,12 @@ def scored(counts: DataFrame, phrases: DataFrame, m: Mining) -> DataFrame:
     return out.filter(F.col("cuts") == F.col("n") - 1).select("lang", "n", "phrase", "key", "f", "cut.score", "cut.l", "cut.r")
 
 
-def bounds(counts: DataFrame, m: Mining) -> DataFrame:
-    """Prefixes (2 words up to one less than the longest) with the bound of their own and all their extensions' scores."""
+def bounds(counts: DataFrame, prefixes: DataFrame, m: Mining) -> DataFrame:
+    """Scored prefixes with the ``bound`` of their own and all their extensions' scores."""
     word = counts.filter(F.col("n") == 1).select("lang", F.col("phrase").alias("word"), F.col("f").alias("word_f"))
-    some = counts.filter(F.col("n").between(2, m.longest - 1)).withColumn("word", F.substring_index("phrase", " ", 1))
     bound = _ratio(m, F.col("f"), _exact(F.col("word_f")) + _exact(F.col("f")))
-    return some.join(word, ["lang", "word"]).select("lang", "n", "phrase", "key", bound.alias("bound"))
+    some = prefixes.filter(F.col("n") < m.longest).withColumn("word", F.substring_index("phrase", " ", 1))
+    return some.join(word, ["lang", "word"]).select("lang", "n", "phrase", "key", "score", bound.alias("bound"))
 
 
 def _best(rows: DataFrame, k: int, m: Mining, *order: Column) -> DataFrame:
@@ -245,23 +286,29 @@ def survivors(counts: DataFrame, scores: DataFrame, expanded: DataFrame, m: Mini
     longer = counts.filter(F.col("n") > 2).select("lang", "n", "phrase", F.col("f").alias("longer_f"))
     inside = F.explode(F.array(_words(F.col("phrase"), F.lit(1), F.col("n") - 1), _words(F.col("phrase"), F.lit(2), F.col("n") - 1)))
     longer = longer.select("lang", inside.alias("phrase"), "longer_f").groupBy("lang", "phrase").agg(F.max("longer_f").alias("longer_f"))
-    settled = (scores.filter(F.col("n") < m.longest).join(expanded.select("lang", "phrase").distinct(), ["lang", "phrase"], "left_semi")
+    known = expanded.filter("both").select("lang", "phrase").distinct()
+    settled = (scores.filter(F.col("n") < m.longest).join(known, ["lang", "phrase"], "left_semi")
                .unionByName(scores.filter(F.col("n") == m.longest)))
     gone = 100 * _exact(F.col("longer_f")) >= m.absorbed * _exact(F.col("f"))
     return settled.join(longer, ["lang", "phrase"], "left").filter(~F.coalesce(gone, F.lit(False))).drop("longer_f")
 
 
 def _round(frontier: DataFrame, counts: DataFrame, m: Mining) -> DataFrame:
-    """The prefixes of a round; a triple brings the pair of its last two words, whose extensions its own are cut into."""
-    take = staged(frontier.orderBy(F.desc("priority"), "lang", "phrase").limit(m.round_prefixes).select("lang", "n", "phrase", "key"), "round")
+    """The prefixes of a round (lang, n, phrase, key, both); a triple brings the pair of its last two words, whose
+    extensions to the right are what its own are cut into."""
+    own = ("lang", "n", "phrase", "key", "both")
+    take = staged(frontier.orderBy(F.desc("priority"), "lang", "phrase").limit(m.round_prefixes).select(*own), "round")
     inner = (take.filter(F.col("n") > 2).select("lang", _words(F.col("phrase"), F.lit(2), F.col("n") - 1).alias("phrase")).distinct()
              .join(counts.filter(F.col("n") == 2).select("lang", "n", "phrase", "key"), ["lang", "phrase"]))
-    return staged(take.unionByName(inner.select("lang", "n", "phrase", "key")).distinct(), "round")
+    both = take.unionByName(inner.withColumn("both", F.lit(False)).select(*own))
+    return staged(both.groupBy("lang", "n", "phrase", "key").agg(F.max("both").alias("both")), "round")
 
 
 def _extended(docs: DataFrame, chosen: DataFrame, m: Mining) -> DataFrame:
-    keys = chosen.select("n", "key").toPandas()
-    wanted = {n: np.sort(np.unique(keys["key"][keys["n"] == n].to_numpy()).view(_U)) for n in range(2, m.longest)}
+    keys = chosen.select("n", "key", "both").toPandas()
+    sides = {"right": np.ones(len(keys), dtype=bool), "left": keys["both"].to_numpy(dtype=bool)}
+    wanted = {(n, side): np.sort(np.unique(keys["key"][(keys["n"] == n) & mask].to_numpy(dtype=np.int64)).view(_U))
+              for n in range(2, m.longest) for side, mask in sides.items()}
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     return _summed(_texts(docs).mapInArrow(extension_counts(m, shared), COUNTS), m.least)
 
@@ -271,21 +318,25 @@ def collocations(docs: DataFrame, m: Mining = Mining()) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     counts = first_counts(docs, m)
     pairs = staged(scored(counts, counts.filter(F.col("n") == 2), m), "pair-scores")
-    scores, expanded = pairs, spark.createDataFrame([], "lang string, phrase string")
-    frontier = _best(pairs, 2 * m.limit, m, *best_first()).withColumn("priority", F.col("score"))
+    scores, expanded = pairs, spark.createDataFrame([], "lang string, phrase string, both boolean")
+    frontier = _best(pairs, 2 * m.limit, m, *best_first()).withColumns({"priority": F.col("score"), "both": F.lit(True)})
     while True:
         chosen = _round(frontier, counts, m)
         if chosen.isEmpty():
             break
-        expanded = staged(expanded.unionByName(chosen.select("lang", "phrase")).distinct(), "expanded")
+        expanded = staged(expanded.unionByName(chosen.select("lang", "phrase", "both")), "expanded")
         counts = staged(counts.unionByName(_extended(docs, chosen, m)).dropDuplicates(["lang", "n", "phrase"]), "phrase-counts")
         scores = pairs.unionByName(staged(scored(counts, counts.filter(F.col("n") > 2), m), "scores"))
         best = staged(_best(survivors(counts, scores, expanded, m), m.limit, m, *best_first()), "best")
         reach = (best.filter(F.col("rank") == m.limit).select("lang", F.col("score").alias("reach"))
                  .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(m.salts - 1)))))
-        open_ = bounds(counts, m).join(expanded, ["lang", "phrase"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(m.salts)).cast("int"))
-        frontier = (open_.join(reach, ["lang", "salt"], "left").filter(F.col("bound") >= F.coalesce("reach", F.lit(-1)))
-                    .withColumn("priority", F.col("bound")))
+        # the reach only rises, so a prefix that scores below it is never wanted itself: its right side is enough
+        salt = F.pmod(F.xxhash64("phrase"), F.lit(m.salts)).cast("int")
+        open_ = bounds(counts, scores, m).withColumn("salt", salt).join(reach, ["lang", "salt"], "left")
+        open_ = open_.withColumn("both", F.col("score") >= F.coalesce("reach", F.lit(-1)))
+        done = expanded.groupBy("lang", "phrase").agg(F.max("both").alias("was"))
+        frontier = (open_.filter(F.col("bound") >= F.coalesce("reach", F.lit(-1))).join(done, ["lang", "phrase"], "left")
+                    .filter(F.col("was").isNull() | (F.col("both") & ~F.col("was"))).withColumn("priority", F.col("bound")))
     if scores is pairs:             # no pair occurs often enough
         best = _best(pairs, m.limit, m, *best_first())
     words = counts.filter(F.col("n") == 0).select("lang", F.col("f").alias("words"))

@@ -79,9 +79,9 @@ def test_ties_overlaps_nulls_and_a_full_bit_table(spark):
 def test_large_counts_stay_exact(spark):
     big = 1 << 62
     counts = spark.createDataFrame([("en", 1, "a", 1, big), ("en", 1, "b", 2, big + 3), ("en", 2, "a b", 3, big - 1)], collocations.COUNTS)
-    row = collocations.scored(counts, counts.filter("n = 2"), Mining()).first()
-    assert row["score"] == 2_000_000 * (big - 1) // (2 * big + 3)
-    assert collocations.bounds(counts, Mining()).first()["bound"] == 2_000_000 * (big - 1) // (2 * big - 1)
+    pair = collocations.scored(counts, counts.filter("n = 2"), Mining())
+    assert pair.first()["score"] == 2_000_000 * (big - 1) // (2 * big + 3)
+    assert collocations.bounds(counts, pair, Mining()).first()["bound"] == 2_000_000 * (big - 1) // (2 * big - 1)
 
 
 def test_query_against_sql(spark, duck):
