@@ -117,7 +117,7 @@ def _batch(lang: pa.Array, n: int, phrase: pa.Array, key: np.ndarray, f: np.ndar
 COUNTS = "lang string, n int, phrase string, key long, f long"
 
 
-def combined(batches, rows: int = 1_000_000):
+def combined(batches, rows: int = 300_000):
     """Batches of counts with the counts of equal keys of about ``rows`` rows put together."""
     held, n = [], 0
     for batch in batches:
@@ -138,7 +138,7 @@ def _combined(held: list[pa.RecordBatch]):
     yield from table.combine_chunks().to_batches(max_chunksize=1 << 17)
 
 
-def key_counts(m: Mining, rows: int = 1_000_000):
+def key_counts(m: Mining, rows: int = 500_000):
     """(key, f) of words and pairs."""
     def sums(held):
         key, f = np.unique(np.concatenate(held), return_counts=True)
