@@ -5,13 +5,15 @@ Tokens of a URL are its scheme, the host's first label and its trailing parts (`
 become ``0`` so that numbers do not make every URL unique.  Spark's FP-growth mines the token
 sets (with the label as one more item) that reach ``min_support`` of the labelled
 URLs; a rule "tokens -> label" stands if its confidence reaches ``min_confidence``,
-and goes if a rule over some of its tokens is as confident (it says nothing more).
+and goes if a rule over some of its tokens is as confident (it says nothing more), or
+if it is no surer than its label's share.  Tokens that stand in exactly the same
+labelled URLs are mined as one item, and any of them fits it (each would have its own rule,
+as confident), so a long URL that is repeated does not multiply the sets.
 
 Matching uses an inverted index: each rule is listed under its rarest token, so a
 URL meets only the rules of its own tokens and keeps those it holds completely.
 Equal URLs are judged once.  The rule that gains most on its label's share decides
-((confidence - share) / (1 - share): a rule no surer than the share says nothing, however
-common its label), then the most confident, the best supported, the longest, then ``block``.
+((confidence - share) / (1 - share)), then the most confident, the best supported, the longest, then ``block``.
 
 Fixed rules (host, path) come before: a rule fits its host and all subdomains if the
 path starts with the rule's; the longest wins.
@@ -90,14 +92,23 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     Each labelled URL holds C(t, k) token sets of k of its t tokens, and a frequent set needs
     ``min_support`` of the URLs, so their number is bounded by the mean of C(t, k) / min_support."""
     spark = labelled.sparkSession
-    rows = labelled.filter(F.col("url").isNotNull() & F.col("label").isin("block", "allow"))
-    baskets = rows.select(F.concat(url_tokens(F.col("url")), F.array(F.concat(F.lit("label="), F.col("label"))))
-                          .alias("items"))
-    n, n_block = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
-    schema = "rule_id long, tokens array<string>, verdict string, confidence double, support double, gain double"
+    rows = (labelled.filter(F.col("url").isNotNull() & F.col("label").isin("block", "allow"))
+            .groupBy("url", "label").agg(F.count("*").alias("times")))
+    rows = staged(rows.withColumn("tokens", url_tokens(F.col("url"))), "labelled-urls")
+    n, n_block = rows.agg(F.sum("times"), F.coalesce(F.sum(F.when(F.col("label") == "block", F.col("times"))), F.lit(0))).first()
+    schema = "rule_id long, tokens array<string>, same array<array<string>>, verdict string, confidence double, support double, gain double"
     if not n:
         return spark.createDataFrame([], schema)
     support = min(1.0, max(mining.min_support, mining.min_count / n))
+    each = rows.select("url", "label", "times", F.explode("tokens").alias("token"))
+    hashes = [F.sum(F.col("times") * F.xxhash64("url", "label", F.lit(salt)).cast("decimal(20,0)")).alias(f"h{salt}") for salt in (0, 1)]
+    often = each.groupBy("token").agg(F.sum("times").alias("n"), *hashes).filter(F.col("n") >= support * n * (1 - 1e-9))
+    items = staged(often.groupBy("n", "h0", "h1").agg(F.array_sort(F.collect_list("token")).alias("same"))
+                   .select(F.col("same")[0].alias("item"), "same"), "url-items")
+    known = each.join(items.select("item", F.explode("same").alias("token")), "token").groupBy("url", "label").agg(F.collect_set("item").alias("held"))
+    baskets = rows.join(known, ["url", "label"], "left").select(
+        F.concat(F.coalesce("held", F.array().cast("array<string>")), F.array(F.concat(F.lit("label="), "label"))).alias("items"),
+        F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("items")
     sets = FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets
     if mining.max_tokens:
         sets = sets.filter(F.size("items") <= mining.max_tokens)
@@ -122,21 +133,26 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     rules = rules.join(useless, ["tokens", "verdict"], "left_anti")
     share = F.when(F.col("verdict") == "block", F.lit(n_block / n)).otherwise(F.lit(1 - n_block / n))
     gain = F.when(share < 1, (F.col("confidence") - share) / (1 - share)).otherwise(F.lit(0.0))
-    return staged(rules.select(F.xxhash64("tokens", "verdict").alias("rule_id"), "tokens", "verdict",
-                               "confidence", "support", gain.alias("gain")), "url-rules")
+    rules = rules.withColumn("gain", gain).filter(F.col("gain") > 0)
+    named = (rules.select("tokens", "verdict", F.posexplode("tokens").alias("place", "item")).join(items, "item")
+             .groupBy("tokens", "verdict").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "same"))), lambda x: x["same"]).alias("same")))
+    return staged(rules.join(named, ["tokens", "verdict"]).select(
+        F.xxhash64("tokens", "verdict").alias("rule_id"), "tokens", "same", "verdict", "confidence", "support", "gain"), "url-rules")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """(url, tokens_matched, mined, confidence) of every distinct non-null url that some rule fits."""
+    if "same" not in rules.columns:
+        rules = rules.withColumn("same", F.transform("tokens", lambda t: F.array(t)))
     n_rules = rules.count()
     counts = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    rarest = (rules.select("rule_id", F.explode("tokens").alias("token")).join(counts, "token")
-              .groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token")))
-    index = rules.join(rarest, "rule_id")
+    rarest = (rules.select("rule_id", F.posexplode("tokens").alias("place", "token")).join(counts, "token")
+              .groupBy("rule_id").agg(F.min_by("place", F.struct("n", "token")).alias("place")))
+    index = rules.join(rarest, "rule_id").withColumn("token", F.explode(F.get("same", F.col("place")))).drop("place")
     index = F.broadcast(index) if n_rules <= mining.broadcast_rules else index
     distinct = urls.filter(F.col("url").isNotNull()).select("url").distinct().withColumn("have", url_tokens(F.col("url")))
     met = (distinct.select("url", "have", F.explode("have").alias("token")).join(index, "token")
-           .filter(F.size(F.array_except("tokens", "have")) == 0))
+           .filter(F.forall("same", lambda some: F.arrays_overlap(some, F.col("have")))))
     gain = F.col("gain" if "gain" in rules.columns else "confidence").alias("gain")
     best = F.struct(gain, "confidence", "support", F.size("tokens").alias("n"), "verdict", "tokens")
     return (met.groupBy("url").agg(F.max(best).alias("best"))
