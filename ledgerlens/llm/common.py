@@ -50,3 +50,14 @@ def n_words(text: Column) -> Column:
 def salted_rows(n: int, rows_per_part: int, least: int = 1) -> int:
     """How many parts hold ``n`` rows at ``rows_per_part`` each."""
     return max(least, -(-n // rows_per_part))
+
+
+def unused(columns, *names: str) -> list[str]:
+    """Names like ``names`` that are none of ``columns`` (compared as Spark does, without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import unused
 from ledgerlens.llm.textarrays import Sequences, Words, parts, utf8
 
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int32()), ("n_shared", pa.int32())]))
@@ -123,14 +124,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, share: float =
              .distinct())
     n_items, n_chars = items.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
     n_blocks = max(1, -(-n_items // block_items), -(-n_chars // block_chars))
-    out = docs.drop(name) if name in docs.columns else docs
-    for b in range(n_blocks):
+    out = docs.drop(name)
+    columns = unused([*out.columns, name], *[f"_hits{b}" for b in range(n_blocks)])
+    for b, column in enumerate(columns):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
         sketches = spark.sparkContext.broadcast(Sketches([tuple(r) for r in block.collect()], shingle, share))
-        column = f"_hits{b}"
         out = out.mapInArrow(marker(sketches, column), _schema(out, column))
-    hits = [F.col(f"_hits{b}") for b in range(n_blocks)]
-    return out.withColumn(name, F.concat(*hits)).drop(*[f"_hits{b}" for b in range(n_blocks)])
+    return out.withColumn(name, F.concat(*[F.col(c) for c in columns])).drop(*columns)
 
 
 def _schema(df: DataFrame, column: str):
@@ -149,4 +149,5 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, shingle: int = 5,
 
 def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
     """The documents that hold no item."""
-    return mark(docs, benchmark, shingle, share).filter(F.size("contaminated_by") == 0).drop("contaminated_by")
+    name, = unused(docs.columns, "contaminated_by")
+    return mark(docs, benchmark, shingle, share, name=name).filter(F.size(name) == 0).drop(name)

@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SPACES, lower_ascii, stage_path, staged
+from ledgerlens.llm.common import SPACES, lower_ascii, stage_path, staged, unused
 
 RUN_SCHEMA = "hash_a long, hash_b long, n_docs long, keeper long"
 HASH = ["hash_a", "hash_b"]
@@ -112,9 +112,10 @@ def descending_batches(hashes: DataFrame, n_batches: int) -> list:
 
 
 def drop_repeats(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, n_batches: int = 4,
-                 fan_out: int = 2) -> DataFrame:
-    """Documents with ``kept_text, n_lines, n_dropped``."""
-    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+                 fan_out: int = 2, names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped")) -> DataFrame:
+    """Documents with ``kept_text, n_lines, n_dropped`` (or other ``names``; columns of these names give way)."""
+    docs = docs.drop(*names)
+    own_id, own_hash, gone, every, cut = unused([*docs.columns, *names], "_id", "_hash", "_dropped", "_lines", "_cuts")
     # written once: every batch and the last join read it instead of splitting the texts again
     hashes = staged(line_hashes(docs, min_chars), "line-hashes")
     runs = LineRuns(docs.sparkSession, enough=min_docs, fan_out=fan_out)
@@ -123,17 +124,18 @@ def drop_repeats(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, n_batc
     # a table of its own, so that the join below stands between two exchanges and a very common line can be split
     repeated = staged(runs.table().filter(F.col("n_docs") >= min_docs).select(*HASH, "keeper"), "repeated-lines")
     dropped = (hashes.join(repeated, HASH).filter(F.col("doc_id") != F.col("keeper"))
-               .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-               .agg(F.sort_array(F.collect_set("line_no")).alias("_dropped")))
-    out = docs.join(dropped, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    out = out.withColumn("_lines", lines(out))
-    out = out.withColumn("_cuts", F.concat(F.array(F.lit(-1)), "_dropped", F.array(F.size("_lines"))))
+               .groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
+               .agg(F.sort_array(F.collect_set("line_no")).alias(gone)))
+    out = docs.join(dropped, (F.col("doc_id") == F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash)), "left")
+    out = out.withColumn(every, lines(out))
+    out = out.withColumn(cut, F.concat(F.array(F.lit(-1)), gone, F.array(F.size(every))))
     # the kept lines are the slices between two dropped ones
     kept = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.size("_cuts") - 1),
-        lambda j: F.slice("_lines", F.get("_cuts", j - 1) + 2, F.get("_cuts", j) - F.get("_cuts", j - 1) - 1)))
-    return (out.withColumn("n_lines", F.size("_lines").cast("long"))
-            .withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-            .withColumn("kept_text", F.when(F.col("_dropped").isNull(), F.coalesce(F.col("text"), F.lit("")))
+        F.sequence(F.lit(1), F.size(cut) - 1),
+        lambda j: F.slice(every, F.get(cut, j - 1) + 2, F.get(cut, j) - F.get(cut, j - 1) - 1)))
+    text, n_lines, n_dropped = names
+    return (out.withColumn(n_lines, F.size(every).cast("long"))
+            .withColumn(n_dropped, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+            .withColumn(text, F.when(F.col(gone).isNull(), F.coalesce(F.col("text"), F.lit("")))
                         .otherwise(F.array_join(kept, "\n")))
-            .drop("_id", "_hash", "_dropped", "_lines", "_cuts"))
+            .drop(own_id, own_hash, gone, every, cut))

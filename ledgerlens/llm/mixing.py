@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import n_words
+from ledgerlens.llm.common import n_words, unused
 
 
 @dataclass(frozen=True)
@@ -85,24 +85,24 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     sized = sized.withColumn("size", n_words(F.col("text")))
     src = source_targets(sized, mix)
 
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = (sized.withColumn("_key", key)
-            .withColumn("_bucket", F.substring("_key", 1, mix.order_digits)))
+    # names of this function's own, whatever the table's columns are called
+    key_, bucket, own, at, ahead_, inside_, slope = unused(
+        [*sized.columns, *RESULTS], "_key", "_bucket", "_source", "_b", "_ahead", "_inside", "_slope")
+    rows = (sized.withColumn(key_, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+            .withColumn(bucket, F.substring(key_, 1, mix.order_digits)))
     # prefix sums: inside a (source, bucket) by a window, across buckets by one row per bucket
-    per_bucket = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select("source", "_bucket",
-                                   F.coalesce(F.sum("_words").over(ahead), F.lit(0)).alias("_ahead"))
+    per_bucket = rows.groupBy("source", bucket).agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.select("source", F.col(bucket).alias(at), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias(ahead_))
     offsets = (per_bucket.join(src, per_bucket["source"].eqNullSafe(src["source"]))
-               .select(per_bucket["source"].alias("_source"), F.col("_bucket").alias("_b"), "_ahead",
-                       "source_size", "target", "slope"))
-    inside = (Window.partitionBy("source", "_bucket").orderBy("_key", "size", F.xxhash64("text"))
+               .select(per_bucket["source"].alias(own), at, ahead_, "source_size", "target", F.col("slope").alias(slope)))
+    inside = (Window.partitionBy("source", bucket).orderBy(key_, "size", F.xxhash64("text"))
               .rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = rows.join(offsets, rows["source"].eqNullSafe(offsets["_source"]) & (F.col("_bucket") == F.col("_b")))
+    rows = rows.withColumn(inside_, F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    out = rows.join(offsets, rows["source"].eqNullSafe(offsets[own]) & (F.col(bucket) == F.col(at)))
 
     size, total = F.col("size"), F.col("source_size")
-    start = F.col("_ahead") + F.col("_inside")
+    start = F.col(ahead_) + F.col(inside_)
     # the mix takes words 0 .. wanted of the repeated stream; this document is at
     # start .. start + size of every round
     wanted = F.round("target").cast("long")
@@ -112,12 +112,12 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     taken = (rounds * size + part).cast("long")
     # W(t) = c solved for t: slope t^2 + (1 - slope) t - c / target = 0
     u = F.when(F.col("target") > 0, F.least(F.lit(1.0), start / F.col("target"))).otherwise(0.0)
-    line = 1.0 - F.col("slope")
-    when = F.when(F.col("slope") == 0, u).otherwise(
-        (F.sqrt(line * line + 4.0 * F.col("slope") * u) - line) / (2.0 * F.col("slope")))
+    line = 1.0 - F.col(slope)
+    when = F.when(F.col(slope) == 0, u).otherwise(
+        (F.sqrt(line * line + 4.0 * F.col(slope) * u) - line) / (2.0 * F.col(slope)))
     out = (out.withColumn("taken", taken)
            .withColumn("epochs", F.when(size > 0, taken / size).otherwise(0.0))
            .withColumn("position", F.when(taken > 0, F.round(when, 9)))
-           .drop("_key", "_bucket", "_b", "_source", "_ahead", "_inside", "slope"))
+           .drop(key_, bucket, own, at, ahead_, inside_, slope))
     order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
     return out.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -344,7 +344,7 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def scorer(shared):
+def scorer(shared, names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -359,13 +359,14 @@ def scorer(shared):
                         p = forward_backward(_emission(model, feature_rows(words)), *_edges(words), model.trans)[0]
                     score, spans = _sigmoid(_doc_features(p, words.first) @ model.doc), _spans(p, words)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(spans, _SPAN)],
-                                                 names=[*part.schema.names, "score", "spans"])
+                                                 names=[*part.schema.names, *names])
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``spans`` (start, end in code points, score)."""
-    kept = docs.drop("score", "spans")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", SPAN)])
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "spans")) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``spans`` (start, end in code points, score), or other ``names``;
+    columns of these names give way."""
+    kept = docs.drop(*names)
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], SPAN)])
     shared = docs.sparkSession.sparkContext.broadcast(model)       # 2^BITS weights: 8 MB
-    return kept.mapInArrow(scorer(shared), schema)
+    return kept.mapInArrow(scorer(shared, names), schema)

@@ -67,7 +67,7 @@ def test_mined_rules_and_matches_brute(spark):
     rows = labelled()
     mining = urlrules.Mining(min_support=0.03, min_confidence=0.7, max_tokens=4)
     rules = urlrules.mine_rules(spark.createDataFrame(rows + [(None, "block"), ("http://x.y/", None)], "url string, label string"), mining)
-    got = {(frozenset(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in rules.collect()}
+    got = {(frozenset(s), r["verdict"]): (r["confidence"], r["support"]) for r in rules.collect() for s in itertools.product(*r["same"])}
     have = {r["url"]: frozenset(r["t"]) for r in spark.createDataFrame(rows, "url string, label string")
             .select("url", urlrules.url_tokens(F.col("url")).alias("t")).collect()}
     n, count = len(rows), {}
@@ -79,7 +79,8 @@ def test_mined_rules_and_matches_brute(spark):
     every = {(s, v): (c / count[s, None], c / n) for (s, v), c in count.items()
              if v and c >= np.ceil(0.03 * n) and c / count[s, None] >= 0.7}
     want = {(s, v): x for (s, v), x in every.items()
-            if not any((s - {t}, v) in every and every[s - {t}, v][0] >= x[0] for t in s)}
+            if not any((s - {t}, v) in every and every[s - {t}, v][0] >= x[0] for t in s)
+            and x[0] > sum(label == v for _, label in rows) / n}
     assert got == want and len(want) > 3
     judged = urlrules.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string"),
                             rules, fixed=(), mining=mining).collect()
@@ -165,17 +166,31 @@ def test_vectors_empty(spark):
 
 
 def test_search_reaches_all_in_range():
-    x = clustered(n_noise=150)
-    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    u = np.unique(u, axis=0)
-    lists = vectorgraph.robust_prune(u @ u.T, 16, 40, 1.2)
-    wide = np.full((len(u), 16), -1)
-    for i, a in enumerate(lists):
-        wide[i, :len(a)] = a
-    i, j = vectorgraph.search(u, wide, np.arange(len(u)), np.array([0]), 0.9, 24)
-    want = {(a, b) for a, b in zip(*np.nonzero(u @ u.T >= 0.9)) if a != b}
-    got = {(a, b) for a, b in zip(i, j) if a != b}
-    assert got <= want and len(got | {(b, a) for a, b in got}) >= 0.99 * len(want)
+    x = clustered(n_noise=150).astype(np.float64)
+    u = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
+    lists = vectorgraph.robust_prune(u @ u.T)
+    assert np.mean([len(a) for a in lists]) < 0.2 * len(u)
+    both = [np.union1d(a, [j for j, b in enumerate(lists) if i in b]).astype(int) for i, a in enumerate(lists)]
+    linked = vectorgraph.search(u, both, 0, 0.9, 24)
+    want = u @ u.T >= 0.9
+    assert not (linked & ~want).any() and (linked | linked.T)[want].mean() >= 0.999
+
+
+def test_pruned_lists_join_equidistant_vectors():
+    lists = vectorgraph.robust_prune(np.eye(40))            # all as far apart: a star, not everybody's list
+    assert sum(map(len, lists)) == 78
+    x = np.concatenate([np.eye(40)[:20] + 0.001 * np.eye(40)[20:], np.eye(40)[:20]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(len(a) for a in vectorgraph.robust_prune(x @ x.T))
+
+
+def test_one_id_on_two_vectors_and_doubles(spark):
+    tiny = 1e-12
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (4, [0.9, np.sqrt(0.19) + tiny]), (4, [0.9, np.sqrt(0.19) + tiny])]
+    got = sorted(tuple(r)[:4] for r in vectorgraph.near_duplicates(
+        spark.createDataFrame([(i, [float(c) for c in v], 1, 2) for i, v in rows], "vec_id long, embedding array<double>, node int, n_links int")).collect())
+    # the two vectors of id 1 stay apart; 4 lies a hair out of the range of the first one, but in that of 2
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 1, 1, False), (4, 1, 1, False)]
 
 
 def test_links_between_tight_groups(spark):
@@ -219,10 +234,11 @@ def test_audit_sees_small_groups_and_every_length(spark):
     pairs = [(int(i), int(j)) for i, j in zip(a, b) if i < 300]
     others = [(int(i) + len(x), int(j) + len(x)) for i, j in zip(c, d)]
     assert len(dense) > 150 * len(pairs) and pairs and others
-    df = vector_frame(spark, x, short)
+    distinct = vectorgraph.distinct_vectors(vectorgraph.named(vector_frame(spark, x, short)))
+    node = {r["first_id"]: r["node"] for r in distinct.collect()}
     for links, good in ((dense + pairs + others, True), (dense + others, False), (dense + pairs, False)):
-        links = spark.createDataFrame(links, "a long, b long")
-        assert (vectorgraph.audit(df, links, Graph()) >= 0.99) == good
+        rows = [(node[i], 1, 1, 0) for pair in links for i in pair]
+        assert (vectorgraph.audit(distinct, spark.createDataFrame(rows, vectorgraph.LINKS), Graph()) >= 0.99) == good
 
 
 def test_all_pairs_where_shards_lose_links(spark):
@@ -255,3 +271,15 @@ def test_rare_block_labels_decide(spark):
     pages = spark.createDataFrame([(1, "https://bad.io/7"), (2, "https://h3.org/7"), (3, "https://safe.io/promo")], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, rules, fixed=()).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_long_repeated_urls_and_a_common_label(spark):
+    """Thirty path parts, ten times: one item.  70 % block labels say nothing about hosts never seen."""
+    rows = [("http://long.org/" + "/".join(f"p{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(30)), "allow")] * 10
+    rows += [(f"http://{'abcdefg'[i % 7]}.io/{'xyz'[i % 3]}", "block" if i % 10 else "allow") for i in range(90)]
+    assert sum(label == "block" for _, label in rows) == 81
+    rules = urlrules.mine_rules(spark.createDataFrame(rows, "url string, label string"))
+    pages = [(1, rows[0][0]), (2, "http://never.seen/q"), (3, "http://long.org/other"), (4, "http://a.io/x")]
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(spark.createDataFrame(pages, "page_id long, url string"), rules, fixed=()).collect()}
+    assert got[1] == "allow" and got[2] == "allow" and got[3] == "allow" and got[4] == "block"
+    assert all(r["gain"] > 0 for r in rules.collect()) and rules.count() < 60
