@@ -11,23 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, linededup, mixing, simhash, toxicity
-from ledgerlens.llm.common import staged, table
+from ledgerlens.llm.common import staged, table, unused
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from ``labels`` and the stage's input."""
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
     # a missing score cannot arise, so exactly the rejected documents go
-    return toxicity.score(docs, model).filter(F.col("score") < 0.5).select(*docs.columns)
+    score, spans = unused(docs.columns, "score", "spans")
+    return toxicity.score(docs, model, (score, spans)).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in one document only; texts that lose lines get a new n_chars."""
-    out = linededup.drop_repeats(docs, min_docs=5, min_chars=40)
-    changed = F.col("n_dropped") > 0
+    names = unused(docs.columns, "kept_text", "n_lines", "n_dropped")
+    out = linededup.drop_repeats(docs, min_docs=5, min_chars=40, names=tuple(names))
+    kept, _, dropped = map(F.col, names)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(dropped > 0, F.char_length(kept).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.when(dropped > 0, kept).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
