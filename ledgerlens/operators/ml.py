@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -117,6 +118,11 @@ def _assembler(cfg: MLConfig):
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)]
 
 
+def scaler(train: DataFrame, cfg: MLConfig = MLConfig()) -> PipelineModel:
+    """Assembler and standard scaler as the models have them."""
+    return Pipeline(stages=_assembler(cfg)).fit(train)
+
+
 def _prob1(c: str) -> F.Column:
     return vector_to_array(F.col(c))[1]
 
@@ -159,6 +165,7 @@ class FraudModels:
     fraud_type: PipelineModel | None = None
     type_names: dict[int, str] = field(default_factory=dict)
     cfg: MLConfig = field(default_factory=MLConfig)
+    rf_nodes: DataFrame | None = None
 
     @property
     def iso_nodes(self) -> DataFrame | None:
@@ -186,13 +193,17 @@ class FraudModels:
             d = d.withColumn("xgb_prob", fallback_prob())
         cols = d.columns
         if self.rf is not None:
-            d = self.rf.transform(d).withColumn("rf_prob", _prob1("rf_probability")).select(*cols, "rf_prob")
+            if self.rf_nodes is None:
+                self.rf_nodes = forest_nodes(self.rf)
+            agree = forest_spread(vector_to_array("features"), self.rf_nodes)
+            d = (self.rf.transform(d).withColumn("rf_prob", _prob1("rf_probability"))
+                 .withColumn("confidence_score", agree).select(*[c for c in cols if c != "confidence_score"], "rf_prob", "confidence_score"))
         else:
-            d = d.withColumn("rf_prob", F.col("xgb_prob"))
+            d = d.withColumn("rf_prob", F.col("xgb_prob")).withColumn("confidence_score", F.lit(1.0))
         if self.fraud_type is not None:
             cols = d.columns
             d = self.fraud_type.transform(d).select(*cols, F.col("ft_pred").cast("int").alias("fraud_type_code"))
-        return d.withColumn("confidence_score", F.lit(1.0))
+        return d
 
     def predicted_type(self, score: F.Column, threshold: float) -> F.Column | None:
         """Name of the learned fraud type from ``threshold`` on, else 'Normal'; None without a model."""
@@ -424,19 +435,24 @@ def feature_importance(spark, rf: PipelineModel, cfg: MLConfig = MLConfig()) ->
     return spark.createDataFrame([(f, float(v)) for f, v in zip(cfg.features, imp)], "feature string, importance double")
 
 
-def train(df: DataFrame, cfg: MLConfig = MLConfig(), with_iforest: bool = True) -> tuple[FraudModels, DataFrame]:
-    """Split, weight, fit RF + calibrated GBT (+ isolation forest on scaled
-    normal rows), evaluate on the test split.  Returns the models and a
-    metrics table (one row per model)."""
-    train_df, test_df = stratified_split(df, cfg)
-    train_df = with_class_weights(train_df)
-    rf = train_rf(train_df, cfg)
-    gbt, cal = train_gbt(train_df, cfg)
-    models = FraudModels(rf=rf, gbt=gbt, calibrator=cal, cfg=cfg)
-    if with_iforest:
-        models.iso = fit_isolation(train_df, cfg)
-    scored = [("random_forest", "rf_prob", None), ("gbt_calibrated", "xgb_prob", None)]
-    pred = models.transform(test_df)
+def prepare(df: DataFrame, cfg: MLConfig = MLConfig(), rows_per_part: int = 25_000) -> tuple[DataFrame, DataFrame]:
+    """The weighted training part and the test part, each stored once: the features are derived
+    a single time, and a boosting round touches only as many partitions as the rows need."""
+    from ledgerlens.session import cut_lineage
+    train_df, test_df = stratified_split(cut_lineage(df), cfg)
+    train_df = cut_lineage(with_class_weights(train_df))
+    parts = -(-train_df.count() // rows_per_part)
+    return cut_lineage(train_df.coalesce(max(1, parts))), cut_lineage(test_df)
+
+
+def evaluate(models: FraudModels, test: DataFrame) -> DataFrame:
+    """Metrics on the test part: a row per model that ``models`` holds."""
+    pred = models.transform(test)
+    scored = []
+    if models.rf is not None:
+        scored.append(("random_forest", "rf_prob", None))
+    if models.gbt is not None:
+        scored.append(("gbt_calibrated", "xgb_prob", None))
     if models.iso is not None:
         # 0-1 like the other scores; a row is an anomaly below the cut-off of the raw score
         lo, hi = models.iso.bounds
@@ -446,7 +462,22 @@ def train(df: DataFrame, cfg: MLConfig = MLConfig(), with_iforest: bool = True)
     for name, col, flag in scored:
         m = eval_binary(pred, col, flag=flag).withColumn("model", F.lit(name))
         metrics = m if metrics is None else metrics.unionByName(m)
-    return models, metrics
+    return metrics
+
+
+def train(df: DataFrame, cfg: MLConfig = MLConfig(), with_iforest: bool = True) -> tuple[FraudModels, DataFrame]:
+    """Split, weight, fit RF + calibrated GBT (+ isolation forest on scaled
+    normal rows) side by side, evaluate on the test split.  Returns the models and a
+    metrics table (one row per model)."""
+    from concurrent.futures import ThreadPoolExecutor
+    train_df, test_df = prepare(df, cfg)
+    with ThreadPoolExecutor(3) as pool:           # only submits Spark jobs
+        gbt = pool.submit(train_gbt, train_df, cfg)
+        rf = pool.submit(train_rf, train_df, cfg)
+        iso = pool.submit(fit_isolation, train_df, cfg) if with_iforest else None
+        models = FraudModels(rf=rf.result(), iso=iso.result() if iso else None, cfg=cfg)
+        models.gbt, models.calibrator = gbt.result()
+    return models, evaluate(models, test_df)
 
 
 def train_fraud_type(train_df: DataFrame, names: dict[int, str], cfg: MLConfig = MLConfig(),
@@ -464,19 +495,54 @@ def model_comparison(metrics: DataFrame) -> DataFrame:
     return metrics.crossJoin(best).withColumn("is_best", F.col("model") == F.col("__best")).drop("__best")
 
 
+FOREST_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, p double"
+
+
+def forest_nodes(rf: PipelineModel) -> DataFrame:
+    """The forest as a table (tree, node, feature, threshold, left, right, p): a row goes left up to the
+    threshold; a leaf (feature -1) gives the share of fraud ``p``.  At most trees x (2^(depth + 1) - 1) rows."""
+    from ledgerlens.session import checkpoint_dir
+    spark = SparkSession.active()
+    path = f"{checkpoint_dir(spark)}/ledgerlens-forest-{uuid.uuid4().hex}"
+    rf.stages[-1].write().save(path)
+    n = F.col("nodeData")
+    total = F.aggregate(n["impurityStats"], F.lit(0.0), lambda acc, x: acc + x)
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), n["split"]["featureIndex"].alias("feature"),
+        F.coalesce(F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)), F.lit(0.0)).alias("threshold"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"),
+        F.when(total > 0, F.get(n["impurityStats"], F.lit(1)) / total).otherwise(0.0).alias("p"))
+
+
+def forest_spread(features: F.Column, nodes: DataFrame) -> F.Column:
+    """1 - population std of the trees' P(fraud): all trees are walked side by side in one pass over
+    the rows, from the node table as bounded arrays; nothing is shuffled."""
+    pn = nodes.toPandas().sort_values(["tree", "node"], kind="stable")
+    first = pn.groupby("tree").size().cumsum().shift(fill_value=0)        # a tree's nodes are numbered from 0
+    base = pn["tree"].map(first).to_numpy()
+    leaf = pn["feature"].to_numpy() < 0
+    own = np.arange(len(pn))
+    arrays = (np.maximum(pn["feature"].to_numpy(), 0), pn["threshold"].to_numpy(),
+              np.where(leaf, own, base + pn["left"].to_numpy()), np.where(leaf, own, base + pn["right"].to_numpy()),
+              leaf, pn["p"].to_numpy(), first.to_numpy())
+    shared = SparkSession.active().sparkContext.broadcast(arrays)
+
+    @F.pandas_udf(T.DoubleType())
+    def spread(rows: pd.Series) -> pd.Series:
+        feature, threshold, left, right, leaf, p, roots = shared.value
+        out = []
+        for s in range(0, len(rows), 2000):
+            x = np.stack(rows.iloc[s:s + 2000].to_numpy()).astype(float)
+            at = np.tile(roots, (len(x), 1))
+            line = np.arange(len(x))[:, None]
+            while not leaf[at].all():
+                at = np.where(x[line, feature[at]] <= threshold[at], left[at], right[at])
+            out.append(1.0 - p[at].std(axis=1))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    return spread(features)
+
+
 def score_confidence(d: DataFrame, rf: PipelineModel, key=("account_id", "seq")) -> DataFrame:
-    """1 - population std of the trees' P(fraud), over every tree of the
-    forest: each tree scores the (key, features) rows, the per-tree
-    probabilities are unioned and reduced per row in one aggregate."""
-    from ledgerlens.session import cut_lineage
-    # vectors computed once and cut from the lineage (reliable checkpoint in the
-    # shared folder); every tree then scans only (key, features)
-    feats = cut_lineage(rf.stages[1].transform(rf.stages[0].transform(d)).select(*key, "features"))
-    forest = rf.stages[-1]
-    parts = None
-    for t in forest.trees:
-        p = (t.setFeaturesCol("features").setProbabilityCol("__tp").setPredictionCol("__tpred")
-             .setRawPredictionCol("__traw").transform(feats)
-             .select(*key, vector_to_array("__tp")[1].alias("__p")))
-        parts = p if parts is None else parts.unionByName(p)
-    return parts.groupBy(*key).agg((1.0 - F.stddev_pop("__p")).alias("confidence_score"))
+    """(key, confidence_score): how far the trees of the forest agree on each row."""
+    vectors = rf.stages[1].transform(rf.stages[0].transform(d))
+    return vectors.select(*key, forest_spread(vector_to_array("features"), forest_nodes(rf)).alias("confidence_score"))

@@ -137,27 +137,32 @@ def src_statement_lines(spark, sf_dir):
     return lines_table(spark, sf_dir, "dated").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def _models(spark, sf_dir):
+def _models(spark, sf_dir, *names):
     from ledgerlens.plans.q_ml import fitted
-    return fitted(spark, sf_dir)
+    return fitted(spark, sf_dir, names)
+
+
+def _metrics(spark, sf_dir, *names):
+    from ledgerlens.plans.q_ml import metrics
+    return metrics(spark, sf_dir, names)
 
 
 @register("train_rf")
 def train_rf(spark, sf_dir):
     """Random forest (200 trees, depth 12, leaf >= 5, class weights): test metrics."""
-    return _models(spark, sf_dir)[1].where(F.col("model") == "random_forest")
+    return _metrics(spark, sf_dir, "rf", "iso").where(F.col("model") == "random_forest")
 
 
 @register("train_gbt")
 def train_gbt(spark, sf_dir):
     """Boosted trees (300 x depth 6, lr .05, .8 row / feature share) + isotonic calibration: test metrics."""
-    return _models(spark, sf_dir)[1].where(F.col("model") == "gbt_calibrated")
+    return _metrics(spark, sf_dir, "gbt", "iso").where(F.col("model") == "gbt_calibrated")
 
 
 @register("train_iforest")
 def train_iforest(spark, sf_dir):
     """Isolation forest node table: nodes and depth per tree (rows-only)."""
-    m = _models(spark, sf_dir)[0]
+    m = _models(spark, sf_dir, "iso")
     return m.iso_nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("max_depth"))
 
 
@@ -165,7 +170,7 @@ def train_iforest(spark, sf_dir):
 def score_iforest(spark, sf_dir):
     """0-100 isolation score of every transaction (higher = more anomalous)."""
     from ledgerlens.operators import features as FE
-    m = _models(spark, sf_dir)[0]
+    m = _models(spark, sf_dir, "iso")
     f = FE.engineer_features(txn(spark, sf_dir))
     return m.iso.score(m.iso.raw(f)).select("account_id", "seq", "iso_score")
 
@@ -184,9 +189,10 @@ def scale_features(spark, sf_dir):
     """z-scored model features: per-feature mean and std after scaling (rows-only)."""
     from pyspark.ml.functions import vector_to_array
     from ledgerlens.operators import features as FE
-    m = _models(spark, sf_dir)[0]
+    from ledgerlens.operators import ml as ML
+    from ledgerlens.plans.q_ml import prepared
     f = FE.engineer_features(txn(spark, sf_dir))
-    v = m.rf.stages[1].transform(m.rf.stages[0].transform(f)).select(vector_to_array("features").alias("f"))
+    v = ML.scaler(prepared(spark, sf_dir)[0]).transform(f).select(vector_to_array("features").alias("f"))
     return v.select(F.posexplode("f").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
@@ -196,7 +202,7 @@ def model_store(spark, sf_dir):
     from ledgerlens.operators import ml as ML
     from ledgerlens.session import checkpoint_dir
     import uuid
-    m = _models(spark, sf_dir)[0]
+    m = _models(spark, sf_dir, "gbt", "rf", "iso")
     path = f"{checkpoint_dir(spark)}/ledgerlens-models-{uuid.uuid4().hex[:8]}"
     m.save(path)
     back = ML.FraudModels.load(spark, path)

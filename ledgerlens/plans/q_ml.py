@@ -29,13 +29,34 @@ def labelled(spark, sf_dir):
     return FE.engineer_features(txn(spark, sf_dir)).withColumn(ML.LABEL, planted_fraud())
 
 
-def fitted(spark, sf_dir, cfg=ML.MLConfig()):
-    key = (spark.sparkContext.applicationId, sf_dir, cfg)     # models belong to one running context
+def _once(spark, sf_dir, name, build):
+    key = (spark.sparkContext.applicationId, sf_dir, name)     # belongs to one running context
     if key not in _MODELS:
-        _MODELS[key] = ML.train(labelled(spark, sf_dir), cfg)
+        _MODELS[key] = build()
     return _MODELS[key]
 
 
+def prepared(spark, sf_dir):
+    """(training part, test part), stored once."""
+    return _once(spark, sf_dir, "parts", lambda: ML.prepare(labelled(spark, sf_dir)))
+
+
+def fitted(spark, sf_dir, names=("gbt", "rf", "iso")):
+    """The models of ``names``, each fitted once, those still missing side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+    train = prepared(spark, sf_dir)[0]
+    fit = {"gbt": ML.train_gbt, "rf": ML.train_rf, "iso": ML.fit_isolation}
+    with ThreadPoolExecutor(len(fit)) as pool:      # only submits Spark jobs
+        made = {n: pool.submit(_once, spark, sf_dir, n, lambda n=n: fit[n](train)) for n in names}
+        got = {n: f.result() for n, f in made.items()}
+    gbt, calibrator = got.get("gbt", (None, None))
+    return ML.FraudModels(rf=got.get("rf"), gbt=gbt, calibrator=calibrator, iso=got.get("iso"))
+
+
+def metrics(spark, sf_dir, names=("gbt", "rf", "iso")):
+    return ML.evaluate(fitted(spark, sf_dir, names), prepared(spark, sf_dir)[1])
+
+
 @register("class_distribution", with_txn(f"""
 SELECT is_fraud, count(*) AS count, count(*) / sum(count(*)) OVER () * 100 AS pct
 FROM (SELECT {PLANTED} AS is_fraud FROM txn) GROUP BY is_fraud"""))
@@ -94,29 +115,26 @@ def calibrate(spark, sf_dir):
 def train_models(spark, sf_dir):
     """RF + isotonic-calibrated GBT + isolation forest on the planted label;
     metrics on the hash-stratified test split (rows-only check)."""
-    _, metrics = fitted(spark, sf_dir)
-    return metrics
+    return metrics(spark, sf_dir)
 
 
 @register("model_comparison")
 def model_comparison(spark, sf_dir):
     """Per-model metrics with the best model by average precision."""
-    _, metrics = fitted(spark, sf_dir)
-    return ML.model_comparison(metrics)
+    return ML.model_comparison(metrics(spark, sf_dir))
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     """Random-forest feature importances by name."""
-    models, _ = fitted(spark, sf_dir)
-    return ML.feature_importance(spark, models.rf)
+    return ML.feature_importance(spark, fitted(spark, sf_dir, ("rf",)).rf)
 
 
 @register("score_with_models")
 def score_with_models(spark, sf_dir):
     """Flagship scoring with trained models (iso / GBT / RF components live;
     dominant signal from rule base vs ML bonus)."""
-    models, _ = fitted(spark, sf_dir)
+    models = fitted(spark, sf_dir)
     path = f"{checkpoint_dir(spark)}/ledgerlens-models-{uuid.uuid4().hex}"
     models.save(path)
     loaded = ML.FraudModels.load(spark, path)

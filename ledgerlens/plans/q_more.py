@@ -112,8 +112,7 @@ def train_fraud_type(spark, sf_dir):
 def score_confidence(spark, sf_dir):
     """1 - std of the forest's per-tree fraud probabilities for each txn (rows-only)."""
     from ledgerlens.plans.q_ml import fitted
-    models, _ = fitted(spark, sf_dir)
-    return ML.score_confidence(FE.engineer_features(txn(spark, sf_dir)), models.rf)
+    return ML.score_confidence(FE.engineer_features(txn(spark, sf_dir)), fitted(spark, sf_dir, ("rf",)).rf)
 
 
 def _parent(name: str) -> str:

@@ -102,3 +102,35 @@ def test_eval_binary_matches_manual(spark):
     auc = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p, n in pairs) / len(pairs)
     assert abs(r.roc_auc - auc) < 1e-12
     assert (r.tp, r.fp, r.fn, r.tn) == (3, 1, 0, 2)
+
+
+def test_confidence_from_the_node_table(spark, duck, tmp_path):
+    """Each tree applied by Spark, and the node table walked in SQL, give the spread of the one-pass scorer."""
+    from pyspark.ml.functions import vector_to_array
+    cfg = ML.MLConfig(rf_trees=6, rf_depth=5)
+    d = FE.engineer_features(txn(spark, SF)).withColumn(ML.LABEL, planted_fraud())
+    train, _ = ML.prepare(d, cfg)
+    rf = ML.train_rf(train, cfg)
+    got = ML.score_confidence(d, rf).toPandas().set_index(["account_id", "seq"])["confidence_score"]
+    assert len(got) == d.count() and got.between(0.5, 1).all() and got.nunique() > 3
+    vectors = rf.stages[1].transform(rf.stages[0].transform(d)).cache()
+    per_tree = [t.setFeaturesCol("features").setProbabilityCol("p").setPredictionCol("q").setRawPredictionCol("r").transform(vectors)
+                .select("account_id", "seq", vector_to_array("p")[1].alias("p")).toPandas().set_index(["account_id", "seq"])["p"]
+                for t in rf.stages[-1].trees]
+    want = 1 - sum((p - sum(per_tree) / 6) ** 2 for p in per_tree).div(6) ** 0.5
+    assert (got - want).abs().max() < 1e-9
+    ML.forest_nodes(rf).write.parquet(str(tmp_path / "nodes"))
+    vectors.select("account_id", "seq", vector_to_array("features").alias("x")).write.parquet(str(tmp_path / "rows"))
+    sql = duck.execute(f"""
+        WITH RECURSIVE n AS (SELECT * FROM read_parquet('{tmp_path}/nodes/*.parquet')),
+        r AS (SELECT * FROM read_parquet('{tmp_path}/rows/*.parquet')),
+        walk AS (
+          SELECT account_id, seq, x, tree, 0 AS node FROM r, (SELECT DISTINCT tree FROM n)
+          UNION ALL
+          SELECT w.account_id, w.seq, w.x, w.tree, CASE WHEN w.x[n.feature + 1] <= n.threshold THEN n."left" ELSE n."right" END
+          FROM walk w JOIN n ON n.tree = w.tree AND n.node = w.node AND n.feature >= 0)
+        SELECT w.account_id, w.seq, 1 - stddev_pop(n.p) AS c FROM walk w JOIN n ON n.tree = w.tree AND n.node = w.node AND n.feature < 0
+        GROUP BY ALL""").df().set_index(["account_id", "seq"])["c"]
+    assert (got - sql).abs().max() < 1e-9
+    scored = ML.FraudModels(rf=rf, cfg=cfg).transform(d).select("account_id", "seq", "confidence_score").toPandas()
+    assert (scored.set_index(["account_id", "seq"])["confidence_score"] - got).abs().max() < 1e-9
