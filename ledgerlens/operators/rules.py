@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.dominance import CUTS, TILE_ROWS, order_key, rectangle_sums, tolerance_keys
 from ledgerlens.functions.quantiles import grouped_quantiles
 from ledgerlens.functions.scope import as_one_statement
 from ledgerlens.functions.windows import range_count
@@ -148,7 +150,21 @@ def rapid_reason(cfg: Config) -> Column:
 
 
 # --------------------------------------------------------------------- rule 3
-def repeated_counts(p: DataFrame, cfg: Config = Config()) -> DataFrame:
+DENSE_ROWS = 256           # of a cell, beyond which its partners are counted by rectangles
+
+
+def _amount_key(tol: float):
+    """Amount -> (key, lo, hi): its rank-preserving long and the limits of its partners'."""
+    @F.pandas_udf("key long, lo long, hi long")
+    def keys(a: pd.Series) -> pd.DataFrame:
+        x = a.to_numpy(dtype="float64")
+        lo, hi = tolerance_keys(x, tol)
+        return pd.DataFrame({"key": order_key(x), "lo": lo, "hi": hi})
+    return keys
+
+
+def repeated_counts(p: DataFrame, cfg: Config = Config(), dense_rows: int = DENSE_ROWS,
+                    tile_rows: int = TILE_ROWS, cuts: int = CUTS) -> DataFrame:
     """(account, seq, repeat_partners): number of OTHER rows with the same key,
     |dt| <= window and |a_i - a_j| <= tol * |a_i| (a_i = 0 -> a_j = 0).
 
@@ -160,6 +176,11 @@ def repeated_counts(p: DataFrame, cfg: Config = Config()) -> DataFrame:
     lie at most one bucket above and ``below`` buckets below, where a tolerance of
     one or more reaches through zero: everything smaller, and the other sign.
     Identical (key, ts, amount) copies are collapsed to one weighted row first.
+
+    A cell of at most ``dense_rows`` such rows is joined to its probes, so a probe meets a bounded
+    number of rows in it.  In a denser cell the partners are counted without pairs: they are the
+    points of a rectangle of time and amount (``functions.dominance``), whose amount limits are the
+    outermost doubles that pass the tolerance test.
     """
     key = cfg.repeated_key
     w_us = int(cfg.repeated_window_hours * 3600 * 1_000_000)
@@ -167,7 +188,8 @@ def repeated_counts(p: DataFrame, cfg: Config = Config()) -> DataFrame:
     if tol < 0:
         raise ValueError("repeated_tolerance cannot be negative")
     base = (p.where(F.col("ts").isNotNull() & F.col("amount").isNotNull()
-                    & F.col(key).isNotNull() & (F.col(key) != ""))
+                    & F.col(key).isNotNull() & (F.col(key) != "")
+                    & ~F.isnan(F.col("amount").cast("double")) & (F.abs(F.col("amount").cast("double")) < float("inf")))
             .select(ACC, F.col(key).alias("__key"), "seq",
                     F.unix_micros("ts").alias("__t"), F.col("amount").cast("double").alias("__a")))
     cells = base.groupBy(ACC, "__key", "__t", "__a").agg(F.count(F.lit(1)).alias("__n"))
@@ -199,15 +221,34 @@ def repeated_counts(p: DataFrame, cfg: Config = Config()) -> DataFrame:
     probe = (cells.withColumn("__dt", F.explode(shifts)).withColumn("__to", F.explode(to))
              .select(ACC, "__key", "__t", "__a", (F.col("__tb") + F.col("__dt")).alias("__tb"),
                      F.col("__to").alias("__ab")))
-    joined = probe.join(build, [ACC, "__key", "__tb", "__ab"])
+    cell = [ACC, "__key", "__tb", "__ab"]
     ok = ((F.abs(F.col("__t") - F.col("__tj")) <= w_us)
           & F.when(F.col("__a") != 0,
                    F.abs(F.col("__a") - F.col("__aj")) / F.abs(F.col("__a")) <= F.lit(tol))
           .otherwise(F.col("__aj") == 0))
-    per_cell = (joined.where(ok).groupBy(ACC, "__key", "__t", "__a")
-                .agg((F.sum("__nj") - 1).alias("repeat_partners")))
-    return (base.join(per_cell, [ACC, "__key", "__t", "__a"])
-            .select(ACC, "seq", "repeat_partners"))
+    per_row = [ACC, "__key", "__t", "__a"]
+    # rows bound distinct rows: where no cell has so many, the plan stays the plain join
+    if base.withColumns({"__tb": tb, "__ab": ab}).groupBy(*cell).count().where(F.col("count") > dense_rows).isEmpty():
+        pairs = probe.join(build, cell).where(ok)
+        return _partners(base, pairs.select(*per_row, "__nj"))
+    dense = (cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("__rows"))
+             .where(F.col("__rows") > dense_rows).select(*cell))
+    pairs = probe.join(build.join(dense, cell, "left_anti"), cell).where(ok)
+    of = _amount_key(tol)
+    points = (build.join(dense, cell).withColumn("__k", of("__aj"))
+              .select(*cell, F.col("__tj").alias("u"), F.col("__k.key").alias("v"), F.col("__nj").alias("w")))
+    asked = (probe.join(dense, cell).withColumn("__k", of("__a"))
+             .select(*cell, "__t", "__a", (F.col("__t") - w_us).alias("u_lo"), (F.col("__t") + w_us).alias("u_hi"),
+                     F.col("__k.lo").alias("v_lo"), F.col("__k.hi").alias("v_hi")))
+    counted = rectangle_sums(points, asked, cell, ["__t", "__a"], "__nj", tile_rows, cuts)
+    return _partners(base, pairs.select(*per_row, "__nj").unionByName(counted.select(*per_row, "__nj")))
+
+
+def _partners(base: DataFrame, counts: DataFrame) -> DataFrame:
+    """The counts of all cells added up, without the row itself."""
+    per_row = [ACC, "__key", "__t", "__a"]
+    total = counts.groupBy(*per_row).agg((F.sum("__nj") - 1).alias("repeat_partners"))
+    return base.join(total, per_row).select(ACC, "seq", "repeat_partners")
 
 
 def repeated_flag(cfg: Config) -> Column:
