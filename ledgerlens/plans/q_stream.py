@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.plans.registry import register
+from ledgerlens.plans.sql_rules import rule_ctes
 from ledgerlens.plans.sqlparts import with_txn
 from ledgerlens.plans.stream_run import StreamRun
+from ledgerlens.sources.tables import txn
 from ledgerlens.streaming import stream as ST
+from ledgerlens.streaming.baselines import Baselines, score_days, score_rows
 
 FIX = Config.fixture()
 DEF = Config()
@@ -92,3 +95,31 @@ FROM txn"""))
 def st_velocity(spark, sf_dir):
     """Velocity score from the gap to the previous event, kept as state."""
     return _run(spark, sf_dir, "velocity", ST.st_velocity)
+
+
+def _with_baselines(spark, sf_dir, name, fn, score):
+    """One version from the whole table, then the table as a stream against it."""
+    run = StreamRun(spark, sf_dir, name)
+    baselines = Baselines(spark, f"{run.root}/baselines", DEF)
+    baselines.publish(txn(spark, sf_dir, DEF), 1)
+    return run.run(fn, per_batch=lambda batch, i: score(batch, baselines, baselines.of_batch(f"{run.root}/applied", i)))
+
+
+@register("st_baseline_rules", with_txn("""
+SELECT e.account_id, seq, CAST(amount AS DOUBLE) AS amount, channel, channel_median, r_high_value,
+       CAST(coalesce(CAST(amount AS DOUBLE) > p95, false) AS INTEGER) AS is_large_amount, CAST(1 AS BIGINT) AS version
+FROM ev e LEFT JOIN (SELECT account_id, quantile_cont(CAST(coalesce(amount, 0) AS DOUBLE), 0.95) AS p95 FROM txn GROUP BY account_id) s
+  ON e.account_id = s.account_id
+WHERE r_high_value OR coalesce(CAST(amount AS DOUBLE) > p95, false)""", *rule_ctes(DEF)))
+def st_baseline_rules(spark, sf_dir):
+    """High value and large amount on a stream, against a published baseline version; equals the batch rules."""
+    return _with_baselines(spark, sf_dir, "baseline-rules", lambda s: s, score_rows)
+
+
+@register("st_baseline_spikes", with_txn("""
+SELECT account_id, strftime(date, '%Y-%m-%d') AS date, CAST(day_total AS DOUBLE) AS day_total, median_day,
+       CAST(1 AS BIGINT) AS version
+FROM dayf WHERE spike_day""", *rule_ctes(DEF)))
+def st_baseline_spikes(spark, sf_dir):
+    """Spike days among the day totals that the watermark closes, against a published baseline version."""
+    return _with_baselines(spark, sf_dir, "baseline-spikes", ST.st_daily_volume, score_days)

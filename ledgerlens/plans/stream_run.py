@@ -40,14 +40,17 @@ class StreamRun:
                       F.lit(95.0).alias("value"), F.lit('{"k": 0}').alias("props"))
         s.write.mode("append").parquet(self.inp)
 
-    def run(self, build: Callable[[DataFrame], DataFrame], output_mode: str = "append") -> DataFrame:
+    def run(self, build: Callable[[DataFrame], DataFrame], output_mode: str = "append",
+            per_batch: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+        """``per_batch`` maps each micro-batch and its number to the rows that the sink writes."""
         self.events.write.mode("append").parquet(self.inp)
         src = (self.spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1000).parquet(self.inp))
         out_df = build(txn_stream(src))
         out = self.out
 
         def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+            rows = per_batch(batch, batch_id) if per_batch else batch
+            rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
         q = (out_df.writeStream.outputMode(output_mode).foreachBatch(sink)
              .option("checkpointLocation", self.ckpt).start())
         try:
