@@ -12,7 +12,7 @@ and, at times that are boundaries themselves, on the tie column; see ``ordered``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,34 +120,43 @@ def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
                 before_us: int, after_us: int, out: str,
                 bucket_seconds: int = 86400, weight: Column | None = None,
                 probe: Column | None = None) -> DataFrame:
-    """Exact count (or sum of ``weight``) of rows of the same ``keys`` whose
+    """``range_sums`` of one column: the number of rows, or the sum of ``weight``."""
+    return range_sums(df, keys, ts, row_id, before_us, after_us, {out: F.lit(1) if weight is None else weight},
+                      bucket_seconds, probe)
+
+
+def range_sums(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, before_us: int, after_us: int,
+               weights: Mapping[str, Column], bucket_seconds: int = 86400, probe: Column | None = None) -> DataFrame:
+    """Exact sums of ``weights`` over the rows of the same ``keys`` whose
     ts lies in ``[ts - before_us, ts + after_us]`` (inclusive), for the rows
-    where ``probe`` holds.  Returns ``keys + [row_id, out]``.
+    where ``probe`` holds.  Returns ``keys + [row_id] + names of weights``.
 
     Each row is placed in its own time bucket and, as context only, in the
     neighbouring buckets whose rows can reach it (a small fraction when the
     bucket is wider than the window).  Rows of equal time are summed up first.  Inside ``(keys, bucket)`` partitions the
-    count is the difference of two growing RANGE frames (incremental, no
+    sum is the difference of two growing RANGE frames (incremental, no
     sliding re-aggregation, no pairwise join, no per-account partition)."""
-    keys = list(keys)
+    keys, names = list(keys), list(weights)
     width = max(int(bucket_seconds) * 1_000_000, before_us + after_us + 1)
     t = F.unix_micros(F.col(ts))
-    w = F.lit(1) if weight is None else weight
     pr = F.lit(True) if probe is None else probe
-    rows = df.select(*keys, F.col(row_id), t.alias("__t"), w.alias("__w"), pr.alias("__probe")).where(F.col("__t").isNotNull())
+    rows = df.select(*keys, F.col(row_id), t.alias("__t"), *[w.alias(f"__w_{n}") for n, w in weights.items()],
+                     pr.alias("__probe")).where(F.col("__t").isNotNull())
     # rows of one time are one row here, however many there are
-    d = rows.groupBy(*keys, "__t").agg(F.sum("__w").alias("__w"), F.max("__probe").alias("__probe"))
+    d = rows.groupBy(*keys, "__t").agg(*[F.sum(f"__w_{n}").alias(f"__w_{n}") for n in names], F.max("__probe").alias("__probe"))
     own = F.floor(F.col("__t") / F.lit(width)).cast("long")
     lo = F.floor((F.col("__t") - F.lit(after_us)) / F.lit(width)).cast("long")
     hi = F.floor((F.col("__t") + F.lit(before_us)) / F.lit(width)).cast("long")
     d = d.withColumn("__own", own).withColumn(_BUCKET, F.explode(F.sequence(lo, hi)))
     win = Window.partitionBy(*keys, _BUCKET).orderBy("__t")
-    upto_hi = F.sum("__w").over(win.rangeBetween(Window.unboundedPreceding, after_us))
-    below_lo = F.sum("__w").over(win.rangeBetween(Window.unboundedPreceding, -before_us - 1))
-    zero = F.lit(0).cast(d.schema["__w"].dataType)
-    r = (d.withColumn(out, upto_hi - F.coalesce(below_lo, zero))
-         .where((F.col(_BUCKET) == F.col("__own")) & F.col("__probe")).select(*keys, "__t", out))
-    return _same(rows.where("__probe"), r, [*keys, "__t"], "inner").select(*keys, row_id, out)
+    sums = {}
+    for n in names:
+        upto_hi = F.sum(f"__w_{n}").over(win.rangeBetween(Window.unboundedPreceding, after_us))
+        below_lo = F.sum(f"__w_{n}").over(win.rangeBetween(Window.unboundedPreceding, -before_us - 1))
+        sums[n] = upto_hi - F.coalesce(below_lo, F.lit(0).cast(d.schema[f"__w_{n}"].dataType))
+    r = (d.withColumns(sums)
+         .where((F.col(_BUCKET) == F.col("__own")) & F.col("__probe")).select(*keys, "__t", *names))
+    return _same(rows.where("__probe"), r, [*keys, "__t"], "inner").select(*keys, row_id, *names)
 
 
 def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_us: int, out: str,

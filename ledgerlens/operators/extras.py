@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
 from ledgerlens.functions.quantiles import grouped_quantiles, join_groups
-from ledgerlens.functions.windows import bucketed_prev, range_count
+from ledgerlens.functions.windows import bucketed_prev, range_sums
 
 ACC = ("account_id",)
 
@@ -28,9 +28,13 @@ def reconcile_balance(df: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
 
 
 def dedupe_txn(df: DataFrame, key: str = "txn_id") -> DataFrame:
-    """One row per transaction id (the earliest in statement order)."""
-    first = df.groupBy(key).agg(F.min("seq").alias("seq"))
-    return df.join(first, [key, "seq"], "left_semi")
+    """One row per transaction id (the earliest in statement order; among rows of one id and place
+    the one with the smallest hash, once).  Rows without an id are all kept."""
+    place = F.struct("seq", F.xxhash64(*df.columns).alias("hash"))
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias("__first"))
+    kept = (df.withColumn("__first", place).join(first, [key, "__first"], "left_semi")
+            .drop("__first").dropDuplicates([key]))
+    return kept.unionByName(df.where(F.col(key).isNull()))
 
 
 def structuring(df: DataFrame, threshold: float = 10000.0, lower_share: float = 0.9, days: int = 6,
@@ -41,11 +45,10 @@ def structuring(df: DataFrame, threshold: float = 10000.0, lower_share: float =
     near = (F.col("amount") >= lower_share * threshold) & (F.col("amount") < threshold)
     w_us = days * 86400 * 1_000_000
     d = df.withColumn("__near", near)
-    cnt = range_count(d, list(by), "ts", "seq", w_us, 0, "near_count", weight=F.col("__near").cast("long"), probe=near)
-    tot = range_count(d, list(by), "ts", "seq", w_us, 0, "near_total",
-                      weight=F.when(near, F.col("amount")).otherwise(F.lit(0).cast("decimal(18,2)")), probe=near)
-    allc = range_count(d, list(by), "ts", "seq", w_us, 0, "window_count", probe=near)
-    j = cnt.join(tot, [*by, "seq"]).join(allc, [*by, "seq"])
+    j = range_sums(d, list(by), "ts", "seq", w_us, 0, {
+        "near_count": F.col("__near").cast("long"),
+        "near_total": F.when(near, F.col("amount")).otherwise(F.lit(0).cast("decimal(18,2)")),
+        "window_count": F.lit(1)}, probe=near)
     return j.withColumns({
         "structuring": (F.col("near_count") >= min_count) & (F.col("near_total") >= threshold),
         "confidence": F.col("near_count") / F.col("window_count")})

@@ -8,7 +8,7 @@ from ledgerlens.config import Config
 from ledgerlens.operators import extras as X
 from ledgerlens.operators import scoring as S
 from ledgerlens.plans.q_scoring import scored as _scored
-from ledgerlens.plans.registry import register
+from ledgerlens.plans.registry import REGISTRY, register
 from ledgerlens.plans.sql_rules import RULE_COLS
 from ledgerlens.plans.sql_scoring import scoring_ctes
 from ledgerlens.plans.sqlparts import TXN_ORDERS_CTE, with_txn
@@ -32,6 +32,23 @@ def dedupe_txn(spark, sf_dir):
     return X.dedupe_txn(txn(spark, sf_dir)).select("account_id", "txn_id", "seq")
 
 
+@register("reconcile_balance_breaks", with_txn("""
+SELECT account_id, count(prev) AS checked,
+       count(CASE WHEN prev IS NOT NULL AND balance <> prev + CASE WHEN debit_credit = 'Credit' THEN amount ELSE -amount END THEN 1 END) AS breaks
+FROM (SELECT *, lag(balance) OVER (PARTITION BY account_id ORDER BY ts, seq) AS prev FROM txn WHERE seq % 7 <> 3) GROUP BY account_id"""))
+def reconcile_balance_breaks(spark, sf_dir):
+    """Balance continuity of statements that lack every row with seq mod 7 = 3."""
+    return X.reconcile_balance(txn(spark, sf_dir).where(F.col("seq") % 7 != 3))
+
+
+@register("dedupe_txn_copies", with_txn("SELECT account_id, txn_id, seq FROM txn"))
+def dedupe_txn_copies(spark, sf_dir):
+    """Ids that come again: as the same row, and once more later in the statement."""
+    t = txn(spark, sf_dir)
+    later = t.where(F.col("seq") % 3 == 0).withColumn("seq", F.col("seq") + (1 << 40))
+    return X.dedupe_txn(t.unionByName(t.where(F.col("seq") % 5 == 0)).unionByName(later)).select("account_id", "txn_id", "seq")
+
+
 @register("structuring", with_txn("""
 SELECT account_id, seq, near_count, CAST(near_total AS DOUBLE) AS near_total, window_count,
        near_count >= 3 AND near_total >= 10000.0 AS structuring, near_count / window_count AS confidence
@@ -67,6 +84,16 @@ def spending_profile(spark, sf_dir):
     return X.spending_profile(txn(spark, sf_dir))
 
 
+@register("profile_deviation", with_txn("""
+SELECT t.account_id, seq, t.mode, CAST(amount AS DOUBLE) AS amount, p50,
+       CASE WHEN p50 <> 0 THEN CAST(amount AS DOUBLE) / p50 END AS deviation_multiple
+FROM txn t JOIN (SELECT account_id, mode, median(CAST(amount AS DOUBLE)) AS p50 FROM txn GROUP BY 1, 2) p
+  ON t.account_id = p.account_id AND t.mode = p.mode"""))
+def profile_deviation(spark, sf_dir):
+    """Each transaction's amount as a multiple of the account's median in its mode."""
+    return X.profile_deviation(txn(spark, sf_dir)).select("account_id", "seq", "mode", "amount", "p50", "deviation_multiple")
+
+
 @register("stress_index", with_txn("""
 SELECT account_id, atm_recent, atm_hist, ratio AS atm_ratio, share_r AS cash_share_recent, share_h AS cash_share_hist,
        50 * least(greatest(ratio - 1, 0.0), 1.0) + 50 * least(greatest(share_r - share_h, 0.0), 1.0) AS stress_index
@@ -110,6 +137,18 @@ def category_drop(spark, sf_dir):
                     F.round("norm_amount", 6).alias("norm_amount"), F.round("category_drop", 9).alias("category_drop"))
 
 
+@register("stress_with_category", f"""
+SELECT s.account_id, round(atm_ratio, 6) AS atm_ratio, category, category_drop,
+       round(least(stress_index + 25 * coalesce(category_drop, 0.0), 100.0), 6) AS stress_index
+FROM ({REGISTRY["stress_index"].sql}) s LEFT JOIN ({REGISTRY["category_drop"].sql}) c ON s.account_id = c.account_id""")
+def stress_with_category(spark, sf_dir):
+    """Stress index with up to 25 points for the deepest category drop (order history)."""
+    d = txn_orders(spark, sf_dir).withColumn("mode", F.when(F.col("mode") == "1-URGENT", "ATM").otherwise(F.col("mode")))
+    return X.stress_with_category(d).select("account_id", F.round("atm_ratio", 6).alias("atm_ratio"), "category",
+                                            F.round("category_drop", 9).alias("category_drop"),
+                                            F.round("stress_index", 6).alias("stress_index"))
+
+
 @register("recurring_bills", with_txn("""
 SELECT account_id, merchant AS bill_key, dayofmonth(date) AS day_of_month, count(DISTINCT strftime(date, '%Y-%m')) AS months,
        CAST(sum(amount) AS DOUBLE) / count(*) AS mean_amount

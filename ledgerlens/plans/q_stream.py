@@ -48,6 +48,12 @@ def st_dedupe(spark, sf_dir):
     return _run(spark, sf_dir, "dedupe", ST.st_dedupe)
 
 
+@register("st_dedupe_copies", with_txn("SELECT account_id, seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM txn"))
+def st_dedupe_copies(spark, sf_dir):
+    """Dedupe of a stream in which every fifth transaction comes twice."""
+    return _run(spark, sf_dir, "dedupe-copies", lambda s: ST.st_dedupe(s.unionByName(s.where(F.col("seq") % 5 == 0))))
+
+
 @register("st_structuring", with_txn("""
 SELECT account_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS near_count,
        CAST(sum(amount) AS DOUBLE) AS near_total
