@@ -183,3 +183,84 @@ def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap
     r = _same(d, summ.select(*keys, _BUCKET, "__fnew", "__off"), [*keys, _BUCKET], "inner")
     r = r.withColumn(out, (F.lit(1) + F.col("__off") + F.col("__fnew") + F.col("__run")).cast("int"))
     return r.drop("__us", _BUCKET, "__new", "__run", "__fnew", "__off")
+
+
+def carried(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
+            last: Mapping[str, Column], counts: Mapping[str, Column], before: Sequence[str] = ()) -> DataFrame:
+    """``df`` with, in ``order`` per ``keys``, the last non-null value of each ``last`` column up to the row
+    and the sum of each of ``counts`` up to it; the names in ``before`` leave the row itself out.
+
+    ``bucket`` rises with ``order``.  All columns share one window inside (keys, bucket), one summary of a
+    row per bucket, taken from ``df`` by partial aggregation, and one prefix over the buckets of a key."""
+    keys, names = list(keys), [*last, *counts]
+    at = F.struct(*[F.col(c) for c in order]).alias("at")
+    d = df.withColumns({_BUCKET: bucket, **{f"__c_{n}": c for n, c in {**last, **counts}.items()}})
+    ends = d.groupBy(*keys, _BUCKET).agg(
+        *[F.max_by(f"__c_{n}", F.when(F.col(f"__c_{n}").isNotNull(), F.struct(at))).alias(f"__e_{n}") for n in last],
+        *[F.sum(f"__c_{n}").alias(f"__e_{n}") for n in counts])
+    past = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, _BUCKET, *[F.last(f"__e_{n}", ignorenulls=True).over(past).alias(f"__o_{n}") for n in last],
+                       *[F.sum(f"__e_{n}").over(past).alias(f"__o_{n}") for n in counts])
+    here = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    upto = {n: here.rowsBetween(Window.unboundedPreceding, -1 if n in before else Window.currentRow) for n in names}
+    d = d.withColumns({**{f"__h_{n}": F.last(f"__c_{n}", ignorenulls=True).over(upto[n]) for n in last},
+                       **{f"__h_{n}": F.sum(f"__c_{n}").over(upto[n]) for n in counts}})
+    r = _same(d, ends, [*keys, _BUCKET], "left")
+    r = r.withColumns({**{n: F.coalesce(f"__h_{n}", f"__o_{n}") for n in last},
+                       **{n: F.coalesce(f"__h_{n}", F.lit(0)) + F.coalesce(f"__o_{n}", F.lit(0)) for n in counts}})
+    return r.drop(_BUCKET, *[f"__{x}_{n}" for x in "cho" for n in names])
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], col: str,
+               back: int, ahead: int) -> DataFrame:
+    """``df`` with ``prev_1`` .. ``prev_<back>`` and ``next_1`` .. ``next_<ahead>``: ``col`` of the rows that stand
+    so far before and after the row in ``order`` per ``keys``; null where there is none.
+
+    Rows are looked up inside (keys, bucket).  A bucket's first ``ahead`` and last ``back`` rows are its halo.
+    Every bucket has a row, so the halos of as many buckets as rows are wanted hold all that a bucket lacks
+    at its borders, and only halos, a bounded number of rows for each bucket, meet per key."""
+    keys = list(keys)
+    here = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    d = df.withColumn(_BUCKET, bucket).withColumn("__one", F.struct(F.col(col).alias("v")))
+    d = d.withColumns({**{f"__b{i}": F.lag("__one", i).over(here) for i in range(1, back + 1)},
+                       **{f"__a{i}": F.lead("__one", i).over(here) for i in range(1, ahead + 1)},
+                       "__nth": F.row_number().over(here), "__tail": F.lead(F.lit(1), max(back, 1)).over(here).isNull()})
+
+    def edge(keep: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("__nth", "__one")))), lambda x: x["__one"])
+    halo = d.groupBy(*keys, _BUCKET).agg(edge(F.col("__nth") <= ahead).alias("__first"),
+                                         edge(F.col("__tail")).alias("__last"))
+    w = Window.partitionBy(*keys).orderBy(_BUCKET)
+    empty = F.lit(None).cast(halo.schema["__first"].dataType)
+
+    def joined(parts: list[Column]) -> Column:
+        return F.concat(*[F.coalesce(p, F.array().cast(halo.schema["__first"].dataType)) for p in parts]) if parts else empty
+    halo = halo.select(*keys, _BUCKET,
+                       joined([F.reverse(F.lag("__last", i).over(w)) for i in range(1, back + 1)]).alias("__halo_b"),
+                       joined([F.lead("__first", i).over(w) for i in range(1, ahead + 1)]).alias("__halo_a"))
+    r = _same(d, halo, [*keys, _BUCKET], "left")
+    out = {}
+    for side, name, n in (("b", "prev", back), ("a", "next", ahead)):
+        inside = sum((F.col(f"__{side}{i}").isNotNull().cast("int") for i in range(1, n + 1)), F.lit(0))
+        for i in range(1, n + 1):
+            beyond = F.get(f"__halo_{side}", F.lit(i - 1) - inside)
+            out[f"{name}_{i}"] = F.coalesce(F.col(f"__{side}{i}"), beyond)["v"]
+    return r.withColumns(out).drop(_BUCKET, "__one", "__nth", "__tail", "__halo_b", "__halo_a",
+                                   *[f"__b{i}" for i in range(1, back + 1)], *[f"__a{i}" for i in range(1, ahead + 1)])
+
+
+def range_parts(df: DataFrame, col: str, out: str, parts: int = 256, sample: int = 4096, chars: int = 256) -> DataFrame:
+    """``df`` (distinct values of ``col``) with ``out``: a part number that rises with ``col``; nulls are in part -1.
+
+    The boundaries are every ``sample`` / ``parts``-th of the ``sample`` values with the smallest hashes, so
+    parts are equally deep whatever the values look like, and a rerun draws the same boundaries.  Texts are cut
+    to ``chars`` characters in a boundary (one row of bounded size); those that agree so far share a part."""
+    text = dict(df.dtypes)[col] == "string"
+    drawn = (df.where(F.col(col).isNotNull()).select(F.col(col).alias("__x")).orderBy(F.xxhash64("__x"), "__x").limit(sample)
+             .select(F.substring("__x", 1, chars).alias("__x") if text else F.col("__x")))
+    step = max(1, sample // parts)
+    every = (drawn.agg(F.array_sort(F.collect_list("__x")).alias("__all"))
+             .select(F.filter("__all", lambda x, i: (i % step) == step - 1).alias("__cuts")))
+    d = df.crossJoin(F.broadcast(every))            # one row of at most ``parts`` boundaries
+    v = F.col(col)
+    return d.withColumn(out, F.when(v.isNull(), -1).otherwise(F.size(F.filter("__cuts", lambda x: x <= v)))).drop("__cuts")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import columns as C
-from ledgerlens.functions.windows import bucketed_running_sum
+from ledgerlens.functions.windows import bucketed_running_sum, range_parts
 from ledgerlens.operators.features import FEATURE_COLS
 
 LABEL = "is_fraud"
@@ -408,8 +408,7 @@ def eval_binary(pred: DataFrame, score: str, label: str = LABEL, threshold: floa
         F.count(F.when(~F.col("hit") & (F.col("y") == 1), 1)).alias("fn"),
         F.count(F.when(~F.col("hit") & (F.col("y") == 0), 1)).alias("tn"))
     per = s.groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    per = per.withColumns({"__k": F.lit(0), "__neg_s": -F.col("s"),
-                           "__b": F.floor(F.col("s") * 1024).cast("long")})
+    per = range_parts(per, "s", "__b").withColumns({"__k": F.lit(0), "__neg_s": -F.col("s")})
     # ascending prefix of negatives (for AUC), descending prefix of positives/all (for AP)
     asc = bucketed_running_sum(per, ["__k"], "s", "s", "n", "n_le", bucket_col="__b")
     desc = bucketed_running_sum(asc.withColumn("__b", -F.col("__b")), ["__k"], "__neg_s", "__neg_s", "p", "tp_ge",

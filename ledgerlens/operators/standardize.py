@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.windows import range_parts
 
 # --- fixed values: header synonyms per canonical field (normalised names) ---
 SYNONYMS: dict[str, list[str]] = {
@@ -208,15 +209,14 @@ def prep_cashflow(df: DataFrame) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, col: str, out: str, start: int = 0) -> DataFrame:
-    """Rank of each distinct value in sorted order (LabelEncoder semantics):
-    distinct values are dealt by their first two characters, ranked inside each
-    such group, and the groups' sizes are added up in order (one row per group)."""
-    vals = df.select(F.col(col).cast("string").alias("__v")).distinct().withColumn(
-        "__g", F.coalesce(F.substring("__v", 1, 2), F.lit("")))
+    """Rank of each distinct value in sorted order (LabelEncoder semantics), null first:
+    distinct values are dealt at equi-depth boundaries, ranked inside each part, and the
+    parts' sizes are added up in order (one row per part)."""
+    vals = range_parts(df.select(F.col(col).cast("string").alias("__v")).distinct(), "__v", "__g")
     sizes = vals.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy("__g").orderBy(F.col("__v").asc_nulls_first())) - 1
+    nth = F.row_number().over(Window.partitionBy("__g").orderBy("__v")) - 1
     codes = (vals.withColumn("__nth", nth).join(sizes, "__g")
              .select("__v", (F.col("__before") + F.col("__nth") + start).cast("long").alias(out)))
     return df.join(codes, F.col(col).cast("string").eqNullSafe(F.col("__v")), "left").drop("__v")

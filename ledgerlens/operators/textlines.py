@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
-from ledgerlens.functions.windows import bucketed_prev, bucketed_running_sum
+from ledgerlens.functions.windows import bucketed_running_sum, carried, neighbours
 from ledgerlens.operators.standardize import inferred_date
 
 LINE_BUCKET = 4096          # lines per ordering bucket of a document
@@ -161,24 +161,35 @@ def parse_layout(layout: DataFrame) -> DataFrame:
     """T01 + T03 + T04 + T05-T07: description lines grouped into transactions,
     each dated by the nearest date label at or above it on its page (as-of by
     forward fill), amount and side from the balance delta to the previous
-    transaction of the document (skip rows only move the previous balance)."""
-    desc = layout.where(F.col("desc_text").isNotNull() & (C.strip("desc_text") != "")).select(
-        "doc_id", "page", "line_no", "y", F.col("desc_text").alias("text"), "balance_text")
-    blocks = _blocks(desc.select("doc_id", "line_no", "text"), TXN_START, True, "\n")
-    starts = desc.where(F.col("text").rlike(TXN_START)).select(
-        "doc_id", F.col("line_no").alias("first_line"), "page", "y", "balance_text")
-    tx = blocks.join(starts, ["doc_id", "first_line"])
-    # as-of date: labels and transactions on one page ordered by y; labels first at equal y
-    labels = layout.where(C.strip("date_text").rlike(DATE_LABEL)).select(
-        "doc_id", "page", "y", F.lit(0).alias("__k"), C.strip("date_text").alias("__date"), F.lit(None).cast("long").alias("first_line"))
-    tpts = tx.select("doc_id", "page", "y", F.lit(1).alias("__k"), F.lit(None).cast("string").alias("__date"), "first_line")
-    w = Window.partitionBy("doc_id", "page").orderBy("y", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    dated = (labels.unionByName(tpts).withColumn("date", F.last("__date", ignorenulls=True).over(w))
-             .where(F.col("__k") == 1).select("doc_id", "first_line", F.coalesce("date", F.lit("")).alias("date")))
-    tx = tx.join(dated, ["doc_id", "first_line"], "left")
-    tx = tx.withColumn("bal", F.regexp_replace(C.strip("balance_text"), ",", "").try_cast("double"))
-    tx = bucketed_prev(tx, ["doc_id"], "first_line", "first_line", ["bal"], prefix="prev_",
-                       bucket=F.floor(F.col("first_line") / LINE_BUCKET))
+    transaction of the document (skip rows only move the previous balance).
+
+    One pass: every line gets the label of its page as of its y, then the number of its block and the
+    balance at the block start before it are carried along the document's lines, and the lines of a block meet.
+    Of two labels at one y the one on the later line counts."""
+    label = C.strip("date_text")
+    text = F.col("desc_text")
+    said = text.isNotNull() & (C.strip("desc_text") != "")
+    page = Window.partitionBy("doc_id", "page").orderBy("y").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = layout.select(
+        "doc_id", "page", "line_no", "y", said.alias("__said"), C.strip("desc_text").alias("text"),
+        F.when(label.rlike(DATE_LABEL), label).alias("__label"),
+        (said & text.rlike(TXN_START)).alias("__start"), (said & C.strip("desc_text").rlike(TXN_START)).alias("__opens"),
+        F.regexp_replace(C.strip("balance_text"), ",", "").try_cast("double").alias("bal"))
+    lines = lines.where(F.col("__said") | F.col("__label").isNotNull()).withColumn(
+        "date", F.max(F.when(F.col("__label").isNotNull(), F.struct("y", "line_no", "__label"))).over(page)["__label"])
+    lines = carried(lines.where("__said").drop("__said", "__label", "page", "y"), ["doc_id"],
+                    F.floor(F.col("line_no") / LINE_BUCKET), ["line_no"],
+                    {"__was": F.when(F.col("__start"), F.struct("bal"))}, {"block_no": F.col("__opens").cast("long")},
+                    before=["__was"])
+    # a line before the first start belongs to no transaction
+    own = F.struct("line_no", "text", F.when(F.col("__start"), F.struct("date", "bal", F.col("__was")["bal"].alias("prev"))).alias("head"))
+    tx = (lines.where(F.col("block_no") > 0).groupBy("doc_id", "block_no")
+          .agg(F.array_sort(F.collect_list(own)).alias("__ls")).withColumn("__head", F.col("__ls")[0]["head"])
+          .where(F.col("__head").isNotNull())
+          .select("doc_id", "block_no", F.col("__ls")[0]["line_no"].alias("first_line"),
+                  F.array_join(F.transform("__ls", lambda x: x["text"]), "\n").alias("block"),
+                  F.coalesce("__head.date", F.lit("")).alias("date"), F.col("__head.bal").alias("bal"),
+                  F.col("__head.prev").alias("prev_bal")))
     first = F.upper(C.strip(F.split("block", "\n").getItem(0)))
     tx = tx.where(~(first.isin("BALANCE FORWARD", "TOTAL") | first.startswith("TOTAL")))
     delta = F.round(F.col("bal") - F.col("prev_bal"), 2)
@@ -221,14 +232,12 @@ def context_rows(lines: DataFrame, cfg: Config = Config()) -> DataFrame:
     next one or two lines are searched; amounts below ``context_balance_from``
     are transaction amounts (last one taken), larger ones the balance (negated);
     context = previous + current (+ next when undated) for narration and mode.
-    ``reject`` says why a dated line is no transaction (else null).  A
-    statement document is bounded (one export), so lead/lag run per document."""
+    ``reject`` says why a dated line is no transaction (else null).  The
+    lines around come from line buckets and their halos, whatever the document's length."""
     ctx_amount = cfg.context_amount_pattern
-    from pyspark.sql import Window
     d = lines.withColumn("text", C.strip("text")).where(F.col("text") != "")
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    d = d.withColumns({"__p1": F.lag("text", 1).over(w), "__n1": F.lead("text", 1).over(w),
-                       "__n2": F.lead("text", 2).over(w)})
+    d = neighbours(d, ["doc_id"], F.floor(F.col("line_no") / LINE_BUCKET), ["line_no", "text"], "text", 1, 2)
+    d = d.withColumnsRenamed({"prev_1": "__p1", "next_1": "__n1", "next_2": "__n2"})
     d = d.withColumn("__date", F.regexp_extract("text", CTX_DATE, 1)).where(F.col("__date") != "")
     has = lambda c: c.rlike(ctx_amount)
     s1 = F.when(has(F.col("text")) | F.col("__n1").isNull(), F.col("text")).otherwise(F.concat_ws(" ", "text", "__n1"))
