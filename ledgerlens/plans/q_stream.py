@@ -19,8 +19,8 @@ FIX = Config.fixture()
 DEF = Config()
 
 
-def _run(spark, sf_dir, name, fn, mode="append"):
-    return StreamRun(spark, sf_dir, name).run(fn, mode)
+def _run(spark, sf_dir, name, fn, mode="append", conf=None):
+    return StreamRun(spark, sf_dir, name).run(fn, mode, conf=conf)
 
 
 @register("st_daily_volume", with_txn("""
@@ -85,9 +85,9 @@ SELECT account_id, seq, rapid_count FROM (
          RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND INTERVAL 300 SECONDS FOLLOWING) AS rapid_count FROM txn)
 WHERE rapid_count >= {FIX.rapid_burst_threshold}"""))
 def st_rapid(spark, sf_dir):
-    """Burst rule with per-account state and event-time timers (fixture
+    """Burst rule with list state per group of accounts and time bucket and event-time timers (fixture
     thresholds); equals the batch rule."""
-    return _run(spark, sf_dir, "rapid", lambda s: ST.st_rapid(s, FIX))
+    return _run(spark, sf_dir, "rapid", lambda s: ST.st_rapid(s, FIX), conf=ST.STATE_STORE)
 
 
 @register("st_velocity", with_txn("""

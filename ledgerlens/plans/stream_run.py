@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,22 @@ from ledgerlens.sources.tables import read_table
 from ledgerlens.streaming.stream import EVENTS_SCHEMA, txn_stream
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """``conf`` holds inside the block; what was set before holds again after it."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class StreamRun:
     """Feeds the events table into a file-stream folder, then two events far in the future,
     of an account that the table does not have, so that the watermark passes every real event
@@ -41,8 +58,10 @@ class StreamRun:
         s.write.mode("append").parquet(self.inp)
 
     def run(self, build: Callable[[DataFrame], DataFrame], output_mode: str = "append",
-            per_batch: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-        """``per_batch`` maps each micro-batch and its number to the rows that the sink writes."""
+            per_batch: Callable[[DataFrame, int], DataFrame] | None = None,
+            conf: dict[str, str] | None = None) -> DataFrame:
+        """``per_batch`` maps each micro-batch and its number to the rows that the sink writes;
+        ``conf`` holds settings that the streaming query starts with (it keeps its own copy)."""
         self.events.write.mode("append").parquet(self.inp)
         src = (self.spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1000).parquet(self.inp))
         out_df = build(txn_stream(src))
@@ -51,8 +70,9 @@ class StreamRun:
         def sink(batch: DataFrame, batch_id: int) -> None:
             rows = per_batch(batch, batch_id) if per_batch else batch
             rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-        q = (out_df.writeStream.outputMode(output_mode).foreachBatch(sink)
-             .option("checkpointLocation", self.ckpt).start())
+        with settings(self.spark, conf or {}):
+            q = (out_df.writeStream.outputMode(output_mode).foreachBatch(sink)
+                 .option("checkpointLocation", self.ckpt).start())
         try:
             q.processAllAvailable()
             self._sentinel(1)

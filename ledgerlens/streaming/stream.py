@@ -2,9 +2,10 @@
 
 Source: a file stream of the ``events`` schema mapped statelessly to
 transaction columns (no running balance on a stream).  Every stateful query
-carries a watermark; ``st_rapid`` and ``st_velocity`` keep per-account state
-with ``applyInPandasWithState`` and event-time timeouts, so a +/- window that
-needs future rows is emitted once the watermark has passed ts + half-window.
+carries a watermark.  ``st_rapid`` keeps list states per group of accounts and time bucket
+(``transformWithStateInPandas``), whose event-time timers decide a bucket once the watermark
+has passed all that can count for it; ``st_velocity`` keeps one row per account
+with ``applyInPandasWithState`` and a timeout.
 
 The operators take and return streaming DataFrames; how they are fed and
 where they are written is the caller's business.
@@ -14,14 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlens.config import Config
 from ledgerlens.sources.tables import MONEY, _mode_expr
 
+# the state store that list states and timers run on; set by whoever starts the query
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -79,61 +85,73 @@ def st_episodes(s: DataFrame, cfg: Config = Config(), gap: str = "24 hours") ->
     return g.select("account_id", "txn_count", "first_ts", "last_ts")
 
 
-_STATE_SCHEMA = "ts array<long>, seq array<long>, done array<boolean>"
-
-
 def _us(col: pd.Series) -> list[int]:
     return (pd.to_datetime(col).astype("int64") // 1000).tolist()
 
 
-def _rapid_state(half_us: int, threshold: int):
-    """State per account: recent events (ts us, seq, decided).  A row is
-    decided once watermark >= ts + half; rows older than watermark - 2*half
-    can no longer fall in an undecided row's window and are pruned."""
-    import bisect
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, seq, done = ([], [], [])
-        if state.exists:
-            ts, seq, done = list(state.get[0]), list(state.get[1]), list(state.get[2])
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                ts += _us(pdf["ts"])
-                seq += pdf["seq"].astype("int64").tolist()
-                done += [False] * len(pdf)
-        order = sorted(range(len(ts)), key=lambda i: (ts[i], seq[i]))
-        ts, seq, done = [ts[i] for i in order], [seq[i] for i in order], [done[i] for i in order]
-        wm = state.getCurrentWatermarkMs() * 1000
-        out_seq, out_cnt = [], []
-        for i in range(len(ts)):
-            if not done[i] and ts[i] + half_us <= wm:
-                n = bisect.bisect_right(ts, ts[i] + half_us) - bisect.bisect_left(ts, ts[i] - half_us)
-                done[i] = True
-                if n >= threshold:
-                    out_seq.append(seq[i])
-                    out_cnt.append(n)
-        keep = [i for i in range(len(ts)) if ts[i] >= wm - 2 * half_us]
-        if keep:
-            ts, seq, done = [ts[i] for i in keep], [seq[i] for i in keep], [done[i] for i in keep]
-            state.update((ts, seq, done))
-            pending = [t for t, d in zip(ts, done) if not d]
-            due = (min(pending) + half_us) if pending else (max(ts) + 2 * half_us)
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        else:
-            state.remove()
-        if out_seq:
-            yield pd.DataFrame({"account_id": [key[0]] * len(out_seq), "seq": out_seq, "rapid_count": out_cnt})
-    return fn
-
-
-def st_rapid(s: DataFrame, cfg: Config = Config(), delay: str = "10 minutes") -> DataFrame:
-    """Burst rule on a stream: per-account state of recent events; a row is
-    decided once the watermark passes ts + half window (exact, no lookahead cap)."""
+class _Bursts(StatefulProcessor):
+    """The events of one (group of accounts, time bucket) and of ``half_us`` on both sides of the bucket.
+
+    They are a list state: an event is appended without reading those before it, and read back one by one into
+    24 bytes.  One timer, at the end of the bucket plus the half window, decides all rows of the bucket and clears
+    the state: no event that could still count for them comes after it, for it would be behind the watermark."""
+
+    def __init__(self, width_us: int, half_us: int, threshold: int):
+        self.width_us, self.half_us, self.threshold = width_us, half_us, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "account long, us long, seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = (int(key[1]) + 1) * self.width_us + self.half_us
+        # the same timer each time; ahead of the watermark at least, else it would not be heard
+        self.handle.registerTimer(max(due // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        for pdf in rows:
+            self.events.appendList(list(zip(pdf["account_id"].tolist(), _us(pdf["ts"]), pdf["seq"].tolist())))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ev = np.fromiter((tuple(e) for e in self.events.get()), dtype=[("account", "i8"), ("us", "i8"), ("seq", "i8")])
+        self.events.clear()
+        accounts, which = np.unique(ev["account"], return_inverse=True)
+        # accounts side by side on one line, further apart than any window reaches
+        start = int(key[1]) * self.width_us - self.half_us
+        at = which * (self.width_us + 4 * self.half_us + 1) + (ev["us"] - start)
+        line, own = np.sort(at), ev["us"] // self.width_us == int(key[1])
+        n = (np.searchsorted(line, at[own] + self.half_us, "right") - np.searchsorted(line, at[own] - self.half_us, "left"))
+        hit = n >= self.threshold
+        if hit.any():
+            yield pd.DataFrame({"account_id": ev["account"][own][hit], "seq": ev["seq"][own][hit], "rapid_count": n[hit]})
+
+    def close(self) -> None:
+        pass
+
+
+def st_rapid(s: DataFrame, cfg: Config = Config(), delay: str = "10 minutes", bucket_seconds: int = 21600,
+             groups: int = 16) -> DataFrame:
+    """Burst rule on a stream, exact, without a look-ahead cap.
+
+    State is kept per group of accounts (hash modulo ``groups``) and time bucket of ``bucket_seconds`` (at
+    least the window).  An event goes to its own bucket and, as a neighbour, to the one that its half window
+    reaches into; a bucket is decided once the watermark passes its end plus the half window.  So what a timer
+    reads grows with the events of a bucket, not with the past of an account.  Each state costs some
+    milliseconds whatever it holds: few wide ones suit thin streams, many narrow ones (``groups`` of several
+    per core, minutes) thick ones.  Rows without a time of day, an account or a number take no part.
+
+    The query must start with the state store ``STATE_STORE``."""
     half_us = int(cfg.rapid_window_minutes * 60 * 1_000_000 / 2)
-    d = s.where((F.length("time") > 0)).select("account_id", "seq", "ts").withWatermark("ts", delay)
-    return d.groupBy("account_id").applyInPandasWithState(
-        _rapid_state(half_us, cfg.rapid_burst_threshold), "account_id long, seq long, rapid_count long",
-        _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    width = max(int(bucket_seconds) * 1_000_000, 2 * half_us)
+    us = F.unix_micros("ts")
+    bucket = lambda shift: F.floor((us + F.lit(shift)) / F.lit(width)).cast("long")
+    d = (s.where((F.length("time") > 0) & F.col("account_id").isNotNull() & F.col("seq").isNotNull())
+         .select(F.col("account_id").cast("long").alias("account_id"), F.col("seq").cast("long").alias("seq"), "ts")
+         .withWatermark("ts", delay)
+         .withColumns({"accounts": F.pmod(F.xxhash64("account_id"), F.lit(groups)),
+                       "bucket": F.explode(F.sequence(bucket(-half_us), bucket(half_us)))}))
+    return d.groupBy("accounts", "bucket").transformWithStateInPandas(
+        _Bursts(width, half_us, cfg.rapid_burst_threshold), "account_id long, seq long, rapid_count long",
+        outputMode="Append", timeMode="EventTime")
 
 
 def _velocity_state(keep_ms: int):
