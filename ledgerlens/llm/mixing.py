@@ -3,9 +3,12 @@
 Every source has a target (words the mix takes from it) and a weight schedule
 over training time t in [0, 1], ``w(t) = target * (1 + slope * (2 t - 1))``,
 whose integral is the target.  The cumulative token demand is the integral
-``W(t) = target * ((1 - slope) * t + slope * t^2)``; a document that starts at
-cumulative offset c of its source's stream is wanted at ``W^-1(c)``.  That
-position orders the whole mix by a range sort.
+``W(t) = target * ((1 - slope) * t + slope * t^2)``; a copy of a document that starts
+at cumulative offset c of its source's repeated stream is wanted at ``W^-1(c)``.
+``positions`` holds one such position for each copy that the mix takes, so the
+demand of a source is served all along, also in its second round; ``position``,
+the first of them, orders the documents by a range sort, and ``training_order``
+orders the copies.
 
 Targets: demand = ``demand_ratio`` x all sizes, shared by weight; a source stops
 at ``max_repeat`` x its size and the excess is shared again by weight until no
@@ -20,7 +23,7 @@ Cases: null text, or text of white space only: size 0, nothing taken.  Null
 source: a source of its own, last in order.  Repeated rows and repeated or null
 ids: every row is a document; ties are broken by size and text hash.  Empty
 table: no rows.  Other columns pass through; names that clash with the results
-(size, source_size, target, taken, position) are replaced by the results.
+(size, source_size, target, taken, position, positions, epochs) are replaced by the results.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ class Mix:
     order_digits: int = 3          # hex digits of the order key that make a bucket (16^n buckets)
 
 
-RESULTS = ("size", "source_size", "target", "taken", "position", "epochs")
+RESULTS = ("size", "source_size", "target", "taken", "position", "positions", "epochs")
 
 
 def source_targets(sized: DataFrame, mix: Mix) -> DataFrame:
@@ -79,8 +82,8 @@ def source_targets(sized: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """Documents with ``size, source_size, target, taken, epochs, position``,
-    range-sorted by position (rows that take nothing come last)."""
+    """Documents with ``size, source_size, target, taken, epochs, position, positions``,
+    range-sorted by position (rows that take nothing come last; their positions are empty)."""
     sized = docs.drop(*[c for c in RESULTS if c in docs.columns])
     sized = sized.withColumn("size", n_words(F.col("text")))
     src = source_targets(sized, mix)
@@ -110,14 +113,31 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     rest = wanted - rounds * total
     part = F.greatest(F.lit(0), F.least(size, rest - start))
     taken = (rounds * size + part).cast("long")
-    # W(t) = c solved for t: slope t^2 + (1 - slope) t - c / target = 0
-    u = F.when(F.col("target") > 0, F.least(F.lit(1.0), start / F.col("target"))).otherwise(0.0)
+    out = out.withColumn("taken", taken)
+    # one copy for each whole round, and one for the round that is taken in part; a source is taken at most
+    # max_repeat times, so these are few
+    copies = F.when(F.col("taken") > 0, rounds + (part > 0).cast("long")).otherwise(F.lit(0))
     line = 1.0 - F.col(slope)
-    when = F.when(F.col(slope) == 0, u).otherwise(
-        (F.sqrt(line * line + 4.0 * F.col(slope) * u) - line) / (2.0 * F.col(slope)))
-    out = (out.withColumn("taken", taken)
-           .withColumn("epochs", F.when(size > 0, taken / size).otherwise(0.0))
-           .withColumn("position", F.when(taken > 0, F.round(when, 9)))
+
+    def wanted_at(offset):
+        """W(t) = offset solved for t: slope t^2 + (1 - slope) t - offset / target = 0."""
+        u = F.when(F.col("target") > 0, F.least(F.lit(1.0), offset / F.col("target"))).otherwise(0.0)
+        return F.round(F.when(F.col(slope) == 0, u).otherwise(
+            (F.sqrt(line * line + 4.0 * F.col(slope) * u) - line) / (2.0 * F.col(slope))), 9)
+    every = F.filter(F.sequence(F.lit(0), F.lit(mix.max_repeat)), lambda k: k < copies)
+    out = (out.withColumn("epochs", F.when(size > 0, F.col("taken") / size).otherwise(0.0))
+           .withColumn("positions", F.transform(every, lambda k: wanted_at(k * total + start)))
+           .withColumn("position", F.get("positions", F.lit(0)))
            .drop(key_, bucket, own, at, ahead_, inside_, slope))
     order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
     return out.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def training_order(mixed: DataFrame) -> DataFrame:
+    """The copies that the mix takes, range-sorted by their positions: ``mixed`` with ``copy`` (from 0),
+    ``position`` (the copy's) and ``words`` (taken from it; less than ``size`` in a source's last round)."""
+    docs = mixed.drop("copy", "words", "position")
+    rows = docs.select("*", F.posexplode("positions").alias("copy", "position")).drop("positions")
+    rows = rows.withColumn("words", F.least("size", F.col("taken") - F.col("copy") * F.col("size")))
+    order = [F.col("position"), F.col("doc_id").asc_nulls_last(), F.col("copy")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -110,13 +110,16 @@ def test_mix_contract(spark):
 
 
 def test_mix_follows_the_schedule(spark):
-    """The share of a source's words placed before t follows the integral of its weight."""
+    """The share of a source's words placed before t follows the integral of its weight, also in its second round."""
     docs = spark.createDataFrame([(i, "w " * 10, "abc"[i % 3]) for i in range(3000)], "doc_id long, text string, source string")
     out = mixing.mix_sources(docs).toPandas()
-    for slope, (_, part) in zip((-0.5, 0.0, 0.5), out.groupby("source")):
+    copies = mixing.training_order(mixing.mix_sources(docs)).toPandas()
+    assert copies["position"].is_monotonic_increasing
+    assert copies.groupby("doc_id")["words"].sum().to_dict() == out.loc[out["taken"] > 0].set_index("doc_id")["taken"].to_dict()
+    assert out["positions"].str.len().max() == 2
+    for slope, (_, part) in zip((-0.5, 0.0, 0.5), copies.groupby("source")):
         target = part["target"].iloc[0]
-        rows = part[part["taken"] > 0]
-        for t in (0.25, 0.5, 0.75):
-            until = rows.loc[rows["position"] < t, "size"].sum()
-            assert abs(until - min(target * ((1 - slope) * t + slope * t * t), part["size"].sum())) <= 20
+        for t in (0.1, 0.25, 0.5, 0.75, 0.9, 1.0):
+            until = part.loc[part["position"] < t, "words"].sum()
+            assert abs(until - target * ((1 - slope) * t + slope * t * t)) <= 20
     assert out.loc[out["taken"] > 0, "position"].is_monotonic_increasing
