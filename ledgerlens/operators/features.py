@@ -27,6 +27,49 @@ FEATURE_COLS = [
 ]
 
 
+# fixed values: names under which exports carry a canonical column, the first present one counts
+CANDIDATES = {
+    "amount": ("amount", "Amount", "TransactionAmount", "amt", "Transaction Amount"),
+    "ts": ("transactionTimestamp", "date", "timestamp", "Date", "TransactionDate", "Transaction Date"),
+    "time": ("time", "Time"),
+    "balance": ("balance_after", "balance", "currentBalance", "Balance", "AccountBalance", "Account Balance"),
+    "merchant": ("merchant", "Merchant", "MerchantID", "merchant_category", "narration", "description"),
+    "narration": ("narration", "description", "Merchant", "merchant"),
+    "mode": ("mode", "Channel", "payment_channel", "TransactionType", "type", "transaction_type"),
+    "transaction_type": ("transaction_type", "TransactionType", "txn_type", "type", "mode"),
+    "debit_credit": ("debit_credit", "debit/credit", "type"),
+}
+# fixed values: what a column holds where no candidate is present
+DEFAULTS = {"amount": 0.0, "balance": 999999.0, "time": "12:00:00", "merchant": "UNKNOWN", "narration": "UNKNOWN",
+            "mode": "UNKNOWN", "debit_credit": "DEBIT"}
+
+
+def resolve_columns(df: DataFrame) -> DataFrame:
+    """``df`` with the columns that the features read: each the first candidate present in the table, else its
+    default.  A table that has them all stays as it is.
+
+    ``ts`` comes from the first date candidate, with the time column added where that is a bare date, and is
+    null where nothing parses (hour 12, month 1, weekday 0 then).  The channel is settled before the transaction
+    type, which may fall back on it.  Names are told apart as Spark does, so not by case."""
+    def present(d: DataFrame, names: Sequence[str]) -> Column | None:
+        return next((F.col(f"`{n}`") for n in names if n in d.columns), None)
+    d = df
+    if "ts" not in d.columns:
+        day, clock = present(d, CANDIDATES["ts"]), present(d, CANDIDATES["time"])
+        ts = F.lit(None).cast("timestamp") if day is None else F.try_to_timestamp(day.cast("string"))
+        if clock is not None:
+            timed = F.try_to_timestamp(F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd"), clock.cast("string")))
+            ts = F.when(ts == F.date_trunc("day", ts), F.coalesce(timed, ts)).otherwise(ts)
+        d = d.withColumn("ts", ts)
+        if "time" not in d.columns:
+            d = d.withColumn("time", F.coalesce(F.date_format("ts", "HH:mm:ss"), F.lit(DEFAULTS["time"])))
+    for name in ("amount", "balance", "merchant", "narration", "mode", "transaction_type", "debit_credit"):
+        if name not in d.columns:
+            found = present(d, CANDIDATES[name])
+            d = d.withColumn(name, F.lit(DEFAULTS[name]) if found is None else found)
+    return d
+
+
 def clean_money(c: Column, compat: bool) -> Column:
     """Money text/number -> double, null -> 0.  ``compat`` strips everything
     but digits and '.', which erases minus signs as the original did."""
@@ -40,6 +83,7 @@ def encode7(c: Column) -> Column:
 
 def row_features(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Row-local part of the features (no shuffle)."""
+    df = resolve_columns(df)
     amt = clean_money(F.col("amount"), cfg.compat)
     bal = clean_money(F.col("balance"), cfg.compat)
     ts = F.col("ts")

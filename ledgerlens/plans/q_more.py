@@ -195,3 +195,34 @@ def narrative_totals(spark, sf_dir):
                     at("$.top_merchants[0].merchant").alias("first_merchant"),
                     at("$.cash_flow.runway_days").cast("int").alias("runway_days"),
                     at("$.cash_flow.risk_level").alias("risk_level"))
+
+
+_OTHER_NAMES = """
+SELECT account_id, seq, CAST(amount AS DOUBLE) AS amount_f, 999999.0::DOUBLE AS balance_after,
+       999999.0 + CASE WHEN debit_credit = 'Credit' THEN -CAST(amount AS DOUBLE) ELSE CAST(amount AS DOUBLE) END AS balance_before,
+       hour(ts) AS hour, month(ts) AS month, merchant, mode, mode AS transaction_type, debit_credit, time
+FROM txn"""
+
+
+@register("feat_columns_resolved", with_txn(_OTHER_NAMES))
+def feat_columns_resolved(spark, sf_dir):
+    """Features of an export with other column names, without a balance and a transaction type:
+    first candidates present, 999999 for the balance."""
+    t = txn(spark, sf_dir)
+    export = t.select("account_id", "seq", F.col("amount").cast("string").alias("Transaction Amount"),
+                      F.col("date").cast("string").alias("TransactionDate"), F.col("time").alias("Time"),
+                      F.col("merchant").alias("MerchantID"), F.col("mode").alias("Channel"),
+                      F.col("debit_credit").alias("debit/credit"))
+    d = FE.row_features(export)
+    return d.select("account_id", "seq", "amount_f", "balance_after", "balance_before", "hour", "month", "merchant", "mode",
+                    "transaction_type", "debit_credit", "time")
+
+
+@register("feat_columns_none", with_txn("""
+SELECT seq, 0.0::DOUBLE AS amount_f, 999999.0::DOUBLE AS balance_after, 12 AS hour, 1 AS month, 0 AS day_of_week,
+       'UNKNOWN' AS merchant, 'UNKNOWN' AS mode, 'UNKNOWN' AS transaction_type, 'DEBIT' AS debit_credit FROM txn"""))
+def feat_columns_none(spark, sf_dir):
+    """Features of a table that has none of the candidates: every default."""
+    d = FE.row_features(txn(spark, sf_dir).select("seq"))
+    return d.select("seq", "amount_f", "balance_after", "hour", "month", "day_of_week", "merchant", "mode",
+                    "transaction_type", "debit_credit")
