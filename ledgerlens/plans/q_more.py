@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import analytics as A
+from ledgerlens.operators import cashflow as CF
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import ml as ML
 from ledgerlens.operators import scoring as S
@@ -19,6 +21,7 @@ from ledgerlens.plans.q_report import scored
 from ledgerlens.plans.registry import REGISTRY, register
 from ledgerlens.plans.sqlparts import with_txn
 from ledgerlens.sources import statements as SS
+from ledgerlens.sources import statements as SS
 from ledgerlens.sources.tables import txn
 
 project("channel", "merchant_key", ["account_id", "seq", "channel"], "Channel: mode unless blank/OTHERS, else first narration token.")
@@ -226,3 +229,22 @@ def feat_columns_none(spark, sf_dir):
     d = FE.row_features(txn(spark, sf_dir).select("seq"))
     return d.select("seq", "amount_f", "balance_after", "hour", "month", "day_of_week", "merchant", "mode",
                     "transaction_type", "debit_credit")
+
+
+@register("sink_report_modules", f"""
+SELECT s.account_id, s.transaction_count, s.total_debit, s.median_transaction, f.flagged_count, f.max_final_risk_score,
+       f.peak_fraud_day, c.runway_days, c.risk_classification, f.flagged_count AS flagged_in_module
+FROM ({REGISTRY["summary_statistics"].sql}) s JOIN ({REGISTRY["portfolio_summary"].sql}) f USING (account_id)
+JOIN ({REGISTRY["cashflow"].sql}) c USING (account_id)""")
+def sink_report_modules(spark, sf_dir):
+    """One JSON document per module (statistics, fraud, cash flow, narrative input) and a master per account,
+    written and read back."""
+    t, rows = txn(spark, sf_dir), scored(spark, sf_dir)
+    path = scratch(spark, "report-modules")
+    master = SS.write_report({"statistics": A.summary_statistics(t), "fraud": RP.portfolio_summary(rows, FIX),
+                              "cashflow": CF.report(t, Config()), "llm_input": RP.narrative_payload(rows, FIX)}, path)
+    fraud = spark.read.json(f"{path}/fraud").select("account_id", F.col("flagged_count").alias("flagged_in_module"))
+    return master.join(fraud, "account_id").select(
+        "account_id", "statistics.transaction_count", "statistics.total_debit", "statistics.median_transaction",
+        "fraud.flagged_count", "fraud.max_final_risk_score", "fraud.peak_fraud_day", "cashflow.runway_days",
+        "cashflow.risk_classification", "flagged_in_module")

@@ -215,6 +215,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_report(modules: dict[str, DataFrame], path: str, key: str = "account_id") -> DataFrame:
+    """JSON documents of a report: ``path/<module>`` with one object per ``key`` and module, and ``path/master`` with
+    one object per key that holds a field for each module (none where the module says nothing on the key).
+
+    ``modules`` have one row per key.  The master is put together from the written modules, so none is
+    computed twice.  Returns the master as it was written."""
+    master = None
+    for name, df in modules.items():
+        write_json(df, f"{path}/{name}")
+        part = df.sparkSession.read.schema(df.schema).json(f"{path}/{name}")
+        part = part.select(key, F.struct(*[F.col(f"`{c}`") for c in part.columns if c != key]).alias(name))
+        master = part if master is None else master.join(part, key, "full")
+    write_json(master, f"{path}/master")
+    return master.sparkSession.read.schema(master.schema).json(f"{path}/master")
+
+
 def write_table(df: DataFrame, path: str, partition_by: str | None = "month") -> None:
     """Transactions table sink: append, partitioned by month for pruning."""
     d = df
@@ -228,4 +244,4 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = "month") ->
 
 __all__ = ["read_statements", "load_training", "render_layout_a", "render_layout_generic", "render_layout_c",
            "render_training_a", "render_dated_lines", "render_layout_lines", "render_context_lines",
-           "render_table_cells", "write_csv", "write_json", "write_table", "planted_fraud"]
+           "render_table_cells", "write_csv", "write_json", "write_report", "write_table", "planted_fraud"]
