@@ -254,3 +254,23 @@ def insights(df: DataFrame, by: Sequence[str] = ACC, top_n: int = 10) -> DataFra
           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "merchant"))),
                                         lambda x: x["merchant"]), "|").alias("top_merchants")))
     return join_groups(join_groups(s, tm, by), spending_trends(df, by), by)
+
+
+# ------------------------------------------------- distinct counts, approximate form
+SKETCH_LG = 12                                       # 2^12 registers: a few KB for each group and month
+SKETCH_BOUND = 3 * 1.04 / (1 << SKETCH_LG) ** 0.5    # three standard errors of an estimate, as a share (4.9 %)
+
+
+def distinct_sketches(df: DataFrame, value: str, by: Sequence[str] = ("account_id",)) -> DataFrame:
+    """A mergeable sketch of the distinct ``value`` per group and month: a table to store and to append to
+    month by month.  Nulls are no value; rows without a date have the month null and are in no span."""
+    return df.groupBy(*by, F.date_format("date", "yyyy-MM").alias("month")).agg(
+        F.hll_sketch_agg(F.col(value).cast("string"), SKETCH_LG).alias("sketch"))
+
+
+def distinct_in_span(sketches: DataFrame, first: str, last: str, by: Sequence[str] = ("account_id",)) -> DataFrame:
+    """Distinct values per group in the months ``first`` .. ``last`` (``yyyy-MM``, both included), merged from the
+    stored sketches without the rows; a month that was stored in parts, or twice, counts once.  The estimate is within
+    ``SKETCH_BOUND`` of the count in all but a few of a thousand groups, and near exact for small ones."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return (sketches.where(F.col("month").between(first, last)).groupBy(*by).agg(merged.alias("distinct_values")))

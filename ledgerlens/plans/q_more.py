@@ -19,10 +19,10 @@ from ledgerlens.plans.q_io import FIX, chart_frame, scratch
 from ledgerlens.plans.q_ml import PLANTED, labelled
 from ledgerlens.plans.q_report import scored
 from ledgerlens.plans.registry import REGISTRY, register
-from ledgerlens.plans.sqlparts import with_txn
+from ledgerlens.plans.sqlparts import TXN_ORDERS_CTE, with_txn
 from ledgerlens.sources import statements as SS
 from ledgerlens.sources import statements as SS
-from ledgerlens.sources.tables import txn
+from ledgerlens.sources.tables import txn, txn_orders
 
 project("channel", "merchant_key", ["account_id", "seq", "channel"], "Channel: mode unless blank/OTHERS, else first narration token.")
 
@@ -248,3 +248,19 @@ def sink_report_modules(spark, sf_dir):
         "account_id", "statistics.transaction_count", "statistics.total_debit", "statistics.median_transaction",
         "fraud.flagged_count", "fraud.max_final_risk_score", "fraud.peak_fraud_day", "cashflow.runway_days",
         "cashflow.risk_classification", "flagged_in_module")
+
+
+@register("distinct_span_sketch", with_txn("""
+SELECT transaction_type, count(DISTINCT account_id) AS accounts, true AS within_bound
+FROM txn_orders WHERE strftime(date, '%Y-%m') BETWEEN '1994-03' AND '1997-10' GROUP BY transaction_type""", TXN_ORDERS_CTE))
+def distinct_span_sketch(spark, sf_dir):
+    """Distinct accounts per transaction type over a span of months: sketches stored by month and merged,
+    held against the exact count."""
+    t, by, span = txn_orders(spark, sf_dir), ["transaction_type"], ("1994-03", "1997-10")
+    path = scratch(spark, "sketches")
+    A.distinct_sketches(t, "account_id", by).write.partitionBy("month").parquet(path)
+    merged = A.distinct_in_span(spark.read.schema("transaction_type string, sketch binary, month string").parquet(path), *span, by)
+    exact = (t.where(F.date_format("date", "yyyy-MM").between(*span)).groupBy(*by)
+             .agg(F.count_distinct("account_id").alias("accounts")))
+    off = F.abs(F.col("distinct_values") - F.col("accounts"))
+    return exact.join(merged, by).select(*by, "accounts", (off <= F.col("accounts") * A.SKETCH_BOUND).alias("within_bound"))
