@@ -44,3 +44,22 @@ def test_a_repeat_probes_few_cells(spark):
     counts = R.repeated_counts(R.prepare(df, cfg), cfg)
     counts.count()
     assert any("sequence(" in line for line in _plan(counts))      # cells of the row's own reach, not all nine around
+
+
+def test_statement_files_are_about_one_per_account(spark, tmp_path):
+    from ledgerlens.sources import statements as SS
+    raw = spark.range(800).select((F.col("id") % 20).alias("account_id"), F.col("id").alias("seq"),
+                                  F.col("id").cast("string").alias("txnId")).repartition(8)
+    path = str(tmp_path / "statements")
+    SS.write_statements(raw, path)
+    files = list((tmp_path / "statements").glob("account_id=*/*.csv"))
+    assert len({f.parent for f in files}) == 20 and len(files) <= 20 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == ["txnId", "account_id"] and back.count() == 800
+
+
+def test_training_rows_are_dealt_by_their_number(spark):
+    from ledgerlens.operators import ml as ML
+    rows = spark.range(1000).withColumnRenamed("id", "seq").coalesce(1)
+    assert ML.dealt(rows, 100).rdd.getNumPartitions() == 10 and ML.dealt(rows, 100).count() == 1000
+    assert ML.dealt(rows, 1000).rdd.getNumPartitions() == 1
