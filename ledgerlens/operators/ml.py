@@ -444,6 +444,15 @@ def prepare(df: DataFrame, cfg: MLConfig = MLConfig(), rows_per_part: int = 25_0
     return cut_lineage(train_df.coalesce(max(1, parts))), cut_lineage(test_df)
 
 
+def dealt(rows: DataFrame, rows_per_part: int = 100_000, key: str = "seq") -> DataFrame:
+    """``rows`` stored once and dealt out by ``key`` where they stand in fewer partitions than their number
+    asks for: a forest holds a partition's bagged rows as one block and reads it again for every group of nodes."""
+    from ledgerlens.session import cut_lineage
+    rows = cut_lineage(rows)
+    parts = -(-rows.count() // rows_per_part)
+    return rows if parts <= rows.rdd.getNumPartitions() else rows.repartition(parts, key)
+
+
 def evaluate(models: FraudModels, test: DataFrame) -> DataFrame:
     """Metrics on the test part: a row per model that ``models`` holds."""
     pred = models.transform(test)

@@ -105,6 +105,7 @@ def train_fraud_type(spark, sf_dir):
     tr, te = ML.stratified_split(d, label="fraud_type_label")
     feats = ["amount", "hour", "day_of_week", "is_weekend", "month", "balance_after", "balance_before", "anomaly_score_raw"]
     rf = RandomForestClassifier(labelCol="fraud_type_label", featuresCol="f", numTrees=50, maxDepth=8, seed=42)
+    tr = ML.dealt(tr.select("seq", "fraud_type_label", *feats))
     model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="f"), rf]).fit(tr)
     p = model.transform(te)
     return p.agg((F.avg((F.col("prediction") == F.col("fraud_type_label")).cast("double"))).alias("accuracy"),
