@@ -133,6 +133,19 @@ class CharMap:
             form[live[leaf]] = self.units[node[leaf]] & 0x7FFFFFFF
 
 
+def _offsets(raw: bytes) -> np.ndarray | None:
+    """For every byte where its character begins; None if ``raw`` is no UTF-8."""
+    at = np.arange(len(raw))
+    if raw.isascii():
+        return at
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return None
+    inside = np.frombuffer(raw, dtype=np.uint8) & 0xC0 == 0x80
+    return np.maximum.accumulate(np.where(inside, 0, at))
+
+
 class Normalizer:
     """Text -> (its normal form, the source offset of every byte of it and of its end)."""
 
@@ -175,6 +188,12 @@ class Normalizer:
         s = self.settings
         if not raw:
             return b"", np.zeros(1, dtype=np.int64)
+        if self.map is None and self.symbols is None:
+            source = _offsets(raw)
+            if source is not None:                    # every character is its own normal form
+                if s.trim_spaces and not raw.strip(b" "):
+                    return b"", np.full(1, len(raw), dtype=np.int64)
+                return self._trimmed(np.frombuffer(raw, dtype=np.uint8), source, len(raw) - len(raw.lstrip(b" ")), len(raw))
         start, width, form = self._units(raw)
         forms = {int(f): self.map.form(f) if f >= 0 else REPLACEMENT for f in np.unique(form[form != -1])}
         size = width.copy()
@@ -193,26 +212,29 @@ class Normalizer:
             if single.all():
                 return b"", np.full(1, len(raw), dtype=np.int64)
             lead = int(start[np.argmin(single)])
+        return self._trimmed(out, source, lead, len(raw))
+
+    def _trimmed(self, out: np.ndarray, source: np.ndarray, lead: int, end: int) -> tuple[bytes, np.ndarray]:
+        """Of a run of spaces the first stays, but before the text."""
+        text = out.tobytes()
+        if self.settings.trim_spaces and (b"  " in text or text.startswith(b" ")):
             space = out == 32
-            keep = ~space                             # of a run of spaces the first stays, but before the text
+            keep = ~space
             keep[1:] |= space[1:] & ~space[:-1]
-            out, source = out[keep], source[keep]
-        return self._marked(out, source, lead, len(raw))
+            text, source = out[keep].tobytes(), source[keep]
+        return self._marked(text, source, lead if self.settings.trim_spaces else 0, end)
 
-    def _marked(self, out: np.ndarray, source: np.ndarray, lead: int, end: int) -> tuple[bytes, np.ndarray]:
+    def _marked(self, text: bytes, source: np.ndarray, lead: int, end: int) -> tuple[bytes, np.ndarray]:
         """With the space before (or after) the text, and spaces as marks."""
         s = self.settings
-        mark = np.frombuffer(SPACE_MARK if s.mark_spaces else b" ", dtype=np.uint8)
+        mark = SPACE_MARK if s.mark_spaces else b" "
         if s.dummy_prefix and not s.mark_after:
-            out, source = np.insert(out, 0, 32), np.insert(source, 0, lead)
-        space = out == 32
-        times = np.where(space, len(mark), 1)
-        source = np.append(np.repeat(source, times), end)
-        at = (np.cumsum(times) - times)[space]
-        out = np.repeat(out, times)
-        for k, byte in enumerate(mark):
-            out[at + k] = byte
-        text, mark = out.tobytes(), mark.tobytes()
+            text, source = b" " + text, np.concatenate([[lead], source])
+        if len(mark) > 1:
+            times = np.ones(len(text), dtype=np.int64)
+            times[np.frombuffer(text, dtype=np.uint8) == 32] = len(mark)
+            text, source = text.replace(b" ", mark), np.repeat(source, times)
+        source = np.append(source, end)
         if s.trim_spaces:                             # marks that stood in the text go from its end, too
             size = len(text)
             while text.endswith(mark, 0, size):
@@ -262,6 +284,13 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
+def _id_lists(column: pa.Array) -> list[list[int]]:
+    """The lists of a column of ids, none for a null; all its values are turned into numbers at once."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    values = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    return [values[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``PART_BYTES`` (or one row)."""
     total, row = np.concatenate([[0], np.cumsum(sizes)]), 0
@@ -304,7 +333,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", decoded: str =
         for batch in batches:
             column = batch.column(len(others))
             for row, end in _parts(4 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)):
-                texts = processor.decode([x or [] for x in column[row:end].to_pylist()], num_threads=1)
+                texts = processor.decode(_id_lists(column[row:end]), num_threads=1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[row:end] for k in range(len(others))),
                                                   pa.array(texts, type=pa.string())], names=[*others, decoded])
     rows = encoded.select(*others, ids)

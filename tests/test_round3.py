@@ -63,3 +63,22 @@ def test_training_rows_are_dealt_by_their_number(spark):
     rows = spark.range(1000).withColumnRenamed("id", "seq").coalesce(1)
     assert ML.dealt(rows, 100).rdd.getNumPartitions() == 10 and ML.dealt(rows, 100).count() == 1000
     assert ML.dealt(rows, 1000).rdd.getNumPartitions() == 1
+
+
+def test_ids_are_read_without_a_python_object_for_each_list_element():
+    import pyarrow as pa
+    from ledgerlens.llm.pieces import _id_lists
+    column = pa.array([[9], [1, 2], None, [], [3]], type=pa.list_(pa.int32()))
+    assert _id_lists(column[1:]) == [[1, 2], [], [], [3]] and _id_lists(column[:0]) == []
+
+
+def test_plain_normal_form_equals_that_by_units(monkeypatch):
+    from ledgerlens.llm import pieces as P
+    texts = ["", " ", "   ", "a", " a  b ", "é  ü\n", "\u2581x \u2581", "日本 語 ", "a\tb  "]
+    for settings in (P.Settings(), P.Settings(trim_spaces=False), P.Settings(mark_after=True), P.Settings(dummy_prefix=False),
+                     P.Settings(mark_spaces=False)):
+        plain = [P.Normalizer(settings)(t.encode()) for t in texts]
+        with monkeypatch.context() as m:
+            m.setattr(P, "_offsets", lambda raw: None)
+            units = [P.Normalizer(settings)(t.encode()) for t in texts]
+        assert [(a, list(b)) for a, b in plain] == [(a, list(b)) for a, b in units]
