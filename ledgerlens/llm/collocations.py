@@ -117,8 +117,9 @@ def _batch(lang: pa.Array, n: int, phrase: pa.Array, key: np.ndarray, f: np.ndar
 COUNTS = "lang string, n int, phrase string, key long, f long"
 
 
-def combined(batches, rows: int = 300_000):
-    """Batches of counts with the counts of equal keys of about ``rows`` rows put together."""
+def combined(batches, rows: int = 150_000):
+    """Batches of counts with the counts of equal keys of about ``rows`` rows put together; what Arrow
+    keeps of the rows put together before is given back, as a task's memory counts with all others'."""
     held, n = [], 0
     for batch in batches:
         held.append(batch)
@@ -126,6 +127,7 @@ def combined(batches, rows: int = 300_000):
         if n >= rows:
             yield from _combined(held)
             held, n = [], 0
+            pa.default_memory_pool().release_unused()
     if n:
         yield from _combined(held)
 
