@@ -1,8 +1,8 @@
 """Exact grouped quantiles and modes that stay balanced when one group is huge.
 
 ``percentile`` and ``mode`` keep a map of every distinct value of a group in one
-reducer.  Here values are counted per (group, value) with partial aggregation, the
-counts are ranked inside (group, value range), and the ranges of a group are added up
+reducer, which is taken only for groups known to be small.  In others values are counted per
+(group, value) with partial aggregation, the counts are ranked inside (group, value range), and the ranges of a group are added up
 through one row each, so a group holding a third of all rows is spread over its ranges.
 """
 
@@ -13,6 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.windows import hot_groups
+
+#: Rows that a hash group may have for its groups to be gathered value by value.
+SMALL_ROWS = 100_000
 #: Value ranges per doubling of the absolute value.
 PER_DOUBLING = 16
 
@@ -32,7 +36,19 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: Column, wanted: M
     v = value.cast("double")
     if accuracy > 0:
         return df.groupBy(*by).agg(*[F.percentile_approx(v, q, accuracy).alias(n) for n, q in wanted.items()])
-    counts = (df.select(*by, v.alias("__v")).groupBy(*by, "__v").agg(F.count("__v").alias("__c"))
+    rows = df.select(*by, v.alias("__v"))
+    if not by:
+        return _by_ranges(rows, by, wanted)
+    # groups that cannot be large need no ranges: a task holds the values of one at a time
+    rows, groups = hot_groups(rows, by, SMALL_ROWS)
+    exact = [F.percentile("__v", F.lit(float(q))).alias(n) for n, q in wanted.items()]
+    few = rows.join(groups, "__group", "left_anti").groupBy(*by).agg(*exact)
+    return few.unionByName(_by_ranges(rows.join(groups, "__group", "left_semi").drop("__group"), by, wanted))
+
+
+def _by_ranges(rows: DataFrame, by: list[str], wanted: Mapping[str, float]) -> DataFrame:
+    """The quantiles of ``__v`` through value ranges."""
+    counts = (rows.groupBy(*by, "__v").agg(F.count("__v").alias("__c"))
               .withColumn("__r", F.when(F.col("__v").isNotNull(), value_range(F.col("__v")))))
     ranges = counts.groupBy(*by, "__r").agg(F.sum("__c").alias("__n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))           # one row per range

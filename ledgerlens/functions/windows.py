@@ -18,8 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET = "__bkt"
+# (keys, bucket) as one value that is never null, so that rows with null keys meet in a plain join and
+# the rows stay where the window over it has put them
+_PLACE = "__place"
 HOT_ROWS = 1_000_000       # of one (key, bucket) before it is cut again
 CUTS = 64                  # boundaries on time and on the tie column of such a bucket
+HASH_GROUPS = 1 << 16      # of keys: counted first, to find those that can hold a hot key
 NO_TIME = (1 << 62)        # after every time bucket: rows without a time come last, in tie order
 
 
@@ -29,6 +33,16 @@ def time_bucket(ts: Column | str, seconds: int) -> Column:
     return F.coalesce(F.floor(F.unix_micros(c) / F.lit(int(seconds) * 1_000_000)).cast("long"), F.lit(NO_TIME))
 
 
+def hot_groups(df: DataFrame, keys: Sequence[str], rows: int, out: str = "__group") -> tuple[DataFrame, DataFrame]:
+    """(``df`` with the hash group ``out`` of its ``keys``, the groups of more than ``rows`` rows, for a broadcast).
+
+    A key of more rows makes its group hot, so keys need counting one by one only in the groups returned,
+    and all others have at most ``rows`` rows; nothing but one row per group and task is shuffled."""
+    d = df.withColumn(out, F.pmod(F.xxhash64(*keys), F.lit(HASH_GROUPS)))
+    groups = d.groupBy(out).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > rows).select(out)
+    return d, F.broadcast(groups)          # at most HASH_GROUPS rows
+
+
 def ordered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket: Column,
             hot_rows: int | None = None) -> DataFrame:
     """``df`` with ``_BUCKET``: a struct that rises with ``bucket`` and, inside a bucket of more
@@ -38,15 +52,18 @@ def ordered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket: Colum
     bucket (one row per hot bucket; no row at all where none is hot).  With t boundaries below a
     row's time, the row stands in part 2t, or in part 2t + 1 where its time is the next boundary
     itself; such rows are parted again by the boundaries of the tie column at or below theirs."""
+    hot = HOT_ROWS if hot_rows is None else hot_rows
     d = df.withColumn("__day", bucket)
     us = F.unix_micros(F.col(ts))
-    sizes = d.groupBy(*keys, "__day").agg(F.count(F.lit(1)).alias("__n")).where(
-        F.col("__n") > (HOT_ROWS if hot_rows is None else hot_rows))
+    narrow, groups = hot_groups(d.select(*keys, "__day", us.alias("__us"), F.col(tie).cast("double").alias("__tie")),
+                                [*keys, "__day"], hot)
+    narrow = narrow.join(groups, "__group", "left_semi")
+    sizes = narrow.groupBy(*keys, "__day").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot)
     shares = [i / CUTS for i in range(1, CUTS)]
-    cuts = (_same(d.select(*keys, "__day", us.alias("__us"), F.col(tie).cast("double").alias("__tie")),
-                  sizes.select(*keys, "__day"), [*keys, "__day"], "left_semi")
-            .groupBy(*keys, "__day").agg(F.percentile_approx("__us", shares, 1000).alias("__t"),
-                                         F.percentile_approx("__tie", shares, 1000).alias("__s")))
+    # one row for more than ``hot`` rows of the table, so both are small beside it
+    cuts = F.broadcast(_same(narrow, F.broadcast(sizes.select(*keys, "__day")), [*keys, "__day"], "left_semi")
+                       .groupBy(*keys, "__day").agg(F.percentile_approx("__us", shares, 1000).alias("__t"),
+                                                    F.percentile_approx("__tie", shares, 1000).alias("__s")))
     d = _same(d, cuts, [*keys, "__day"], "left")
     below = F.size(F.filter("__t", lambda x: x < us))
     at_cut = F.coalesce(F.array_contains("__t", us), F.lit(False))
@@ -79,17 +96,17 @@ def bucketed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
     d = df.withColumn("__v", v)
     if bucket_col is None:
         d = ordered(d, keys, ts, tie, time_bucket(ts, bucket_seconds))
-    w_local = (Window.partitionBy(*keys, b).orderBy(F.col(ts), F.col(tie))
+    w_local = (Window.partitionBy(_PLACE).orderBy(F.col(ts), F.col(tie))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("__local", F.sum("__v").over(w_local))
     totals = d.groupBy(*keys, b).agg(F.sum("__v").alias("__bt"))
     w_b = (Window.partitionBy(*keys).orderBy(b)
            .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, b, F.coalesce(F.sum("__bt").over(w_b), F.lit(0)).alias("__off"))
-    res = _same(d, offsets, [*keys, b], "left")
-    res = res.withColumn(out, F.col("__local") + F.col("__off"))
-    drop = ["__v", "__local", "__off"] + ([] if bucket_col else [b])
-    return res.drop(*drop)
+    offsets = totals.select(F.struct(*keys, b).alias(_PLACE), F.coalesce(F.sum("__bt").over(w_b), F.lit(0)).alias("__off"))
+    d = d.withColumn(_PLACE, F.struct(*keys, b))
+    if not bucket_col:
+        d = d.drop(b)
+    res = d.withColumn("__local", F.sum("__v").over(w_local)).join(offsets, _PLACE, "left")
+    return res.withColumn(out, F.col("__local") + F.col("__off")).drop(_PLACE, "__v", "__local", "__off")
 
 
 def bucketed_prev(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
@@ -102,18 +119,17 @@ def bucketed_prev(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
     payload = F.struct(*[F.col(c).alias(c) for c in cols])
     b = time_bucket(ts, bucket_seconds) if bucket is None else bucket
     d = ordered(df, keys, ts, tie, b) if bucket is None else df.withColumn(_BUCKET, b)
-    d = d.withColumn("__p", payload)
-    w_local = Window.partitionBy(*keys, _BUCKET).orderBy(F.col(ts), F.col(tie))
-    d = d.withColumn("__lp", F.lag("__p").over(w_local))
     last = (d.groupBy(*keys, _BUCKET)
-            .agg(F.max_by("__p", F.struct(F.col(ts), F.col(tie))).alias("__last")))
+            .agg(F.max_by(payload, F.struct(F.col(ts), F.col(tie))).alias("__last")))
     w_b = Window.partitionBy(*keys).orderBy(_BUCKET)
-    last = last.select(*keys, _BUCKET, F.lag("__last").over(w_b).alias("__bp"))
-    res = _same(d, last, [*keys, _BUCKET], "left")
-    res = res.withColumn("__prev", F.coalesce(F.col("__lp"), F.col("__bp")))
+    last = last.select(F.struct(*keys, _BUCKET).alias(_PLACE), F.lag("__last").over(w_b).alias("__bp"))
+    w_local = Window.partitionBy(_PLACE).orderBy(F.col(ts), F.col(tie))
+    res = (d.withColumn(_PLACE, F.struct(*keys, _BUCKET)).drop(_BUCKET)
+           .withColumns({"__nth": F.row_number().over(w_local), **{prefix + c: F.lag(c).over(w_local) for c in cols}})
+           .join(last, _PLACE, "left"))
     for c in cols:
-        res = res.withColumn(prefix + c, F.col("__prev")[c])
-    return res.drop(_BUCKET, "__p", "__lp", "__bp", "__prev")
+        res = res.withColumn(prefix + c, F.when(F.col("__nth") == 1, F.col("__bp")[c]).otherwise(F.col(prefix + c)))
+    return res.drop(_PLACE, "__nth", "__bp")
 
 
 def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
@@ -126,37 +142,50 @@ def range_count(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
 
 
 def range_sums(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, before_us: int, after_us: int,
-               weights: Mapping[str, Column], bucket_seconds: int = 86400, probe: Column | None = None) -> DataFrame:
+               weights: Mapping[str, Column], bucket_seconds: int = 86400, probe: Column | None = None,
+               hot_rows: int | None = None) -> DataFrame:
     """Exact sums of ``weights`` over the rows of the same ``keys`` whose
     ts lies in ``[ts - before_us, ts + after_us]`` (inclusive), for the rows
     where ``probe`` holds.  Returns ``keys + [row_id] + names of weights``.
 
     Each row is placed in its own time bucket and, as context only, in the
     neighbouring buckets whose rows can reach it (a small fraction when the
-    bucket is wider than the window).  Rows of equal time are summed up first.  Inside ``(keys, bucket)`` partitions the
+    bucket is wider than the window).  Inside ``(keys, bucket)`` partitions the
     sum is the difference of two growing RANGE frames (incremental, no
-    sliding re-aggregation, no pairwise join, no per-account partition)."""
+    sliding re-aggregation, no pairwise join, no per-account partition).  Where a bucket may hold
+    more than ``hot_rows`` rows (see ``hot_groups``), rows of equal time are summed up first."""
     keys, names = list(keys), list(weights)
     width = max(int(bucket_seconds) * 1_000_000, before_us + after_us + 1)
     t = F.unix_micros(F.col(ts))
     pr = F.lit(True) if probe is None else probe
     rows = df.select(*keys, F.col(row_id), t.alias("__t"), *[w.alias(f"__w_{n}") for n, w in weights.items()],
                      pr.alias("__probe")).where(F.col("__t").isNotNull())
-    # rows of one time are one row here, however many there are
-    d = rows.groupBy(*keys, "__t").agg(*[F.sum(f"__w_{n}").alias(f"__w_{n}") for n in names], F.max("__probe").alias("__probe"))
-    own = F.floor(F.col("__t") / F.lit(width)).cast("long")
+    total = rows.agg(*[F.sum(f"__w_{n}").alias(f"__w_{n}") for n in names]).schema
+    rows = rows.withColumns({f"__w_{n}": F.col(f"__w_{n}").cast(total[f"__w_{n}"].dataType) for n in names})
     lo = F.floor((F.col("__t") - F.lit(after_us)) / F.lit(width)).cast("long")
     hi = F.floor((F.col("__t") + F.lit(before_us)) / F.lit(width)).cast("long")
-    d = d.withColumn("__own", own).withColumn(_BUCKET, F.explode(F.sequence(lo, hi)))
+    own = F.floor(F.col("__t") / F.lit(width)).cast("long") == F.col(_BUCKET)
+    placed, groups = hot_groups(rows.withColumn(_BUCKET, F.explode(F.sequence(lo, hi))), [*keys, _BUCKET],
+                                HOT_ROWS if hot_rows is None else hot_rows)
+    hot = placed.join(groups, "__group", "left_semi")
     win = Window.partitionBy(*keys, _BUCKET).orderBy("__t")
-    sums = {}
-    for n in names:
-        upto_hi = F.sum(f"__w_{n}").over(win.rangeBetween(Window.unboundedPreceding, after_us))
-        below_lo = F.sum(f"__w_{n}").over(win.rangeBetween(Window.unboundedPreceding, -before_us - 1))
-        sums[n] = upto_hi - F.coalesce(below_lo, F.lit(0).cast(d.schema[f"__w_{n}"].dataType))
-    r = (d.withColumns(sums)
-         .where((F.col(_BUCKET) == F.col("__own")) & F.col("__probe")).select(*keys, "__t", *names))
-    return _same(rows.where("__probe"), r, [*keys, "__t"], "inner").select(*keys, row_id, *names)
+
+    def summed(d: DataFrame) -> DataFrame:
+        sums = {}
+        for n in names:
+            upto_hi = F.sum(f"__w_{n}").over(win.rangeBetween(Window.unboundedPreceding, after_us))
+            below_lo = F.sum(f"__w_{n}").over(win.rangeBetween(Window.unboundedPreceding, -before_us - 1))
+            sums[n] = upto_hi - F.coalesce(below_lo, F.lit(0).cast(d.schema[f"__w_{n}"].dataType))
+        return d.withColumns(sums).where(own & F.col("__probe"))
+    # rows of one time are one row here, however many there are
+    times = hot.groupBy(*keys, "__t", _BUCKET).agg(*[F.sum(f"__w_{n}").alias(f"__w_{n}") for n in names],
+                                                   F.max("__probe").alias("__probe"))
+    many = _same(hot.where(own & F.col("__probe")).select(*keys, row_id, "__t"),
+                 summed(times).select(*keys, "__t", *names), [*keys, "__t"], "inner")
+    few = summed(placed.join(groups, "__group", "left_anti"))
+    types = summed(times).schema
+    return (few.select(*keys, row_id, *[F.col(n).cast(types[n].dataType).alias(n) for n in names])
+            .unionByName(many.select(*keys, row_id, *names)))
 
 
 def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_us: int, out: str,
@@ -169,7 +198,8 @@ def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap
     keys = list(keys)
     us = F.unix_micros(F.col(ts))
     d = ordered(df.withColumn("__us", us), keys, ts, tie, time_bucket(ts, bucket_seconds))
-    w = Window.partitionBy(*keys, _BUCKET).orderBy(F.col(ts), F.col(tie))
+    d = d.withColumn(_PLACE, F.struct(*keys, _BUCKET))
+    w = Window.partitionBy(_PLACE).orderBy(F.col(ts), F.col(tie))
     prev = F.lag("__us").over(w)
     d = d.withColumn("__new", F.when(prev.isNotNull() & (F.col("__us") - prev > gap_us), 1).otherwise(0))
     d = d.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -180,9 +210,9 @@ def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap
     summ = summ.withColumn("__fnew", F.when(plast.isNotNull() & (F.col("__first") - plast > gap_us), 1).otherwise(0))
     summ = summ.withColumn("__off", F.coalesce(F.sum(F.col("__internal") + F.col("__fnew")).over(
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = _same(d, summ.select(*keys, _BUCKET, "__fnew", "__off"), [*keys, _BUCKET], "inner")
+    r = d.join(summ.select(F.struct(*keys, _BUCKET).alias(_PLACE), "__fnew", "__off"), _PLACE)
     r = r.withColumn(out, (F.lit(1) + F.col("__off") + F.col("__fnew") + F.col("__run")).cast("int"))
-    return r.drop("__us", _BUCKET, "__new", "__run", "__fnew", "__off")
+    return r.drop("__us", _PLACE, _BUCKET, "__new", "__run", "__fnew", "__off")
 
 
 def carried(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],

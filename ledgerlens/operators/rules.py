@@ -291,20 +291,15 @@ def side_tables(p: DataFrame, cfg: Config, wanted: set[str]) -> list[tuple[DataF
     return sides
 
 
-def row_side(p: DataFrame, cfg: Config, wanted: set[str], extra: list[DataFrame] = ()) -> DataFrame | None:
-    """(account, seq)-keyed side results merged narrow-to-narrow first, so
-    the wide transaction rows are shuffled for them only once."""
+def row_sides(p: DataFrame, cfg: Config, wanted: set[str], extra: list[DataFrame] = ()) -> list[tuple[DataFrame, list[str]]]:
+    """(account, seq)-keyed side results; left joins one after the other keep the rows where the
+    first has put them, so the wide transaction rows are shuffled for them only once."""
     parts = list(extra)
     if "RAPID_TRANSACTION" in wanted:
         parts.append(rapid_counts(p, cfg))
     if "REPEATED_TRANSACTION" in wanted:
         parts.append(repeated_counts(p, cfg))
-    if not parts:
-        return None
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.join(x, [ACC, "seq"], "full")
-    return out
+    return [(x, [ACC, "seq"]) for x in parts]
 
 
 def flag_columns(cfg: Config, wanted: set[str]) -> dict:
@@ -323,11 +318,9 @@ def evaluate(df: DataFrame, cfg: Config = Config(), rules: tuple[str, ...] | Non
     wanted = set(rules or cfg.rule_names)
     p = df if prepared else prepare(df, cfg)
     out = p if prepared else joined_as(p, df.columns)
-    for side, keys in side_tables(p, cfg, wanted):
+    # the row sides first: they add least to what later joins shuffle
+    for side, keys in [*row_sides(p, cfg, wanted, list(extra_row_sides)), *side_tables(p, cfg, wanted)]:
         out = out.join(side, keys, "left")
-    rs = row_side(p, cfg, wanted, list(extra_row_sides))
-    if rs is not None:
-        out = out.join(rs, [ACC, "seq"], "left")
     return (out if prepared else prepare(out, cfg)).withColumns(flag_columns(cfg, wanted))
 
 

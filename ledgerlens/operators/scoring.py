@@ -202,8 +202,8 @@ def score_transactions(df: DataFrame, cfg: Config = Config(), models=None,
     One base frame (row-local features + rule keys); every aggregate is
     derived from it and joined back once: amount stats and channel medians as one
     table on (account, channel) (small, broadcast by AQE when its measured size allows),
-    daily stats on (account, date), and one merged (account, seq) table for bursts, repeats
-    and velocity.  The joins carry the columns that the rows came with; the row-local
+    daily stats on (account, date).  Bursts, repeats and velocity are joined on (account, seq) one
+    after the other, which shuffles the rows once, and first, while they are narrow.  The joins carry the columns that the rows came with; the row-local
     features are derived behind them.  ``by=()`` takes the whole table as one statement."""
     if not by:
         return as_one_statement(df, lambda d: score_transactions(d, cfg, models))
@@ -215,11 +215,11 @@ def score_transactions(df: DataFrame, cfg: Config = Config(), models=None,
     stats = base.select(*by, "channel").distinct().join(FE.amount_stats(base, cfg, by), list(by), "left")
     for side, keys in [s for s in sides if "channel" in s[1]]:
         stats = stats.join(side, keys, "left")
-    for side, keys in [(stats, [*by, "channel"]), *[s for s in sides if "channel" not in s[1]]]:
-        out = out.join(side, keys, "left")
     vel = (velocity_table(base, cfg, by) if "velocity_score" not in df.columns else None)
-    rs = R.row_side(base, cfg, wanted, [vel] if vel is not None else [])
-    out = R.prepare(FE.row_features(out.join(rs, [*by, "seq"], "left"), cfg), cfg).withColumn("is_large_amount", FE.large_flag())
+    rows = R.row_sides(base, cfg, wanted, [vel] if vel is not None else [])
+    for side, keys in [*rows, (stats, [*by, "channel"]), *[s for s in sides if "channel" not in s[1]]]:
+        out = out.join(side, keys, "left")
+    out = R.prepare(FE.row_features(out, cfg), cfg).withColumn("is_large_amount", FE.large_flag())
     if vel is None:
         out = given_velocity(out, by)
     out = R.with_rule_arrays(out.withColumns(R.flag_columns(cfg, wanted)), cfg)

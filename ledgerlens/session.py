@@ -152,7 +152,7 @@ def materialized(spark: SparkSession, name: str, inputs, build, key_extra: str =
     key = f"{name}-{_fingerprint(spark, list(inputs))}-{own}"
     path = os.path.join(checkpoint_dir(spark), "ledgerlens-tables", key)
     if not _exists(spark, path.rstrip("/") + "/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -62,19 +62,23 @@ def txn_from_events(events: DataFrame, cfg: Config = Config()) -> DataFrame:
     merchant = F.concat(F.lit("M"), F.get_json_object("props", "$.k"))
     d = events.select(
         F.col("user_id").alias("account_id"),
-        F.col("event_id").cast("string").alias("txn_id"),
         F.col("event_id").alias("seq"),
         ts.alias("ts"),
-        F.to_date(ts).alias("date"),
-        F.date_format(ts, "HH:mm:ss").alias("time"),
         F.when(F.col("event_type") == "signup", "Credit").otherwise("Debit").alias("debit_credit"),
         F.round(F.col("value") * 100).cast(MONEY).alias("amount"),
-        mode.alias("transaction_type"),
-        mode.alias("mode"),
-        merchant.alias("merchant"),
-        F.concat(mode, F.lit("/"), merchant).alias("narration"),
+        "event_type", "props",
     )
-    return with_balance(d, bucket_seconds=cfg.time_bucket_seconds).select(*CANON)
+    # what else a row is derived from itself is derived behind the balance, so that it is not shuffled for it
+    d = with_balance(d, bucket_seconds=cfg.time_bucket_seconds)
+    return d.withColumns({
+        "txn_id": F.col("seq").cast("string"),
+        "date": F.to_date("ts"),
+        "time": F.date_format("ts", "HH:mm:ss"),
+        "transaction_type": mode,
+        "mode": mode,
+        "merchant": merchant,
+        "narration": F.concat(mode, F.lit("/"), merchant),
+    }).select(*CANON)
 
 
 def _src(sf_dir: str, *names: str) -> list[str]:
