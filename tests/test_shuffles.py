@@ -71,3 +71,19 @@ def test_quantiles_agree_in_large_and_in_small_groups(spark, monkeypatch):
     monkeypatch.setattr(Q, "SMALL_ROWS", 0)
     large = {r.g: r for r in Q.grouped_quantiles(df, ["g"], F.col("v"), wanted).collect()}
     assert set(small) == {"a", "b", None, "empty"} and small == large
+
+
+def test_training_parts_follow_cores_and_rows():
+    from ledgerlens.operators import ml as ML
+    assert [ML.training_parts(n, 12) for n in (0, 9_000, 80_000, 4_800_000, 28_800_000)] == [1, 1, 8, 24, 144]
+
+
+def test_the_training_set_is_dealt_evenly_and_the_forest_keeps_its_place(spark):
+    from ledgerlens.operators import ml as ML
+    rows = spark.range(3000).select(F.col("id").alias("seq"), (F.col("id") % 10 == 0).cast("int").alias(ML.LABEL),
+                                    *[(F.col("id") * (i + 7) % 101).cast("double").alias(c) for i, c in enumerate(ML.FEATURE_COLS)])
+    train, test = ML.prepare(rows.coalesce(1), rows_per_part=500)
+    sizes = train.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert len(sizes) == 5 and sum(sizes) == 2400 and max(sizes) < 600 and test.count() == 600
+    rf = ML.train_rf(train, ML.MLConfig(rf_trees=3, rf_depth=3))
+    assert rf.stages[-1].getCacheNodeIds()
