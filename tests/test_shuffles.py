@@ -87,3 +87,21 @@ def test_the_training_set_is_dealt_evenly_and_the_forest_keeps_its_place(spark):
     assert len(sizes) == 5 and sum(sizes) == 2400 and max(sizes) < 600 and test.count() == 600
     rf = ML.train_rf(train, ML.MLConfig(rf_trees=3, rf_depth=3))
     assert rf.stages[-1].getCacheNodeIds()
+
+
+def test_the_test_part_is_scored_once(spark):
+    from ledgerlens.operators import ml as ML
+    cfg = ML.MLConfig(rf_trees=3, rf_depth=3, iso_trees=5)
+    rows = spark.range(2000).select(F.col("id").alias("seq"), (F.col("id") % 10 == 0).cast("int").alias(ML.LABEL),
+                                    *[(F.col("id") * (i + 7) % 101).cast("double").alias(c) for i, c in enumerate(ML.FEATURE_COLS)])
+    train, test = ML.prepare(rows, cfg)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(y):
+        seen.add(1)
+        return y
+    metrics = ML.evaluate(ML.FraudModels(rf=ML.train_rf(train, cfg), iso=ML.fit_isolation(train, cfg), cfg=cfg),
+                          test.withColumn(ML.LABEL, counted.asNondeterministic()(ML.LABEL)))
+    assert {r.model: r.tp + r.fp + r.fn + r.tn for r in metrics.collect()} == {"random_forest": 400, "isolation_forest": 400}
+    assert seen.value == 400
