@@ -8,11 +8,15 @@ together through a small per-bucket summary (one row per account and bucket).
 A bucket that holds more than ``HOT_ROWS`` rows (one account, one day; or one
 midnight that all rows share) is cut once more, at equi-depth boundaries on time
 and, at times that are boundaries themselves, on the tie column; see ``ordered``.
+
+Where an account has few rows, its buckets are as many as its rows and a summary of them costs as much as
+the rows themselves.  Accounts of at most ``GROUP_ROWS`` rows are therefore gone through in one window
+each, and only the larger ones in buckets; see ``by_size``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +28,7 @@ _PLACE = "__place"
 HOT_ROWS = 1_000_000       # of one (key, bucket) before it is cut again
 CUTS = 64                  # boundaries on time and on the tie column of such a bucket
 HASH_GROUPS = 1 << 16      # of keys: counted first, to find those that can hold a hot key
+GROUP_ROWS = 50_000        # of one key, up to which one window takes all its rows
 NO_TIME = (1 << 62)        # after every time bucket: rows without a time come last, in tie order
 
 
@@ -43,6 +48,26 @@ def hot_groups(df: DataFrame, keys: Sequence[str], rows: int, out: str = "__grou
     return d, F.broadcast(groups)          # at most HASH_GROUPS rows
 
 
+def large_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """The ``keys`` of more than ``rows`` rows, counted one by one in their hash groups only."""
+    d, groups = hot_groups(df.select(*keys), keys, rows)
+    sizes = d.join(groups, "__group", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return sizes.where(F.col("__rows") > rows).select(*keys)
+
+
+def by_size(df: DataFrame, keys: Sequence[str], large: DataFrame, whole: Callable[[DataFrame], DataFrame],
+            bucketed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``bucketed`` of the rows whose ``keys`` are in ``large`` and ``whole`` of all others, the same columns.
+
+    Whether there are any large keys is counted at once, so that the plan of a table without them has one part."""
+    keys = list(keys)
+    if large.isEmpty():
+        return whole(df)
+    few = F.broadcast(large)            # each stands for many rows of the table
+    rest = whole(_same(df, few, keys, "left_anti"))
+    return bucketed(_same(df, few, keys, "left_semi")).unionByName(rest)
+
+
 def ordered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket: Column,
             hot_rows: int | None = None) -> DataFrame:
     """``df`` with ``_BUCKET``: a struct that rises with ``bucket`` and, inside a bucket of more
@@ -82,7 +107,7 @@ def _same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> Dat
     for c in on:
         cond = cond & F.col(c).eqNullSafe(F.col(f"__o_{c}"))
     out = left.join(named, cond, how)
-    return out if how == "left_semi" else out.drop(*[f"__o_{c}" for c in on])
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__o_{c}" for c in on])
 
 
 def bucketed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
@@ -91,6 +116,24 @@ def bucketed_running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str,
     """``out`` = sum of ``value`` over all rows of the same ``keys`` whose
     ``(ts, tie)`` is <= the current row's (inclusive running sum)."""
     keys = list(keys)
+    if bucket_col is not None or not keys:
+        return _running_sum_in_buckets(df, keys, ts, tie, value, out, bucket_seconds, bucket_col)
+    bucketed = lambda d: _running_sum_in_buckets(d, keys, ts, tie, value, out, bucket_seconds)
+    as_type = bucketed(df).schema[out].dataType
+
+    def whole(d: DataFrame) -> DataFrame:
+        v = F.col(value) if isinstance(value, str) else value
+        d = d.withColumns({"__v": v, "__day": time_bucket(ts, bucket_seconds), _PLACE: F.struct(*keys)})
+        upto = Window.partitionBy(_PLACE).orderBy("__day", ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # a bucket's rows before its first number have none
+        here = Window.partitionBy(_PLACE, "__day").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        d = d.withColumn(out, F.sum("__v").over(upto)).withColumn("__seen", F.count("__v").over(here))
+        return d.withColumn(out, F.when(F.col("__seen") > 0, F.col(out)).cast(as_type)).drop("__v", "__day", _PLACE, "__seen")
+    return by_size(df, keys, large_keys(df, keys, GROUP_ROWS), whole, bucketed)
+
+
+def _running_sum_in_buckets(df: DataFrame, keys: list[str], ts: str, tie: str, value: Column | str, out: str,
+                            bucket_seconds: int, bucket_col: str | None = None) -> DataFrame:
     v = F.col(value) if isinstance(value, str) else value
     b = bucket_col or _BUCKET
     d = df.withColumn("__v", v)

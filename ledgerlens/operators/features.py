@@ -136,11 +136,15 @@ def provided(df: DataFrame, name: str) -> Column:
 def amount_stats(rows: DataFrame, cfg: Config = Config(), by: Sequence[str] = ACC) -> DataFrame:
     """Per group: p95 (large-amount feature), mean and population std
     (spending-deviation score)."""
-    moments = rows.groupBy(*by).agg(F.avg("amount_f").alias("amount_mean"), F.stddev_pop("amount_f").alias("amount_std_pop"))
+    moments = amount_moments(rows, by)
     p95 = grouped_quantiles(rows, by, F.col("amount_f"), {"amount_p95": 0.95}, cfg.quantile_accuracy)
     return join_groups(moments, p95, by)
 
 
+def amount_moments(rows: DataFrame, by: Sequence[str] = ACC) -> DataFrame:
+    return rows.groupBy(*by).agg(F.avg("amount_f").alias("amount_mean"), F.stddev_pop("amount_f").alias("amount_std_pop"))
+
+
 def large_flag() -> Column:
     return F.coalesce(F.col("amount_f") > F.col("amount_p95"), F.lit(False)).cast("int")
 

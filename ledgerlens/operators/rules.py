@@ -75,10 +75,35 @@ def daily_stats(p: DataFrame, cfg: Config = Config()) -> DataFrame:
         "n_days": F.count(F.lit(1)).over(w),
         "median_day": F.median(F.col("day_total").cast("double")).over(w),
     })
+    return day.withColumn("spike_day", spike_day(cfg))
+
+
+DAILY = ("day_total", "day_withdrawals", "day_opening", "n_days", "median_day", "spike_day")
+
+
+def daily_stats_in(p: DataFrame, by: Sequence[str], dated: Column, cfg: Config = Config()) -> DataFrame:
+    """``p`` with the ``DAILY`` columns of ``daily_stats`` where ``dated`` holds, by windows inside the account; reads ``__us``."""
+    day = Window.partitionBy(*by, "date")
+    d = p.withColumns({
+        "day_total": F.coalesce(F.sum("amount").over(day), F.lit(0)),
+        "day_withdrawals": F.count(F.when(F.col("is_withdrawal"), 1)).over(day),
+        "day_opening": F.min_by("balance", F.when(F.col("balance").isNotNull(), F.struct("ts", "seq"))).over(day),
+        "__first": dated & (F.row_number().over(day.orderBy("__us")) == 1),       # one row for each day
+    })
+    w = Window.partitionBy(*by)
+    d = d.withColumns({
+        "n_days": F.count(F.when(F.col("__first"), 1)).over(w),
+        "median_day": F.median(F.when(F.col("__first"), F.col("day_total").cast("double"))).over(w),
+    })
+    d = d.withColumn("spike_day", spike_day(cfg))
+    return d.withColumns({n: F.when(dated, F.col(n)) for n in DAILY}).drop("__first")
+
+
+def spike_day(cfg: Config) -> Column:
     spike = ((F.col("n_days") >= cfg.spike_min_days)
              & (F.col("day_total") > F.lit(cfg.spike_multiplier) * F.col("median_day"))
              & (F.col("day_total") > F.lit(cfg.spike_floor)))
-    return day.withColumn("spike_day", F.coalesce(spike, F.lit(False)))
+    return F.coalesce(spike, F.lit(False))
 
 
 def spike_reason(cfg: Config) -> Column:
@@ -135,12 +160,24 @@ def late_night_reason(cfg: Config) -> Column:
 def rapid_counts(p: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(account, seq, rapid_count): rows within +/- half the window (inclusive),
     itself included; only rows with a time of day."""
-    half_us = int(cfg.rapid_window_minutes * 60 * 1_000_000 / 2)
+    half_us = _rapid_reach(cfg)
     timed = p.where(F.length(C.safe_str("time")) > 0)
     return range_count(timed, [ACC], "ts", "seq", half_us, half_us, "rapid_count",
                        bucket_seconds=cfg.time_bucket_seconds)
 
 
+def _rapid_reach(cfg: Config) -> int:
+    return int(cfg.rapid_window_minutes * 60 * 1_000_000 / 2)
+
+
+def rapid_counts_in(account, cfg: Config = Config()) -> tuple[Column, Column]:
+    """The count of ``rapid_counts`` as two growing frames over the window ``account``, and the rows that have one; reads ``__us``."""
+    reach, near = _rapid_reach(cfg), account.orderBy("__us")
+    has = (F.length(C.safe_str("time")) > 0) & F.col("__us").isNotNull()
+    n = lambda upto: F.count(F.when(has, 1)).over(near.rangeBetween(Window.unboundedPreceding, upto))
+    return n(reach) - n(-reach - 1), has
+
+
 def rapid_flag(cfg: Config) -> Column:
     return F.coalesce(F.col("rapid_count") >= cfg.rapid_burst_threshold, F.lit(False))
 
@@ -189,9 +226,7 @@ def repeated_counts(p: DataFrame, cfg: Config = Config(), dense_rows: int = DENS
     tol = float(cfg.repeated_tolerance)
     if tol < 0:
         raise ValueError("repeated_tolerance cannot be negative")
-    base = (p.where(F.col("ts").isNotNull() & F.col("amount").isNotNull()
-                    & F.col(key).isNotNull() & (F.col(key) != "")
-                    & ~F.isnan(F.col("amount").cast("double")) & (F.abs(F.col("amount").cast("double")) < float("inf")))
+    base = (p.where(_can_repeat(key))
             .select(ACC, F.col(key).alias("__key"), "seq",
                     F.unix_micros("ts").alias("__t"), F.col("amount").cast("double").alias("__a")))
     cells = base.groupBy(ACC, "__key", "__t", "__a").agg(F.count(F.lit(1)).alias("__n"))
@@ -227,10 +262,7 @@ def repeated_counts(p: DataFrame, cfg: Config = Config(), dense_rows: int = DENS
     probe = (cells.withColumn("__at", F.explode(times)).withColumn("__to", F.explode(to))
              .select(ACC, "__key", "__t", "__a", F.col("__at").alias("__tb"), F.col("__to").alias("__ab")))
     cell = [ACC, "__key", "__tb", "__ab"]
-    ok = ((F.abs(F.col("__t") - F.col("__tj")) <= w_us)
-          & F.when(F.col("__a") != 0,
-                   F.abs(F.col("__a") - F.col("__aj")) / F.abs(F.col("__a")) <= F.lit(tol))
-          .otherwise(F.col("__aj") == 0))
+    ok = (F.abs(F.col("__t") - F.col("__tj")) <= w_us) & _alike(F.col("__a"), F.col("__aj"), tol)
     per_row = [ACC, "__key", "__t", "__a"]
     # rows bound distinct rows: where no cell has so many, the plan stays the plain join
     if base.withColumns({"__tb": tb, "__ab": ab}).groupBy(*cell).count().where(F.col("count") > dense_rows).isEmpty():
@@ -249,6 +281,28 @@ def repeated_counts(p: DataFrame, cfg: Config = Config(), dense_rows: int = DENS
     return _partners(base, pairs.select(*per_row, "__nj").unionByName(counted.select(*per_row, "__nj")))
 
 
+def _can_repeat(key: str) -> Column:
+    a = F.col("amount").cast("double")
+    return (F.col("ts").isNotNull() & F.col("amount").isNotNull() & F.col(key).isNotNull() & (F.col(key) != "")
+            & ~F.isnan(a) & (F.abs(a) < float("inf")))
+
+
+def _alike(a: Column, other: Column, tol: float) -> Column:
+    return F.when(a != 0, F.abs(a - other) / F.abs(a) <= F.lit(tol)).otherwise(other == 0)
+
+
+def repeated_counts_in(by: Sequence[str], cfg: Config = Config()) -> tuple[Column, Column]:
+    """The count of ``repeated_counts`` from the amounts of a row's time window, and the rows that have one; for
+    accounts with few rows of a key, as each row meets all of its window.  Reads ``__us`` and ``__a``."""
+    if cfg.repeated_tolerance < 0:
+        raise ValueError("repeated_tolerance cannot be negative")
+    has, w_us = _can_repeat(cfg.repeated_key), int(cfg.repeated_window_hours * 3600 * 1_000_000)
+    near = Window.partitionBy(*by, cfg.repeated_key).orderBy("__us").rangeBetween(-w_us, w_us)
+    amounts = F.collect_list(F.when(has, F.col("__a"))).over(near)
+    alike = F.size(F.filter(amounts, lambda x: _alike(F.col("__a"), x, float(cfg.repeated_tolerance))))
+    return alike.cast("long") - 1, has
+
+
 def _partners(base: DataFrame, counts: DataFrame) -> DataFrame:
     """The counts of all cells added up, without the row itself."""
     per_row = [ACC, "__key", "__t", "__a"]

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import Config
 from ledgerlens.functions import columns as C
 from ledgerlens.functions.scope import as_one_statement
-from ledgerlens.functions.windows import bucketed_prev
+from ledgerlens.functions.windows import GROUP_ROWS, bucketed_prev, by_size, large_keys, time_bucket
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import rules as R
 
@@ -195,19 +195,13 @@ def combined_reason() -> Column:
             .when(F.col("dominant_signal") == "ML", ml_txt).otherwise(rules_only_txt))
 
 
-def score_transactions(df: DataFrame, cfg: Config = Config(), models=None,
-                       by: Sequence[str] = ACC) -> DataFrame:
-    """Features -> seven rules -> ML score -> fusion -> category/explanations.
+def joined_statistics(df: DataFrame, cfg: Config, by: Sequence[str], velocity: bool) -> DataFrame:
+    """``df`` with the statistics that rules and scores read, each from an aggregate joined back, so that a
+    large account is spread over its time buckets, channels and days.
 
-    One base frame (row-local features + rule keys); every aggregate is
-    derived from it and joined back once: amount stats and channel medians as one
-    table on (account, channel) (small, broadcast by AQE when its measured size allows),
-    daily stats on (account, date).  Bursts, repeats and velocity are joined on (account, seq) one
-    after the other, which shuffles the rows once, and first, while they are narrow.  The joins carry the columns that the rows came with; the row-local
-    features are derived behind them.  ``by=()`` takes the whole table as one statement."""
-    if not by:
-        return as_one_statement(df, lambda d: score_transactions(d, cfg, models))
-    df = FE.resolve_columns(df)
+    Amount stats and channel medians are one table on (account, channel) (small, broadcast by AQE when its
+    measured size allows), daily stats one on (account, date).  Bursts, repeats and velocity are joined on
+    (account, seq) one after the other, which shuffles the rows once, and first, while they are narrow."""
     base = R.prepare(FE.row_features(df, cfg), cfg)
     wanted = set(cfg.rule_names)
     out = R.joined_as(base, df.columns)
@@ -215,12 +209,85 @@ def score_transactions(df: DataFrame, cfg: Config = Config(), models=None,
     stats = base.select(*by, "channel").distinct().join(FE.amount_stats(base, cfg, by), list(by), "left")
     for side, keys in [s for s in sides if "channel" in s[1]]:
         stats = stats.join(side, keys, "left")
-    vel = (velocity_table(base, cfg, by) if "velocity_score" not in df.columns else None)
-    rows = R.row_sides(base, cfg, wanted, [vel] if vel is not None else [])
+    rows = R.row_sides(base, cfg, wanted, [velocity_table(base, cfg, by)] if velocity else [])
     for side, keys in [*rows, (stats, [*by, "channel"]), *[s for s in sides if "channel" not in s[1]]]:
         out = out.join(side, keys, "left")
+    return out
+
+
+def statistics_in_place(df: DataFrame, cfg: Config, by: Sequence[str], velocity: bool) -> DataFrame:
+    """What ``joined_statistics`` returns, for accounts that one task holds: all rows are shuffled once, by
+    account, and every statistic is a window over them there (but for the moments of the amount, one row per
+    account, which are joined where the rows are).
+
+    As in a join, a row without account, seq or date has no statistics by it, and rows that share
+    (account, seq) meet each other's bursts, repeats and velocities."""
+    by, wanted = list(by), set(cfg.rule_names)
+    # what a row derives from itself is derived behind the shuffle
+    d = df.repartition(*by).join(FE.amount_moments(FE.row_features(df, cfg), by), by, "left")
+    d = R.prepare(FE.row_features(d, cfg), cfg)
+    own = [c for c in df.columns if c not in (*by, "seq", "channel", "date")]
+    us, a = F.unix_micros("ts"), F.col("amount").cast("double")
+    d = d.select("*", time_bucket("ts", cfg.time_bucket_seconds).alias("__day"), us.alias("__us"), a.alias("__a"))
+    has_account = F.lit(True)
+    for c in by:
+        has_account = has_account & F.col(c).isNotNull()
+    account = Window.partitionBy(*by)
+    row = {}                # statistics of a row, and the rows that have them
+    if velocity:
+        gap = (F.col("__us") - F.lag("__us").over(account.orderBy("__day", "ts", "seq"))) / 1e6
+        row["score_velocity"] = (velocity_from_gap(gap), F.lit(True))
+    if "RAPID_TRANSACTION" in wanted:
+        row["rapid_count"] = R.rapid_counts_in(account, cfg)
+    if "REPEATED_TRANSACTION" in wanted:
+        row["repeat_partners"] = R.repeated_counts_in(by, cfg)
+    group = {"amount_mean": F.col("amount_mean"), "amount_std_pop": F.col("amount_std_pop"),
+             "amount_p95": quantile_over("amount_f", 0.95, account, cfg.quantile_accuracy)}
+    if "HIGH_VALUE_TRANSACTION" in wanted:
+        group["channel_median"] = quantile_over("__a", 0.5, Window.partitionBy(*by, "channel"), cfg.quantile_accuracy)
+    d = d.select(*by, "seq", "channel", "date", *own, *[stat.alias(n) for n, (stat, _) in row.items()],
+                 *[has.alias(f"__has_{n}") for n, (_, has) in row.items()],
+                 *[F.when(has_account, e).alias(n) for n, e in group.items()], "__us", "is_withdrawal")
+    daily = []
+    if wanted & {"SPENDING_SPIKE", "EXCESSIVE_WITHDRAWAL", "BALANCE_DROP_ALERT"}:
+        daily = list(R.DAILY)
+        d = R.daily_stats_in(d, by, has_account & F.col("date").isNotNull(), cfg)
+    # all statistics are there, so rows may come to be more
+    same = Window.partitionBy(*by, "seq")
+    known = has_account & F.col("seq").isNotNull()
+    d = d.withColumns({f"__all_{n}": F.when(known, F.collect_list(F.when(F.col(f"__has_{n}"), F.struct(n))).over(same)) for n in row})
+    for n in row:
+        d = d.select("*", F.explode_outer(f"__all_{n}").alias(f"__one_{n}"))
+    return d.select(*by, "date", "channel", "seq", *own, *[F.col(f"__one_{n}")[n].alias(n) for n in row], *group, *daily)
+
+
+def quantile_over(value: str, share: float, window, accuracy: int) -> Column:
+    """The quantile of ``grouped_quantiles`` over a window's rows."""
+    if accuracy > 0:
+        return F.percentile_approx(value, share, accuracy).over(window)
+    return F.percentile(value, F.lit(share)).over(window)
+
+
+def score_transactions(df: DataFrame, cfg: Config = Config(), models=None,
+                       by: Sequence[str] = ACC) -> DataFrame:
+    """Features -> seven rules -> ML score -> fusion -> category/explanations.
+
+    One base frame (row-local features + rule keys).  Accounts that one task holds (at most ``GROUP_ROWS`` rows,
+    and ``R.DENSE_ROWS`` of one key of the repeat rule) get their statistics where one shuffle by account has put
+    their rows, larger ones from aggregates joined back.  Either carries the columns that the rows came with; the
+    row-local features are derived behind.  ``by=()`` takes the whole table as one statement."""
+    if not by:
+        return as_one_statement(df, lambda d: score_transactions(d, cfg, models))
+    df = FE.resolve_columns(df)
+    by, wanted, given = list(by), set(cfg.rule_names), "velocity_score" in df.columns
+    large = large_keys(df, by, GROUP_ROWS)
+    if "REPEATED_TRANSACTION" in wanted:
+        keyed = R.prepare(FE.row_features(df, cfg), cfg)
+        large = large.unionByName(large_keys(keyed, [*by, cfg.repeated_key], R.DENSE_ROWS).select(*by)).distinct()
+    out = by_size(df, by, large, lambda d: statistics_in_place(d, cfg, by, not given),
+                  lambda d: joined_statistics(d, cfg, by, not given))
     out = R.prepare(FE.row_features(out, cfg), cfg).withColumn("is_large_amount", FE.large_flag())
-    if vel is None:
+    if given:
         out = given_velocity(out, by)
     out = R.with_rule_arrays(out.withColumns(R.flag_columns(cfg, wanted)), cfg)
     scored = ml_components(given_signals(out, by), cfg, models)
