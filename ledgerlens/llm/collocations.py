@@ -14,7 +14,7 @@ goes if a longer one that holds its words has nearly as many occurrences.  Wante
 3. The frontier is the prefixes (2 and 3 words) not expanded yet.  A round expands the best of
    it, at most ``round_prefixes`` at once: one scan counts everything that extends them by a
    word to the right and, if they may be wanted themselves, to the left (a longer candidate on
-   either side may replace them).  The first
+   either side may replace them), unless the bit table shows that a pair in it is rare.  The first
    round takes the pairs that score best themselves; from the survivors whose extensions are
    known comes each language's ``limit``-th score, and every later round takes prefixes
    whose bound reaches it.  When none is left, no open phrase can reach that score, nor tie with it.
@@ -176,12 +176,17 @@ def frequent_counts(m: Mining, table):
                 yield _batch(p.langs.take(pa.array(lang)), 0, pa.array([""] * len(lang)), salt[lang], f)
                 for n in (1, 2):
                     keys, ok = p.keys(n)
-                    bit = keys >> _U(64 - m.filter_bits)
-                    at = np.flatnonzero(ok & (words[bit >> _U(6)] >> (bit & _U(63)) & _U(1) == 1))
+                    at = np.flatnonzero(ok & _often(keys, words, m))
                     yield from p.counted(keys[at], at, n)
     return lambda batches: combined(found(batches))
 
 
+def _often(keys: np.ndarray, table: np.ndarray, m: Mining) -> np.ndarray:
+    """Which of ``keys`` have their bit set: all words and pairs with ``least`` occurrences, and few others."""
+    bit = keys >> _U(64 - m.filter_bits)
+    return table[bit >> _U(6)] >> (bit & _U(63)) & _U(1) == 1
+
+
 def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Which of ``keys`` are in the sorted ``wanted``."""
     if not len(wanted):
@@ -189,19 +194,23 @@ def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
 
 
-def extension_counts(m: Mining, wanted):
+def extension_counts(m: Mining, wanted, table):
     """Counts of the phrases that extend a wanted one by a word to the right or, where both sides are wanted, to the
-    left; ``wanted`` has sorted keys by (number of words, side)."""
+    left; ``wanted`` has sorted keys by (number of words, side).
+
+    A phrase occurs no more often than any pair in it, so those with a pair whose bit is not set are left out: they
+    cannot have ``least`` occurrences."""
     def found(batches):
         for batch in batches:
             for part in parts(batch, most=m.part_bytes):
                 p = Phrases(part)
+                pairs = _often(p.keys(2)[0], table.value, m)
                 for n in range(2, m.longest):
                     keys, _ = p.keys(n)
                     longer, ok = p.keys(n + 1)
                     if len(longer):
-                        right, left = _among(keys[:-1], wanted.value[n, "right"]), _among(keys[1:], wanted.value[n, "left"])
-                        at = np.flatnonzero(ok & (right | left))
+                        at = np.flatnonzero(ok & np.logical_and.reduce([pairs[i:i + len(longer)] for i in range(n)]))
+                        at = at[_among(keys[at], wanted.value[n, "right"]) | _among(keys[at + 1], wanted.value[n, "left"])]
                         yield from p.counted(longer[at], at, n + 1)
     return lambda batches: combined(found(batches))
 
@@ -227,12 +236,13 @@ def bit_table(keys: DataFrame, bits: int) -> np.ndarray:
     return out.view(_U)
 
 
-def first_counts(docs: DataFrame, m: Mining) -> DataFrame:
-    """Words and pairs with at least ``least`` occurrences, and every language's number of words (n = 0)."""
+def first_counts(docs: DataFrame, m: Mining):
+    """(words and pairs with at least ``least`` occurrences and every language's number of words (n = 0), the bit table
+    of their keys for all tasks)."""
     sums = _texts(docs).mapInArrow(key_counts(m), "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
     often = staged(sums.filter(F.col("f") >= m.least).select("key"), "frequent-keys")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(often, m.filter_bits))
-    return staged(_summed(_texts(docs).mapInArrow(frequent_counts(m, table), COUNTS), m.least), "phrase-counts")
+    return staged(_summed(_texts(docs).mapInArrow(frequent_counts(m, table), COUNTS), m.least), "phrase-counts"), table
 
 
 # ---------------------------------------------------------------- scores and bounds
@@ -306,19 +316,19 @@ def _round(frontier: DataFrame, counts: DataFrame, m: Mining) -> DataFrame:
     return staged(both.groupBy("lang", "n", "phrase", "key").agg(F.max("both").alias("both")), "round")
 
 
-def _extended(docs: DataFrame, chosen: DataFrame, m: Mining) -> DataFrame:
+def _extended(docs: DataFrame, chosen: DataFrame, table, m: Mining) -> DataFrame:
     keys = chosen.select("n", "key", "both").toPandas()
     sides = {"right": np.ones(len(keys), dtype=bool), "left": keys["both"].to_numpy(dtype=bool)}
     wanted = {(n, side): np.sort(np.unique(keys["key"][(keys["n"] == n) & mask].to_numpy(dtype=np.int64)).view(_U))
               for n in range(2, m.longest) for side, mask in sides.items()}
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    return _summed(_texts(docs).mapInArrow(extension_counts(m, shared), COUNTS), m.least)
+    return _summed(_texts(docs).mapInArrow(extension_counts(m, shared, table), COUNTS), m.least)
 
 
 def collocations(docs: DataFrame, m: Mining = Mining()) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first ``limit`` survivors of every language."""
     spark: SparkSession = docs.sparkSession
-    counts = first_counts(docs, m)
+    counts, table = first_counts(docs, m)
     pairs = staged(scored(counts, counts.filter(F.col("n") == 2), m), "pair-scores")
     scores, expanded = pairs, spark.createDataFrame([], "lang string, phrase string, both boolean")
     frontier = _best(pairs, 2 * m.limit, m, *best_first()).withColumns({"priority": F.col("score"), "both": F.lit(True)})
@@ -327,7 +337,7 @@ def collocations(docs: DataFrame, m: Mining = Mining()) -> DataFrame:
         if chosen.isEmpty():
             break
         expanded = staged(expanded.unionByName(chosen.select("lang", "phrase", "both")), "expanded")
-        counts = staged(counts.unionByName(_extended(docs, chosen, m)).dropDuplicates(["lang", "n", "phrase"]), "phrase-counts")
+        counts = staged(counts.unionByName(_extended(docs, chosen, table, m)).dropDuplicates(["lang", "n", "phrase"]), "phrase-counts")
         scores = pairs.unionByName(staged(scored(counts, counts.filter(F.col("n") > 2), m), "scores"))
         best = staged(_best(survivors(counts, scores, expanded, m), m.limit, m, *best_first()), "best")
         reach = (best.filter(F.col("rank") == m.limit).select("lang", F.col("score").alias("reach"))

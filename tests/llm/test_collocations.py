@@ -89,3 +89,25 @@ def test_query_against_sql(spark, duck):
     names = [d[0] for d in want.description]
     got = QUERIES["op12_collocations"](spark, "/root/testdata/sf0.001")
     assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(want.fetchall())
+
+
+class Held:
+    """A broadcast value without a session."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_extensions_with_a_rare_pair_are_not_sent():
+    import pyarrow as pa
+    m = Mining(least=3, filter_bits=16)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 4), pa.array(["a b c d"] * 3 + ["a b x. z a b"])], names=["lang", "text"])
+    p = collocations.Phrases(batch)
+    pairs, ok = p.keys(2)
+    key, f = np.unique(pairs[ok], return_counts=True)
+    table = np.zeros(1 << 10, dtype=np.uint64)
+    for bit in (key[f >= 3] >> np.uint64(48)).tolist():
+        table[bit >> 6] |= np.uint64(1 << (bit & 63))
+    wanted = {(n, side): np.sort(np.unique(p.keys(n)[0])) for n in (2, 3) for side in ("right", "left")}
+    sent = pa.Table.from_batches(collocations.extension_counts(m, Held(wanted), Held(table))([batch])).to_pylist()
+    assert sorted((r["phrase"], r["f"]) for r in sent) == [("a b c", 3), ("a b c d", 3), ("b c d", 3)]
