@@ -235,10 +235,25 @@ def bucketed_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap
                       bucket_seconds: int = 86400) -> DataFrame:
     """1-based session number per ``keys`` in (ts, tie) order: a gap of more
     than ``gap_us`` to the previous row opens a new session; rows without a
-    time come last and stay in the session before them.  One window
-    inside (keys, time bucket), one per-bucket summary (first / last ts,
+    time come last and stay in the session before them.
+
+    Keys that one task holds (see ``by_size``) take one window over their rows; larger ones a window inside (keys, time bucket), one per-bucket summary (first / last ts,
     internal session starts) and one prefix over the buckets of a key."""
     keys = list(keys)
+
+    def whole(d: DataFrame) -> DataFrame:
+        w = Window.partitionBy(_PLACE).orderBy("__day", ts, tie)
+        d = d.withColumns({"__us": F.unix_micros(F.col(ts)), "__day": time_bucket(ts, bucket_seconds), _PLACE: F.struct(*keys)})
+        # no row without a time stands before one with a time
+        d = d.withColumn("__new", F.when(F.col("__us") - F.lag("__us").over(w) > gap_us, 1).otherwise(0))
+        run = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return d.withColumn(out, (F.lit(1) + run).cast("int")).drop("__us", "__day", "__new", _PLACE)
+    bucketed = lambda d: _sessions_in_buckets(d, keys, ts, tie, gap_us, out, bucket_seconds)
+    return by_size(df, keys, large_keys(df, keys, GROUP_ROWS), whole, bucketed) if keys else bucketed(df)
+
+
+def _sessions_in_buckets(df: DataFrame, keys: list[str], ts: str, tie: str, gap_us: int, out: str,
+                         bucket_seconds: int) -> DataFrame:
     us = F.unix_micros(F.col(ts))
     d = ordered(df.withColumn("__us", us), keys, ts, tie, time_bucket(ts, bucket_seconds))
     d = d.withColumn(_PLACE, F.struct(*keys, _BUCKET))

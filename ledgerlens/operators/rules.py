@@ -23,7 +23,7 @@ from ledgerlens.functions import columns as C
 from ledgerlens.functions.dominance import CUTS, TILE_ROWS, order_key, rectangle_sums, tolerance_keys
 from ledgerlens.functions.quantiles import grouped_quantiles
 from ledgerlens.functions.scope import as_one_statement
-from ledgerlens.functions.windows import range_count
+from ledgerlens.functions.windows import hot_groups, range_count
 
 ACC = "account_id"
 
@@ -222,7 +222,7 @@ def repeated_counts(p: DataFrame, cfg: Config = Config(), dense_rows: int = DENS
     outermost doubles that pass the tolerance test.
     """
     key = cfg.repeated_key
-    w_us = int(cfg.repeated_window_hours * 3600 * 1_000_000)
+    w_us = _repeat_reach(cfg)
     tol = float(cfg.repeated_tolerance)
     if tol < 0:
         raise ValueError("repeated_tolerance cannot be negative")
@@ -291,16 +291,43 @@ def _alike(a: Column, other: Column, tol: float) -> Column:
     return F.when(a != 0, F.abs(a - other) / F.abs(a) <= F.lit(tol)).otherwise(other == 0)
 
 
+def crowded_groups(p: DataFrame, by: Sequence[str], cfg: Config = Config()) -> DataFrame:
+    """The groups in which a row of ``repeated_counts_in`` may meet more than ``DENSE_ROWS`` distinct (time, amount) of its
+    key.  Time is cut as wide as a row's window is, so that a window lies in two cells at most; only keys that may have
+    so many rows in all (see ``hot_groups``) are looked at closer."""
+    by, key = list(by), cfg.repeated_key
+    rows = p.where(_can_repeat(key)).select(*by, key, F.unix_micros("ts").alias("__us"), F.col("amount").cast("double").alias("__a"))
+    rows, groups = hot_groups(rows, [*by, key], DENSE_ROWS)
+    cell = F.floor(F.col("__us") / F.lit(2 * _repeat_reach(cfg) + 1)).alias("__cell")
+    cells = (rows.join(groups, "__group", "left_semi").select(*by, key, "__us", "__a").distinct()
+             .groupBy(*by, key, cell).agg(F.count(F.lit(1)).alias("__rows")))
+    return cells.where(F.col("__rows") > DENSE_ROWS // 2).select(*by).distinct()
+
+
+def _repeat_reach(cfg: Config) -> int:
+    return int(cfg.repeated_window_hours * 3600 * 1_000_000)
+
+
+def with_copies(d: DataFrame, by: Sequence[str], cfg: Config = Config()) -> DataFrame:
+    """``d`` with ``__copies``: on one of the rows that share key, time and amount, how many they are, null on the others and on
+    rows that cannot repeat.  Reads ``__us`` and ``__a``."""
+    has = _can_repeat(cfg.repeated_key)
+    same = Window.partitionBy(*by, cfg.repeated_key, "__us", "__a").orderBy("__us")        # all rows of it stand level
+    d = d.withColumns({"__copies": F.count(F.when(has, 1)).over(same), "__nth": F.row_number().over(same)})
+    return d.withColumn("__copies", F.when(has & (F.col("__nth") == 1), F.col("__copies"))).drop("__nth")
+
+
 def repeated_counts_in(by: Sequence[str], cfg: Config = Config()) -> tuple[Column, Column]:
-    """The count of ``repeated_counts`` from the amounts of a row's time window, and the rows that have one; for
-    accounts with few rows of a key, as each row meets all of its window.  Reads ``__us`` and ``__a``."""
+    """The count of ``repeated_counts`` from the amounts of a row's time window, each once with its copies, and the rows that
+    have one; for accounts that are not among ``crowded_groups``, as each row meets all of its window.  Reads ``__us``,
+    ``__a`` and ``__copies``."""
     if cfg.repeated_tolerance < 0:
         raise ValueError("repeated_tolerance cannot be negative")
-    has, w_us = _can_repeat(cfg.repeated_key), int(cfg.repeated_window_hours * 3600 * 1_000_000)
+    has, w_us = _can_repeat(cfg.repeated_key), _repeat_reach(cfg)
     near = Window.partitionBy(*by, cfg.repeated_key).orderBy("__us").rangeBetween(-w_us, w_us)
-    amounts = F.collect_list(F.when(has, F.col("__a"))).over(near)
-    alike = F.size(F.filter(amounts, lambda x: _alike(F.col("__a"), x, float(cfg.repeated_tolerance))))
-    return alike.cast("long") - 1, has
+    amounts = F.collect_list(F.when(F.col("__copies").isNotNull(), F.struct(F.col("__a").alias("a"), F.col("__copies").alias("n")))).over(near)
+    alike = F.filter(amounts, lambda x: _alike(F.col("__a"), x["a"], float(cfg.repeated_tolerance)))
+    return F.aggregate(alike, F.lit(0).cast("long"), lambda n, x: n + x["n"]) - 1, has
 
 
 def _partners(base: DataFrame, counts: DataFrame) -> DataFrame:

@@ -240,7 +240,9 @@ def statistics_in_place(df: DataFrame, cfg: Config, by: Sequence[str], velocity:
     if "RAPID_TRANSACTION" in wanted:
         row["rapid_count"] = R.rapid_counts_in(account, cfg)
     if "REPEATED_TRANSACTION" in wanted:
-        row["repeat_partners"] = R.repeated_counts_in(by, cfg)
+        partners, has = R.repeated_counts_in(by, cfg)       # at once, behind the window that has sorted the rows for it
+        d = R.with_copies(d, by, cfg).withColumn("__partners", partners)
+        row["repeat_partners"] = (F.col("__partners"), has)
     group = {"amount_mean": F.col("amount_mean"), "amount_std_pop": F.col("amount_std_pop"),
              "amount_p95": quantile_over("amount_f", 0.95, account, cfg.quantile_accuracy)}
     if "HIGH_VALUE_TRANSACTION" in wanted:
@@ -273,7 +275,7 @@ def score_transactions(df: DataFrame, cfg: Config = Config(), models=None,
     """Features -> seven rules -> ML score -> fusion -> category/explanations.
 
     One base frame (row-local features + rule keys).  Accounts that one task holds (at most ``GROUP_ROWS`` rows,
-    and ``R.DENSE_ROWS`` of one key of the repeat rule) get their statistics where one shuffle by account has put
+    and none of ``R.crowded_groups``) get their statistics where one shuffle by account has put
     their rows, larger ones from aggregates joined back.  Either carries the columns that the rows came with; the
     row-local features are derived behind.  ``by=()`` takes the whole table as one statement."""
     if not by:
@@ -283,7 +285,7 @@ def score_transactions(df: DataFrame, cfg: Config = Config(), models=None,
     large = large_keys(df, by, GROUP_ROWS)
     if "REPEATED_TRANSACTION" in wanted:
         keyed = R.prepare(FE.row_features(df, cfg), cfg)
-        large = large.unionByName(large_keys(keyed, [*by, cfg.repeated_key], R.DENSE_ROWS).select(*by)).distinct()
+        large = large.unionByName(R.crowded_groups(keyed, by, cfg)).distinct()
     out = by_size(df, by, large, lambda d: statistics_in_place(d, cfg, by, not given),
                   lambda d: joined_statistics(d, cfg, by, not given))
     out = R.prepare(FE.row_features(out, cfg), cfg).withColumn("is_large_amount", FE.large_flag())

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from helpers import at, txn_rows
 from ledgerlens.config import Config
 from ledgerlens.functions import windows as W
+from ledgerlens.operators import report as RP
 from ledgerlens.operators import scoring as S
+from ledgerlens.session import cut_lineage
 from ledgerlens.sources.tables import with_balance
 
 
@@ -92,3 +94,41 @@ def test_rows_are_shuffled_once(spark):
             assert 1 <= plan.count("Exchange hashpartitioning") <= most
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_of_a_key_far_apart_or_alike_are_not_dense(spark, monkeypatch):
+    """What a row of the repeat rule meets are the distinct rows of its window: an account's further days and copies are none."""
+    rows = [{"account_id": 1, "seq": i, "ts": at(i * 2 * 86400), "amount": 100 + i % 3, "balance": 900} for i in range(40)]
+    rows += [{"account_id": 2, "seq": i, "ts": at(i // 20 * 3600), "amount": 100 + i // 20, "balance": 900} for i in range(60)]
+    cfg, df = Config.fixture(), txn_rows(spark, rows).persist()
+    of = lambda: {(r.account_id, r.seq): (r.repeat_partners, r.ml_score) for r in S.score_transactions(df, cfg).collect()}
+    want = of()
+    assert {want[1, i][0] for i in range(40)} == {0} and {want[2, i][0] for i in range(60)} == {59}
+    monkeypatch.setattr(S.R, "DENSE_ROWS", 12)
+    assert S.R.crowded_groups(S.R.prepare(df, cfg), ["account_id"], cfg).isEmpty()
+
+    def joined(*_):
+        raise AssertionError("no account is large")
+    monkeypatch.setattr(S, "joined_statistics", joined)
+    assert of() == want
+
+
+def test_crowded_windows_are_found_across_cells(spark, monkeypatch):
+    """Thirteen distinct rows of one window make a group crowded wherever the window lies; groups without an account too."""
+    monkeypatch.setattr(S.R, "DENSE_ROWS", 12)
+    cfg = Config.fixture()
+    for start in range(0, 4 * 86400, 40_000):
+        rows = [{"account_id": None, "seq": i, "ts": at(start + i * 3600), "amount": 100, "balance": 900} for i in range(13)]
+        got = S.R.crowded_groups(S.R.prepare(txn_rows(spark, rows), cfg), ["account_id"], cfg).collect()
+        assert [r.account_id for r in got] == [None]
+
+
+def test_episodes_shuffle_narrow_rows_once(spark):
+    """One shuffle of the flagged rows for the sessions and one of the episodes, without the flags' texts."""
+    df = cut_lineage(S.score_transactions(txn_rows(spark, [{"ts": at(s), "amount": 10 + s, "balance": 100} for s in range(0, 300, 60)])))
+    plan = RP.episodes(df)._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert text.count("Exchange hashpartitioning") == 2
+    below = text[text.index("Exchange hashpartitioning(__place"):].split("\n")
+    carried = next(line for line in below if "Project" in line)
+    assert "array_contains(rule_flags" in carried and not any(line.strip(" :+-*").startswith("Exchange") for line in below[1:])
